@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,20 @@ STEP, MOST_KNOWN, SALT_ROWS = 8, 300_000, 20_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bin", pa.int32())])
 
 
-def encode(text: str | None, path: str, known: dict, end_id: int) -> np.ndarray:
-    """The text's ids and the end id."""
-    pre = word_level(path, text or "")
-    for p in {p for p in pre if p not in known}:
-        known[p] = (p,) if isinstance(p, int) else tuple(ids_of(path, p))
-    return np.fromiter(chain(chain.from_iterable(map(known.__getitem__, pre)), (end_id,)), dtype="<u4")
+class Known(dict):
+    """Pre-token, or special id, to its ids as little-endian 32-bit numbers; each is encoded when first met."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __missing__(self, p: str | int) -> bytes:
+        self[p] = ids = np.array([p] if isinstance(p, int) else ids_of(self.path, p), "<u4").tobytes()
+        return ids
+
+
+def encode(text: str | None, known: Known, end_id: int) -> bytes:
+    """The text's ids and the end id, four bytes each."""
+    return b"".join(map(known.__getitem__, word_level(known.path, text or ""))) + end_id.to_bytes(4, "little")
 
 
 def combinations(bins: int) -> np.ndarray:
@@ -134,14 +141,14 @@ def pieces(df: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        known = Known(tokenizer_path)
         for batch in by_bytes(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text, tokenizer_path, known, end_id)
-                for start in range(0, len(ids), window):
-                    part = ids[start : start + window]
-                    rows.append((doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), -(-len(part) // STEP)))
+                ids = encode(text, known, end_id)
+                for start in range(0, len(ids) // 4, window):
+                    part = ids[4 * start : 4 * (start + window)]
+                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), len(ids) // 4, -(-len(part) // (4 * STEP))))
             if len(known) > MOST_KNOWN:
                 known.clear()
             yield pa.RecordBatch.from_pydict(dict(zip(PIECES.names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in PIECES.names}, schema=PIECES)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrachron.llm import op1_tokens, op7_sharding, op8_gif, op10_packing
+from terrachron.llm import op1_tokens, op3_langid, op6_toxicity, op7_sharding, op8_gif, op10_packing
 from terrachron.llm.common import prepare
 
 
@@ -24,6 +24,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return op6_toxicity.score(documents, op6_toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op7_sharding_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -37,7 +46,7 @@ def op10_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op7_sharding_hypergeometric, op8_gif_columns, op10_packing_nnls]
+    found = [op1_token_counts, op3_language_id, op6_toxicity_nb, op7_sharding_hypergeometric, op8_gif_columns, op10_packing_nnls]
     return {f.__name__: f for f in found}
 
 
