@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrachron.llm import op1_tokens, op3_langid, op6_toxicity, op7_sharding, op8_gif, op10_packing
+from terrachron.llm import op1_tokens, op2_simhash, op3_langid, op6_toxicity, op7_sharding, op8_gif, op10_packing
 from terrachron.llm.common import prepare
 
 
@@ -24,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op3_language_id, op6_toxicity_nb, op7_sharding_hypergeometric, op8_gif_columns, op10_packing_nnls]
+    found = [op1_token_counts, op2_simhash_vptree, op3_language_id, op6_toxicity_nb, op7_sharding_hypergeometric, op8_gif_columns, op10_packing_nnls]
     return {f.__name__: f for f in found}
 
 
