@@ -135,6 +135,7 @@ def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return None
     each = max(8, min(400, sample // len(counts)))
     shares = spark.createDataFrame([(k, min(1.0, 1.5 * each / n + 8 / n)) for k, n in counts.items()], "lang string, share double")
+    shares = F.broadcast(shares) if len(counts) <= 10_000 else shares
     order = F.shiftrightunsigned(F.xxhash64(F.lit(3), "text"), 1) / F.lit(float(1 << 63))
     rows = known.withColumn("at", order).join(shares, "lang").where(F.col("at") < F.col("share")).select("lang", "text", "at").toPandas()
     rows = rows.drop_duplicates(["lang", "text"]).sort_values(["at", "text", "lang"]).groupby("lang", sort=True).head(each)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrachron.llm import op1_tokens, op2_simhash, op3_langid, op6_toxicity, op7_sharding, op8_gif, op10_packing
+from terrachron.llm import op1_tokens, op2_simhash, op3_langid, op5_html, op6_toxicity, op7_sharding, op8_gif, op9_decontamination, op10_packing
 from terrachron.llm.common import prepare
 
 
@@ -32,6 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_html_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return op6_toxicity.score(documents, op6_toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -45,15 +49,41 @@ def op8_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_gif.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_simhash_vptree, op3_language_id, op6_toxicity_nb, op7_sharding_hypergeometric, op8_gif_columns, op10_packing_nnls]
+    found = [op1_token_counts, op2_simhash_vptree, op3_language_id, op5_html_differencing, op6_toxicity_nb, op7_sharding_hypergeometric, op8_gif_columns, op9_decontamination_index, op10_packing_nnls]
     return {f.__name__: f for f in found}
 
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[s : s + 9], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT rid, s, n, array_to_string(w[s : s + n - 1], ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM bw))
+), m AS (SELECT DISTINCT rid, s, n, item FROM dw JOIN bw USING (win, n)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT rid, s, n FROM m)) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Empty where DuckDB has no tokenizer, no hypergeometric draw and no LZW; tests/llm holds these against brute force."""
-    return {}
+    """Left out where DuckDB has no tokenizer, seeded hash, hypergeometric draw, LZW or fit; tests/llm holds these against brute force."""
+    return {"op9_decontamination_index": OP9_SQL}
