@@ -205,10 +205,15 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` but one a component: its smallest id's; of rows with that same id, one stays.
+    """``df`` without near-duplicates, all columns kept: of each component the row with its smallest id stays.
 
-    Components without any id keep a row for each fingerprint. The columns are those of ``df``.
+    Of rows that share that very id one stays. A component without any id keeps all its rows. Only the ids that go
+    meet the texts again, so what is joined is as large as the duplicates, not as the corpus.
     """
-    found = near_duplicates(df, id_col=id_col, text_col=text_col).where(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    kept = found.select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    found = stored(near_duplicates(df, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "found")
+    smallest = F.col("doc_id") == F.col("component_id")
+    go = found.where("component_id is not null").where(~F.coalesce(smallest, F.lit(False))).select(F.col("doc_id").alias("__id")).distinct()
+    again = found.where(smallest).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    kept = df.join(go, same, "left_anti")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))

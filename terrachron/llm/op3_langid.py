@@ -146,6 +146,19 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+def label(texts: list[str], model: Model | None) -> tuple[list[str], list[float]]:
+    """Language and score of each text, scored in batches."""
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    at = [j for j, t in enumerate(texts) if has_letter(t)] if model else []
+    for i in range(0, len(at), BATCH):
+        part = at[i : i + BATCH]
+        value = SHARPNESS * model.scores([texts[j] for j in part]).astype(np.float64)
+        odds = np.exp(value - value.max(axis=1, keepdims=True))
+        for j, b, s in zip(part, odds.argmax(axis=1).tolist(), (odds.max(axis=1) / odds.sum(axis=1)).tolist(), strict=True):
+            names[j], scores[j] = model.languages[b], s
+    return names, scores
+
+
 def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row.
 
@@ -157,22 +170,27 @@ def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2 << 20):
-            for i in range(0, batch.num_rows, BATCH):
-                part = batch.slice(i, BATCH)
-                texts = [t or "" for t in part.column(2).to_pylist()]
-                names, scores = ["und"] * len(texts), [0.0] * len(texts)
-                if model and (at := [j for j, t in enumerate(texts) if has_letter(t)]):
-                    value = SHARPNESS * model.scores([texts[j] for j in at]).astype(np.float64)
-                    odds = np.exp(value - value.max(axis=1, keepdims=True))
-                    best = odds.argmax(axis=1)
-                    for j, b, s in zip(at, best.tolist(), (odds.max(axis=1) / odds.sum(axis=1)).tolist(), strict=True):
-                        names[j], scores[j] = model.languages[b], s
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=SCHEMA)
+            names, scores = label([t or "" for t in batch.column(2).to_pylist()], model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=SCHEMA)
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(df: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, that get a language: those whose text has a letter, if there is a model."""
+    prepare(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 2 << 20):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            names = label(texts, model)[0]
+            yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def language_id(df: DataFrame, **names: str) -> DataFrame:
     """``identify`` with a model trained on ``df`` itself."""
     own = {k: v for k, v in names.items() if k in ("id_col", "text_col")}

@@ -168,3 +168,16 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text the model does not call toxic; null texts count as empty."""
+    prepare(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1 << 20):
+            if batch.num_rows:
+                yield batch.filter(pa.array(model.scores([t or "" for t in batch.column(at).to_pylist()]) < THRESHOLD))
+
+    return df.mapInArrow(run, df.schema)

@@ -135,3 +135,13 @@ def contamination(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     n_hit = F.coalesce("f.n_hit", F.lit(0)).cast("long")
     listed = F.concat_ws(",", F.sort_array(F.coalesce("f.items", F.array().cast("array<string>"))))
     return joined.select("r.doc_id", "r.n_words", n_hit.alias("n_hit"), F.coalesce("f.n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def keep_clean(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """The rows of ``df``, with all their columns, in which no window of any item occurs."""
+    prepare(df.sparkSession)
+    windows = stored(windows_of(items, size=size, id_col=item_col, text_col=item_text_col), "windows")
+    terms = terms_of(windows)
+    matches = phrase_matches(stored(index(df, terms, id_col=id_col, text_col=text_col), "postings"), terms)
+    go = stored(matches.select(F.col("doc_id").alias("__id"), F.col("part").alias("__part")).distinct(), "contaminated")
+    return df.join(go, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__part")), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrachron.llm import op1_tokens, op2_simhash, op3_langid, op5_html, op6_toxicity, op7_sharding, op8_gif, op9_decontamination, op10_packing
+from terrachron.llm import op1_tokens, op2_simhash, op3_langid, op4_lm, op5_html, op6_toxicity, op7_sharding, op8_gif, op9_decontamination, op10_packing
 from terrachron.llm.common import prepare
 
 
@@ -32,6 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_html_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_html.extract(table(spark, sf_dir, "pages"))
 
@@ -58,16 +62,16 @@ def op10_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_simhash_vptree, op3_language_id, op5_html_differencing, op6_toxicity_nb, op7_sharding_hypergeometric, op8_gif_columns, op9_decontamination_index, op10_packing_nnls]
+    found = [op1_token_counts, op2_simhash_vptree, op3_language_id, op4_lm_trie, op5_html_differencing, op6_toxicity_nb, op7_sharding_hypergeometric, op8_gif_columns, op9_decontamination_index, op10_packing_nnls]
     return {f.__name__: f for f in found}
 
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents
 ), b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark
 ), bw AS (
   SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[s : s + 9], ' ') AS win
