@@ -1,6 +1,6 @@
 """Packing token sequences by non-negative least squares on the length histogram.
 
-1. One scan encodes each text once (distinct pre-tokens are encoded once a task), cuts it into whole windows and a
+1. One scan encodes each text once (distinct pre-tokens are encoded once a worker), cuts it into whole windows and a
    rest, and keeps a slim row for each piece; ids leave the task only as checksums.
 2. The rests' lengths, rounded up to steps of ``STEP`` tokens, make a histogram of at most window / STEP bins, the
    only thing the driver sees. All combinations of at most three bins that fill the window are enumerated; Lawson and
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from terrachron.llm.common import by_bytes, prepare, stored
 from terrachron.llm.pretokens import ids_of, word_level
 
-STEP, MOST_KNOWN, SALT_ROWS = 8, 300_000, 20_000
+STEP, MOST_KNOWN, SALT_ROWS = 8, 600_000, 20_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bin", pa.int32())])
 
 
@@ -39,6 +40,12 @@ class Known(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def known_ids(path: str) -> Known:
+    """A worker's pre-tokens; they outlive its tasks."""
+    return Known(path)
+
+
 def encode(text: str | None, known: Known, end_id: int) -> bytes:
     """The text's ids and the end id, four bytes each."""
     return b"".join(map(known.__getitem__, word_level(known.path, text or ""))) + end_id.to_bytes(4, "little")
@@ -141,7 +148,7 @@ def pieces(df: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(tokenizer_path)
+        known = known_ids(tokenizer_path)
         for batch in by_bytes(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -1,8 +1,8 @@
 """Token counts from pre-token frequencies.
 
-Within a task, each distinct pre-token is encoded once; its number of pieces is joined to the documents'
+In a worker, each distinct pre-token is encoded once; its number of pieces is joined to the documents'
 pre-token frequencies and summed, so ids of texts are never made and nothing is shuffled: at any size the operator
-is one scan. The dictionary of a task is bounded by ``MOST_KNOWN`` entries; beyond it, it starts anew, which costs
+is one scan. The dictionary of a worker is bounded by ``MOST_KNOWN`` entries; beyond it, it starts anew, which costs
 a second encoding of some pre-tokens and changes no count.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,12 @@ MOST_KNOWN = 500_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
+@lru_cache(maxsize=2)
+def known_pieces(path: str) -> dict[str, int]:
+    """A worker's pre-tokens and their pieces; they outlive its tasks."""
+    return {}
+
+
 def count_batch(texts: list[str | None], path: str, known: dict[str, int]) -> tuple[list[int], list[int]]:
     """UTF-8 bytes and tokens of each text; ``known`` has the pieces of the pre-tokens met so far."""
     if len(known) > MOST_KNOWN:
@@ -46,7 +53,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = known_pieces(tokenizer_path)
         for batch in by_bytes(batches):
             sizes, counts = count_batch(batch.column(1).to_pylist(), tokenizer_path, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], schema=SCHEMA)

@@ -44,7 +44,7 @@ def byte_level(path: str, text: str) -> tuple[list[str], int]:
     parts = special.split(text) if special else [text]
     out: list[str] = []
     for part in parts:
-        if UNSAFE.search(part):
+        if not part.isascii() and UNSAFE.search(part):
             out += [part[a:b] for _, (a, b) in load(path).pre_tokenizer.pre_tokenize_str(part)]
         else:
             out += BYTE_PATTERN.findall(part)
@@ -74,7 +74,7 @@ def word_level(path: str, text: str) -> list[str | int]:
     for found in [*(special.finditer(text) if special else ()), None]:
         part = text[at : found.start()] if found else text[at:]
         lower = part.lower()
-        if UNSAFE.search(part) or UNSAFE.search(lower):
+        if not part.isascii() and (UNSAFE.search(part) or UNSAFE.search(lower)):
             tokenizer = load(path)
             normal = tokenizer.normalizer.normalize_str(part)
             out += [normal[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
