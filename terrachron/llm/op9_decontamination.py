@@ -6,8 +6,8 @@ term's list, moved back by its offset, and are intersected with the second rares
 with the lists of all other terms at once, and only places where every offset is met are matches. Nothing is dropped
 or capped: a window of common words alone costs what its rarest list holds.
 
-The windows and terms are as many as the test items make; they are joined by whatever way the planner finds from
-their size. Candidate documents are broadcast only below ``BROADCAST_ROWS``, else joined by shuffle.
+The windows and terms are as many as the test items make. They, and the candidate documents, are broadcast only if
+they are counted at no more than ``BROADCAST_ROWS`` rows; else they are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ PARTS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WINDOW, BROADCAST_ROWS = 10, 200_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def words(text: Column) -> Column:
     """The words of a text in its own case; empty for none. A part before the first word is cut off."""
     return F.filter(F.split(text, PARTS), lambda w: w != "")
@@ -58,7 +63,7 @@ def index(df: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col:
     tokens = keyed.select("doc_id", "part", F.posexplode(words(F.col("text"))).alias("position", "__word"))
     # a fold of all letters joins cheaply; folds that differ outside A-Z are told apart on the few rows that join
     wanted = terms.select("term").distinct().select("term", F.lower("term").alias("__lower"))
-    met = tokens.withColumn("__lower", F.lower("__word")).join(wanted, "__lower").where(fold(F.col("__word")) == F.col("term"))
+    met = tokens.withColumn("__lower", F.lower("__word")).join(small(wanted), "__lower").where(fold(F.col("__word")) == F.col("term"))
     return met.select("term", "doc_id", "part", "position")
 
 
@@ -77,7 +82,7 @@ def phrase_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
 
     def at(rank: Column) -> DataFrame:
         """Where a window would start for each posting of its terms of that rank."""
-        return lists.where(rank).join(postings, "term").select("window", "length", "doc_id", "part", (F.col("position") - F.col("offset")).alias("start"), "rank")
+        return postings.join(small(lists.where(rank)), "term").select("window", "length", "doc_id", "part", (F.col("position") - F.col("offset")).alias("start"), "rank")
 
     place = ["window", "doc_id", "part", "start"]
     null_safe = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "doc_id" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in place]
@@ -87,10 +92,8 @@ def phrase_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
     alone = first.where("length = 1")
     found = stored(both.unionByName(alone), "candidates")
     documents = found.select("doc_id", "part").distinct()
-    n = documents.count()
-    near = F.broadcast(documents) if n <= BROADCAST_ROWS else documents
     same = [F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")), F.col("p.part") == F.col("d.part")]
-    there = postings.alias("p").join(near.alias("d"), same, "left_semi").select("p.*")
+    there = postings.alias("p").join(small(documents).alias("d"), same, "left_semi").select("p.*")
     needed = found.alias("f").join(lists.where("rank > 2").alias("l"), F.col("f.window") == F.col("l.window")).select("f.window", "f.length", "f.doc_id", "f.part", "f.start", "l.term", (F.col("f.start") + F.col("l.offset")).alias("position"))
     exact = [F.col("n.doc_id").eqNullSafe(F.col("p.doc_id")), *(F.col(f"n.{c}") == F.col(f"p.{c}") for c in ("part", "position", "term"))]
     rest = needed.alias("n").join(there.alias("p"), exact, "left_semi").groupBy("window", "doc_id", "part", "start", "length").agg(F.countDistinct("position").alias("met"))
