@@ -27,6 +27,8 @@ from terrachron.llm.components import components
 SEED, SHINGLE, BITS = 42, 3, 2
 #: Points that the tree is fitted on (and at most a quarter of all), points a shard should hold, and points of a block.
 SAMPLE, SHARD, BLOCK, CANDIDATES = 16_384, 1_500, 40_000, 16
+#: Ids (16 MB) that may be sent to every task.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -207,13 +209,14 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without near-duplicates, all columns kept: of each component the row with its smallest id stays.
 
-    Of rows that share that very id one stays. A component without any id keeps all its rows. Only the ids that go
-    meet the texts again, so what is joined is as large as the duplicates, not as the corpus.
+    Of rows that share that very id one stays. Rows without an id stay. Only the ids that go meet the texts again;
+    they are broadcast if they are counted at no more than ``BROADCAST_IDS``, else joined by shuffle.
     """
     found = stored(near_duplicates(df, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "found")
     smallest = F.col("doc_id") == F.col("component_id")
-    go = found.where("component_id is not null").where(~F.coalesce(smallest, F.lit(False))).select(F.col("doc_id").alias("__id")).distinct()
+    go = found.where(~smallest).select(F.col("doc_id").alias("__id")).distinct()
     again = found.where(smallest).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    same = F.col(id_col).cast("long") == F.col("__id")
+    go, again = (F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids for ids in (go, again))
     kept = df.join(go, same, "left_anti")
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
