@@ -45,16 +45,26 @@ def document_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows_of(items: DataFrame, *, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(window, item_id, words): each distinct window of an item's folded words; shorter items are one window."""
+    """(window, item_id, words): each distinct window of an item's folded words; shorter items are one window.
+
+    window is the window's words in one text; ``numbered`` makes it a number.
+    """
     own = items.select(F.col(id_col).cast("string").alias("item_id"), words(fold(text_of(text_col))).alias("__words")).where(F.size("__words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("__words") - size, F.lit(0)))
     each = own.select("item_id", "__words", F.explode(starts).alias("__at")).select("item_id", F.slice("__words", F.col("__at") + 1, size).alias("words"))
-    return each.select(F.sha2(F.concat_ws(" ", "words"), 256).alias("window"), "item_id", "words").distinct()
+    return each.select(F.concat_ws(" ", "words").alias("window"), "item_id", "words").distinct()
+
+
+def numbered(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(window, item_id) and (window, words), each distinct window with a number; both come from written tables."""
+    distinct = stored(windows.dropDuplicates(["window"]).select(F.monotonically_increasing_id().alias("number"), "window", "words"), "windows")
+    items = stored(windows.join(distinct.select("window", "number"), "window").select(F.col("number").alias("window"), "item_id"), "items")
+    return items, distinct.select(F.col("number").alias("window"), "words")
 
 
 def terms_of(windows: DataFrame) -> DataFrame:
-    """(window, offset, term, length) of each distinct window."""
-    return windows.dropDuplicates(["window"]).select("window", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
+    """(window, offset, term, length) of each distinct window (window, words)."""
+    return windows.select("window", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
 
 
 def index(df: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,15 +92,14 @@ def phrase_matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
 
     def at(rank: Column) -> DataFrame:
         """Where a window would start for each posting of its terms of that rank."""
-        return postings.join(small(lists.where(rank)), "term").select("window", "length", "doc_id", "part", (F.col("position") - F.col("offset")).alias("start"), "rank")
+        return postings.join(small(lists.where(rank)), "term").select("window", "doc_id", "part", (F.col("position") - F.col("offset")).alias("start"))
 
     place = ["window", "doc_id", "part", "start"]
     null_safe = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "doc_id" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in place]
-    first = at(F.col("rank") == 1).where("start >= 0").select("length", *place).distinct()
-    second = at(F.col("rank") == 2).select(*place)
-    both = first.alias("a").join(second.alias("b"), null_safe, "left_semi")
-    alone = first.where("length = 1")
-    found = stored(both.unionByName(alone), "candidates")
+    first, second = (at(F.col("rank") == k).where("start >= 0") for k in (1, 2))
+    both = first.alias("a").join(second.alias("b"), null_safe, "left_semi").unionByName(at((F.col("rank") == 1) & (F.col("length") == 1)))
+    lengths = lists.select("window", "length").distinct()
+    found = stored(both.distinct().join(small(lengths), "window"), "candidates")
     documents = found.select("doc_id", "part").distinct()
     same = [F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")), F.col("p.part") == F.col("d.part")]
     there = postings.alias("p").join(small(documents).alias("d"), same, "left_semi").select("p.*")
@@ -122,7 +131,7 @@ def contamination(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     nothing is hit. Null item ids take no part in the list of items, but their words hit. Other columns are not read.
     """
     prepare(df.sparkSession)
-    windows = stored(windows_of(items, size=size, id_col=item_col, text_col=item_text_col), "windows")
+    item_windows, windows = numbered(windows_of(items, size=size, id_col=item_col, text_col=item_text_col))
     terms = terms_of(windows)
     postings = stored(index(df, terms, id_col=id_col, text_col=text_col), "postings")
     matches = stored(phrase_matches(postings, terms), "matches")
@@ -131,7 +140,7 @@ def contamination(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     before = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     hits = spans.withColumn("__end", F.coalesce(F.max(end).over(before), F.lit(0))).groupBy(*key).agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "__end"))).alias("n_hit"))
-    item_lists = matches.select(*key, "window").distinct().join(windows.select("window", "item_id"), "window").groupBy(*key).agg(F.collect_set("item_id").alias("items"), F.count_distinct("item_id").alias("n_items"))
+    item_lists = matches.select(*key, "window").distinct().join(item_windows, "window").groupBy(*key).agg(F.collect_set("item_id").alias("items"), F.count_distinct("item_id").alias("n_items"))
     found = hits.alias("h").join(item_lists.alias("i"), [F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")), F.col("h.part") == F.col("i.part")], "left").select("h.*", "i.items", "i.n_items")
     rows = document_key(df, id_col, text_col).select("doc_id", "part", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     joined = rows.alias("r").join(found.alias("f"), [F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("r.part") == F.col("f.part")], "left")
@@ -143,7 +152,7 @@ def contamination(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
 def keep_clean(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """The rows of ``df``, with all their columns, in which no window of any item occurs."""
     prepare(df.sparkSession)
-    windows = stored(windows_of(items, size=size, id_col=item_col, text_col=item_text_col), "windows")
+    _, windows = numbered(windows_of(items, size=size, id_col=item_col, text_col=item_text_col))
     terms = terms_of(windows)
     matches = phrase_matches(stored(index(df, terms, id_col=id_col, text_col=text_col), "postings"), terms)
     go = stored(matches.select(F.col("doc_id").alias("__id"), F.col("part").alias("__part")).distinct(), "contaminated")
