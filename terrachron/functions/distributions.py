@@ -7,6 +7,7 @@ from math import lgamma
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -39,7 +40,7 @@ def f_tail(f: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:
     return incomplete_beta(df2 / 2, df1 / 2, df2 / (df2 + df1 * np.maximum(f, 0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail_udf(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     ok = f.notna() & df1.notna() & df2.notna() & (df2 > 0)
     out = pd.Series(np.full(len(f), np.nan))
