@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 YEAR = 365.2425
 
 
+def number(x: float) -> str:
+    """A double as SQL text; without an exponent it would be a decimal."""
+    text = repr(float(x))
+    return text if "e" in text else f"{text}e0"
+
+
 @dataclass(frozen=True)
 class TimeModel:
     """Intercept and powers of t, hinges max(0, t - knot), sine and cosine of each period (days); t in years since ``origin`` (a day)."""
@@ -21,7 +27,7 @@ class TimeModel:
     knots: tuple[int, ...] = field(default=())
 
     def t(self, day: str = "day") -> str:
-        return f"(({day} - {self.origin}) / {YEAR!r})"
+        return f"(({day} - {self.origin}) / {number(YEAR)})"
 
     def columns(self, day: str = "day") -> dict[str, str]:
         """Name to SQL text, in coefficient order."""
@@ -29,9 +35,9 @@ class TimeModel:
         for k in range(1, self.degree + 1):
             out[f"t{k}"] = " * ".join([t] * k)
         for i, knot in enumerate(self.knots):
-            out[f"h{i}"] = f"greatest(CAST(0 AS DOUBLE), {t} - {(knot - self.origin) / YEAR!r})"
+            out[f"h{i}"] = f"greatest(CAST(0 AS DOUBLE), {t} - {number((knot - self.origin) / YEAR)})"
         for i, period in enumerate(self.periods):
-            angle = f"(2 * pi() * ({day} - {self.origin}) / {period!r})"
+            angle = f"(2 * pi() * ({day} - {self.origin}) / {number(period)})"
             out[f"s{i}"], out[f"q{i}"] = f"sin({angle})", f"cos({angle})"
         return out
 
