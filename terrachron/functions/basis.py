@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,13 @@ class TimeModel:
             out[f"s{i}"], out[f"q{i}"] = f"sin({angle})", f"cos({angle})"
         return out
 
+    def matrix(self, days: Sequence[float]) -> np.ndarray:
+        """The design matrix at some days, columns in coefficient order."""
+        d = np.asarray(days, float)
+        t = (d - self.origin) / YEAR
+        waves = [g(2 * np.pi * (d - self.origin) / p) for p in self.periods for g in (np.sin, np.cos)]
+        return np.column_stack([*(t**k for k in range(self.degree + 1)), *(np.maximum(0, t - (k - self.origin) / YEAR) for k in self.knots), *waves])
+
     @property
     def size(self) -> int:
         return 1 + self.degree + len(self.knots) + 2 * len(self.periods)

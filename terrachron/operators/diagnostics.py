@@ -167,3 +167,28 @@ def bic_counts(df: DataFrame, delta: str = "delta_bic", threshold: float = 2.0)
     n = F.count(delta)
     named = [("preferred_small", p == 1), ("preferred_large", p == 2), ("evidence_small", e == 1), ("evidence_none", e == 2), ("evidence_large", e == 3)]
     return df.agg(n.alias("n"), *(F.count_if(c).alias(k) for k, c in named), *((F.count_if(c) / n).alias(f"fraction_{k}") for k, c in named))
+
+
+def recent_rates(df: DataFrame, keys: list[str], since: int, *, min_obs: int = 12) -> DataFrame:
+    """keys, recent_rate and rmse of a linear and annual fit of the rows from a day on, apart from any longer fit."""
+    f = lsq.fit(df.where(F.col("day") >= since), keys, TimeModel(since), min_obs=min_obs)
+    return f.select(*keys, F.col("beta1").alias("recent_rate"), F.col("rmse").alias("recent_rmse"), "n")
+
+
+def assess(sensitivity: DataFrame, shifts: DataFrame, plane: DataFrame, recurrence: DataFrame, epochs: DataFrame) -> DataFrame:
+    """One row: findings for a real signal and for an artefact, and the verdict of a rule of thumb.
+
+    sensitivity: pearson_r, median_difference of each exclusion; shifts: shift_from_full; plane: plane_r2; recurrence:
+    r; epochs: rank_recent, scene_artifact_score.
+    """
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    stable = (F.col("pearson_r") >= 0.9) & (F.abs("median_difference") <= 5)
+    a = sensitivity.agg(count(stable).alias("real_0"), count(F.col("pearson_r") < 0.7).alias("artifact_0"))
+    most = F.max(F.abs("shift_from_full"))
+    b = shifts.agg((most <= 5).cast("int").alias("real_1"), (most >= 10).cast("int").alias("artifact_1"))
+    c = plane.agg(count(F.col("plane_r2") < 0.25).alias("real_2"), count(F.col("plane_r2") > 0.6).alias("artifact_2"))
+    d = recurrence.agg(count(F.col("r") >= 0.4).alias("real_3"))
+    e = epochs.agg((count((F.col("rank_recent") <= 10) & (F.col("scene_artifact_score") >= 5)) >= 5).cast("int").alias("artifact_4"))
+    row = a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)
+    real, artifact = (sum((F.coalesce(F.col(n), F.lit(0)) for n in row.columns if n.startswith(k)), F.lit(0)) for k in ("real", "artifact"))
+    return row.select(real.alias("real"), artifact.alias("artifact")).withColumn("verdict", classes.verdict(F.col("real"), F.col("artifact")))

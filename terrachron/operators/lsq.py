@@ -125,14 +125,7 @@ def packed_fit(df: DataFrame, key: str, series: str, days: list[int], model: Tim
     Series of a batch that miss the same epochs share one pseudo-inverse. Nulls and NaN are missing. Columns: key,
     beta array<double>, rmse, n, rss; coefficients are null where there are too few values.
     """
-    k = model.size
-    frame = pd.DataFrame({"day": np.asarray(days, float)})
-    t = (frame["day"] - model.origin) / 365.2425
-    X = np.column_stack(
-        [t**d for d in range(model.degree + 1)]
-        + [np.maximum(0, t - (x - model.origin) / 365.2425) for x in model.knots]
-        + [g(2 * np.pi * (frame["day"] - model.origin) / p) for p in model.periods for g in (np.sin, np.cos)]
-    )
+    k, X = model.size, model.matrix(days)
     least = max(min_obs, k + 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,3 +145,30 @@ def packed_fit(df: DataFrame, key: str, series: str, days: list[int], model: Tim
 
     kind = dict(df.dtypes)[key]
     return df.select(key, series).mapInPandas(run, f"`{key}` {kind}, beta array<double>, rmse double, n long, rss double")
+
+
+def packed_holdout(df: DataFrame, key: str, series: str, days: list[int], model: TimeModel, first_test_day: int, *, min_obs: int = 0) -> DataFrame:
+    """key, n_test, rmse: packed series fitted before a day and predicted from it on, without a shuffle.
+
+    Series that miss the same training epochs share one prediction matrix; missing test values don't count.
+    """
+    X, before = model.matrix(days), np.asarray(days) < first_test_day
+    least = max(min_obs, model.size + 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            Y = np.array([[np.nan if v is None else v for v in s] for s in f[series]], float).reshape(len(f), len(days))
+            there = np.isfinite(Y)
+            patterns, group = np.unique(np.packbits(there[:, before], axis=1), axis=0, return_inverse=True)
+            error = np.full((len(f), int((~before).sum())), np.nan)
+            for p in range(len(patterns)):
+                rows = np.flatnonzero(group.ravel() == p)
+                mask = before & there[rows[0]]
+                if mask.sum() >= least:
+                    hat = X[~before] @ np.linalg.pinv(X[mask])
+                    error[rows] = Y[np.ix_(rows, np.flatnonzero(~before))] - Y[np.ix_(rows, np.flatnonzero(mask))] @ hat.T
+            n = np.isfinite(error).sum(axis=1)
+            rmse = np.sqrt(np.nansum(error**2, axis=1) / np.maximum(n, 1))
+            yield pd.DataFrame({key: f[key], "n_test": n, "rmse": [None if m == 0 else v for m, v in zip(n, rmse, strict=True)]})
+
+    return df.select(key, series).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, n_test long, rmse double")

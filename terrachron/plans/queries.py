@@ -650,6 +650,11 @@ def overlapping_window_rates(spark: SparkSession, sf: str) -> DataFrame:
     return r(diagnostics.window_rates(series(spark, sf), ["series_id"], WINDOWS), 4)
 
 
+@query(f"SELECT series_id, {rounded('beta1', 4)} AS recent_rate, {rounded('rmse', 4)} AS recent_rmse, n FROM ({model_sql(f'SELECT * FROM ({SERIES}) WHERE day >= {TEST_FROM}', ['series_id'], TimeModel(TEST_FROM), 12)})")
+def recent_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return r(diagnostics.recent_rates(series(spark, sf), ["series_id"], TEST_FROM), 4)
+
+
 @query(
     f"WITH {RATE_CTE.format(n='rates', source=SERIES)}, {RATE_CTE.format(n='heads', source=HEADS)}, j AS (SELECT a.rate AS a, b.rate AS b FROM rates a JOIN heads b USING (series_id, year1)), k AS (SELECT *, CASE WHEN a > 5 THEN 3 WHEN abs(a) <= 5 THEN 2 ELSE 1 END AS x, CASE WHEN b > 5 THEN 3 WHEN abs(b) <= 5 THEN 2 ELSE 1 END AS y FROM j) "
     f"SELECT count(*) AS n, {rounded('corr(a, b)')} AS pearson_r, {rounded('avg(CASE WHEN x = y THEN 1.0 ELSE 0.0 END)')} AS state_agreement, {rounded('avg(CASE WHEN x = 1 THEN CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END END)')} AS confirmed_subsidence, {rounded('median(b - a)')} AS median_difference FROM k"

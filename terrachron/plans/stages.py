@@ -69,6 +69,12 @@ def prepare_insar(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
     else:
         area, ux, uy = F.lit(geo.projected_area(g.affine)), F.col("x") / 1000, F.col("y") / 1000
     rings = tables.read_polygons(spark, cfg.resolve(s["domain"])) if s.get("domain") else None
+    if rings and not g.geographic:  # outlines come in degrees
+        zone, south = zone_of(cfg)
+        corners = spark.createDataFrame([(i, j, float(lon), float(lat)) for i, ring in enumerate(rings) for j, (lon, lat) in enumerate(ring)], "i int, j int, lon double, lat double")
+        px, py = geo.utm(F.col("lon"), F.col("lat"), zone, south)
+        moved = corners.select("i", "j", px.alias("x"), py.alias("y")).orderBy("i", "j").collect()
+        rings = [[(r["x"], r["y"]) for r in moved if r["i"] == i] for i in range(len(rings))]
     rows = spatial.clip(rows, rings) if rings else rows.withColumn("in_domain", F.lit(True))
     cfg.write(rows.withColumns({"area": area, "ux": ux, "uy": uy}), "insar/pixels")
     row = cfg.read(spark, "insar/stack").agg(F.count_distinct("day").alias("n"), F.min("day").alias("a"), F.max("day").alias("b")).first()

@@ -310,3 +310,20 @@ def test_sources(spark, tmp_path):
     assert len(tables.read_polygons(spark, str(tmp_path / "p.json"))[0]) == 4
     (tmp_path / "s.json").write_text('{"lag_days": 12.5}')
     assert tables.read_scalar(spark, str(tmp_path / "s.json"), "lag_days") == 12.5
+
+
+def test_packed_holdout_and_verdict(spark):
+    days = list(range(17600, 17600 + 800, 10))
+    model = TimeModel(days[0], 1)
+    rng = np.random.default_rng(3)
+    Y = model.matrix(days) @ np.array([1, 2, 3, 4.0]) + rng.normal(size=(4, 80))
+    Y[1, 5:9] = Y[2, 70] = np.nan
+    packed = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in y]) for i, y in enumerate(Y)], "k long, s array<double>")
+    long = spark.createDataFrame([(i, d, None if np.isnan(v) else float(v)) for i, y in enumerate(Y) for d, v in zip(days, y, strict=True)], "k long, day int, value double")
+    a = {r["k"]: (r["n_test"], r["rmse"]) for r in lsq.packed_holdout(packed, "k", "s", days, model, days[60]).collect()}
+    b = {r["k"]: (r["m_n_test"], r["m_rmse"]) for r in diagnostics.holdout(long, ["k"], {"m": model}, days[60], days[-1]).collect()}
+    assert {k: n for k, (n, _) in a.items()} == {k: n for k, (n, _) in b.items()}
+    assert all(a[k][1] == pytest.approx(b[k][1], abs=1e-9) for k in a)
+    one = lambda text, *rows: spark.createDataFrame(list(rows), text)
+    got = diagnostics.assess(one("pearson_r double, median_difference double", (0.95, 1.0), (0.8, 9.0)), one("shift_from_full double", (2.0,), (-4.0,)), one("plane_r2 double", (0.1,)), one("r double", (0.1,)), one("rank_recent int, scene_artifact_score double", (1, 9.0))).first()
+    assert (got["real"], got["artifact"], got["verdict"]) == (3, 0, "persistent_signal")
