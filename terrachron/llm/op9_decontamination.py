@@ -79,9 +79,9 @@ def index(df: DataFrame, terms: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def ranked(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """``terms`` with rank: 1 for the window's rarest term. Windows with a term without postings are left out."""
-    counts = postings.groupBy("term").agg(F.count("*").alias("postings"))
+    counts = stored(postings.groupBy("term").agg(F.count("*").alias("postings")), "counts")
     by = Window.partitionBy("window")
-    joined = terms.join(counts, "term", "left").withColumn("__least", F.min(F.coalesce("postings", F.lit(0))).over(by)).where("__least > 0")
+    joined = terms.join(small(counts), "term", "left").withColumn("__least", F.min(F.coalesce("postings", F.lit(0))).over(by)).where("__least > 0")
     return joined.withColumn("rank", F.row_number().over(by.orderBy("postings", "term", "offset"))).drop("__least")
 
 
