@@ -511,12 +511,12 @@ STATE_ROWS = f"WITH {RATE_CTE.format(n='rates', source=SERIES)}, {RATE_CTE.forma
 @query(
     STATE_ROWS
     + ", g AS (SELECT CASE WHEN grouping(year1) = 1 THEN 'all' ELSE 'interval' END AS scope, year1, actual, predicted, count(*) AS count FROM s GROUP BY GROUPING SETS ((actual, predicted), (year1, actual, predicted))) "
-    + f"SELECT *, CAST(sum(count) OVER w AS BIGINT) AS actual_count, {rounded('count / sum(count) OVER w')} AS fraction_of_actual FROM g WINDOW w AS (PARTITION BY scope, year1, actual)"
+    + f"SELECT scope, coalesce(year1, 0) AS year1, actual, predicted, count, CAST(sum(count) OVER w AS BIGINT) AS actual_count, {rounded('count / sum(count) OVER w')} AS fraction_of_actual FROM g WINDOW w AS (PARTITION BY scope, year1, actual)"
 )
 def confusion_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     a, b = yearly_rates(series(spark, sf)).withColumnRenamed("rate", "a"), yearly_rates(heads(spark, sf)).withColumnRenamed("rate", "b")
     s = a.join(b, ["series_id", "year1"]).select("year1", classes.groundwater_state(F.col("a"), 5.0, 5.0).alias("actual"), classes.groundwater_state(F.col("b")).alias("predicted"))
-    return r(trajectories.confusion(s, "actual", "predicted", ["year1"]))
+    return r(trajectories.confusion(s, "actual", "predicted", ["year1"]).na.fill({"year1": 0}))
 
 
 @query(METRICS + f", g AS (SELECT s, c, {deformation_sql('early_rate', 'late_rate', 'rate_change', 's', 'c')} AS class_id, count(*) AS pixel_count FROM m, (VALUES (3.0), (5.0), (10.0)) a(s), (VALUES (3.0), (5.0), (10.0)) b(c) GROUP BY ALL) SELECT CAST(s AS DOUBLE) AS stable_rate, CAST(c AS DOUBLE) AS meaningful_rate_change, class_id, pixel_count, {rounded('pixel_count / sum(pixel_count) OVER (PARTITION BY s, c)')} AS fraction FROM g")
@@ -776,9 +776,9 @@ def set_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("k")).intersect(table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_except(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, sf, "orders").select("o_custkey").distinct()).distinct()
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, sf, "orders").where("o_totalprice > 300000").select("o_custkey").distinct()).distinct()
 
 
 @query("SELECT l_suppkey AS id, 'zero' AS reason, CAST(NULL AS DOUBLE) AS value FROM lineitem WHERE l_discount = 0 UNION ALL SELECT l_suppkey, 'high', l_extendedprice FROM lineitem WHERE l_extendedprice > 90000")
