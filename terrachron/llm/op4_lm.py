@@ -141,15 +141,22 @@ def shard_of(words: np.ndarray, before: np.ndarray | None, frequent: np.ndarray,
     return ((mixed * MIX) >> np.uint64(33)).astype(np.int64) % shards
 
 
-def unigram_totals(slim: DataFrame, shards: int) -> tuple[int, int, int, dict[int, int]]:
-    """Training tokens, distinct training tokens, training documents, and the frequent words' hashes with their counts."""
+def unigram_totals(slim: DataFrame, shards: int, size: int) -> tuple[int, int, int, dict[int, int]]:
+    """Training tokens, distinct training tokens, training documents, and the frequent words' hashes with their counts.
+
+    A shard sends the words that are frequent if tokens have 64 of the ``size`` bytes each, some dozens on average;
+    which of them are is decided by the true number of tokens.
+    """
+    least = max(1.0, FREQUENT * size / 64 / shards)
     schema = pa.schema([("shard", pa.int32()), ("words", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             words, counts = chunk.unigrams()
             shard = shard_of(words, None, words, shards)
-            found = [(s, squeeze(words[at], counts[at].astype("<u4"))) for s in range(shards) if len(at := np.flatnonzero(shard == s))]
+            order = np.argsort(shard, kind="stable")
+            first = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1])) if len(order) else []
+            found = [(int(shard[at[0]]), squeeze(words[at], counts[at].astype("<u4"))) for at in np.split(order, first[1:]) if len(at)]
             if found:
                 s, blobs = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
@@ -160,8 +167,7 @@ def unigram_totals(slim: DataFrame, shards: int) -> tuple[int, int, int, dict[in
         parts = [spread(b, 2) for b in group["words"]]
         words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         counts = np.bincount(place, np.concatenate([p[1] for p in parts])).astype(np.int64)
-        # the shards are of about equal sizes, so this keeps whatever is frequent among all tokens
-        top = np.flatnonzero(counts >= max(1, FREQUENT * counts.sum() / shards / 2))
+        top = np.flatnonzero(counts >= least)
         top = top[np.argsort(-counts[top], kind="stable")]
         ends = counts[words == end]
         return pd.DataFrame([{"tokens": int(counts.sum()), "words": len(words), "documents": int(ends.sum()), "top": words[top].astype(np.int64).tolist(), "top_counts": counts[top].tolist()}])
@@ -224,7 +230,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modu
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"))
     size = df.agg(F.sum(F.octet_length(text_of(text_col))).alias("n")).first()["n"] or 0
     shards = max(LEAST_SHARDS, ceil(size / SHARD_BYTES))
-    tokens, distinct, documents, frequent = unigram_totals(slim, shards)
+    tokens, distinct, documents, frequent = unigram_totals(slim, shards, size)
     total = tokens + 0.5 * (distinct + 1)
     strength = STRENGTH / max(1, tokens)
     hot = np.array(sorted(frequent), np.uint64)
@@ -241,20 +247,20 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modu
             ids, outs, lengths = zip(*chunk.docs, strict=True)
             docs = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(outs), pa.array(lengths, pa.int64())], names=["doc_id", "held_out", "n_tokens"]).serialize().to_pybytes()
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
+            dealt = shard[order]
             number_of, rows = np.zeros(len(own), np.int64), []
-            for s in range(shards):
-                at = order[ends[s] : ends[s + 1]]
-                if not len(at) and s:
-                    continue
+            for at in np.split(order, np.flatnonzero(dealt[1:] != dealt[:-1]) + 1):
                 w = word[at]
-                first = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
-                seen = np.zeros(len(own), bool)
-                seen[before[at]] = True
-                few = np.flatnonzero(seen)
+                first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                if 16 * len(at) > len(own):  # marking all of the chunk's words is cheaper than sorting these
+                    seen = np.zeros(len(own), bool)
+                    seen[before[at]] = True
+                    few = np.flatnonzero(seen)
+                else:
+                    few = np.unique(before[at])
                 number_of[few] = np.arange(len(few))
                 blob = squeeze(own[w[first]], np.diff(np.append(first, len(w))).astype("<u4"), own[few] >> np.uint64(64 - PREFIX_BITS), number_of[before[at]].astype("<u4"), doc[at].astype("<u2"), n[at].astype("<u4"), learned)
-                rows.append((s, task + number, blob, docs if s == 0 else None))
+                rows.append((int(shard[at[0]]), task + number, blob, None if rows else docs))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def score_group(group: pd.DataFrame) -> pd.DataFrame:
