@@ -13,6 +13,8 @@ from terrachron.operators import calendar, diagnostics, lsq, models, pairing, pr
 
 from terrachron.plans.sql import DAY, HEADS, SERIES, aicc_sql, bic_sql, deformation_sql, fit_sql, harmonics_sql, model_sql, rounded, state_sql
 
+#: Counts of days and years, which are 64-bit in the oracles.
+LONGS = ("day", "year1", "year2", "anniversary_offset_days", "elapsed_days", "recent_declines")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Days: 1995-01-01, 2000-01-01, 2001-01-01.
@@ -27,7 +29,9 @@ def query(oracle: str | None = None, dates: str = "") -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf: str) -> DataFrame:
             out = f(spark, sf)
-            return out.select(*(F.col(f"`{c}`").cast("string").alias(c) if c in dates.split() else F.col(f"`{c}`") for c in out.columns))
+            kinds = dict(out.dtypes)
+            cast = {c: "string" for c in dates.split()} | {c: "bigint" for c in LONGS if kinds.get(c) == "int"}
+            return out.select(*(F.col(f"`{c}`").cast(cast[c]).alias(c) if c in cast else F.col(f"`{c}`") for c in out.columns))
 
         QUERIES[f.__name__] = run
         if oracle:
@@ -296,7 +300,7 @@ def common_epochs(spark: SparkSession, sf: str) -> DataFrame:
 TARGETS = ", ".join(f"({9131 + 100 * i})" for i in range(25))
 
 
-@query(f"SELECT series_id, target, arg_min(day, {{'gap': abs(day - target), 'day': day}}) AS day, min(abs(day - target)) AS gap FROM ({SERIES}), (VALUES {TARGETS}) t(target) GROUP BY ALL")
+@query(f"SELECT series_id, CAST(target AS BIGINT) AS target, arg_min(day, {{'gap': abs(day - target), 'day': day}}) AS day, min(abs(day - target)) AS gap FROM ({SERIES}), (VALUES {TARGETS}) t(target) GROUP BY ALL")
 def nearest_epoch(spark: SparkSession, sf: str) -> DataFrame:
     s = series(spark, sf).select("series_id", F.col("day").cast("long").alias("day"))
     targets = s.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(9131).cast("long"), F.lit(9131 + 2400).cast("long"), F.lit(100).cast("long"))).alias("target"))
