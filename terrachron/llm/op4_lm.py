@@ -35,7 +35,7 @@ from terrachron.llm.elias_fano import PREFIX_BITS, Trie
 
 STRENGTH = 500.0
 #: Bounds: tokens and documents of a chunk, text bytes a shard should hold, least shards; a word is frequent at this part of a shard.
-CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, LEAST_SHARDS, FREQUENT = 2_000_000, 60_000, 24 << 20, 16, 0.25
+CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, LEAST_SHARDS, FREQUENT = 2_000_000, 60_000, 12 << 20, 16, 0.25
 START, END = b" <s>", b" </s>"  # with a blank, no word is like them
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,10 +184,10 @@ def score_shard(blobs: list[bytes], frequent: dict[int, int], strength: float, t
     words = np.unique(np.concatenate([p[0] for p in parts]))
     end = hashes_of([END])[0]
     index, key, train = [], [], []
-    for own, runs, before, which, doc, n, learned in parts:
+    for own, runs, low, high, doc, _, learned in parts:
         i = np.repeat(np.searchsorted(words, own), runs)
         index.append(i)
-        key.append(i.astype(np.uint64) << np.uint64(PREFIX_BITS) | before.astype(np.uint64)[which])
+        key.append(i.astype(np.uint64) << np.uint64(PREFIX_BITS) | high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64))
         train.append(np.unpackbits(learned.view(np.uint8))[doc] > 0)
     keys, times, learned = np.concatenate(key), np.concatenate([p[5] for p in parts]), np.concatenate(train)
     counts = np.bincount(np.concatenate(index)[learned], times[learned], minlength=len(words)).astype(np.int64)
@@ -209,7 +209,7 @@ def score_shard(blobs: list[bytes], frequent: dict[int, int], strength: float, t
     with tempfile.TemporaryFile() as file:  # it has no name and goes with the task
         Trie.build(words[known], counts[known], dense, logs).write(file)
         trie = Trie.open(file)
-        for (own, runs, before, which, doc, n, _), own_key in zip(parts, key, strict=True):
+        for (own, runs, _, _, doc, n, _), own_key in zip(parts, key, strict=True):
             count, met, weight = trie.find(np.repeat(own, runs), own_key & np.uint64((1 << PREFIX_BITS) - 1))
             value = np.where(met, weight, np.log10(strength * (count + 0.5)))
             history = np.where(np.repeat(own == end, runs), 0.0, np.log10(count + strength * total))
@@ -248,18 +248,12 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modu
             docs = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(outs), pa.array(lengths, pa.int64())], names=["doc_id", "held_out", "n_tokens"]).serialize().to_pybytes()
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
             dealt = shard[order]
-            number_of, rows = np.zeros(len(own), np.int64), []
+            rows = []
             for at in np.split(order, np.flatnonzero(dealt[1:] != dealt[:-1]) + 1):
                 w = word[at]
                 first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                if 16 * len(at) > len(own):  # marking all of the chunk's words is cheaper than sorting these
-                    seen = np.zeros(len(own), bool)
-                    seen[before[at]] = True
-                    few = np.flatnonzero(seen)
-                else:
-                    few = np.unique(before[at])
-                number_of[few] = np.arange(len(few))
-                blob = squeeze(own[w[first]], np.diff(np.append(first, len(w))).astype("<u4"), own[few] >> np.uint64(64 - PREFIX_BITS), number_of[before[at]].astype("<u4"), doc[at].astype("<u2"), n[at].astype("<u4"), learned)
+                context = own[before[at]] >> np.uint64(64 - PREFIX_BITS)
+                blob = squeeze(own[w[first]], np.diff(np.append(first, len(w))).astype("<u4"), context.astype("<u4"), (context >> np.uint64(32)).astype("u1"), doc[at].astype("<u2"), n[at].astype("<u4"), learned)
                 rows.append((int(shard[at[0]]), task + number, blob, None if rows else docs))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
