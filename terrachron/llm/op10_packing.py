@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from terrachron.llm.common import by_bytes, prepare, stored
 from terrachron.llm.pretokens import ids_of, word_level
 
-STEP, MOST_KNOWN, SALT_ROWS = 8, 600_000, 20_000
+STEP, MOST_KNOWN, SALT_ROWS = 8, 400_000, 20_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bin", pa.int32())])
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from terrachron.llm.common import by_bytes, prepare
 from terrachron.llm.pretokens import byte_level, ids_of
 
-MOST_KNOWN = 500_000
+MOST_KNOWN = 400_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
