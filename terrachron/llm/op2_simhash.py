@@ -10,7 +10,7 @@ pairs. Shards above ``BLOCK`` points are dealt out by pairs of blocks. Component
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 from math import ceil, log2
@@ -206,13 +206,15 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """``df`` without near-duplicates, all columns kept: of each component the row with its smallest id stays.
 
+    ``groups`` gives the doc_id and component_id of each row: by fingerprints, or ``near_copies`` by similarity.
+
     Of rows that share that very id one stays. Rows without an id stay. Only the ids that go meet the texts again;
     they are broadcast if they are counted at no more than ``BROADCAST_IDS``, else joined by shuffle.
     """
-    found = stored(near_duplicates(df, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "found")
+    found = stored(groups(df, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "found")
     smallest = F.col("doc_id") == F.col("component_id")
     go = found.where(~smallest).select(F.col("doc_id").alias("__id")).distinct()
     again = found.where(smallest).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")

@@ -40,3 +40,37 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == sets[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([4, 5, 60, 150]))) for _ in range(60)]
+    common = " ".join(rng.choices(words, k=30))
+    for i in range(60):
+        own = texts[i].split()
+        for changed in (1, 2, 3, 5):
+            copy = list(own)
+            for at in rng.sample(range(len(own)), min(changed, len(own))):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+        texts.append(texts[i].upper() if i % 2 else common + " " + texts[i])
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    near = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                near += a != sets[j]
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert near > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
