@@ -64,6 +64,11 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash that tells rows of one id apart by their text."""
+    return F.xxhash64(text)
+
+
 def arrow_rows(kernel: Callable[[dict], Iterable[dict] | None], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """An Arrow kernel from a function on a batch's columns (lists) that returns the output columns."""
 

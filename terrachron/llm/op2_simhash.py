@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrachron.llm.common import by_bytes, prepare, stored
+from terrachron.llm.common import by_bytes, prepare, stored, text_key
 from terrachron.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 2
@@ -48,15 +48,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp of each row."""
+    """doc_id, text_key and fp of each row."""
     prepare(df.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t) for t in batch.column(2).to_pylist()], pa.int64())], schema=schema)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def distance(points: np.ndarray, one: np.int64) -> np.ndarray:
@@ -188,6 +188,18 @@ def near_links(points: DataFrame) -> DataFrame:
     return shards(sizes, keys).groupBy("shard").applyInPandas(connect, "u long, v long")
 
 
+def grouped(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, fp, root (the component's smallest fingerprint) and component_id of each row."""
+    prepare(df.sparkSession)
+    prints = stored(fingerprints(df, id_col=id_col, text_col=text_col), "prints")
+    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    roots = components(near_links(points)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    rooted = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(rooted.join(ids, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(named, "fp", "left").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row.
 
@@ -196,29 +208,26 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     get their component's smallest id, or null where it has none. Repeated rows each give a row; an empty table gives
     an empty one. Other columns of ``df`` are not read.
     """
-    prepare(df.sparkSession)
-    prints = stored(fingerprints(df, id_col=id_col, text_col=text_col), "prints")
-    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = components(near_links(points)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(ids, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(df, id_col=id_col, text_col=text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = grouped) -> DataFrame:
     """``df`` without near-duplicates, all columns kept: of each component the row with its smallest id stays.
 
-    ``groups`` gives the doc_id and component_id of each row: by fingerprints, or ``near_copies`` by similarity.
-
-    Of rows that share that very id one stays. Rows without an id stay. Only the ids that go meet the texts again;
-    they are broadcast if they are counted at no more than ``BROADCAST_IDS``, else joined by shuffle.
+    ``groups`` gives the doc_id, text_key, root and component_id of each row: by fingerprints, or ``near_copies`` by
+    similarity. Rows are told apart by id and text, so unlinked texts that share an id all stay. Of linked rows that
+    share the smallest id one stays, that of the smallest text_key. Rows without an id stay. Only the ids and keys that
+    go meet the texts again; they are broadcast if they are counted at no more than ``BROADCAST_IDS``, else shuffled.
     """
-    found = stored(groups(df, id_col=id_col, text_col=text_col).select("doc_id", "component_id"), "found")
+    found = stored(groups(df, id_col=id_col, text_col=text_col).select("doc_id", "text_key", "root", "component_id"), "found")
     smallest = F.col("doc_id") == F.col("component_id")
-    go = found.where(~smallest).select(F.col("doc_id").alias("__id")).distinct()
-    again = found.where(smallest).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
-    same = F.col(id_col).cast("long") == F.col("__id")
-    go, again = (F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids for ids in (go, again))
+    heads = found.where(smallest).groupBy("root", "doc_id").agg(F.sort_array(F.collect_set("text_key")).alias("keys"))
+    named = lambda rows, key: rows.select(F.col("doc_id").alias("__id"), F.col(key).alias("__key"))
+    others = heads.where(F.size("keys") > 1).select("doc_id", F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("text_key"))
+    go = named(found.where(~smallest), "text_key").unionByName(named(others, "text_key")).distinct()
+    again = found.where(smallest).groupBy("doc_id", "text_key").agg(F.count("*").alias("__n")).where("__n > 1")
+    same = (F.col(id_col).cast("long") == F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key"))
+    go, again = (F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids for ids in (go, named(again, "text_key")))
     kept = df.join(go, same, "left_anti")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col]))
+    twice = kept.join(again, same, "left_semi").withColumn("__key", text_key(F.col(text_col))).dropDuplicates([id_col, "__key"]).drop("__key")
+    return kept.join(again, same, "left_anti").unionByName(twice)

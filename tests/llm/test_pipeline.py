@@ -74,3 +74,13 @@ def test_near_duplicates_takes_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 999)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, d), (3, d.upper()), (None, a), (7, None), (7, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for kept in (op2_simhash.keep_one(docs), corpus_pipeline.near_duplicates(spark, docs, "")):
+        got = [tuple(r) for r in kept.collect()]
+        assert sorted((i or 0, (t or "").lower()) for i, t in got) == sorted([(1, a), (1, b), (2, c), (3, d), (0, a), (7, "")])
