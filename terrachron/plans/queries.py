@@ -829,10 +829,10 @@ def regime_kmeans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def field_model_cv(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly medians of at most 200 suppliers as wells: candidates of rank, sigma and ridge by cross-validation."""
+    """Monthly medians of all suppliers as wells: candidates of rank, sigma and ridge by cross-validation."""
     import numpy as np
 
-    monthly = heads(spark, sf).where("series_id <= 200").groupBy("series_id", F.floor(F.col("day") / 30).alias("m")).agg(F.median("value").alias("v")).toPandas()
+    monthly = heads(spark, sf).groupBy("series_id", F.floor(F.col("day") / 30).alias("m")).agg(F.median("value").alias("v")).toPandas()
     wide = monthly.pivot(index="series_id", columns="m", values="v").sort_index()
     xy = np.column_stack([wide.index % 10 * 5.0, wide.index // 10 * 5.0])
     return models.rank_field_models(models.field_cv(table(spark, sf, "supplier"), xy, wide.to_numpy(float), wide.columns.to_numpy(float) * 30, ranks=[2, 3], sigmas=[10.0], ridges=[0.01, 0.1], block=15.0))
