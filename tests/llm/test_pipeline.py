@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from terrachron.llm import op2_simhash
+from terrachron.llm import near_copies, op2_simhash
 from tests.llm.test_operators import brute_contamination
 
 
@@ -84,3 +84,11 @@ def test_rows_that_share_an_id_are_told_apart_by_text(spark):
     for kept in (op2_simhash.keep_one(docs), corpus_pipeline.near_duplicates(spark, docs, "")):
         got = [tuple(r) for r in kept.collect()]
         assert sorted((i or 0, (t or "").lower()) for i, t in got) == sorted([(1, a), (1, b), (2, c), (3, d), (0, a), (7, "")])
+
+
+def test_large_chains_lose_no_pair(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(n, " ".join(words[: n + 4])) for n in range(4, 200)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_copies, "TOGETHER", 1)
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert found == {n: 4 for n in range(4, 200)}
