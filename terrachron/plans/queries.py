@@ -832,7 +832,7 @@ def head_change_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def regime_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    clustered, _ = models.regimes(metrics(spark, sf).dropna(), ["early_rate", "late_rate"], ks=range(2, 4), starts=1)
+    clustered, _ = models.regimes(metrics(spark, sf).dropna(), ["early_rate", "late_rate"])
     return models.cluster_summary(clustered, ["early_rate", "late_rate"])
 
 
