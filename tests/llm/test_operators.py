@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -210,22 +211,75 @@ def test_html(spark):
     assert op5_html.extract(df.limit(0)).count() == 0
 
 
-def test_common_lines():
-    def length(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            prev = 0
-            for j, y in enumerate(b):
-                prev, row[j + 1] = row[j + 1], prev + 1 if x == y else max(row[j + 1], row[j])
-        return row[-1]
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        prev = 0
+        for j, y in enumerate(b):
+            prev, row[j + 1] = row[j + 1], prev + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
 
+def test_common_lines():
     rng = random.Random(2)
-    for _ in range(200):
+    for k in range(300):
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
-        found = sorted(op5_html.shared(a, b))
-        assert len(found) == length(a, b)
+        found = sorted(op5_html.shared(a, b, most=20 if k % 2 else op5_html.TABLE_BITS))  # 20 bits: halves
+        assert len(found) == common_length(a, b)
         at = iter(b)
         assert all(a[i] in at for i in found)
+    start = time.monotonic()
+    assert len(op5_html.shared(["x"] * 20_000, ["x", "y"] * 10_000)) == 10_000
+    assert time.monotonic() - start < 20
+
+
+def test_html_against_brute_force(spark):
+    """Hosts of pages without an article: lines that a longest common subsequence with the nearest URL shares go, whatever the ranges."""
+    rng = random.Random(5)
+    pages = []
+    for i in range(120):
+        host = rng.choice(["a.org", "a.org", "b.org", "c.org/x"])
+        blocks = [rng.choice(["top bar", "site map", "terms"]) for _ in range(rng.randint(0, 4))] + [f"story {rng.randint(0, 9)}" for _ in range(rng.randint(1, 5))] + ["imprint"]
+        pages.append((i, f"http://{host}/{rng.randint(0, 60)}", blocks))
+    key = lambda p: (p[1][7:].split("/")[0], p[1][7:], p[1], p[0])
+    ordered, want = sorted(pages, key=key), {}
+    for i, p in enumerate(ordered):
+        near = next((ordered[j] for j in (i - 1, i + 1) if 0 <= j < len(ordered) and key(ordered[j])[0] == key(p)[0]), None)
+        best = common_length(p[2], near[2]) if near else 0
+        want[p[0]] = (len(p[2]) - best, near)
+    df = spark.createDataFrame([(i, u, "<body>" + "".join(f"<p>{b}</p>" for b in bs) + "</body>") for i, u, bs in pages], "page_id long, url string, html string")
+    results = []
+    for parts in (1, 4, 60):
+        got = {r["page_id"]: r["text"] for r in op5_html.extract(df, partitions=parts).collect()}
+        assert len(got) == len(pages)
+        results.append(got)
+    assert results[0] == results[1] == results[2]
+    changed = 0
+    for i, _, bs in pages:
+        lines = results[0][i].split("\n\n") if results[0][i] else []
+        left, near = want[i]
+        if len(lines) == len(bs):  # nothing shared, or a copy of its neighbour
+            gone = near and common_length(bs, near[2])
+            assert not gone or sum(map(len, bs)) * op5_html.COPY <= sum(sorted(map(len, bs))[-gone:])
+        else:
+            changed += 1
+            assert len(lines) == left
+            rest = iter(bs)
+            assert all(x in rest for x in lines)
+    assert changed > 80
+
+
+def test_html_parts():
+    """What the markup decides: names inside and outside an article, many equal lines, very long pages."""
+    text = lambda page, other=None: op5_html.main_text(op5_html.lines_of(page), op5_html.lines_of(other) if other else None)
+    inner = '<p class="share-price">Up 3</p><div class="search-results">Found</div><p>A <span class="related">span</span></p>'
+    assert text(f'<div class="menu-bar">Menu</div><article>{inner}<div class="ad">Buy</div><section class="comments"><p>First</p></section><nav>Next</nav></article><p>Outside</p>') == "Up 3\n\nFound\n\nA span"
+    assert text(f"<article>{inner}</article>", f"<article>{inner}<p>More of a longer text than that</p></article>") == "Up 3\n\nFound\n\nA span"
+    assert text("<div>Bar</div><p>Own words that no other page has</p>", "<div>Bar</div><p>Others</p>") == "Own words that no other page has"
+    long = "<ul>" + "<li>same" * 30_000 + "</ul><p>own</p>"
+    assert text(long, "<ul>" + "<li>same" * 100 + "</ul>").count("same") == 29_900
+    assert len(text("<article><p>" + "word " * 2_000_000 + "</article>")) == 9_999_999
+    assert text("") == "" and text("<article></article>") == ""
 
 
 def test_toxicity(spark):
