@@ -1,8 +1,10 @@
 """GIF columns: LZW code streams, palettes, disposal and transparency; timed frames with colour histograms.
 
 ``decode`` reads any GIF87a or GIF89a; ``decode_gifs`` makes a row for each frame of a binary column. ``store_texts``
-writes bytes as the samples of 64-pixel rows of 8-bit frames, reads them back from the stored form and derives the
-columns from what it read. Codes are packed and unpacked by numpy; only dictionary strings are followed one by one.
+writes bytes as the samples of 64-pixel rows of 8-bit frames, decodes the stored form again, frames composed with
+palette, disposal and transparency, and derives all columns from that: the payload from the samples, timed frames and
+their colour histograms from the composed canvases. Codes are packed and unpacked by numpy; only dictionary strings
+are followed one by one.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from terrachron.llm.common import by_bytes, prepare
 
 WIDTH, MOST_ROWS, DELAY_CS, MOST_CODES = 64, 65_535, 10, 4096
+#: Pixels of a picture or frame (256 MB of RGBA) beyond which it counts as broken: headers can ask for 17 GB.
+MOST_PIXELS = 1 << 26
+#: The stored form's palette: three bits each of red and green, two of blue, so that samples are parted by colour.
+PALETTE = bytes(v for i in range(256) for v in (i & 0xE0, i << 3 & 0xE0, i << 6 & 0xC0))
 
 
 @lru_cache
@@ -109,10 +115,12 @@ def lzw_decode(data: bytes, size: int, most: int | None = None) -> bytes:
     so strings are chains of earlier codes: their first samples and lengths are found by pointer jumping, and all
     strings are then written from their last samples backwards, one sample of each at a time.
     """
+    if not 1 <= size <= 8:
+        raise ValueError("a minimum code size beyond 8 bits")
     codes, begins = read_codes(data, size, most)
     first, n = (1 << size) + 2, len(codes)
     parent = np.where(codes < first, np.arange(n), begins + codes - first)
-    if (parent > np.maximum(np.arange(n) - 1, 0))[codes >= first].any():
+    if (parent >= np.arange(n))[codes >= first].any():
         raise ValueError("a code beyond the table")
     root, length = parent.copy(), (codes >= first).astype(np.int64)
     while not np.array_equal(up := root[root], root):
@@ -154,7 +162,7 @@ def blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def decode(data: bytes, compose: bool = True) -> Iterator[Frame]:
-    """The frames in order. ``compose`` False leaves the canvas as it was. ValueError: not a GIF, or a broken one."""
+    """The frames in order. ``compose`` False leaves the canvas empty. ValueError: not a GIF, or a broken one."""
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
@@ -162,7 +170,9 @@ def decode(data: bytes, compose: bool = True) -> Iterator[Frame]:
     if flags & 0x80:
         n = 2 << (flags & 7)
         palette, at = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3), at + 3 * n
-    canvas = np.zeros((height, width, 4), np.uint8)
+    if width * height > MOST_PIXELS:
+        raise ValueError("a picture beyond the bound on pixels")
+    canvas = np.zeros((height, width, 4) if compose else (0, 0, 4), np.uint8)
     delay, disposal, transparent, index = 0, 0, None, 0
     while at < len(data) and data[at] != 0x3B:
         kind, at = data[at], at + 1
@@ -175,6 +185,8 @@ def decode(data: bytes, compose: bool = True) -> Iterator[Frame]:
         elif kind == 0x2C:
             left, top, w, h, local = struct.unpack("<HHHHB", data[at : at + 9])
             at += 9
+            if w * h > MOST_PIXELS:
+                raise ValueError("a frame beyond the bound on pixels")
             colours = palette
             if local & 0x80:
                 n = 2 << (local & 7)
@@ -213,20 +225,20 @@ def sub_blocks(stream: bytes) -> bytes:
 
 
 def encode_samples(payload: bytes) -> bytes:
-    """A GIF whose frames hold ``payload`` (a positive multiple of 64 bytes) as grey samples, 64 to a row."""
+    """A GIF whose frames hold ``payload`` (a positive multiple of 64 bytes) as samples, 64 to a row; each frame is cleared away by the next."""
     rows = len(payload) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MOST_ROWS), 0xF7, 0, 0), bytes(v for i in range(256) for v in (i, i, i))]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MOST_ROWS), 0xF7, 0, 0), PALETTE]
     for top in range(0, rows, MOST_ROWS):
         part = payload[top * WIDTH : (top + MOST_ROWS) * WIDTH]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0))
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 2 << 2, DELAY_CS, 0, 0))
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08" + sub_blocks(lzw_encode(part)))
     return b"".join(out) + b"\x3b"
 
 
 def histogram(canvas: np.ndarray) -> list[int]:
     """Opaque pixels of each of 64 colours: two bits each of red, green and blue."""
-    seen = canvas[canvas[..., 3] > 0][:, :3] >> 6
-    return np.bincount(seen[:, 0].astype(np.int64) * 16 + seen[:, 1] * 4 + seen[:, 2], minlength=64).tolist()
+    colour = canvas[..., 0] >> 6 << 4 | canvas[..., 1] >> 6 << 2 | canvas[..., 2] >> 6
+    return np.bincount(np.where(canvas[..., 3] > 0, colour, 64).ravel(), minlength=65)[:64].tolist()
 
 
 FRAMES = "frame int, left int, top int, width int, height int, delay_ms int, start_ms long, disposal int, transparent int, canvas binary, histogram array<long>, error string"
@@ -242,39 +254,46 @@ def decode_gifs(df: DataFrame, *, id_col: str, gif_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.string()), *((n, pa.int32()) for n in names[1:7]), ("start_ms", pa.int64()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("canvas", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
-        for batch in batches:
+        for batch in by_bytes(batches):
             for key, gif in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, start = [], 0
                 try:
                     for f in decode(gif or b""):
                         rows.append((key, f.index, f.left, f.top, f.width, f.height, f.delay_ms, start, f.disposal, f.transparent, f.canvas.tobytes(), histogram(f.canvas), None))
                         start += f.delay_ms
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
                     rows.append((key, *[None] * 11, str(e) or "broken"))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
 
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(gif_col).alias("gif")).mapInArrow(run, "id string, " + FRAMES)
 
 
-STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+FRAME = pa.struct([("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
+STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.list_(FRAME))])
 
 
-def store_text(text: str | None) -> tuple:
-    """What the query returns of one text, after the id; all but n_bytes comes from the stored bytes."""
+def store_text(text: str | None) -> tuple[tuple, bytes]:
+    """What the query returns of one text, after the id, and the stored bytes; all but n_bytes comes from these."""
     raw = (text or "").encode()
     media = encode_samples(raw + b"\0" * (WIDTH - len(raw) % WIDTH if len(raw) % WIDTH or not raw else 0))
-    frames = list(decode(media, compose=False))
-    payload = b"".join(f.samples.tobytes() for f in frames)
-    grey = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)  # the palette is grey: a colour is its sample
-    feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};grey16={','.join(map(str, grey.tolist()))}"
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    size, whole, tail, start, frames, total = 0, hashlib.sha256(), b"", 0, [], np.zeros(64, np.int64)
+    for f in decode(media):
+        part = f.samples.tobytes()
+        whole.update(part)
+        size, tail = size + len(part), part[-WIDTH:]
+        colours = histogram(f.canvas)
+        frames.append({"frame": f.index, "start_ms": start, "delay_ms": f.delay_ms, "height": f.height, "histogram": colours})
+        start, total = start + f.delay_ms, total + colours
+    feature = f"frames={len(frames)};ms={start};rgb64={','.join(map(str, total.tolist()))}"
+    return (len(raw), size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, frames), media
 
 
 def store_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature [, media].
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, frames [, media].
 
-    A null text is empty, and an empty one is 64 zero bytes; null and repeated ids give rows like others; a text over
-    4 MB takes more than one frame; an empty table gives an empty one. Other columns of ``df`` are not read.
+    feature: number of frames, their time and the colour histogram over all of them; frames: place, times and colour
+    histogram of each. A null text is empty, and an empty one is 64 zero bytes; null and repeated ids give rows like
+    others; a text over 4 MB takes more than one frame; an empty table gives an empty one. Other columns are not read.
     """
     prepare(df.sparkSession)
     schema = STORED.append(pa.field("media", pa.binary())) if keep_media else STORED
@@ -283,10 +302,10 @@ def store_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         for batch in by_bytes(batches):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = (key, *store_text(text))
-                raw = (text or "").encode()
-                rows.append((*row, encode_samples(raw + b"\0" * (WIDTH - len(raw) % WIDTH if len(raw) % WIDTH or not raw else 0))) if keep_media else row)
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema=schema)
+                row, media = store_text(text)
+                rows.append((key, *row, media) if keep_media else (key, *row))
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema=schema)
 
-    types = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    types = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<frame: int, start_ms: long, delay_ms: int, height: int, histogram: array<long>>>"
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, types + ", media binary" * keep_media)

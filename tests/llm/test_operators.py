@@ -343,10 +343,24 @@ def test_gif_round_trip(spark):
     rows = op8_gif.store_texts(df, keep_media=True).collect()
     same([tuple(r)[:5] for r in rows], want)
     assert all(r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() for r in rows)
+    texts = defaultdict(list)
+    for i, t in pairs(df):
+        texts[i].append(t)
+    for r in rows:
+        raw = (texts[r["doc_id"]][0] or "").encode()
+        counts = Counter()
+        for b in raw + b"\0" * (r["payload_bytes"] - len(raw)):  # three bits of red, three of green, two of blue; two of each are told apart
+            counts[(b >> 6) * 16 + ((b >> 2 & 7) >> 1) * 4 + (b & 3)] += 1
+        want_colours = [counts[k] for k in range(64)]
+        assert r["feature"] == f"frames=1;ms=100;rgb64={','.join(map(str, want_colours))}"
+        assert [(f["frame"], f["start_ms"], f["delay_ms"], f["height"], f["histogram"]) for f in r["frames"]] == [(0, 0, 100, r["payload_bytes"] // 64, want_colours)]
     assert op8_gif.store_texts(df.limit(0)).count() == 0
     long = bytes(random.Random(1).randrange(256) for _ in range(64 * 70_000 // 64 * 64))
     frames = list(op8_gif.decode(op8_gif.encode_samples(long), compose=False))
     assert len(frames) == 2 and b"".join(f.samples.tobytes() for f in frames) == long
+    row, media = op8_gif.store_text("y" * (64 * 65_535 + 1))
+    assert row[1] == 64 * 65_536 and [sum(f["histogram"]) for f in row[7]] == [64 * 65_535, 64] and row[7][1]["start_ms"] == 100
+    assert media == op8_gif.encode_samples(b"y" * (64 * 65_535 + 1) + b"\0" * 63)
 
 
 def test_lzw_streams():
@@ -371,10 +385,16 @@ def test_gif_frames(spark):
     want = [[red, red, red, red], [green, red, red, red], [none, none, red, blue], [none, none, red, green]]
     got = [[tuple(p) for p in f.canvas.reshape(-1, 4).tolist()] for f in op8_gif.decode(gif)]
     assert got == want
-    df = spark.createDataFrame([("a", gif), ("b", None), ("c", b"GIF89a"), ("d", gif[:60])], "name string, pic binary")
+    wide = b"GIF89a" + b"\xff" * 4 + gif[10:]
+    body = head + b"\x2c" + b"".join(v.to_bytes(2, "little") for v in (0, 0, 2, 2)) + b"\0"
+    broken = [wide, body + b"\xff\x01\x00\x00", body + b"\x0d\x01\x00\x00", body + b"\x02" + op8_gif.sub_blocks(op8_gif.pack_codes(np.array([6, 6, 6]), np.array([3, 3, 3])))]
+    rng = random.Random(9)
+    broken += [bytes(rng.randrange(256) if rng.random() < 0.1 else b for b in gif) + b"!" for _ in range(40)]
+    df = spark.createDataFrame([("a", gif), ("b", None), ("c", b"GIF89a"), ("d", gif[:60]), *((f"d{i}", x) for i, x in enumerate(broken))], "name string, pic binary")
     rows = op8_gif.decode_gifs(df, id_col="name", gif_col="pic").collect()
     assert [r["start_ms"] for r in rows if r["id"] == "a"] == [0, 50, 100, 150]
-    assert {r["id"] for r in rows if r["error"]} == {"b", "c", "d"}
+    assert {r["id"] for r in rows} == {"a", "b", "c", "d", *(f"d{i}" for i in range(len(broken)))}
+    assert {"b", "c", "d", "d0", "d1", "d2", "d3"} <= {r["id"] for r in rows if r["error"]} and not any(r["error"] for r in rows if r["id"] == "a")
     assert next(r for r in rows if r["id"] == "a")["histogram"][48] == 4
 
 
