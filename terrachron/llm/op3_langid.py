@@ -1,17 +1,17 @@
 """Language identification by a blended-spectrum string kernel.
 
-The kernel of two texts is the number of distinct character n-grams (n = 1, 2, 3) that both hold, over the geometric
-mean of their own numbers, on the n-grams of the landmarks. A bounded sample of labelled texts gives landmarks
-(Nystroem) and one-versus-rest kernel ridge regressors. A text's kernel values against the landmarks are a product
-of its presence row with the landmarks' presence matrix, and its scores a product of these with the regressors'
-weights; the two matrices are multiplied once, so a batch of texts is scored by one product. Scoring is one scan:
-nothing is shuffled, and what travels to the tasks has the size of the landmarks' vocabulary.
+The kernel of two texts is the number of distinct character n-grams (n = 1, 2, 3, lower-cased, all characters) that
+both hold, over the geometric mean of their own numbers. A bounded sample of labelled texts gives landmarks (Nystroem)
+and one-versus-rest kernel ridge regressors. A text's kernel values against the landmarks are a product of its
+presence row on the landmarks' n-grams with the landmarks' presence matrix, and its scores a product of these with the
+regressors' weights; the two matrices are multiplied once, so a batch of texts is scored by one product. An n-gram is
+one number without collisions: 21 bits a character. Scoring is one scan: nothing is shuffled, and what travels to the
+tasks has the size of the landmarks' vocabulary.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,68 +21,51 @@ from pyspark.sql import functions as F
 
 from terrachron.llm.common import by_bytes, held_out, prepare
 
-#: Bounds of the fit: sampled texts and landmarks over all languages, and known characters (others share one code).
-SAMPLE, LANDMARKS, ALPHABET = 1600, 256, 127
-BATCH, RIDGE, SHARPNESS = 256, 1e-3, 5.0
+#: Bounds of the fit: sampled texts and landmarks over all languages, and languages (the most frequent ones).
+SAMPLE, LANDMARKS, LANGUAGES = 1600, 256, 500
+BATCH, PIECE, RIDGE, SHARPNESS = 256, 1 << 20, 1e-3, 5.0
+#: Least score of a document that the pipeline's stage keeps.
+LEAST_SCORE = 0.35
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def grams(text: str) -> np.ndarray:
+    """The sorted distinct n-grams (n = 1, 2, 3) of a lower-cased text, as numbers; long texts in pieces."""
+    points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
+    found = []
+    for i in range(0, len(points), PIECE):
+        p = points[i : i + PIECE + 2].astype(np.int64) + 1  # from 1 on, so that n-grams of different lengths differ
+        two = p[:-1] << 21 | p[1:]
+        found.append(np.unique(np.concatenate([p, two, two[:-1] << 21 | p[2:]])))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+
+
 @dataclass
 class Spectrum:
-    """Numbers n-grams: ``codes`` by character, ``tables[n - 1]`` from packed codes to columns, -1 if unknown."""
-
-    codes: dict[str, int]
-    tables: list[np.ndarray]
-    size: int
-
-    def columns(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, column) of every known n-gram's every place."""
-        lower = [t.lower() for t in texts]
-        points = np.frombuffer("\0".join(lower).encode("utf-32-le"), np.uint32)
-        small = np.zeros(0x110000, np.int32)
-        for c, k in self.codes.items():
-            small[ord(c)] = k
-        code = small[points]
-        owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lower])[: len(points)]
-        packed, wide, rows, cols = code, ALPHABET + 1, [], []
-        for n, table in enumerate(self.tables, 1):
-            if n > 1:
-                packed = packed[:-1] * wide + code[n - 1 :]
-            col = table[packed]
-            seen = np.flatnonzero(col >= 0)
-            rows.append(owner[seen])
-            cols.append(col[seen])
-        return np.concatenate(rows), np.concatenate(cols)
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), np.float32)
-        if texts:
-            out[self.columns(texts)] = 1
-        return out
+    """The landmarks' n-grams, sorted."""
+
+    known: np.ndarray
+
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row a text with 1 for each known n-gram it holds, and each text's number of n-grams, known or not."""
+        out, sizes = np.zeros((len(texts), len(self.known)), np.float32), np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            own = grams(text)
+            sizes[i] = len(own)
+            if len(own) and len(self.known):
+                at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+                out[i, at[self.known[at] == own]] = 1
+        return out, sizes
+
+    def kernel(self, texts: list[str], matrix: np.ndarray) -> np.ndarray:
+        """Presence rows, each over the root of its text's number of n-grams, times ``matrix``."""
+        rows, sizes = self.presence(texts)
+        return rows @ matrix / np.sqrt(np.maximum(sizes, 1))[:, None]
 
 
 def spectrum(landmarks: list[str]) -> Spectrum:
-    """The n-grams that occur in the landmarks. Code 0 stands for all other characters and for the ends of texts."""
-    lower = [t.lower() for t in landmarks]
-    frequent = Counter(c for t in lower for c in set(t) if c != "\0").most_common(ALPHABET)
-    codes = {c: i + 1 for i, (c, _) in enumerate(sorted(frequent))}
-    wide, tables, size = ALPHABET + 1, [], 0
-    grams: list[set[int]] = [set(), set(), set()]
-    for t in lower:
-        code = np.array([codes.get(c, 0) for c in t], np.int64)
-        packed = code
-        known = code > 0
-        for n in (1, 2, 3):
-            if n > 1:
-                packed, known = packed[:-1] * wide + code[n - 1 :], known[:-1] & (code[n - 1 :] > 0)
-            grams[n - 1].update(np.unique(packed[known]).tolist())
-    for n in (1, 2, 3):
-        table = np.full(wide**n, -1, np.int32)
-        found = np.array(sorted(grams[n - 1]), np.int64)
-        table[found] = np.arange(size, size + len(found))
-        size += len(found)
-        tables.append(table)
-    return Spectrum(codes, tables, size)
+    """The n-grams that occur in the landmarks."""
+    return Spectrum(np.unique(np.concatenate([np.zeros(0, np.int64), *map(grams, landmarks)])))
 
 
 @dataclass
@@ -93,9 +76,7 @@ class Model:
     intercept: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        rows = self.spectrum.presence(texts)
-        norm = np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-        return rows @ self.weights / norm + self.intercept
+        return self.spectrum.kernel(texts, self.weights) + self.intercept
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> Model:
@@ -105,12 +86,12 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> M
     each = max(2, landmarks // max(1, len(names)))
     marks = [t for n in names for t in by[n][:each]]
     s = spectrum(marks)
-    L = s.presence(marks)
-    L /= np.sqrt(np.maximum(L.sum(axis=1, keepdims=True), 1))
+    L, sizes = s.presence(marks)
+    L /= np.sqrt(np.maximum(sizes, 1)).astype(np.float32)[:, None]
     values, vectors = np.linalg.eigh((L @ L.T).astype(np.float64))
     good = values > 1e-6 * max(values.max(initial=0), 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])
-    K = np.concatenate([(lambda r: (r / np.sqrt(np.maximum(r.sum(axis=1, keepdims=True), 1))) @ L.T)(s.presence(texts[i : i + BATCH])) for i in range(0, len(texts), BATCH)]).astype(np.float64)
+    K = np.concatenate([s.kernel(texts[i : i + BATCH], L.T) for i in range(0, len(texts), BATCH)]).astype(np.float64)
     features = K @ root
     mean = features.mean(axis=0)
     Y = np.array([[1.0 if x == n else -1.0 for n in names] for x in languages])
@@ -122,23 +103,22 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> M
     return Model(names, s, (L.T.astype(np.float64) @ (root @ W)).astype(np.float32), (top - mean @ W).astype(np.float32))
 
 
-def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, sample: int = SAMPLE) -> Model | None:
+def train(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
     """Fit on a sample, by hash of the text and in equal numbers of each language, of the rows that may be learned from.
 
-    At most about 1.5 * ``sample`` texts (or 12 a language) reach the driver, which keeps ``sample`` (8 a language).
-    None if there is no such row.
+    Languages are the ``languages`` most frequent ones. About 1.5 * ``sample`` texts (or 20 a language) reach the
+    driver, repeated ones once, which keeps ``sample`` (8 a language). None if there is no such row.
     """
     spark = prepare(df.sparkSession)
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col), modulus)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return None
     each = max(8, min(400, sample // len(counts)))
     shares = spark.createDataFrame([(k, min(1.0, 1.5 * each / n + 8 / n)) for k, n in counts.items()], "lang string, share double")
-    shares = F.broadcast(shares) if len(counts) <= 10_000 else shares
     order = F.shiftrightunsigned(F.xxhash64(F.lit(3), "text"), 1) / F.lit(float(1 << 63))
-    rows = known.withColumn("at", order).join(shares, "lang").where(F.col("at") < F.col("share")).select("lang", "text", "at").toPandas()
-    rows = rows.drop_duplicates(["lang", "text"]).sort_values(["at", "text", "lang"]).groupby("lang", sort=True).head(each)
+    rows = known.withColumn("at", order).join(F.broadcast(shares), "lang").where(F.col("at") < F.col("share")).select("lang", "text", "at").distinct().toPandas()
+    rows = rows.sort_values(["at", "text", "lang"]).groupby("lang", sort=True).head(each)
     return fit(rows["text"].tolist(), rows["lang"].tolist()) if len(rows) else None
 
 
@@ -177,16 +157,24 @@ def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text
     return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, that get a language: those whose text has a letter, if there is a model."""
+def keep_identified(df: DataFrame, model: Model | None, *, text_col: str = "text", languages: Collection[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text is in one of ``languages`` (None: any that was learned) with a score of ``least`` or more.
+
+    Null and empty texts and texts without a letter are in no language and go. Without a model no language is known,
+    and nothing else goes. Repeated rows are judged alike; null ids and any other columns don't matter.
+    """
     prepare(df.sparkSession)
     at = df.columns.index(text_col)
+    wanted = None if languages is None else frozenset(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2 << 20):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            names = label(texts, model)[0]
-            yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
+            if model:
+                keep = [n != "und" and (wanted is None or n in wanted) and s >= least for n, s in zip(*label(texts, model), strict=True)]
+            else:
+                keep = [has_letter(t) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -10,6 +10,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrachron.llm import op1_tokens, op2_simhash, op3_langid, op4_lm, op5_html, op6_toxicity, op7_sharding, op8_gif, op9_decontamination, op10_packing
 from terrachron.llm.elias_fano import EliasFano
@@ -138,13 +139,55 @@ def test_language_id(spark):
 
 
 def test_kernel_is_the_number_of_shared_grams():
-    marks = ["abcab", "xyz ab"]
+    marks = ["abcab", "xyz ab", "日本\0語 ab"]
     s = op3_langid.spectrum(marks)
     grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
-    P = s.presence(["abxq", "zab", *marks])
-    for i, a in enumerate(["abxq", "zab", *marks]):
+    texts = ["abxq", "zab", "", "a\0b\0\0", "語 aB", *marks]
+    P, sizes = s.presence(texts)
+    K = s.kernel(texts, P[5:].T / np.sqrt(sizes[5:]))
+    for i, a in enumerate(texts):
+        assert sizes[i] == len(grams(a.lower()))
         for j, b in enumerate(marks):
-            assert P[i] @ P[2 + j] == len(grams(a) & grams(b))
+            shared = len(grams(a.lower()) & grams(b))
+            assert P[i] @ P[5 + j] == shared and abs(K[i, j] - shared / np.sqrt(max(1, sizes[i]) * sizes[5 + j])) < 1e-6
+    long = "".join(chr(97 + i * i % 23) for i in range(3 * op3_langid.PIECE + 5))
+    assert len(op3_langid.grams(long)) == len(grams(long))
+
+
+def test_language_regression():
+    """Scores equal kernel ridge regression on exact Nystroem features, written from the formulas."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcde fg" if i % 2 else "fghij ab", k=rng.randint(1, 60))) for i in range(40)]
+    langs = ["x" if i % 2 else "y" for i in range(40)]
+    texts, langs = texts + ["zzz zz", "zz z"], [*langs, "w", "w"]
+    m = op3_langid.fit(texts, langs, landmarks=12)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    k = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(max(1, len(grams(a))) * max(1, len(grams(b))))
+    marks = [t for n in ("w", "x", "y") for t in [t for t, x in zip(texts, langs, strict=True) if x == n][:4]]
+    Z, C = np.array([[k(a, b) for b in marks] for a in marks]), np.array([[k(a, b) for b in marks] for a in texts])
+    Y = np.array([[1.0 if x == n else -1.0 for n in ("w", "x", "y")] for x in langs])
+    share = np.array([1 / langs.count(x) for x in langs])
+    share /= share.mean()
+    D, one = np.diag(share), np.ones((len(texts), 1))
+    top = (share[:, None] * Y).sum(0) / share.sum()
+    X = C - one * C.mean(0)
+    W = np.linalg.solve(X.T @ D @ X + op3_langid.RIDGE * len(X) * Z, X.T @ D @ (Y - top))  # the same minimum in the landmarks' span
+    want = C @ W + top - C.mean(0) @ W
+    assert m.languages == ["w", "x", "y"] and np.abs(m.scores(texts) - want).max() < 1e-3
+
+
+def test_language_stage(spark):
+    """The set of languages, the least score and a missing model decide what stays; clashing columns do not."""
+    df = language_rows(spark).select("*", *(F.lit(1).alias(c) for c in ("lang_pred", "score", "held_out", "share", "at")))
+    model = op3_langid.train(df)
+    found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in op3_langid.identify(df, model).collect()]
+    for languages, least in ((None, 0.35), (("en",), 0.5), (None, 0.97), (("de", "fr"), 0.0), ((), 0.0)):
+        want = [i for i, name, score in found if name != "und" and (languages is None or name in languages) and score >= least]
+        kept = op3_langid.keep_identified(df, model, languages=languages, least=least)
+        assert kept.columns == df.columns
+        same([(r["doc_id"],) for r in kept.collect()], [(i,) for i in want])
+    assert op3_langid.keep_identified(df, None).count() == df.count() - 3
+    same([(r["doc_id"],) for r in op3_langid.language_id(df).collect()], [(i,) for i, _, _ in found])
 
 
 def test_language_model(spark):
