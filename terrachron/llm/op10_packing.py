@@ -170,8 +170,10 @@ def pack(df: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: int
     Every id of every row of ``df`` lies in exactly one piece and every sequence holds at most ``window`` ids. A null
     or empty text is the end id alone; a text longer than the window is cut at its multiples; null and repeated ids
     are packed like others; an empty table gives an empty one. Other columns of ``df`` are not read. ``window`` must
-    be a multiple of 8.
+    be a multiple of 8, else it is a ValueError.
     """
+    if window < STEP or window % STEP:
+        raise ValueError(f"the window must be a multiple of {STEP}")
     spark = prepare(df.sparkSession)
     bins = window // STEP
     cut = stored(pieces(df, tokenizer_path, window=window, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
