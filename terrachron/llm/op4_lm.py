@@ -1,25 +1,24 @@
 """Scoring texts with a bigram model kept in Elias-Fano tries.
 
-P(w | h) = (c(h w) + a (c(w) + 1/2)) / (c(h) + a Z), Z = N + (V + 1) / 2: a bigram model smoothed by the base
-distribution, with a = STRENGTH / N; it sums to one. Its log parts into a sum over words w of log(c(h w) + a (c(w) +
-1/2)), and a sum over histories h of log(c(h) + a Z). Both need counts of one word and of pairs that end in it, so
-tokens are dealt to shards by the hash of the word itself, each with the hash of the word before it, and every shard
-works by itself:
+P(w | h) = (c(h w) + m B(w)) / (c(h) + m), B(w) = (c(w) + 1/2) / Z, Z = N + (V + 1) / 2, m = STRENGTH Z / N: a bigram
+model smoothed by the base distribution; it sums to one. A history's part of it, c(h w) / (c(h) + m), is what a trie
+stores for each word below a history; the rest is m B(w) / (c(h) + m). Pairs are dealt to shards by the hash of their
+history, and every shard works by itself:
 
 1. Distinct words of chunks of documents, with counts, are summed by hash. That gives N, V and the few words that are
-   so frequent that their tokens are dealt by both hashes; only these words and sums reach the driver.
-2. Chunks send each shard its tokens, as compressed columns. A shard makes a trie of the training tokens (words, the
-   words before each, quantised smoothed weights), maps it into memory, looks up all tokens, held-out ones as well,
-   and returns a sum for each document of a chunk.
-3. A chunk's sums are added up.
+   so frequent that pairs after them are dealt by both hashes; only these words and sums reach the driver.
+2. A chunk sends each shard its distinct pairs once, with their counts in training documents, however many documents
+   have them, and passes on which pair each of its tokens is. A shard makes a trie of the training pairs (histories,
+   the words after each, quantised smoothed probabilities), maps it into memory, looks up all pairs of each chunk,
+   held-out ones as well, in the compressed levels, and returns histories' counts and pairs' probabilities.
+3. A chunk turns these into sums over its documents' tokens.
 
 Shards and chunks have bounded sizes, so their number grows with the corpus and nothing else does. Words are told
-apart by 64-bit hashes, the words before them by 40 bits among the neighbours of one word.
+apart by 64-bit hashes, the words after a history by 40 bits.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from math import ceil, log10
 
@@ -31,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrachron.llm.common import by_bytes, held_out, prepare, text_of
-from terrachron.llm.elias_fano import PREFIX_BITS, Trie
+from terrachron.llm.elias_fano import PREFIX_BITS, Trie, probability
 
 STRENGTH = 500.0
 #: Bounds: tokens and documents of a chunk, text bytes a shard should hold, least shards; a word is frequent at this part of a shard.
-CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, LEAST_SHARDS, FREQUENT = 2_000_000, 60_000, 12 << 20, 16, 0.25
+CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, LEAST_SHARDS, FREQUENT = 1_000_000, 60_000, 12 << 20, 16, 0.25
 START, END = b" <s>", b" </s>"  # with a blank, no word is like them
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,18 +105,42 @@ class Chunk:
         by_rank[rank] = counts
         return own[by_rank > 0], by_rank[by_rank > 0]
 
-    def records(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes; and by rank of word, then of the word before, then document: these three and how often they occur."""
+    def pairs(self, shards: int, frequent: np.ndarray) -> tuple[dict[int, bytes], bytes]:
+        """For each shard its histories' hashes and numbers of pairs, and each pair's word and training count; and what add_up needs.
+
+        Pairs are sorted by shard, then history, then word; a run is a history's pairs in a shard.
+        """
         own, rank = self.ranked()
-        keys = []
-        for doc, part in enumerate(self.parts):
-            r = rank[part]
-            keys.append(np.append(r, rank[1]) << 40 | np.concatenate([[rank[0]], r]) << 16 | doc)
-        key = np.sort(np.concatenate(keys).astype(np.uint64))
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        n = np.diff(np.append(first, len(key)))
-        key = key[first]
-        return own, (key >> np.uint64(40)).astype(np.int64), (key >> np.uint64(16) & np.uint64(0xFFFFFF)).astype(np.int64), (key & np.uint64(0xFFFF)).astype(np.int64), n
+        lengths = np.array([d[2] for d in self.docs])
+        ends, end, start = np.cumsum(lengths), rank[1], rank[0]
+        words = np.full(int(ends[-1]), end)
+        words[np.delete(np.arange(len(words)), ends - 1)] = rank[np.concatenate([np.zeros(0, np.int64), *self.parts])]
+        before = np.concatenate([[start], words[:-1]])
+        before[(ends - lengths)] = start
+        key, token = np.unique(before << 32 | words, return_inverse=True)
+        learned = np.repeat(np.array([not d[1] for d in self.docs]), lengths)
+        n = np.bincount(token[learned], minlength=len(key))
+        history, word = key >> 32, key & 0xFFFFFFFF
+        shard = shard_of(own, None, frequent, shards)[history]
+        if len(frequent) and len(at := np.flatnonzero(np.isin(own, frequent)[history])):
+            shard[at] = shard_of(own[history[at]], own[word[at]], frequent, shards)
+        order = np.argsort(shard, kind="stable")
+        shard, history, word, n = shard[order], history[order], word[order], n[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first = np.flatnonzero(np.append(True, (history[1:] != history[:-1]) | (shard[1:] != shard[:-1])))
+        run = np.full(len(own), len(first))  # of a word as a history; the end is none
+        run[history[first][::-1]] = np.arange(len(first))[::-1]
+        child, sizes = own[word] >> np.uint64(64 - PREFIX_BITS), np.diff(np.append(first, len(key)))
+        blobs, cuts = {}, np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            r = slice(*np.searchsorted(first, [a, b]))
+            blobs[int(shard[a])] = squeeze(own[history[first[r]]], sizes[r].astype("<u4"), child[a:b].astype("<u4"), (child[a:b] >> np.uint64(32)).astype("u1"), n[a:b].astype("<u4"))
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        sorted_ = np.sort(doc << 32 | place[token]) & 0xFFFFFFFF  # by document, then pair: their order does not matter
+        steps = np.diff(np.append(0, sorted_))
+        steps[ends - lengths] = sorted_[ends - lengths]
+        return blobs, squeeze(steps.astype("<u4"), run[word].astype("<u4"), sizes.astype("<u4"))
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -178,44 +201,37 @@ def unigram_totals(slim: DataFrame, shards: int, size: int) -> tuple[int, int, i
     return tokens, sum(r["words"] for r in rows), sum(r["documents"] for r in rows), frequent
 
 
-def score_shard(blobs: list[bytes], frequent: dict[int, int], strength: float, total: float) -> list[bytes]:
-    """Each chunk's sums by document, from the shard's tokens of all chunks: (documents, log10 score, base, known)."""
-    parts = [spread(b, 7) for b in blobs]
-    words = np.unique(np.concatenate([p[0] for p in parts]))
-    end = hashes_of([END])[0]
-    index, key, train = [], [], []
-    for own, runs, low, high, doc, _, learned in parts:
-        i = np.repeat(np.searchsorted(words, own), runs)
-        index.append(i)
-        key.append(i.astype(np.uint64) << np.uint64(PREFIX_BITS) | high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64))
-        train.append(np.unpackbits(learned.view(np.uint8))[doc] > 0)
-    keys, times, learned = np.concatenate(key), np.concatenate([p[5] for p in parts]), np.concatenate(train)
-    counts = np.bincount(np.concatenate(index)[learned], times[learned], minlength=len(words)).astype(np.int64)
-    for w, c in frequent.items():
-        at = np.searchsorted(words, np.uint64(w))
-        if at < len(words) and words[at] == np.uint64(w):
-            counts[at] = c
-    k, t = keys[learned], times[learned]
-    order = np.argsort(k)
-    k, t = k[order], t[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    pairs, pair_counts = k[first], np.add.reduceat(t.astype(np.int64), first) if len(k) else np.zeros(0)
-    of = (pairs >> np.uint64(PREFIX_BITS)).astype(np.int64)
+def score_shard(blobs: list[bytes], frequent: dict[int, int], prior: float) -> list[bytes]:
+    """For each chunk's pairs: the histories' counts in training documents, and the places of the pairs' probabilities with their range."""
+    parts = [spread(b, 5) for b in blobs]
+    child = [high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64) for _, _, low, high, _ in parts]
+    every = np.unique(np.concatenate([p[0] for p in parts]))
+    key, n = [], []
+    for (own, runs, _, _, times), c in zip(parts, child, strict=True):
+        at = np.flatnonzero(times > 0)
+        key.append(np.repeat(np.searchsorted(every, own), runs)[at].astype(np.uint64) << np.uint64(PREFIX_BITS) | c[at])
+        n.append(times[at].astype(np.int64))
+    keys, place = np.unique(np.concatenate(key), return_inverse=True)
+    times = np.zeros(len(keys), np.int64)
+    np.add.at(times, place, np.concatenate(n))
+    of = (keys >> np.uint64(PREFIX_BITS)).astype(np.int64)
+    counts = np.zeros(len(every), np.int64)
+    np.add.at(counts, of, times)
+    hot = np.array(sorted(frequent), np.uint64)
+    totals = np.array([frequent[int(w)] for w in hot], np.int64)
+    at = np.searchsorted(hot, every) if len(hot) else np.zeros(0, np.int64)
+    if len(hot):
+        at = np.minimum(at, len(hot) - 1)
+        counts = np.where(hot[at] == every, totals[at], counts)
     known = np.flatnonzero(counts > 0)
     rank = np.cumsum(counts > 0) - 1
-    dense = rank[of].astype(np.uint64) << np.uint64(PREFIX_BITS) | pairs & np.uint64((1 << PREFIX_BITS) - 1)
-    logs = np.log10(pair_counts + strength * (counts[of] + 0.5))
+    dense = rank[of].astype(np.uint64) << np.uint64(PREFIX_BITS) | keys & np.uint64((1 << PREFIX_BITS) - 1)
+    trie = Trie.mapped(Trie.build(every[known], counts[known], dense, np.log10(times / (counts[of] + prior))).dump())
     out = []
-    with tempfile.TemporaryFile() as file:  # it has no name and goes with the task
-        Trie.build(words[known], counts[known], dense, logs).write(file)
-        trie = Trie.open(file)
-        for (own, runs, _, _, doc, n, _), own_key in zip(parts, key, strict=True):
-            count, met, weight = trie.find(np.repeat(own, runs), own_key & np.uint64((1 << PREFIX_BITS) - 1))
-            value = np.where(met, weight, np.log10(strength * (count + 0.5)))
-            history = np.where(np.repeat(own == end, runs), 0.0, np.log10(count + strength * total))
-            docs, place = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(place, n * x) for x in (value - history, np.log10(count + 0.5), (count > 0).astype(float))]
-            out.append(squeeze(docs.astype("<u2"), sums[0].astype("<f8"), sums[1].astype("<f8"), sums[2].astype("<u4")))
+    for (own, runs, _, _, _), c in zip(parts, child, strict=True):
+        r = trie.rank(own)
+        found = np.where(r >= 0, trie.counts[np.maximum(r, 0)] if trie.histories.n else 0, 0)
+        out.append(np.array([trie.low, trie.high], "<f8").tobytes() + squeeze(found.astype("<i8"), trie.find(np.repeat(r, runs), c).astype("<u2")))
     return out
 
 
@@ -232,47 +248,47 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modu
     shards = max(LEAST_SHARDS, ceil(size / SHARD_BYTES))
     tokens, distinct, documents, frequent = unigram_totals(slim, shards, size)
     total = tokens + 0.5 * (distinct + 1)
-    strength = STRENGTH / max(1, tokens)
+    prior = STRENGTH * total / max(1, tokens)
+    start, end = (int(h) for h in hashes_of([START, END]))
+    frequent = {k: v for k, v in frequent.items() if k != end} | {start: documents}  # the end is no history
     hot = np.array(sorted(frequent), np.uint64)
-    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary())])
+    schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("pairs", pa.binary()), ("docs", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
         for number, chunk in enumerate(chunks(batches)):
-            own, word, before, doc, n = chunk.records()
-            shard = shard_of(own, None, hot, shards)[word]
-            if len(hot) and len(at := np.flatnonzero(np.isin(own, hot)[word])):
-                shard[at] = shard_of(own[word[at]], own[before[at]], hot, shards)
-            learned = np.packbits([not d[1] for d in chunk.docs])
+            blobs, tokens_of = chunk.pairs(shards, hot)
             ids, outs, lengths = zip(*chunk.docs, strict=True)
             docs = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(outs), pa.array(lengths, pa.int64())], names=["doc_id", "held_out", "n_tokens"]).serialize().to_pybytes()
-            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-            dealt = shard[order]
-            rows = []
-            for at in np.split(order, np.flatnonzero(dealt[1:] != dealt[:-1]) + 1):
-                w = word[at]
-                first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                context = own[before[at]] >> np.uint64(64 - PREFIX_BITS)
-                blob = squeeze(own[w[first]], np.diff(np.append(first, len(w))).astype("<u4"), context.astype("<u4"), (context >> np.uint64(32)).astype("u1"), doc[at].astype("<u2"), n[at].astype("<u4"), learned)
-                rows.append((int(shard[at[0]]), task + number, blob, None if rows else docs))
+            rows = [(s, task + number, b, None) for s, b in blobs.items()] + [(-1 - task - number, task + number, tokens_of, docs)]  # a group of its own
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def score_group(group: pd.DataFrame) -> pd.DataFrame:
-        sums = score_shard(list(group["tokens"]), frequent, strength, total)
-        return pd.DataFrame({"chunk": group["chunk"], "sums": sums, "docs": group["docs"]})
+        if group["shard"].iloc[0] < 0:
+            return group.rename(columns={"pairs": "found"})
+        return pd.DataFrame({"shard": group["shard"], "chunk": group["chunk"], "found": score_shard(list(group["pairs"]), frequent, prior), "docs": None})
 
-    begin = log10(documents + strength * total)
+    begin_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])
 
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
-        docs = pa.ipc.read_record_batch(pa.py_buffer(next(d for d in group["docs"] if d is not None)), pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])).to_pandas(types_mapper=pd.ArrowDtype)
-        model, base, known = np.zeros(len(docs)), np.zeros(len(docs)), np.zeros(len(docs), np.int64)
-        for blob in group["sums"]:
-            at, a, b, c = spread(blob, 4)
-            model[at] += a.view("<f8")
-            base[at] += b.view("<f8")
-            known[at] += c.astype(np.int64)
-        n = docs["n_tokens"].to_numpy()
-        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n, "n_known": known, "train_tokens": tokens, "base_score": base - n * log10(total), "score": model - begin})
-
-    sums = slim.mapInArrow(emit, "shard int, chunk long, tokens binary, docs binary").groupBy("shard").applyInPandas(score_group, "chunk long, sums binary, docs binary")
-    return sums.groupBy("chunk").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        group = group.sort_values("shard")
+        docs = pa.ipc.read_record_batch(pa.py_buffer(group["docs"].iloc[0]), begin_schema).to_pandas(types_mapper=pd.ArrowDtype)
+        steps, word, sizes = spread(group["found"].iloc[0], 3)
+        counts, seen = [], []
+        for blob in group["found"].iloc[1:]:
+            own, places = spread(blob[16:], 2)
+            counts.append(own.astype(np.int64))
+            seen.append(probability(places, *np.frombuffer(blob[:16], "<f8")))
+        count = np.append(np.concatenate(counts), documents)
+        history, own = np.repeat(count[:-1], sizes), count[word]
+        base = np.log10((own + 0.5) / total)
+        value = np.log10(np.concatenate(seen) + prior / (history + prior) * (own + 0.5) / total)
+        n = docs["n_tokens"].to_numpy().astype(np.int64)
+        ends, doc = np.cumsum(n), np.repeat(np.arange(len(n)), n)
+        at = np.cumsum(steps.astype(np.int64))
+        pair = at - np.repeat(np.append(0, at[ends[:-1] - 1]), n)
+        sums = [np.bincount(doc, x[pair], minlength=len(n)) for x in (value, base, (own > 0).astype(float))]
+        return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n, "n_known": sums[2].round().astype(np.int64), "train_tokens": tokens, "base_score": sums[1], "score": sums[0]})
+
+    found = slim.mapInArrow(emit, "shard long, chunk long, pairs binary, docs binary").groupBy("shard").applyInPandas(score_group, "shard long, chunk long, found binary, docs binary")
+    return found.groupBy("chunk").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

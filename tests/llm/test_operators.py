@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrachron.llm import op1_tokens, op2_simhash, op3_langid, op4_lm, op5_html, op6_toxicity, op7_sharding, op8_gif, op9_decontamination, op10_packing
-from terrachron.llm.elias_fano import EliasFano
+from terrachron.llm.elias_fano import EliasFano, Trie
 from terrachron.llm.pretokens import load
 from terrachron.llm.queries import tokenizer
 
@@ -200,7 +200,7 @@ def test_language_model(spark):
             B.update(zip(["START", *w], [*w, "END"], strict=True))
             n_docs += 1
     N, V = sum(U.values()), len(U)
-    Z, a = N + 0.5 * (V + 1), op4_lm.STRENGTH / N
+    Z, a = N + 0.5 * (V + 1), op4_lm.STRENGTH / N  # P(w | h) = (c(h w) + a (c(w) + 1/2)) / (c(h) + a Z)
     want = {}
     for i, w, held in docs:
         tokens = [*w, "END"]
@@ -228,10 +228,36 @@ def test_language_model_spreads_frequent_words(spark, monkeypatch):
 
 
 def test_elias_fano():
+    """Access and successor search on the compressed form against plain arrays."""
     rng = np.random.default_rng(1)
-    for n, bits in ((0, 40), (1, 64), (1000, 64), (1000, 20), (500, 10)):
+    for n, bits in ((1, 64), (1000, 64), (5000, 20), (500, 10), (3000, 1), (700, 45)):
         v = np.sort(rng.integers(0, 2**bits - 1, n, dtype=np.uint64, endpoint=True))
-        assert np.array_equal(EliasFano.build(v, bits).decode(), v)
+        e = EliasFano.build(v, bits)
+        e = EliasFano.view(*e.parts())
+        assert np.array_equal(e.access(np.arange(n)), v)
+        asked = np.concatenate([v, np.minimum(v, np.uint64(2**bits - 2)) + np.uint64(1), rng.integers(0, 2**bits - 1, 500, dtype=np.uint64, endpoint=True)])
+        place, met = e.successor(asked)
+        assert np.array_equal(place, np.searchsorted(v, asked)) and np.array_equal(met, np.isin(asked, v))
+
+
+def test_trie():
+    """Every pair is found below its own history and nowhere else, from mapped bytes; counts beyond 32 bits stay."""
+    rng = np.random.default_rng(2)
+    histories = np.unique(rng.integers(0, 2**64 - 1, 300, dtype=np.uint64))
+    ranks = rng.integers(0, len(histories) // 2, 4000).astype(np.uint64)  # the rest has no word
+    keys = np.unique(ranks << np.uint64(40) | rng.integers(0, 50, 4000).astype(np.uint64))
+    logs = -rng.random(len(keys)) * 6
+    counts = np.arange(len(histories)) + 2**32 + 7
+    trie = Trie.mapped(Trie.build(histories, counts, keys, logs).dump())
+    assert np.array_equal(trie.rank(histories), np.arange(len(histories))) and (trie.rank(histories + np.uint64(1)) == -1).all()
+    assert np.array_equal(trie.counts, counts)
+    every = np.array([(r, c) for r in range(-1, len(histories)) for c in range(60)])
+    places = trie.find(every[:, 0], every[:, 1].astype(np.uint64))
+    known = dict(zip(keys.tolist(), logs.tolist(), strict=True))
+    want = [10 ** known[r << 40 | c] if r >= 0 and r << 40 | c in known else 0 for r, c in every.tolist()]
+    assert np.allclose(trie.probability(places), want, rtol=3e-4, atol=0)
+    empty = Trie.mapped(Trie.build(histories[:0], counts[:0], keys[:0], logs[:0]).dump())
+    assert (empty.rank(histories) == -1).all() and (empty.find(np.array([-1]), keys[:1]) == 0xFFFF).all()
 
 
 PAGE = """<html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=/a>Menu</a><li>Other</ul></nav>
