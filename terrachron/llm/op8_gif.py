@@ -207,9 +207,11 @@ def decode(data: bytes, compose: bool = True) -> Iterator[Frame]:
                 box = np.s_[top : min(height, top + h), left : min(width, left + w)]
                 seen = samples[: max(0, height - top), : max(0, width - left)]
                 kept = canvas.copy() if disposal == 3 else None
-                shows = np.ones(seen.shape, bool) if transparent is None else seen != transparent
-                rgba = np.dstack([colours[np.minimum(seen, len(colours) - 1)], np.full(seen.shape, 255, np.uint8)])
-                canvas[box][shows] = rgba[shows]
+                table = np.full((256, 4), 255, np.uint8)  # samples beyond the palette take its last colour
+                table[: len(colours), :3], table[len(colours) :, :3] = colours, colours[-1]
+                rgba = table.view(np.uint32)[:, 0][seen]
+                whole = canvas.view(np.uint32)[..., 0]
+                whole[box] = rgba if transparent is None else np.where(seen != transparent, rgba, whole[box])
             yield Frame(index, left, top, w, h, delay, disposal, transparent, samples, canvas.copy() if compose else canvas)
             if compose and disposal == 2:
                 canvas[box] = 0
@@ -237,8 +239,9 @@ def encode_samples(payload: bytes) -> bytes:
 
 def histogram(canvas: np.ndarray) -> list[int]:
     """Opaque pixels of each of 64 colours: two bits each of red, green and blue."""
-    colour = canvas[..., 0] >> 6 << 4 | canvas[..., 1] >> 6 << 2 | canvas[..., 2] >> 6
-    return np.bincount(np.where(canvas[..., 3] > 0, colour, 64).ravel(), minlength=65)[:64].tolist()
+    colour = (canvas[..., 0] >> 6 << 4 | canvas[..., 1] >> 6 << 2 | canvas[..., 2] >> 6).ravel()
+    opaque = canvas[..., 3].ravel() > 0
+    return np.bincount(colour if opaque.all() else colour[opaque], minlength=64).tolist()
 
 
 FRAMES = "frame int, left int, top int, width int, height int, delay_ms int, start_ms long, disposal int, transparent int, canvas binary, histogram array<long>, error string"
