@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     now = spark.sparkContext.getCheckpointDir()
     if not now:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrachron-"))
         now = spark.sparkContext.getCheckpointDir()
     return now.rstrip("/")
@@ -55,6 +57,14 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores as long as ``df`` has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column, modulus: int) -> Column:
     """Whether crc32 of the id as text leaves 1; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == 1

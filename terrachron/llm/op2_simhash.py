@@ -3,9 +3,11 @@
 Distinct fingerprints are the points. A vantage-point tree over a bounded sample splits the space by Hamming distance
 from vantage points; each leaf is a shard. A point goes to the inside of a node if its distance d is at most the
 node's radius m, and to the outside if d > m - 2: two points within 2 bits differ by at most 2 in d (the triangle
-bound), so they meet in at least one shard, and only points on the inner boundary are copied. A shard's task goes on
-splitting in the same way and compares what is left, and it returns each point's smallest linked point instead of all
-pairs. Shards above ``BLOCK`` points are dealt out by pairs of blocks. Components of these links are found by stars.
+bound), so they meet in at least one shard, and only points on the inner boundary are copied. Leaves that hold more
+than ``BLOCK`` points grow a tree of their own, on a sample of their own points, round after round. A shard's task goes
+on splitting in the same way and compares what is left, and it returns each point's smallest linked point instead of
+all pairs. Only leaves that no vantage point parts are dealt out by pairs of blocks. Components of these links are
+found by stars.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrachron.llm.common import by_bytes, prepare, stored, text_key
+from terrachron.llm.common import by_bytes, drop_stored, free_name, prepare, stored, text_key
 from terrachron.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 2
 #: Points that the tree is fitted on (and at most a quarter of all), points a shard should hold, and points of a block.
 SAMPLE, SHARD, BLOCK, CANDIDATES = 16_384, 1_500, 40_000, 16
+#: Points that all overfull leaves together are sampled with in a round.
+AGAIN = 1 << 20
 #: Ids (16 MB) that may be sent to every task.
 BROADCAST_IDS = 1_000_000
 
@@ -103,6 +107,32 @@ def build(sample: np.ndarray, depth: int) -> tuple[Node, int]:
     return grow(sample, depth), leaves
 
 
+def deepen(tree: Node, sizes: dict[int, int], samples: dict[int, np.ndarray]) -> tuple[Node, int, bool]:
+    """The tree whose overfull leaves have grown trees on their samples, its number of leaves, and whether any could be parted."""
+    leaves, grown = 0, False
+
+    def copy(node: Node) -> Node:
+        nonlocal leaves, grown
+        if node.point is not None:
+            return Node(node.point, node.radius, copy(node.inner), copy(node.outer))
+        if node.leaf in samples:
+            sub, _ = build(samples[node.leaf], max(1, ceil(log2(sizes[node.leaf] / SHARD))))
+            if sub.point is not None:
+                grown = True
+                return number(sub)
+        leaves += 1
+        return Node(leaf=leaves - 1)
+
+    def number(node: Node) -> Node:
+        nonlocal leaves
+        if node.point is not None:
+            return Node(node.point, node.radius, number(node.inner), number(node.outer))
+        leaves += 1
+        return Node(leaf=leaves - 1)
+
+    return copy(tree), leaves, grown
+
+
 def route(tree: Node, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(leaf, index of point) of every shard that a point visits."""
     leaves, rows = [], []
@@ -155,11 +185,11 @@ def link(points: np.ndarray, small: int = 1024) -> np.ndarray:
 
 def near_links(points: DataFrame) -> DataFrame:
     """(u, v) links that connect whatever fp of ``points`` (distinct longs) lie within 2 bits of each other."""
-    n = points.count()
+    n, spark = points.count(), points.sparkSession
     sample = np.array(sorted(r["fp"] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, n // 4)).collect()), np.int64)
     tree, _ = build(np.random.default_rng(SEED).permutation(sample), max(0, ceil(log2(max(1, n / SHARD)))))
 
-    def shards(blocks: dict[int, int], keys: str) -> DataFrame:
+    def shards(tree: Node, blocks: dict[int, int]) -> DataFrame:
         schema = pa.schema([("shard", pa.int64()), ("fp", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +204,21 @@ def near_links(points: DataFrame) -> DataFrame:
                     shard, fp, leaf = np.concatenate([shard[rest], *pairs]), np.concatenate([fp[rest], *[fp[at]] * k]), np.concatenate([leaf[rest], np.full(k * at.sum(), one)])
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp)], schema=schema)
 
-        return points.select("fp").mapInArrow(run, keys)
-
-    keys = "shard long, fp long"
-    sizes = {r["shard"] >> 32: ceil(r["n"] / BLOCK) for r in shards({}, keys).groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+        return points.select("fp").mapInArrow(run, "shard long, fp long")
+
+    grown = True
+    while grown:
+        routed = shards(tree, {})
+        sizes = {r["shard"] >> 32: r["n"] for r in routed.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a leaf
+        full = {k: v for k, v in sizes.items() if v > BLOCK}
+        if not full:
+            break
+        each = max(64, min(SAMPLE, AGAIN // len(full)))
+        share = spark.createDataFrame([(k << 32, min(1.0, each / v)) for k, v in full.items()], "shard long, share double")
+        at = F.shiftrightunsigned(F.xxhash64(F.lit(7), "fp"), 1) / F.lit(float(1 << 63))
+        found = routed.join(F.broadcast(share), "shard").where(at < F.col("share")).select("shard", "fp").orderBy("shard", F.xxhash64("fp"), "fp").toPandas()
+        tree, _, grown = deepen(tree, full, {k >> 32: g["fp"].to_numpy(np.int64) for k, g in found.groupby("shard")})
+    blocks = {k: ceil(v / BLOCK) for k, v in sizes.items() if v > BLOCK}
 
     def connect(group: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(group["fp"].to_numpy())
@@ -185,7 +226,7 @@ def near_links(points: DataFrame) -> DataFrame:
         at = np.flatnonzero(least != np.arange(len(own)))
         return pd.DataFrame({"u": own[at], "v": own[least[at]]})
 
-    return shards(sizes, keys).groupBy("shard").applyInPandas(connect, "u long, v long")
+    return shards(tree, blocks).groupBy("shard").applyInPandas(connect, "u long, v long")
 
 
 def grouped(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,12 +263,13 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", g
     found = stored(groups(df, id_col=id_col, text_col=text_col).select("doc_id", "text_key", "root", "component_id"), "found")
     smallest = F.col("doc_id") == F.col("component_id")
     heads = found.where(smallest).groupBy("root", "doc_id").agg(F.sort_array(F.collect_set("text_key")).alias("keys"))
-    named = lambda rows, key: rows.select(F.col("doc_id").alias("__id"), F.col(key).alias("__key"))
+    id_name, key_name, twin = (free_name(df, n) for n in ("__id", "__key", "__twin"))
+    named = lambda rows, key: rows.select(F.col("doc_id").alias(id_name), F.col(key).alias(key_name))
     others = heads.where(F.size("keys") > 1).select("doc_id", F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("text_key"))
     go = named(found.where(~smallest), "text_key").unionByName(named(others, "text_key")).distinct()
-    again = found.where(smallest).groupBy("doc_id", "text_key").agg(F.count("*").alias("__n")).where("__n > 1")
-    same = (F.col(id_col).cast("long") == F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key"))
+    again = found.where(smallest).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    same = (F.col(id_col).cast("long") == F.col(id_name)) & (text_key(F.col(text_col)) == F.col(key_name))
     go, again = (F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids for ids in (go, named(again, "text_key")))
     kept = df.join(go, same, "left_anti")
-    twice = kept.join(again, same, "left_semi").withColumn("__key", text_key(F.col(text_col))).dropDuplicates([id_col, "__key"]).drop("__key")
+    twice = kept.join(again, same, "left_semi").withColumn(twin, text_key(F.col(text_col))).dropDuplicates([id_col, twin]).drop(twin)
     return kept.join(again, same, "left_anti").unionByName(twice)

@@ -142,14 +142,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 3, toxic: int = TOXIC, other: int = OTHER) -> Model:
     """Fit on the texts of at most ``toxic`` and ``other`` labelled ids, taken by hash among those that may be learned from.
 
-    An id with several labels counts as toxic if one of them says so; null labels and ids are not learned from.
+    An id with several labels counts as toxic if one of them says so, and one with several texts is learned from by its
+    smallest one, so that no more texts than ids reach the driver; null labels, ids and texts are not learned from.
     """
     prepare(df.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), modulus)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     order = F.xxhash64(F.lit(6), "__id")
     chosen = [known.where(F.col("__label") == v).orderBy(order, "__id").limit(n) for v, n in ((1, toxic), (0, other))]
     texts = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "__id").select("__text", "__label").toPandas()  # at most toxic + other ids
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text")).select("__text", "__label").toPandas()  # at most toxic + other rows
     rows = rows.groupby("__text", sort=True)["__label"].max().reset_index()
     return fit(rows["__text"].tolist(), rows["__label"].tolist())
 

@@ -82,7 +82,7 @@ def shuffle_to_shards(df: DataFrame, keys: list[str], *, shards: int = 24, seed:
 
     Shard sizes differ by one row at most and every assignment with these sizes is equally likely, as far as seeded
     hashes of ``keys`` are random. Nulls in keys hash like any value; rows that are equal in all keys take distinct
-    slots, in no order of their own; an empty table gives an empty one. Columns of ``df`` named shard or slot are
+    slots by a hash of all columns, so that a task that is run again gives the same; an empty table gives an empty one. Columns of ``df`` named shard or slot are
     replaced; helper columns start with two underscores.
     """
     spark = prepare(df.sparkSession)
@@ -95,7 +95,9 @@ def shuffle_to_shards(df: DataFrame, keys: list[str], *, shards: int = 24, seed:
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     drawn = matrix([counts.get(p, 0) for p in range(parts)], sizes, seed)
     ends = spark.createDataFrame([(p, np.cumsum(own).tolist()) for p, own in enumerate(drawn)], "__part int, __ends array<long>")
-    local = Window.partitionBy("__part").orderBy(first, *keys)
+    maps = {f.name for f in df.schema.fields if "map<" in f.dataType.simpleString()}
+    ties = [] if set(keys) >= set(df.columns) else [F.xxhash64(*(F.to_json(f"`{c}`") if c in maps else F.col(f"`{c}`") for c in df.columns))]
+    local = Window.partitionBy("__part").orderBy(first, *keys, *ties)
     exchanged = (
         dealt.withColumn("__own", F.row_number().over(local) - 1)
         .join(ends, "__part")
@@ -107,7 +109,7 @@ def shuffle_to_shards(df: DataFrame, keys: list[str], *, shards: int = 24, seed:
     ranged = exchanged.withColumn("__range", F.shiftrightunsigned("__hash", 64 - bits))
     sums = ranged.groupBy("shard", "__range").agg(F.count("*").alias("__n"))
     before = sums.select("shard", "__range", (F.sum("__n").over(Window.partitionBy("shard").orderBy("__range")) - F.col("__n")).alias("__before"))
-    own = Window.partitionBy("shard", "__range").orderBy("__hash", *keys)
+    own = Window.partitionBy("shard", "__range").orderBy("__hash", *keys, *ties)
     slotted = ranged.withColumn("__own", F.row_number().over(own)).join(before, ["shard", "__range"])
     return slotted.withColumn("slot", (F.col("__before") + F.col("__own") - 1).cast("long")).select(*df.columns, "shard", "slot")
 

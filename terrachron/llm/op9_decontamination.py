@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrachron.llm.common import LOWER, UPPER, prepare, stored, text_of
+from terrachron.llm.common import LOWER, UPPER, free_name, prepare, stored, text_of
 
 #: Characters that part words: all ASCII but digits and letters.
 PARTS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -150,10 +150,11 @@ def contamination(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
 
 
 def keep_clean(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """The rows of ``df``, with all their columns, in which no window of any item occurs."""
+    """The rows of ``df``, with all their columns, in which no window of any item occurs; null texts and ids as in ``contamination``."""
     prepare(df.sparkSession)
     _, windows = numbered(windows_of(items, size=size, id_col=item_col, text_col=item_text_col))
     terms = terms_of(windows)
     matches = phrase_matches(stored(index(df, terms, id_col=id_col, text_col=text_col), "postings"), terms)
-    go = stored(matches.select(F.col("doc_id").alias("__id"), F.col("part").alias("__part")).distinct(), "contaminated")
-    return df.join(go, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__part")), "left_anti")
+    own_id, own_part = free_name(df, "__id"), free_name(df, "__part")
+    go = stored(matches.select(F.col("doc_id").alias(own_id), F.col("part").alias(own_part)).distinct(), "contaminated")
+    return df.join(small(go), F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_of(text_col)) == F.col(own_part)), "left_anti")

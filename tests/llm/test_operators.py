@@ -56,6 +56,77 @@ def test_token_counts(spark):
     assert op1_tokens.token_counts(df.limit(0), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_overfull_leaves_grow_trees(spark, monkeypatch):
+    """Links stay the same when every leaf is overfull, whether its points can be parted or not."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300, dtype=np.int64)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(1, 4), replace=False)) for b in base for _ in range(3)]
+    ball = [1 << i | 1 << j for i in range(24) for j in range(i)]  # all within 4 bits of each other, near zero
+    own = sorted({*map(int, base), *near, *ball, 0})
+    points = spark.createDataFrame([(p,) for p in own], "fp long").repartition(4)
+    want = {tuple(sorted(c)) for c in brute_groups(own)}
+    for block, shard in ((40_000, 1_500), (60, 20), (5, 4)):
+        monkeypatch.setattr(op2_simhash, "BLOCK", block)
+        monkeypatch.setattr(op2_simhash, "SHARD", shard)
+        parent = {p: p for p in own}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in op2_simhash.near_links(points).collect():
+            a, b = sorted((find(r["u"]), find(r["v"])))
+            parent[b] = a
+        groups = defaultdict(list)
+        for p in own:
+            groups[find(p)].append(p)
+        assert {tuple(sorted(g)) for g in groups.values()} == want
+
+
+def brute_groups(points):
+    a = np.array(points, np.int64)
+    root = np.arange(len(a))
+    for i in range(len(a)):
+        for j in np.flatnonzero(np.bitwise_count((a ^ a[i]).view(np.uint64)) <= 2):
+            low, high = sorted((root[i], root[j]))
+            root[root == high] = low
+    groups = defaultdict(list)
+    for p, r in zip(points, root, strict=True):
+        groups[r].append(p)
+    return groups.values()
+
+
+def test_helper_columns_may_clash(spark):
+    """Columns of the input named like helpers do no harm."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, 1, 1, 1, "a"), (2, text, 2, 2, 2, "b"), (3, "other words here", 3, 3, 3, "c"), (None, None, 4, 4, 4, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long, __KEY long, __n long, __part string")
+    kept = op2_simhash.keep_one(df)
+    assert kept.columns == df.columns
+    same([r["doc_id"] for r in kept.collect()], [1, 3, None])
+    items = spark.createDataFrame([(1, " ".join(text.split()[3:13]))], "item_id long, text string")
+    clean = op9_decontamination.keep_clean(df, items)
+    assert clean.columns == df.columns
+    same([r["doc_id"] for r in clean.collect()], [3, None])
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    assert op6_toxicity.keep_clean(df, op6_toxicity.train(df, labels)).columns == df.columns
+
+
+def test_equal_keys_take_slots_by_all_columns(spark):
+    rows = [(1, f"v{i}", {"k": i}) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, v string, m map<string,int>")
+    got = [{(r["v"], r["shard"], r["slot"]) for r in op7_sharding.shuffle_to_shards(df.repartition(n), ["k"], shards=4).collect()} for n in (1, 7)]
+    assert got[0] == got[1] and len({v for v, _, _ in got[0]}) == 50
+
+
+def test_window_of_packing_is_checked(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for window in (0, 4, 2047):
+        with pytest.raises(ValueError):
+            op10_packing.pack(df, tokenizer("word_bpe_49k.json"), window=window)
+
+
 def test_fingerprints_and_components(spark):
     import xxhash
 
