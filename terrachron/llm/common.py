@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,8 +18,27 @@ ROOT = str(Path(__file__).resolve().parents[2])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package and give the session a checkpoint folder where it has none."""
+    """Let Python workers import this package, give the session a checkpoint folder where it has none, and keep Arrow batches small.
+
+    A batch of texts lies in memory on both sides of a worker's pipe, several times; a session that has set its own
+    number of rows keeps it.
+    """
+    if spark.conf.get(BATCH_CONF, "10000") == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
@@ -97,3 +117,4 @@ def by_bytes(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator
         step = max(1, int(n * most / max(most, batch.nbytes)))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+    release()
