@@ -83,6 +83,17 @@ def coupled_class(recovery: Column, recent: Column, declines: Column, mode: Colu
     return F.when(known(recovery, recent, declines, late, change), rules).otherwise(0)
 
 
+def derivatives(b: Column, a: Column, duration: float, guard: float = 1e-4) -> dict[str, Column]:
+    """What a quadratic's rate b and curvature a say over ``duration`` years: rates at both ends, change, vertex and a bounded vertex as a feature."""
+    vertex = F.when(F.abs(a) > 1e-12, -b / (2 * a))
+    late = F.when(b < 0, F.lit(2.0 * duration)).otherwise(F.lit(-float(duration)))  # without curvature: never
+    return {
+        "start_rate": b, "end_rate": b + 2 * a * duration, "rate_change": 2 * a * duration, "acceleration": 2 * a,
+        "vertex_years": F.when(F.abs(a) > guard, vertex),
+        "vertex_feature": F.coalesce(F.least(F.greatest(vertex, F.lit(-float(duration))), F.lit(2.0 * duration)), late),
+    }
+
+
 def regime_label(start: Column, end: Column, stable: float = 5.0, change: float = 5.0) -> Column:
     return cases(
         ((start < -stable) & (end > stable), "subsidence_to_rebound"),

@@ -50,6 +50,11 @@ def utm_epsg(lon: float, lat: float) -> int:
     return (32600 if lat >= 0 else 32700) + utm_zone(lon)
 
 
+def utm_epsg_of(lon: Column, lat: Column) -> Column:
+    """``utm_epsg`` of each row."""
+    return F.when(lat >= 0, F.lit(32600)).otherwise(F.lit(32700)) + F.floor((lon + 180) / 6) + 1
+
+
 def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
     """Easting and northing by Krueger's series to the third order in n."""
     k0, a1 = 0.9996, A / (1 + N) * (1 + N**2 / 4 + N**4 / 64)

@@ -1,9 +1,9 @@
 """Masked least squares on additive sums.
 
 A fit of k coefficients needs only the sums of x_i x_j, x_i y, y y and the count, so it is one aggregation with
-partial sums before the shuffle. Up to ``UNROLLED`` coefficients the normal equations are solved by Cholesky steps as
-columns, within generated code; larger ones in batches of arrays. A fit is valid from max(min_obs, k + 1) rows on; a
-singular one is null in columns and least-norm in batches.
+partial sums before the shuffle. The normal equations are solved by Cholesky steps: up to ``UNROLLED`` coefficients
+as columns, within generated code, and beyond by the same steps on arrays of a batch of systems. A fit is valid from
+max(min_obs, k + 1) rows on; a singular one (a pivot below 1e-12 of its diagonal) is null, whatever its size.
 """
 
 from __future__ import annotations
@@ -30,22 +30,27 @@ def sums_sql(columns: list[str], y: str = "value") -> dict[str, str]:
     return out
 
 
-def steps_sql(k: int, min_obs: int) -> list[list[tuple[str, str]]]:
-    """Levels of (name, SQL text): Cholesky factor, substitutions, rss, rmse. A level uses the levels before it only."""
-    valid = f"n >= {max(min_obs, k + 1)}"
+def steps_sql(k: int, min_obs: int, prefix: str = "", at: list[int] | None = None) -> list[list[tuple[str, str]]]:
+    """Levels of (name, SQL text): Cholesky factor, substitutions, rss, rmse. A level uses the levels before it only.
+
+    ``at`` are the places of the k columns among those whose sums there are (all, in order, without it); names get the
+    prefix.
+    """
+    valid, p, at = f"n >= {max(min_obs, k + 1)}", prefix, at or list(range(k))
+    g = lambda i, j: f"g{max(at[i], at[j])}_{min(at[i], at[j])}"
     levels: list[list[tuple[str, str]]] = []
     for j in range(k):
-        pivot = " - ".join([f"g{j}_{j}", *(f"l{j}_{m} * l{j}_{m}" for m in range(j))])
-        levels.append([(f"l{j}_{j}", f"CASE WHEN {valid} AND {pivot} > 1e-12 * g{j}_{j} THEN sqrt({pivot}) END")])
+        pivot = " - ".join([g(j, j), *(f"{p}l{j}_{m} * {p}l{j}_{m}" for m in range(j))])
+        levels.append([(f"{p}l{j}_{j}", f"CASE WHEN {valid} AND {pivot} > 1e-12 * {g(j, j)} THEN sqrt({pivot}) END")])
         if j + 1 < k:
-            levels.append([(f"l{i}_{j}", f"({' - '.join([f'g{i}_{j}', *(f'l{i}_{m} * l{j}_{m}' for m in range(j))])}) / l{j}_{j}") for i in range(j + 1, k)])
+            levels.append([(f"{p}l{i}_{j}", f"({' - '.join([g(i, j), *(f'{p}l{i}_{m} * {p}l{j}_{m}' for m in range(j))])}) / {p}l{j}_{j}") for i in range(j + 1, k)])
     for i in range(k):
-        levels.append([(f"z{i}", f"({' - '.join([f'b{i}', *(f'l{i}_{m} * z{m}' for m in range(i))])}) / l{i}_{i}")])
+        levels.append([(f"{p}z{i}", f"({' - '.join([f'b{at[i]}', *(f'{p}l{i}_{m} * {p}z{m}' for m in range(i))])}) / {p}l{i}_{i}")])
     for i in reversed(range(k)):
-        levels.append([(f"beta{i}", f"({' - '.join([f'z{i}', *(f'l{m}_{i} * beta{m}' for m in range(i + 1, k))])}) / l{i}_{i}")])
-    levels.append([("rest", f"yy - {' - '.join(f'z{i} * z{i}' for i in range(k))}")])
-    levels.append([("rss", "CASE WHEN rest > 0 THEN rest WHEN rest <= 0 THEN CAST(0 AS DOUBLE) END")])
-    levels.append([("rmse", "sqrt(rss / n)")])
+        levels.append([(f"{p}beta{i}", f"({' - '.join([f'{p}z{i}', *(f'{p}l{m}_{i} * {p}beta{m}' for m in range(i + 1, k))])}) / {p}l{i}_{i}")])
+    levels.append([(f"{p}rest", f"yy - {' - '.join(f'{p}z{i} * {p}z{i}' for i in range(k))}")])
+    levels.append([(f"{p}rss", f"CASE WHEN {p}rest > 0 THEN {p}rest WHEN {p}rest <= 0 THEN CAST(0 AS DOUBLE) END")])
+    levels.append([(f"{p}rmse", f"sqrt({p}rss / n)")])
     return levels
 
 
@@ -64,6 +69,23 @@ def solve(sums: DataFrame, keys: list[str], k: int, min_obs: int = 0) -> DataFra
     return sums.select(*keys, F.inline(F.array(F.struct(*names[len(keys) :]))))
 
 
+def cholesky_batch(G: np.ndarray, b: np.ndarray, yy: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and rss of systems (r x k x k, r x k) that are ``ok``, all at once by the steps of ``steps_sql``; NaN for others."""
+    k, L = b.shape[1], np.zeros_like(G)
+    z, beta, ok = np.zeros_like(b), np.zeros_like(b), ok.copy()
+    for j in range(k):
+        pivot = G[:, j, j] - (L[:, j, :j] ** 2).sum(axis=1)
+        ok &= pivot > 1e-12 * G[:, j, j]
+        L[:, j, j] = np.sqrt(np.where(ok, pivot, 1.0))
+        L[:, j + 1 :, j] = (G[:, j + 1 :, j] - np.einsum("rim,rm->ri", L[:, j + 1 :, :j], L[:, j, :j])) / L[:, j, j, None]
+    for i in range(k):
+        z[:, i] = (b[:, i] - (L[:, i, :i] * z[:, :i]).sum(axis=1)) / L[:, i, i]
+    for i in reversed(range(k)):
+        beta[:, i] = (z[:, i] - (L[:, i + 1 :, i] * beta[:, i + 1 :]).sum(axis=1)) / L[:, i, i]
+    beta[~ok] = np.nan
+    return beta, np.where(ok, np.maximum(yy - (z**2).sum(axis=1), 0), np.nan)
+
+
 def solve_batches(sums: DataFrame, keys: list[str], k: int, min_obs: int = 0) -> DataFrame:
     """The same for any k, one batch of systems at a time."""
     least = max(min_obs, k + 1)
@@ -77,17 +99,7 @@ def solve_batches(sums: DataFrame, keys: list[str], k: int, min_obs: int = 0) ->
             for i in range(k):
                 for j in range(i + 1):
                     G[:, i, j] = G[:, j, i] = f[f"g{i}_{j}"].to_numpy(float)
-            ok = (n >= least) & np.isfinite(b).all(axis=1) & np.isfinite(G).all(axis=(1, 2))
-            beta = np.full((len(f), k), np.nan)
-            for r in np.flatnonzero(ok):
-                scale = np.sqrt(np.maximum(np.diag(G[r]), 1e-300))
-                H = G[r] / np.outer(scale, scale)
-                try:
-                    np.linalg.cholesky(H - 1e-12 * np.eye(k))
-                    beta[r] = np.linalg.solve(H, b[r] / scale) / scale
-                except np.linalg.LinAlgError:
-                    beta[r] = np.linalg.lstsq(H, b[r] / scale, rcond=1e-12)[0] / scale
-            rss = np.maximum(yy - np.einsum("ri,ri->r", beta, b), 0)
+            beta, rss = cholesky_batch(G, b, yy, (n >= least) & np.isfinite(b).all(axis=1) & np.isfinite(G).all(axis=(1, 2)))
             for i in range(k):
                 out[f"beta{i}"] = beta[:, i]
             out["n"], out["rss"], out["rmse"] = n, rss, np.sqrt(rss / np.maximum(n, 1))
@@ -101,6 +113,17 @@ def fit(df: DataFrame, keys: list[str], model: TimeModel, *, y: str = "value", d
     return solve(gram(df.where(F.col(day).isNotNull()), keys, list(model.columns(day).values()), y), keys, model.size, min_obs)
 
 
+def fit_nested(df: DataFrame, keys: list[str], large: TimeModel, small: TimeModel, *, y: str = "value", day: str = "day", min_obs: int = 0) -> DataFrame:
+    """``fit`` of a model and, as small_beta0.., small_rss and small_rmse, of one whose columns are among its own: one aggregation for both."""
+    columns, own = list(large.columns(day).values()), list(small.columns(day).values())
+    at = [columns.index(c) for c in own]
+    sums = gram(df.where(F.col(day).isNotNull()), keys, columns, y)
+    for level in [*steps_sql(large.size, min_obs), *steps_sql(small.size, min_obs, "small_", at)]:
+        sums = sums.select("*", *(F.expr(e).alias(n) for n, e in level))
+    names = [*(f"beta{i}" for i in range(large.size)), "n", "rss", "rmse", *(f"small_beta{i}" for i in range(small.size)), "small_rss", "small_rmse"]
+    return sums.select(*keys, F.inline(F.array(F.struct(*names))))
+
+
 def fit_columns(df: DataFrame, keys: list[str], columns: list[str], *, y: str = "value", min_obs: int = 0) -> DataFrame:
     """The same for any basis given as SQL texts, for example a plane in x and y."""
     return solve(gram(df, keys, columns, y), keys, len(columns), min_obs)

@@ -6,44 +6,45 @@ search, in a task of its own; pixels only meet their results, as columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.functions.classes import GROUNDWATER
 
 
 def svd_impute(matrix: np.ndarray, rank: int, rounds: int = 20, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Scores (rows x r) and components (r x columns) of a matrix with NaN, whose cells are refined from row means on."""
+    """Scores (rows x r) and components (r x columns) of a matrix with NaN.
+
+    Missing cells start at their row's mean (0 without one) and take the value of the rank-r approximation, again and
+    again, until they move by less than ``tolerance`` in the mean of squares, or for ``rounds`` rounds.
+    """
     there = np.isfinite(matrix)
-    means = np.array([r[m].mean() if m.any() else 0.0 for r, m in zip(matrix, there, strict=True)])
-    filled, last = np.where(there, matrix, means[:, None]), np.inf
-    r = min(rank, min(matrix.shape), max(1, len(matrix) - 1))
-    for _ in range(rounds):
+    if not there.any():
+        raise ValueError("a matrix without a value")
+    n, total = there.sum(axis=1), np.where(there, matrix, 0.0).sum(axis=1)
+    means = np.divide(total, n, out=np.zeros(len(matrix)), where=n > 0)
+    filled, r = np.where(there, matrix, means[:, None]), min(rank, min(matrix.shape), max(1, len(matrix) - 1))
+    for _ in range(0 if there.all() else rounds):
         u, s, vt = np.linalg.svd(filled, full_matrices=False)
-        low = (u[:, :r] * s[:r]) @ vt[:r]
-        if there.all():
+        moved = ((u[:, :r] * s[:r]) @ vt[:r])[~there]
+        change = float(np.mean((moved - filled[~there]) ** 2))
+        filled[~there] = moved
+        if change < tolerance:
             break
-        change = float(np.mean((low - filled)[~there] ** 2))
-        filled = np.where(there, matrix, low)
-        if abs(last - change) < tolerance:
-            break
-        last = change
     u, s, vt = np.linalg.svd(filled, full_matrices=False)
     return u[:, :r] * s[:r], vt[:r]
 
 
 def spread_centres(xy: np.ndarray, most: int) -> np.ndarray:
-    """Points chosen one by one, each the farthest from those before; the first is the nearest to the mean."""
-    if len(xy) <= most:
-        return xy
-    chosen = [int(np.argmin(((xy - xy.mean(axis=0)) ** 2).sum(axis=1)))]
+    """Points chosen one by one, each the farthest from those before (the first of equals); the first has the least x + y."""
+    chosen = [int(np.argmin(xy.sum(axis=1)))]
     far = ((xy - xy[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < most:
+    while len(chosen) < min(max(1, most), len(xy)):
         chosen.append(int(np.argmax(far)))
         far = np.minimum(far, ((xy - xy[chosen[-1]]) ** 2).sum(axis=1))
     return xy[chosen]
@@ -158,6 +159,15 @@ def rank_field_models(cv: DataFrame) -> DataFrame:
     return cv.where(F.col("cv_rmse").isNotNull() & ~F.isnan("cv_rmse")).orderBy("cv_rmse", F.asc_nulls_last("cv_harmonic_vector_rmse"), "rank", "sigma", "ridge")
 
 
+def field_report(cv: DataFrame) -> DataFrame:
+    """Every candidate, the selected one marked and first, then in the order of choice."""
+    order = (F.asc_nulls_last("cv_rmse"), F.asc_nulls_last("cv_harmonic_vector_rmse"), "rank", "sigma", "ridge")
+    best = rank_field_models(cv).limit(1).select(F.col("rank").alias("__r"), F.col("sigma").alias("__s"), F.col("ridge").alias("__g"))
+    same = (F.col("rank") == F.col("__r")) & (F.col("sigma") == F.col("__s")) & (F.col("ridge") == F.col("__g"))
+    marked = cv.join(F.broadcast(best), same, "left").withColumn("selected", F.col("__r").isNotNull()).drop("__r", "__s", "__g")
+    return marked.orderBy(F.desc("selected"), *order)
+
+
 def predict_field(pixels: DataFrame, model: FieldModel, days: list[int]) -> DataFrame:
     """pixel_id, day, head_anomaly_m of pixels (x, y): scores as columns, then a product with the few components."""
     comp = np.array([np.interp(days, model.days, c) for c in model.components])
@@ -213,9 +223,9 @@ def change_cv_by_interval(predictions: DataFrame) -> DataFrame:
     )
 
 
-def predict_change(pixels: DataFrame, xy: np.ndarray, rates: np.ndarray, sigma: float, ridge: float, year1: int, centres: int = 32) -> DataFrame:
-    """pixel_id, year1 and head_change of pixels (x, y) from an interval's wells."""
-    c = spread_centres(xy, centres)
+def predict_change(pixels: DataFrame, xy: np.ndarray, rates: np.ndarray, sigma: float, ridge: float, year1: int, centres: int = 32, centre_points: np.ndarray | None = None) -> DataFrame:
+    """pixel_id, year1 and head_change of pixels (x, y) from an interval's wells; centres are spread among them, if not given."""
+    c = spread_centres(xy, centres) if centre_points is None else centre_points
     w = rbf_fit(xy, rates, c, sigma, ridge)
     value = F.lit(float(w[0])) + sum((float(v) * F.exp(-0.5 * (F.pow(F.col("x") - float(cx), 2) + F.pow(F.col("y") - float(cy), 2)) / sigma**2) for v, (cx, cy) in zip(w[1:], c, strict=True)), F.lit(0.0))
     return pixels.select("pixel_id", F.lit(year1).alias("year1"), value.alias("head_change"))
@@ -241,71 +251,200 @@ def bounded_least_squares(A: np.ndarray, b: np.ndarray, low: float, high: float,
     return x
 
 
-def regularised_ratio(cells: pd.DataFrame, *, spacing: float, lam: float, low: float = 0.0, high: float = 0.05, sigma_factor: float = 1.5, neighbours: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, their bounded values, and the basis at cells (x, y, q2, qd, d2): Gaussian weights of near nodes, smooth between adjacent ones."""
+def node_grid(xy: np.ndarray, spacing: float, most: float, support: Callable[[np.ndarray], np.ndarray] | None = None, box: tuple[float, float, float, float] | None = None) -> np.ndarray:
+    """Nodes at the multiples of ``spacing`` over a box (x0, x1, y0, y1; that of ``xy`` without one), within the support and ``most`` of a place in ``xy``."""
+    x0, x1, y0, y1 = box or (xy[:, 0].min(), xy[:, 0].max(), xy[:, 1].min(), xy[:, 1].max())
+    axes = [np.arange(np.floor(a / spacing), np.ceil(b / spacing) + 1) * spacing for a, b in ((x0, x1), (y0, y1))]
+    nodes = np.stack(np.meshgrid(*axes), axis=-1).reshape(-1, 2)
+    near = np.array([((xy - n) ** 2).sum(axis=1).min() <= most**2 for n in nodes], bool) if len(xy) else np.ones(len(nodes), bool)
+    return nodes[near & (support(nodes) if support else True)]
+
+
+def near_basis(xy: np.ndarray, nodes: np.ndarray, sigma: float, neighbours: int = 12) -> np.ndarray:
+    """Gaussian weights of each place's nearest nodes, normalised to 1."""
+    out, k = np.zeros((len(xy), len(nodes))), min(max(1, neighbours), len(nodes))
+    for i, p in enumerate(xy):
+        d2 = ((nodes - p) ** 2).sum(axis=1)
+        at = np.argsort(d2, kind="stable")[:k]
+        w = np.exp(-0.5 * d2[at] / sigma**2)
+        out[i, at] = w / max(w.sum(), 1e-12)
+    return out
+
+
+def regularised_ratio(cells: pd.DataFrame, nodes: np.ndarray, *, spacing: float, lam: float, low: float = 0.0, high: float = 0.05, sigma_factor: float = 1.5, neighbours: int = 12) -> np.ndarray:
+    """The bounded ratio at nodes that fits cells (x, y, q2, qd) best and differs little between nodes next to each other.
+
+    Minimises the sum over cells of q2 / median(q2) * (qd / q2 - basis @ nodes) ** 2 plus ``lam`` times the sum over
+    pairs of nodes within 1.5 * spacing of their squared differences.
+    """
+    q2 = cells["q2"].to_numpy(float)
+    weight = np.sqrt(q2 / max(float(np.median(q2[q2 > 0])), 1e-12))
+    A = weight[:, None] * near_basis(cells[["x", "y"]].to_numpy(float), nodes, sigma_factor * spacing, neighbours)
+    b = weight * cells["qd"].to_numpy(float) / q2
+    pairs = [(i, j) for i in range(len(nodes)) for j in range(i) if ((nodes[i] - nodes[j]) ** 2).sum() <= (1.5 * spacing) ** 2]
+    if lam > 0 and pairs:
+        L = np.zeros((len(pairs), len(nodes)))
+        L[np.arange(len(pairs)), [i for i, _ in pairs]], L[np.arange(len(pairs)), [j for _, j in pairs]] = 1, -1
+        A, b = np.vstack([A, np.sqrt(lam) * L]), np.concatenate([b, np.zeros(len(pairs))])
+    return bounded_least_squares(A, b, low, high)
+
+
+RATIO_CV = "spacing double, lam double, cv_rmse double, nodes int, tested_cells long"
+
+
+def regularised_cv(spark: SparkSession, cells: pd.DataFrame, *, spacings: Sequence[float] = (10, 15, 20, 25), lams: Sequence[float] = (0.1, 1, 10, 100), block: float = 30.0, most: float = 30.0, support: Callable[[np.ndarray], np.ndarray] | None = None, box: tuple[float, float, float, float] | None = None, folds: int = 5, **options: float) -> DataFrame:
+    """Errors of every candidate, each in a task of its own; folds go by diagonal blocks of ``block``.
+
+    cells: x, y, q2, qd, d2, w. A candidate with fewer than three nodes is left out.
+    """
     xy = cells[["x", "y"]].to_numpy(float)
-    grid = np.unique(np.round(xy / spacing).astype(int), axis=0)
-    nodes = grid * spacing
-    d = np.sqrt(((xy[:, None] - nodes[None]) ** 2).sum(axis=2))
-    k = min(neighbours, len(nodes))
-    far = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    B = np.where(d <= far, np.exp(-0.5 * (d / (sigma_factor * spacing)) ** 2), 0)
-    B /= np.maximum(B.sum(axis=1, keepdims=True), 1e-300)
-    root = np.sqrt(cells["q2"].to_numpy(float))
-    gap = np.sqrt(((nodes[:, None] - nodes[None]) ** 2).sum(axis=2))
-    pairs = np.argwhere(np.triu((gap > 0) & (gap <= 1.5 * spacing)))
-    L = np.zeros((len(pairs), len(nodes)))
-    L[np.arange(len(pairs)), pairs[:, 0]], L[np.arange(len(pairs)), pairs[:, 1]] = 1, -1
-    scale = np.sqrt(lam * float(np.mean(root**2))) if len(root) else 0
-    A = np.vstack([root[:, None] * B, scale * L])
-    b = np.concatenate([cells["qd"].to_numpy(float) / np.maximum(root, 1e-300), np.zeros(len(pairs))])
-    return nodes, bounded_least_squares(A, b, low, high), B
-
-
-def regularised_cv(cells: pd.DataFrame, *, spacings: tuple[float, ...] = (10, 15, 20, 25), lams: tuple[float, ...] = (0.1, 1, 10, 100), folds: int = 5, **bounds: float) -> pd.DataFrame:
-    """spacing, lam, cv_rmse of every candidate, best first; folds go by diagonal blocks."""
-    rows = []
-    for spacing in spacings:
-        block = np.floor(cells[["x", "y"]].to_numpy(float) / spacing).astype(int)
-        fold = (block[:, 0] + 2 * block[:, 1]) % folds
-        for lam in lams:
-            error = weight = 0.0
-            for f in np.unique(fold):
-                train, test = cells[fold != f], cells[fold == f]
-                if len(train) < 4 or not len(test):
+    at = np.floor(xy / block).astype(int)
+    fold = (at[:, 0] + 2 * at[:, 1]) % folds
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for spacing, lam in zip(frame["spacing"], frame["lam"], strict=True):
+                nodes = node_grid(xy, spacing, most, support, box)
+                if len(nodes) < 3:
                     continue
-                nodes, values, _ = regularised_ratio(train, spacing=spacing, lam=lam, **bounds)
-                d = np.sqrt(((test[["x", "y"]].to_numpy(float)[:, None] - nodes[None]) ** 2).sum(axis=2))
-                w = np.exp(-0.5 * (d / (1.5 * spacing)) ** 2)
-                s = (w @ values) / np.maximum(w.sum(axis=1), 1e-300)
-                error += float((test["d2"] - 2 * s * test["qd"] + s * s * test["q2"]).clip(lower=0).sum())
-                weight += float(test["w"].sum())
-            rows.append((float(spacing), float(lam), np.sqrt(error / weight) if weight else np.nan))
-    return pd.DataFrame(rows, columns=["spacing", "lam", "cv_rmse"]).sort_values(["cv_rmse", "spacing", "lam"]).reset_index(drop=True)
-
-
-def standardise(df: DataFrame, features: list[str]) -> DataFrame:
-    """``df`` with z_<feature>, by the population's mean and deviation."""
-    stats = df.agg(*(f(c).alias(f"__{n}{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))))
-    out = df.crossJoin(F.broadcast(stats))
-    return out.withColumns({f"z_{c}": F.when(F.col(f"__s{c}") > 0, (F.col(c) - F.col(f"__m{c}")) / F.col(f"__s{c}")).otherwise(0.0) for c in features}).drop(*(c for c in stats.columns))
-
-
-def regimes(df: DataFrame, features: list[str], *, ks: range = range(2, 7), starts: int = 3, seed: int = 20260919) -> tuple[DataFrame, DataFrame]:
-    """``df`` with cluster_id, and a row for each k: silhouette and inertia. k-means on standardised features, best of some starts."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="__v").transform(standardise(df.dropna(subset=features), features))
-    best, table = None, []
-    for k in ks:
-        fitted = min((KMeans(k=k, seed=seed + s, featuresCol="__v", predictionCol="cluster_id").fit(rows) for s in range(starts)), key=lambda m: m.summary.trainingCost)
-        score = ClusteringEvaluator(featuresCol="__v", predictionCol="cluster_id").evaluate(fitted.transform(rows))
-        table.append((k, float(score), float(fitted.summary.trainingCost)))
-        best = max(best or (-2.0, None), (score, fitted), key=lambda x: x[0])
-    out = best[1].transform(rows).drop("__v", *(f"z_{c}" for c in features))
-    return out, df.sparkSession.createDataFrame(table, "k int, silhouette double, inertia double")
+                error = weight = tested = 0.0
+                for f in range(folds):
+                    train, test = cells[fold != f], cells[fold == f]
+                    if len(train) < 3 or not len(test):
+                        continue
+                    values = regularised_ratio(train, nodes, spacing=spacing, lam=lam, **options)
+                    s = near_basis(test[["x", "y"]].to_numpy(float), nodes, float(options.get("sigma_factor", 1.5)) * spacing, int(options.get("neighbours", 12))) @ values
+                    error += float((test["d2"] - 2 * s * test["qd"] + s * s * test["q2"]).clip(lower=0).sum())
+                    weight, tested = weight + float(test["w"].sum()), tested + len(test)
+                rows.append((spacing, lam, float(np.sqrt(error / weight)) if weight > 0 else None, len(nodes), int(tested)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RATIO_CV.split(", ")])
+
+    grid = spark.createDataFrame([(float(s), float(v)) for s in spacings for v in lams], "spacing double, lam double")
+    return grid.repartition(len(spacings) * len(lams), "spacing", "lam").mapInPandas(run, RATIO_CV)
+
+
+def best_regularised(cv: DataFrame) -> DataFrame:
+    """The candidate with the least error, then spacing, then weight of smoothness."""
+    return cv.where(F.col("cv_rmse").isNotNull() & ~F.isnan("cv_rmse")).orderBy("cv_rmse", "spacing", "lam").limit(1)
+
+
+def lloyd(X: np.ndarray, k: int, seed: int, rounds: int = 300) -> tuple[float, np.ndarray]:
+    """Inertia and centres of k-means from seeds drawn with a chance that grows with the squared distance to those before."""
+    rng = np.random.default_rng(seed)
+    centres = X[[rng.integers(len(X))]]
+    far = ((X - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k:
+        new = X[rng.choice(len(X), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(X))]
+        centres, far = np.vstack([centres, new]), np.minimum(far, ((X - new) ** 2).sum(axis=1))
+    for _ in range(rounds):
+        own = nearest_centre(X, centres)
+        after = np.array([X[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(k)])
+        if np.allclose(after, centres, atol=1e-9):
+            break
+        centres = after
+    return float(((X - centres[nearest_centre(X, centres)]) ** 2).sum()), centres
+
+
+def nearest_centre(X: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin(((X[:, None] - centres[None]) ** 2).sum(axis=2), axis=1) if len(X) * len(centres) < 1 << 24 else np.concatenate([nearest_centre(x, centres) for x in np.array_split(X, 2)])
+
+
+def separation(X: np.ndarray, own: np.ndarray) -> tuple[float, float]:
+    """The indices of Calinski and Harabasz (between to within, higher is better) and of Davies and Bouldin (lower is better)."""
+    names, n = np.unique(own, return_counts=True)
+    centres = np.array([X[own == c].mean(axis=0) for c in names])
+    within = np.array([((X[own == c] - m) ** 2).sum() for c, m in zip(names, centres, strict=True)])
+    between = float((n * ((centres - X.mean(axis=0)) ** 2).sum(axis=1)).sum())
+    k, rest = len(names), within.sum()
+    wide = np.array([np.sqrt(((X[own == c] - m) ** 2).sum(axis=1)).mean() for c, m in zip(names, centres, strict=True)])
+    gaps = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gaps, np.inf)
+    worst = ((wide[:, None] + wide[None]) / np.maximum(gaps, 1e-300)).max(axis=1)
+    return float((between / (k - 1)) / (rest / (len(X) - k))) if rest > 0 else 1.0, float(worst.mean())
+
+
+def silhouettes(X: np.ndarray, own: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The silhouettes of the rows ``some``: how much nearer a row is, on average, to its own cluster than to the next one."""
+    names, n = np.unique(own, return_counts=True)
+    place = np.searchsorted(names, own)
+    member = np.eye(len(names))[place]
+    out = np.zeros(len(some))
+    for i in range(0, len(some), 256):
+        rows = some[i : i + 256]
+        d2 = (X[rows] ** 2).sum(axis=1)[:, None] + (X**2).sum(axis=1)[None] - 2 * X[rows] @ X.T
+        d2[np.arange(len(rows)), rows] = 0
+        total, mine = np.sqrt(np.maximum(d2, 0)) @ member, place[rows]
+        inner = total[np.arange(len(rows)), mine] / np.maximum(n[mine] - 1, 1)
+        other = total / n
+        other[np.arange(len(rows)), mine] = np.inf
+        outer = other.min(axis=1)
+        out[i : i + 256] = np.where(n[mine] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0)
+    return out
+
+
+def balanced_sample(df: DataFrame, rows: int, cols: int, most: int, key: str = "pixel_id", seed: int = 20260919, least: int = 100) -> DataFrame:
+    """Every ``rows``-th row and ``cols``-th column (all pixels if these are too few), at most ``most`` of them by a digest."""
+    from terrachron.operators.spatial import hash_sample
+
+    some = df.where((F.col("row") % rows == 0) & (F.col("col") % cols == 0))
+    n = some.count()
+    some, n = (some, n) if n >= least else (df, df.count())
+    return hash_sample(some, key, most, seed) if n > most else some
+
+
+def regimes(df: DataFrame, features: list[str], *, ks: Sequence[int] = (2, 3, 4, 5, 6), k: int | None = None, starts: int = 20, final_starts: int = 30, seed: int = 20260919, sample: DataFrame | None = None, most: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """``df`` with cluster_id (1 on), and a row for each k: silhouette, calinski_harabasz, davies_bouldin and inertia.
+
+    k-means on standardised features is fitted on a bounded sample (``sample``, else at most ``most`` rows by a
+    digest of the features), every start in a task of its own; k is the given one, else the one with the highest
+    silhouette. All rows of ``df`` that have every feature get the cluster of the nearest centre. Clusters are numbered
+    by the centres' last feature.
+    """
+    from terrachron.operators.spatial import hash_sample
+
+    spark = df.sparkSession
+    rows = df.dropna(subset=features)
+    if sample is None:
+        keyed = rows.select(*features, F.concat_ws(":", *(F.col(c).cast("string") for c in features)).alias("__k"))
+        sample = hash_sample(keyed, "__k", most, seed)
+    picked = sample.dropna(subset=features).select(*(F.col(c).cast("double") for c in features)).limit(most).toPandas().to_numpy(float)
+    order = np.lexsort(picked.T[::-1])
+    picked = picked[order]
+    mean, spread = picked.mean(axis=0), picked.std(axis=0)
+    spread = np.where(spread > 0, spread, 1.0)
+    held = spark.sparkContext.broadcast((picked - mean) / spread)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [lloyd(held.value, int(c), int(s)) for c, s in zip(frame["k"], frame["seed"], strict=True)]
+            yield pd.DataFrame({"k": frame["k"], "seed": frame["seed"], "inertia": [i for i, _ in found], "centres": [c.ravel().tolist() for _, c in found]})
+
+    def best_of(tasks: list[tuple[int, int]]) -> dict[int, tuple[float, np.ndarray]]:
+        asked = spark.createDataFrame(tasks, "k int, seed int").repartition(min(len(tasks), 200), "k", "seed")
+        fits = asked.mapInPandas(run, "k int, seed int, inertia double, centres array<double>").orderBy("k", "inertia", "seed").collect()
+        out: dict[int, tuple[float, np.ndarray]] = {}
+        for r in fits:
+            out.setdefault(r["k"], (r["inertia"], np.array(r["centres"]).reshape(r["k"], -1)))
+        return out
+
+    candidates = [c for c in ks if 2 <= c < len(picked)]
+    best = best_of([(c, seed + s) for c in candidates for s in range(starts)])
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        X = held.value
+        for frame in frames:
+            yield pd.DataFrame({"k": frame["k"], "s": [float(silhouettes(X, nearest_centre(X, best[c][1]), np.arange(a, min(len(X), a + 2048))).sum()) for c, a in zip(frame["k"], frame["low"], strict=True)]})
+
+    blocks = spark.createDataFrame([(c, a) for c in candidates for a in range(0, len(picked), 2048)], "k int, low int")
+    sums = {r["k"]: r["s"] / len(picked) for r in blocks.repartition(min(blocks.count(), 200), "k", "low").mapInPandas(score, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    table = [(c, sums[c], *separation(held.value, nearest_centre(held.value, best[c][1])), best[c][0]) for c in candidates]
+    chosen = k or max(candidates, key=lambda c: (sums[c], -c))
+    centres = best_of([(chosen, seed + s) for s in range(final_starts)])[chosen][1]
+    centres = centres[np.lexsort(centres.T)]
+    places = F.array(*(F.struct(sum((F.pow((F.col(c) - float(m)) / float(w) - float(v), 2) for c, m, w, v in zip(features, mean, spread, centre, strict=True)), F.lit(0.0)).alias("d"), F.lit(i + 1).alias("id")) for i, centre in enumerate(centres)))
+    out = rows.withColumn("cluster_id", F.array_min(places)["id"])
+    return out, spark.createDataFrame(table, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double")
 
 
 def cluster_summary(df: DataFrame, values: list[str], cluster: str = "cluster_id") -> DataFrame:

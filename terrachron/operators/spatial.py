@@ -10,37 +10,58 @@ from pyspark.sql.window import Window
 
 from terrachron.functions import geo
 
-#: Sites that may be broadcast to every pixel's task; more are joined through grid cells.
-MOST_SITES = 50_000
-
-
 def pixel_grid(df: DataFrame, width: int, pixel: str = "pixel_id", block: int = 256) -> DataFrame:
     """``df`` with row, col and block_id (a partitioning key of square tiles)."""
     row, col = F.floor(F.col(pixel) / width), F.col(pixel) % width
     return df.withColumns({"row": row.cast("int"), "col": col.cast("int"), "block_id": (F.floor(row / block) * ceil(width / block) + F.floor(col / block)).cast("long")})
 
 
-def _sites(sites: DataFrame) -> DataFrame:
-    n = sites.count()
-    if n > MOST_SITES:
-        raise ValueError(f"{n} sites: use radius_pairs, whose work is bounded by the cell size")
-    return F.broadcast(sites)
+def near_sites(points: DataFrame, sites: DataFrame, k: int, *, point: str = "pixel_id") -> DataFrame:
+    """point, site_id and distance of the sites (site_id, sx, sy) that may be among the k nearest of each point, and are if they are.
+
+    Squares of doubling size are laid over both sets. A point's level is the smallest at which the nine squares around
+    it hold k sites; the k-th nearest is then within 2 * sqrt(2) of that size, so two levels up the nine squares hold
+    all that are nearer. Levels go by squares, not by points; sites appear once a level, and all joins are on squares.
+    """
+    where = sites.agg(F.count("*").alias("n"), F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1")).first()
+    span = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if not where["n"] or span["x0"] is None:
+        return points.select(point, F.lit(None).cast(dict(sites.dtypes)["site_id"]).alias("site_id"), F.lit(None).cast("double").alias("distance")).limit(0)
+    x0, y0 = min(where["x0"], span["x0"]), min(where["y0"], span["y0"])
+    whole = max(max(where["x1"], span["x1"]) - x0, max(where["y1"], span["y1"]) - y0, 1e-9)
+    inner = max(where["x1"] - where["x0"], where["y1"] - where["y0"], whole * 1e-6)
+    need, levels = min(k, where["n"]), 1
+    size = inner / max(1.0, (where["n"] / need) ** 0.5)
+    while size * 2 ** (levels - 1) < whole:
+        levels += 1
+    square = lambda x, y, level: ((F.floor((x - x0) / (size * F.pow(F.lit(2.0), level)))).alias("cx"), (F.floor((y - y0) / (size * F.pow(F.lit(2.0), level)))).alias("cy"))
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    moved = ((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels + 1))).alias("level")
+    laid = sites.select("site_id", "sx", "sy", every).select("site_id", "sx", "sy", "level", *square(F.col("sx"), F.col("sy"), F.col("level")))
+    counts = laid.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"))
+    base = points.select(*(c.alias(f"b{c_}") for c, c_ in zip(square(F.col("x"), F.col("y"), F.lit(0)), "xy", strict=True))).distinct()
+    up = base.select("bx", "by", every).select("bx", "by", "level", *(F.floor(F.col(f"b{c}") / F.pow(F.lit(2.0), F.col("level"))).alias(f"c{c}") for c in "xy"))
+    held = up.select("bx", "by", "level", "cx", "cy", F.explode(around).alias("o")).select("bx", "by", "level", *moved).join(counts, ["level", "cx", "cy"])
+    level = held.groupBy("bx", "by", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= need).groupBy("bx", "by").agg(F.least(F.min("level") + 2, F.lit(levels + 1)).alias("level"))
+    own = points.select(point, "x", "y", *(c.alias(f"b{c_}") for c, c_ in zip(square(F.col("x"), F.col("y"), F.lit(0)), "xy", strict=True))).join(level, ["bx", "by"])
+    asked = own.select(point, "x", "y", "level", *(F.floor(F.col(f"b{c}") / F.pow(F.lit(2.0), F.col("level"))).alias(f"c{c}") for c in "xy")).select(point, "x", "y", "level", "cx", "cy", F.explode(around).alias("o")).select(point, "x", "y", "level", *moved)
+    return asked.join(laid, ["level", "cx", "cy"]).select(point, "site_id", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")).alias("distance"))
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "pixel_id") -> DataFrame:
-    """point, site_id and distance of the nearest of a bounded set of sites (site_id, sx, sy); the smallest id among equals."""
-    d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    best = points.crossJoin(_sites(sites)).groupBy(point).agg(F.min(F.struct(d.alias("distance"), F.col("site_id"))).alias("b"))
+    """point, site_id and distance of the nearest of the sites (site_id, sx, sy); the smallest id among equals."""
+    best = near_sites(points, sites, 1, point=point).groupBy(point).agg(F.min(F.struct("distance", "site_id")).alias("b"))
     return best.select(point, "b.site_id", "b.distance")
 
 
 def knn_weights(points: DataFrame, sites: DataFrame, k: int = 12, sigma: float = 1.0, *, point: str = "pixel_id") -> DataFrame:
-    """point, site_id, distance and Gaussian weight, normalised to 1, of the k nearest of a bounded set of sites."""
-    pairs = points.crossJoin(_sites(sites)).withColumn("distance", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
-    near = pairs.groupBy(point).agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "site_id"))), 1, k).alias("n")).select(point, F.explode("n").alias("n")).select(point, "n.site_id", "n.distance")
+    """point, site_id, distance and Gaussian weight, normalised to 1, of the k nearest of the sites."""
+    own = Window.partitionBy(point)
+    near = near_sites(points, sites, k, point=point).withColumn("__k", F.row_number().over(own.orderBy("distance", "site_id"))).where(F.col("__k") <= k).drop("__k")
     w = geo.gaussian(F.col("distance"), sigma)
-    total = F.sum(w).over(Window.partitionBy(point))
-    return near.withColumn("weight", F.when(total > 0, w / total).otherwise(1 / F.count("*").over(Window.partitionBy(point))))
+    total = F.sum(w).over(own)
+    return near.withColumn("weight", F.when(total > 0, w / total).otherwise(1 / F.count("*").over(own)))
 
 
 def radius_pairs(points: DataFrame, radius: float, *, point: str = "id") -> DataFrame:
@@ -89,7 +110,7 @@ def cell_mean(df: DataFrame, cell: float, value: str = "value") -> DataFrame:
 def bilinear(targets: DataFrame, source: DataFrame, affine: tuple[float, ...], *, key: str = "pixel_id", value: str = "value") -> DataFrame:
     """key and value: a source raster (row, col, value) at target points (x, y), over the up to four cells that are there."""
     a, _, c, _, e, f = affine
-    fx, fy = (F.col("x") - c) / a - 0.5, (F.col("y") - f) / e - 0.5
+    fx, fy = F.round((F.col("x") - c) / a - 0.5, 9), F.round((F.col("y") - f) / e - 0.5, 9)  # a target on a centre takes that cell alone
     base = targets.select(key, fx.alias("fx"), fy.alias("fy"))
     corner = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
     each = base.select(key, "fx", "fy", F.explode(corner).alias("o")).select(key, (F.floor("fy") + F.col("o.i")).cast("int").alias("row"), (F.floor("fx") + F.col("o.j")).cast("int").alias("col"), (F.abs(1 - F.col("o.i") - (F.col("fy") - F.floor("fy"))) * F.abs(1 - F.col("o.j") - (F.col("fx") - F.floor("fx")))).alias("w"))
@@ -102,8 +123,21 @@ def stride(df: DataFrame, step: int) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 20260919) -> DataFrame:
-    """n rows, the same ones each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows, the same ones each time, by a digest of seed and key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def block_sample(df: DataFrame, days: int, most: int, *, each: int = 200, seed: int = 20260919, pixel: str = "pixel_id", block: str = "block_id", value: str = "value") -> DataFrame:
+    """pixel and block of at most ``most`` series: blocks in the order of a digest, from each at most ``each`` evenly spaced ones.
+
+    Only series with values on at least half the ``days`` days, and 12, count.
+    """
+    good = df.groupBy(pixel, block).agg(F.count(value).alias("__n")).where(F.col("__n") >= max(12, days // 2))
+    own = Window.partitionBy(block)
+    placed = good.select(pixel, block, (F.row_number().over(own.orderBy(pixel)) - 1).alias("__at"), F.count("*").over(own).alias("__m"))
+    step = F.ceil(F.col("__at") * (each - 1) / (F.col("__m") - 1))
+    chosen = placed.where((F.col("__m") <= each) | (F.floor(step * (F.col("__m") - 1) / (each - 1)) == F.col("__at")))
+    return chosen.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(block).cast("string"))), block, "__at").limit(most).select(pixel, block)
 
 
 def fold_ids(points: DataFrame, block: float, folds: int) -> DataFrame:

@@ -66,6 +66,15 @@ def histogram(df: DataFrame, column: str, labels: dict[int, str], *, area: str =
     return rows.select("class_id", F.col("class_id_label").alias("class_label"), "pixel_count", "area", (F.col("pixel_count") / F.sum("pixel_count").over(whole)).alias("fraction_of_support"), F.when((F.col("class_id") > 0) & (some > 0), F.col("pixel_count") / some).alias("fraction_of_classified"))
 
 
+def summary_families(df: DataFrame, families: dict[str, tuple[str, dict[int, str]]], *, area: str = "area", nodata: int = 255) -> DataFrame:
+    """family, class_id, class_label, pixels and area of every class of each family (column, labels), and the legend's row of pixels outside."""
+    out = df.sparkSession.createDataFrame([("all", nodata, "outside_support_or_nodata", 0, 0.0)], "family string, class_id int, class_label string, pixels long, area double")
+    for family, (column, labels) in families.items():
+        rows = histogram(df, column, labels, area=area)
+        out = out.unionByName(rows.select(F.lit(family).alias("family"), "class_id", "class_label", F.col("pixel_count").alias("pixels"), F.col("area").cast("double").alias("area")))
+    return out
+
+
 def cross_tab(df: DataFrame, first: str, first_labels: dict[int, str], second: str, second_labels: dict[int, str], *, area: str = "area") -> DataFrame:
     """Every combination of two classes with pixel_count, area and fraction of all, zeros included."""
     counts = df.groupBy(first, second).agg(F.count("*").alias("pixel_count"), F.sum(area).alias("area"))

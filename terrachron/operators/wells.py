@@ -134,6 +134,27 @@ def active_days(df: DataFrame, series: int, least: float = 0.0, value: str = "va
     return df.groupBy(day).agg((F.count(value) / F.lit(series)).alias("active")).where(F.col("active") >= least)
 
 
+def within(df: DataFrame, start: int | None = None, end: int | None = None, day: str = "day") -> DataFrame:
+    """The rows of an analysis window; an end that is not given is the data's own."""
+    df = df if start is None else df.where(F.col(day) >= start)
+    return df if end is None else df.where(F.col(day) <= end)
+
+
+def of_class(df: DataFrame, label: str | None, column: str = "aquifer_class") -> DataFrame:
+    """The rows of a class, whatever its case; all rows without one."""
+    return df if not label else df.where(F.lower(column) == str(label).lower())
+
+
+def first_metadata(df: DataFrame, keys: list[str], columns: list[str], order: str = "date") -> DataFrame:
+    """keys and each column's value of the first row that has one (the smallest among those of one date)."""
+    return df.groupBy(*keys).agg(*(F.min(F.when(F.col(c).isNotNull(), F.struct(order, c)))[c].alias(c) for c in columns))
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Canonical order, for a sink."""
+    return df.orderBy("station_id", "date")
+
+
 def class_counts(df: DataFrame, station: str = "station_id", label: str = "aquifer_class") -> DataFrame:
     return df.select(station, label).distinct().groupBy(label).agg(F.count("*").alias("wells"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
@@ -10,7 +9,7 @@ from typing import Any
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
-from terrachron.sources.tables import write_json
+from terrachron.sources.tables import read_json, write_json
 
 
 @dataclass(frozen=True)
@@ -42,7 +41,7 @@ class ProjectConfig:
         return value
 
     def noted(self, name: str) -> dict[str, Any]:
-        return json.loads(Path(f"{self.outputs}/{name}.json").read_text(encoding="utf-8"))
+        return read_json(f"{self.outputs}/{name}.json")
 
 
 def load_config(path: str | Path) -> ProjectConfig:

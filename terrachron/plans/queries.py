@@ -91,10 +91,12 @@ def harmonic_fit_quadratic(spark: SparkSession, sf: str) -> DataFrame:
 DELTA = f"SELECT a.series_id, {bic_sql('a.rss', 'a.n', 4)} - ({bic_sql('b.rss', 'b.n', 5)}) AS delta_bic FROM ({model_sql(SERIES, ['series_id'], LINEAR, 24)}) a JOIN ({model_sql(SERIES, ['series_id'], QUADRATIC, 24)}) b USING (series_id)"
 
 
+def both_degrees(spark: SparkSession, sf: str) -> DataFrame:
+    return lsq.fit_nested(series(spark, sf), ["series_id"], QUADRATIC, LINEAR, min_obs=24)
+
+
 def deltas(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark, sf)
-    a, b = (lsq.fit(s, ["series_id"], m, min_obs=24).select("series_id", F.col("rss").alias(f"rss{i}"), F.col("n").alias(f"n{i}")) for i, m in enumerate((LINEAR, QUADRATIC)))
-    return a.join(b, "series_id").select("series_id", (classes.bic(F.col("rss0"), F.col("n0"), 4) - classes.bic(F.col("rss1"), F.col("n1"), 5)).alias("delta_bic"))
+    return both_degrees(spark, sf).select("series_id", (classes.bic(F.col("small_rss"), F.col("n"), 4) - classes.bic(F.col("rss"), F.col("n"), 5)).alias("delta_bic"))
 
 
 @query(f"SELECT series_id, {rounded('delta_bic')} AS delta_bic, CASE WHEN delta_bic > 0 THEN 2 WHEN delta_bic <= 0 THEN 1 ELSE 0 END AS preferred, CASE WHEN delta_bic >= 2 THEN 3 WHEN abs(delta_bic) < 2 THEN 2 WHEN delta_bic <= -2 THEN 1 ELSE 0 END AS evidence FROM ({DELTA})")
@@ -137,10 +139,7 @@ F_SQL = f"SELECT a.series_id, b.n, CASE WHEN b.n > 5 AND b.rss > 0 THEN greatest
 
 @query(rsql(F_SQL, "f", "series_id n", 4))
 def nested_f_statistic(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark, sf)
-    a, b = lsq.fit(s, ["series_id"], LINEAR, min_obs=24), lsq.fit(s, ["series_id"], QUADRATIC, min_obs=24)
-    joined = a.select("series_id", F.col("rss").alias("r1")).join(b.select("series_id", F.col("rss").alias("r2"), "n"), "series_id")
-    return r(joined.select("series_id", "n", classes.nested_f(F.col("r1"), F.col("r2"), F.col("n"), 4, 5).alias("f")), 4)
+    return r(both_degrees(spark, sf).select("series_id", "n", classes.nested_f(F.col("small_rss"), F.col("rss"), F.col("n"), 4, 5).alias("f")), 4)
 
 
 @query(
@@ -747,12 +746,15 @@ def geographic_areas(spark: SparkSession, sf: str) -> DataFrame:
     return r(rows.select("row", geo.geographic_area(F.lit(38.5) - 0.02 * F.col("row"), F.lit(38.5) - 0.02 * (F.col("row") + 1), 0.02).alias("area")), 3)
 
 
-@query()
+HULL = geo.convex_hull([(2.5, 3.5), (7.25, 1.0), (4.0, 8.75)])
+IN_HULL = " AND ".join(f"({x1!r} - {x0!r}) * (y - {y0!r}) - ({y1!r} - {y0!r}) * (x - {x0!r}) >= -1e-9" for (x0, y0), (x1, y1) in zip(HULL, HULL[1:] + HULL[:1], strict=True))
+
+
+@query(f"SELECT pixel_id, {IN_HULL} AS inside_hull, {IN_HULL} AND least(sqrt((x - 2.5) * (x - 2.5) + (y - 3.5) * (y - 3.5)), sqrt((x - 7.25) * (x - 7.25) + (y - 1) * (y - 1)), sqrt((x - 4) * (x - 4) + (y - 8.75) * (y - 8.75))) <= 3 AS high_confidence FROM ({GRID})")
 def support_masks(spark: SparkSession, sf: str) -> DataFrame:
     g = grid(spark, sf)
-    hull = geo.convex_hull([(2.5, 3.5), (7.25, 1.0), (4.0, 8.75)])
     near = spatial.nearest_site(g, sites(spark))
-    return spatial.support(g.join(near, "pixel_id"), hull, F.col("distance"), 3.0).select("pixel_id", "inside_hull", "high_confidence")
+    return spatial.support(g.join(near, "pixel_id"), HULL, F.col("distance"), 3.0).select("pixel_id", "inside_hull", "high_confidence")
 
 
 @query(f"SELECT pixel_id, CAST(floor((x - 0) / 3) AS BIGINT) AS bx, CAST(floor((y - (SELECT min(y) FROM ({GRID}))) / 3) AS BIGINT) AS by, CAST((floor(x / 3) + 2 * floor((y - (SELECT min(y) FROM ({GRID}))) / 3)) % 5 AS BIGINT) AS fold FROM ({GRID})")

@@ -11,6 +11,7 @@ from datetime import date
 from typing import Any
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +86,7 @@ def stack_of(spark: SparkSession, cfg: ProjectConfig) -> DataFrame:
     inside = cfg.read(spark, "insar/pixels").where("in_domain").select("pixel_id")
     df = cfg.read(spark, "insar/stack").select("pixel_id", "day", "value").where("value IS NOT NULL").join(inside, "pixel_id", "left_semi")
     a = cfg.section("analysis")
-    if a.get("start_date"):
-        df = df.where(F.col("day") >= day_of(a["start_date"]))
-    return df.where(F.col("day") <= day_of(a["end_date"])) if a.get("end_date") else df
+    return wells.within(df, *(day_of(a[k]) if a.get(k) else None for k in ("start_date", "end_date")))
 
 
 def prepare_groundwater(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
@@ -101,8 +100,8 @@ def prepare_groundwater(spark: SparkSession, cfg: ProjectConfig) -> dict[str, An
     names = {"window_days": "window", "sigma": "sigma", "floor_m": "floor", "min_neighbors": "neighbours", "max_neighbor_gap_days": "gap"}
     spike = {names[k]: v for k, v in quality.items() if k in names} if quality.get("enabled") else None
     heads, audit = wells.canonical(long, variable=s.get("variable", "head"), labels=s.get("aquifer_labels"), least_depth=float(s.get("minimum_water_depth_m", -0.5)), zero_is_missing=bool(s.get("zero_is_missing", False)), spike=spike)
-    heads = cfg.write(heads, "groundwater/canonical")
-    cfg.write(audit, "groundwater/qc_report")
+    heads = cfg.write(wells.in_order(heads), "groundwater/canonical")
+    cfg.write(wells.in_order(audit), "groundwater/qc_report")
     n = heads.agg(F.count("*").alias("rows"), F.count_distinct("station_id").alias("wells")).first()
     return cfg.note("groundwater/summary", {**n.asDict(), "classes": {r["aquifer_class"]: r["wells"] for r in wells.class_counts(heads).collect()}})
 
@@ -110,9 +109,7 @@ def prepare_groundwater(spark: SparkSession, cfg: ProjectConfig) -> dict[str, An
 def well_matrix(spark: SparkSession, cfg: ProjectConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Coordinates (km), daily anomalies, days and ids of the wells of the class that pass the coverage tests."""
     s = cfg.section("groundwater_field")
-    rows = cfg.read(spark, "groundwater/canonical")
-    if s.get("aquifer"):
-        rows = rows.where(F.lower("aquifer_class") == str(s["aquifer"]).lower())
+    rows = wells.of_class(cfg.read(spark, "groundwater/canonical"), s.get("aquifer"))
     if not wells.inconsistent_coordinates(rows, float(s.get("coordinate_tolerance_deg", 1e-5))).isEmpty():
         raise ValueError("a station has more than one place")
     daily = wells.daily_median(rows.select("station_id", F.unix_date("date").alias("day"), F.col("head_m").alias("value")), ["station_id"])
@@ -234,15 +231,12 @@ def decompose_insar(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
         raise ValueError(f"{ends['n']} epochs are too few")
     span = (ends["b"] - ends["a"]) / basis.YEAR
     one, two = TimeModel(ends["a"], 1, (period,)), TimeModel(ends["a"], 2, (period,))
-    f1 = lsq.fit(stack, ["pixel_id"], one, min_obs=least).select("pixel_id", F.col("beta1").alias("linear_rate"), F.col("rss").alias("rss1"), F.col("rmse").alias("linear_rmse"))
-    f2 = lsq.fit(stack, ["pixel_id"], two, min_obs=least)
+    fits = lsq.fit_nested(stack, ["pixel_id"], two, one, min_obs=least)
     b, a = F.col("beta1"), F.col("beta2")
-    guard = float(s.get("vertex_min_abs_curvature", 1e-4))
-    vertex = F.when(F.abs(a) > guard, -b / (2 * a))
-    feature = F.coalesce(F.least(F.greatest(vertex, F.lit(-span)), F.lit(2 * span)), F.when(b < 0, F.lit(2 * span)).otherwise(F.lit(-span)))
-    out = f1.join(f2, "pixel_id").select(
-        "pixel_id", "n", "linear_rate", "linear_rmse", F.col("rmse").alias("quadratic_rmse"), b.alias("start_rate"), (b + 2 * a * span).alias("end_rate"), (2 * a * span).alias("rate_change"), (2 * a).alias("acceleration"), vertex.alias("vertex_years"), feature.alias("vertex_feature"),
-        F.col("beta3").alias("sine"), F.col("beta4").alias("cosine"), basis.amplitude(F.col("beta3"), F.col("beta4")).alias("amplitude"), basis.phase_days(F.col("beta3"), F.col("beta4"), period).alias("phase_days"), (classes.bic(F.col("rss1"), F.col("n"), 4) - classes.bic(F.col("rss"), F.col("n"), 5)).alias("delta_bic"),
+    features = classes.derivatives(b, a, span, float(s.get("vertex_min_abs_curvature", 1e-4)))
+    out = fits.select(
+        "pixel_id", "n", F.col("small_beta1").alias("linear_rate"), F.col("small_rmse").alias("linear_rmse"), F.col("rmse").alias("quadratic_rmse"), b.alias("linear_coefficient"), a.alias("quadratic_coefficient"), *(c.alias(n) for n, c in features.items()),
+        F.col("beta3").alias("sine"), F.col("beta4").alias("cosine"), basis.amplitude(F.col("beta3"), F.col("beta4")).alias("amplitude"), basis.phase_days(F.col("beta3"), F.col("beta4"), period).alias("phase_days"), (classes.bic(F.col("small_rss"), F.col("n"), 4) - classes.bic(F.col("rss"), F.col("n"), 5)).alias("delta_bic"),
     )
     t = float(s.get("bic_threshold", 2.0))
     out = cfg.write(out.withColumns({"bic_preferred": classes.bic_preferred(F.col("delta_bic")), "bic_evidence": classes.bic_evidence(F.col("delta_bic"), t)}), "deformation/products")
@@ -405,35 +399,76 @@ def extensometer(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
     return cfg.note("extensometer/summary", summary)
 
 
+def known_names(section: dict[str, Any], name: str, *names: str) -> None:
+    """An error for a setting that nothing reads."""
+    if unknown := sorted(set(section) - set(names) - {"enabled"}):
+        raise ValueError(f"{name} has settings that nothing reads: {', '.join(unknown)}")
+
+
 def classify_deformation(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
     s = cfg.section("regimes")
-    features = ["start_rate", "end_rate", "acceleration", "amplitude"]
-    rows = cfg.read(spark, "deformation/products").select("pixel_id", *features)
-    lo, hi = s.get("k_range", (2, 6))
-    out, table = models.regimes(rows, features, ks=range(int(lo), int(hi) + 1), seed=int(s.get("random_state", 20260919)))
+    known_names(s, "regimes", "feature_scheme", "k", "k_candidates", "training_spacing_km", "selection_sample_size", "random_state", "stable_rate_mm_yr", "deceleration_threshold_mm_yr", "predict_chunk_size")
+    features = ["quadratic_coefficient", "linear_coefficient", "vertex_feature", "end_rate"]
+    g, seed = grid_of(cfg), int(s.get("random_state", 20260919))
+    rows = cfg.read(spark, "deformation/products").select("pixel_id", "start_rate", *features).dropna()
+    n = rows.count()
+    if n < 100:
+        raise ValueError(f"{n} pixels have every feature; a hundred are needed")
+    a, _, c, _, e, f = g.affine
+    lat = f + e * g.height / 2
+    dx, dy = (abs(a) * 111.320 * np.cos(np.radians(lat)), abs(e) * 110.574) if g.geographic else (abs(a) / 1000, abs(e) / 1000)
+    spacing, most = float(s.get("training_spacing_km", 2.0)), int(s.get("selection_sample_size", 50_000))
+    placed = spatial.pixel_grid(rows, g.width)
+    sample = models.balanced_sample(placed, max(1, round(spacing / dy)), max(1, round(spacing / dx)), most, seed=seed, least=min(100, n))
+    k = s.get("k")
+    out, table = models.regimes(rows, features, ks=[int(x) for x in s.get("k_candidates", (2, 3, 4, 5, 6))], k=None if k is None else int(k), seed=seed, sample=sample, most=most)
     cfg.write(table, "regimes/k_selection")
-    out = cfg.write(out.select("pixel_id", "cluster_id", *features), "regimes/pixels")
-    summary = models.cluster_summary(out, features)
-    summary = cfg.write(summary.withColumn("suggested_label", classes.regime_label(F.col("median_start_rate"), F.col("median_end_rate"), float(s.get("stable_rate_mm_yr", 5)), float(s.get("deceleration_mm_yr", 5)))), "regimes/cluster_summary")
+    out = cfg.write(out.select("pixel_id", "cluster_id", "start_rate", *features), "regimes/pixels")
+    summary = models.cluster_summary(out, ["start_rate", *features])
+    label = classes.regime_label(F.col("median_start_rate"), F.col("median_end_rate"), float(s.get("stable_rate_mm_yr", 5)), float(s.get("deceleration_threshold_mm_yr", 5)))
+    summary = cfg.write(summary.withColumn("suggested_label", label), "regimes/cluster_summary")
     return cfg.note("regimes/summary", {"clusters": summary.count()})
 
 
 def estimate_ske_regularized(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
-    s = cfg.section("ske_regularized")
+    s, r = cfg.section("ske"), cfg.section("seasonal_response")
+    known_names(
+        s, "ske", "observation_cell_km", "node_spacing_km_candidates", "lambda_candidates", "basis_sigma_factor", "max_basis_neighbors", "cv_block_km", "max_extrapolation_km", "min", "max", "min_vector_cosine",
+        "high_confidence_min_vector_cosine", "aggregation_block_size", "rasterize_block_size", "method",
+    )
     lag = F.lit(float(cfg.noted("seasonal/lag")["lag_days"]))
+    sigma = float(cfg.noted("groundwater/field_summary").get("cv_harmonic_vector_rmse_m") or 0.0)
     sine, cosine = basis.rotate(F.col("h_sine"), F.col("h_cosine"), lag)
-    size = float(s.get("cell_km", 2.5))
-    rows = cfg.read(spark, "seasonal/products").join(cfg.read(spark, "insar/pixels").select("pixel_id", F.col("ux").alias("x"), F.col("uy").alias("y")), "pixel_id").where(seasonal.valid()).select("x", "y", F.explode(F.array(F.struct((F.col("d_sine") / 1000).alias("d"), sine.alias("q")), F.struct((F.col("d_cosine") / 1000).alias("d"), cosine.alias("q")))).alias("p"), seasonal.weight().alias("w")).select("x", "y", "w", "p.d", "p.q")
-    cells = spatial.cell_sums(rows, size).withColumns({"x": (F.col("cx") + 0.5) * size, "y": (F.col("cy") + 0.5) * size}).orderBy("cx", "cy").toPandas()  # coarse cells
-    cv = models.regularised_cv(cells, spacings=tuple(s.get("spacing_km_candidates", (10, 15, 20, 25))), lams=tuple(s.get("lambda_candidates", (0.1, 1, 10, 100))))
-    best = cv.iloc[0]
-    nodes, values, _ = models.regularised_ratio(cells, spacing=float(best["spacing"]), lam=float(best["lam"]))
-    cfg.write(spark.createDataFrame(cv), "ske/regularized_cv")
+    size = float(s.get("observation_cell_km", 2.5))
+    places = cfg.read(spark, "insar/pixels").select("pixel_id", F.col("ux").alias("x"), F.col("uy").alias("y"))
+    supported = places.join(cfg.read(spark, "groundwater/support").where("prediction").select("pixel_id"), "pixel_id", "left_semi")
+    waves = cfg.read(spark, "seasonal/products").join(supported, "pixel_id").withColumns({"hs": sine, "hc": cosine, "ds": F.col("d_sine") / 1000, "dc": F.col("d_cosine") / 1000})
+    waves = waves.withColumns({"da": F.hypot("ds", "dc"), "ha": F.hypot("hs", "hc"), "dot": F.col("ds") * F.col("hs") + F.col("dc") * F.col("hc")})
+    cos = F.col("dot") / F.greatest(F.col("da") * F.col("ha"), F.lit(1e-12))
+    noise = F.pow(F.col("d_rmse") / 1000 / F.greatest(F.col("da"), F.lit(1e-9)), 2) + (F.col("h_rmse") * F.col("h_rmse") + sigma**2) / F.pow(F.greatest(F.col("ha"), F.lit(1e-9)), 2)
+    quality = F.greatest(F.least(cos, F.lit(1.0)), F.lit(0.0)) / (1 + noise)
+    valid = (cos > float(s.get("min_vector_cosine", 0))) & (F.col("ha") >= float(r.get("min_head_amplitude_m", 0.2))) & (F.col("da") * 1000 >= float(r.get("min_deformation_amplitude_mm", 0.5)))
+    rows = waves.withColumn("w", quality).where(valid & F.col("w").isNotNull()).select("x", "y", (F.col("w") * F.col("ha") * F.col("ha")).alias("q2"), (F.col("w") * F.col("dot")).alias("qd"), (F.col("w") * F.col("da") * F.col("da")).alias("d2"), "w")
+    sums = rows.groupBy(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).agg(*(F.sum(c).alias(c) for c in ("q2", "qd", "d2", "w"))).where("q2 > 0 AND w > 0")
+    cells = sums.withColumns({"x": (F.col("cx") + 0.5) * size, "y": (F.col("cy") + 0.5) * size}).orderBy("cx", "cy").toPandas()  # coarse cells
+    if len(cells) < 10:
+        raise ValueError(f"{len(cells)} cells have a seasonal response; ten are needed")
+    ends = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    most, factor, neighbours = float(s.get("max_extrapolation_km", 30)), float(s.get("basis_sigma_factor", 1.5)), int(s.get("max_basis_neighbors", 12))
+    options = {"sigma_factor": factor, "neighbours": neighbours, "low": float(s.get("min", 0.0)), "high": float(s.get("max", 0.05))}
+    cv = cfg.write(models.regularised_cv(spark, cells, spacings=s.get("node_spacing_km_candidates", (10, 15, 20, 25)), lams=s.get("lambda_candidates", (0.1, 1, 10, 100)), block=float(s.get("cv_block_km", 30)), most=most, box=tuple(ends), **options), "ske/regularized_cv")
+    best = models.best_regularised(cv).first()
+    if best is None:
+        raise ValueError("no candidate could be validated")
+    spacing = float(best["spacing"])
+    nodes = models.node_grid(cells[["x", "y"]].to_numpy(float), spacing, most, None, tuple(ends))
+    values = models.regularised_ratio(cells, nodes, spacing=spacing, lam=float(best["lam"]), **options)
     sites = cfg.write(spark.createDataFrame([(i, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(nodes, values, strict=True))], "site_id int, sx double, sy double, value double"), "ske/regularized_nodes")
-    near = spatial.knn_weights(cfg.read(spark, "insar/pixels").select("pixel_id", F.col("ux").alias("x"), F.col("uy").alias("y")), sites.select("site_id", "sx", "sy"), 12, 1.5 * float(best["spacing"]))
-    out = near.join(F.broadcast(sites.select("site_id", "value")), "site_id").groupBy("pixel_id").agg(F.sum(F.col("weight") * F.col("value")).alias("ske_effective"), F.min("distance").alias("node_km"))
-    cfg.write(out.where(F.col("node_km") <= float(s.get("max_extrapolation_km", 30))), "ske/regularized")
-    return cfg.note("ske/regularized_summary", {"spacing_km": float(best["spacing"]), "lambda": float(best["lam"]), "cv_rmse_m": float(best["cv_rmse"])})
+    seen = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(cells[["x", "y"]].to_numpy(float))], "site_id int, sx double, sy double")
+    near = spatial.nearest_site(supported, seen).where(F.col("distance") <= most).select("pixel_id")
+    weights = spatial.knn_weights(supported.join(near, "pixel_id", "left_semi"), sites.select("site_id", "sx", "sy"), neighbours, factor * spacing)
+    cfg.write(weights.join(F.broadcast(sites.select("site_id", "value")), "site_id").groupBy("pixel_id").agg(F.sum(F.col("weight") * F.col("value")).alias("ske_effective")), "ske/regularized")
+    return cfg.note("ske/regularized_summary", {"spacing_km": spacing, "lambda": float(best["lam"]), "cv_rmse_m": float(best["cv_rmse"]), "nodes": len(nodes), "cells": len(cells)})
 
 
 def synthesize(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
@@ -486,11 +521,16 @@ def run_pipeline(spark: SparkSession, cfg: ProjectConfig, start: str | None = No
     return {n: run_stage(spark, cfg, n) for n in names[first : last + 1]}
 
 
+#: Stages that have figures, and the error of reading tables that are not there.
+FIGURES = ("prepare-groundwater", "build-groundwater-field", "evolution-modes", "decompose-insar", "joint-harmonics", "estimate-lag", "estimate-ske", "storage-budget", "annual-storage-maps", "classify-deformation", "estimate-ske-regularized", "synthesize-legacy")
+NOT_RUN = AnalysisException
+
+
 def plot_data(spark: SparkSession, cfg: ProjectConfig, stage: str, most: int = 1400) -> dict[str, DataFrame]:
     """What a figure of a stage shows, as small tables: decimated grids with display limits, scans and series."""
     g = grid_of(cfg)
     step = max(1, -(-max(g.height, g.width) // most))
-    maps = {"decompose-insar": ("deformation/products", "end_rate", True), "joint-harmonics": ("seasonal/products", "d_amplitude", False), "estimate-ske": ("ske/products", "primary", False), "storage-budget": ("storage/total_maps", "irreversible", True), "evolution-modes": ("evolution/metrics", "late_rate", True)}
+    maps = {"decompose-insar": ("deformation/products", "end_rate", True), "joint-harmonics": ("seasonal/products", "d_amplitude", False), "estimate-ske": ("ske/products", "primary", False), "storage-budget": ("storage/total_maps", "irreversible", True), "evolution-modes": ("evolution/metrics", "late_rate", True), "build-groundwater-field": ("groundwater/support", "nearest_km", False), "classify-deformation": ("regimes/pixels", "cluster_id", False), "estimate-ske-regularized": ("ske/regularized", "ske_effective", False)}
     if stage in maps:
         name, value, symmetric = maps[stage]
         rows = spatial.stride(spatial.pixel_grid(cfg.read(spark, name).select("pixel_id", F.col(value).alias("value")), g.width), step)
@@ -499,6 +539,8 @@ def plot_data(spark: SparkSession, cfg: ProjectConfig, stage: str, most: int = 1
         return {"scan": cfg.read(spark, "seasonal/lag_scan")}
     if stage == "prepare-groundwater":
         return {"active": wells.monthly_active(cfg.read(spark, "groundwater/canonical"))}
+    if stage == "synthesize-legacy":
+        return {"regimes": cfg.read(spark, "synthesis/response_by_regime")}
     if stage == "annual-storage-maps":
         return {"volumes": cfg.read(spark, "storage/annual_change")}
     raise KeyError(f"no figure for {stage}")

@@ -1,7 +1,7 @@
-"""Rasters: discovery of files by name, single-band TIFF reading and writing, cubes of pixels and days.
+"""Rasters: discovery of files by name, TIFF reading by windows, writing by strips, cubes of pixels and days.
 
 ``GeoTiffSource`` is a data source: ``spark.read.format("terra_tiff").load(path)`` gives (path, pixel_id, value), one
-partition a file. The files are read through Spark's binary reader where the path is not a local one.
+partition for some hundred rows of a file. Files are opened by the tasks, on any file system that pyarrow reads.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 UNITS, SIGNS = {"mm": 1.0, "cm": 10.0, "m": 1000.0}, {"uplift": 1.0, "subsidence": -1.0}
-TYPES = {1: "u1", 2: "u2", 3: "f4"}
+#: The sample format tag of each kind of sample that is written.
+TYPES_OF = {"u1": 1, "u2": 1, "f4": 3}
 
 
 def unit_factor(unit: str, positive: str = "uplift") -> float:
@@ -61,104 +63,233 @@ class Grid:
         return self.crs == "EPSG:4326"
 
 
-def decode_tiff(data: bytes) -> tuple[np.ndarray, Grid]:
-    """The first band and the grid of a TIFF with strips or tiles, uncompressed or deflated, with or without a predictor."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack(order + "I", data[4:8])[0]
-    tags: dict[int, tuple] = {}
-    sizes = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-        code, wide = sizes.get(kind, ("B", 1))
-        place = at + 10 + 12 * i
-        if wide * n > 4:
-            place = struct.unpack(order + "I", data[place : place + 4])[0]
-        raw = data[place : place + wide * n]
-        tags[tag] = (raw.rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(order + code * n, raw)
-    w, h = tags[256][0], tags[257][0]
-    bits, form, packed = tags.get(258, (8,))[0], tags.get(339, (1,))[0], tags.get(259, (1,))[0]
-    dtype = np.dtype(order + ("f" if form == 3 else "i" if form == 2 else "u") + str(bits // 8))
-    tiled = 322 in tags
-    tw, th = (tags[322][0], tags[323][0]) if tiled else (w, tags.get(278, (h,))[0])
-    out, across = np.zeros((h, w), dtype), -(-w // tw)
-    for i, (offset, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
-        raw = data[offset : offset + size]
-        if packed in (8, 32946):
-            raw = zlib.decompress(raw)
-        elif packed != 1:
-            raise ValueError(f"TIFF compression {packed} is not read")
-        top, left = i // across * th, i % across * tw
-        rows = th if tiled else min(th, h - top)
-        block = np.frombuffer(raw, dtype, rows * tw).reshape(rows, tw)
-        if tags.get(317, (1,))[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=dtype)
-        part = block[: h - top, : w - left]
-        out[top : top + part.shape[0], left : left + part.shape[1]] = part
-    scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
-    affine = (scale[0], 0.0, tie[3] - tie[0] * scale[0], 0.0, -scale[1], tie[4] + tie[1] * scale[1])
-    keys = tags.get(34735, ())
-    codes = {keys[j]: keys[j + 3] for j in range(4, len(keys) - 3, 4)}
-    nodata = float(tags[42113][0]) if 42113 in tags and tags[42113][0].strip() else None
-    return out, Grid(h, w, affine, f"EPSG:{codes.get(3072) or codes.get(2048) or 4326}", nodata)
-
-
-def encode_tiff(values: np.ndarray, grid: Grid) -> bytes:
-    """A deflated single-band TIFF, one strip a row block, with the grid's tags."""
-    kind = {"u1": 1, "u2": 1, "f4": 3}[values.dtype.str[1:]]
-    h, w = values.shape
-    strips = [zlib.compress(values[i : i + 64].astype(values.dtype.newbyteorder("<")).tobytes(), 6) for i in range(0, h, 64)]
+#: Bytes and struct codes of the field types of tags.
+FIELDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """A strip of TIFF's LZW: codes of 9 to 12 bits, high bits first, that widen one code early."""
+    out, bits, held, wide = [], 0, 0, 9
+    table: list[bytes] = []
+    last = b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < wide:
+            continue
+        bits -= wide
+        code = held >> bits & (1 << wide) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, wide, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if not table or code > len(table) or code == len(table) and not last:
+            raise ValueError("a broken LZW strip")
+        text = table[code] if code < len(table) else last + last[:1]
+        out.append(text)
+        if last and len(table) < 4096:
+            table.append(last + text[:1])
+        last = text
+        wide = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return b"".join(out)
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """A strip of PackBits: runs and literals."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2 + n])
+            at += 2 + n
+        else:
+            if n > 128:
+                out.append(data[at + 1 : at + 2] * (257 - n))
+            at += 2 if n > 128 else 1
+    return b"".join(out)
+
+
+UNPACK: dict[int, Callable[[bytes], bytes]] = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32773: unpack_bits, 32946: zlib.decompress}
+
+
+class Tiff:
+    """A TIFF or BigTIFF with strips or tiles, read through ``read(offset, size)``: only the parts that a window needs."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        head = read(0, 16)
+        if head[:2] not in (b"II", b"MM"):
+            raise ValueError("not a TIFF")
+        self.order = order = "<" if head[:2] == b"II" else ">"
+        big = struct.unpack(order + "H", head[2:4])[0] == 43
+        at = struct.unpack(order + "Q", head[8:16])[0] if big else struct.unpack(order + "I", head[4:8])[0]
+        word, entry, inline = ("Q", 20, 8) if big else ("I", 12, 4)
+        n = struct.unpack(order + ("Q" if big else "H"), read(at, 8 if big else 2))[0]
+        raw = read(at + (8 if big else 2), entry * n)
+        self.tags: dict[int, tuple] = {}
+        for i in range(n):
+            one = raw[i * entry : (i + 1) * entry]
+            tag, kind, count = struct.unpack(order + "HH" + word, one[: 4 + inline])
+            code, wide = FIELDS.get(kind, ("B", 1))
+            field = one[4 + inline :][: wide * count] if wide * count <= inline else read(struct.unpack(order + word, one[4 + inline :])[0], wide * count)
+            self.tags[tag] = (field.rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(order + code * count, field)
+        get = lambda tag, default: self.tags.get(tag, (default,))[0]
+        self.width, self.height, self.bands = self.tags[256][0], self.tags[257][0], get(277, 1)
+        bits, form, self.packed, self.predictor = set(self.tags.get(258, (8,))), get(339, 1), get(259, 1), get(317, 1)
+        if len(bits) != 1 or (depth := bits.pop()) not in (8, 16, 32, 64) or form not in (1, 2, 3) or self.packed not in UNPACK or self.predictor not in (1, 2, 3):
+            raise ValueError(f"a TIFF of {self.tags.get(258)} bits, sample format {form}, compression {self.packed} and predictor {self.predictor} is not read")
+        self.dtype = np.dtype(order + {1: "u", 2: "i", 3: "f"}[form] + str(depth // 8))
+        self.apart = get(284, 1) == 2 and self.bands > 1  # bands one after the other
+        self.tiled = 322 in self.tags
+        self.block = (self.tags[323][0], self.tags[322][0]) if self.tiled else (min(get(278, self.height), self.height), self.width)
+        self.across, self.down = -(-self.width // self.block[1]), -(-self.height // self.block[0])
+
+    @property
+    def grid(self) -> Grid:
+        scale, tie = self.tags.get(33550, (1.0, 1.0, 0.0)), self.tags.get(33922, (0.0,) * 6)
+        affine = (scale[0], 0.0, tie[3] - tie[0] * scale[0], 0.0, -scale[1], tie[4] + tie[1] * scale[1])
+        if 34264 in self.tags:
+            m = self.tags[34264]
+            affine = (m[0], m[1], m[3], m[4], m[5], m[7])
+        keys = self.tags.get(34735, ())
+        codes = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4)}
+        text = self.tags.get(42113, ("",))[0].strip()
+        return Grid(self.height, self.width, affine, f"EPSG:{codes.get(3072) or codes.get(2048) or 4326}", float(text) if text else None)
+
+    def part(self, row: int, col: int, band: int) -> np.ndarray:
+        """The samples of a strip or tile."""
+        place = row * self.across + col + (band * self.across * self.down if self.apart else 0)
+        offset, size = (self.tags[t][place] for t in ((324, 325) if self.tiled else (273, 279)))
+        rows = self.block[0] if self.tiled else min(self.block[0], self.height - row * self.block[0])
+        deep = 1 if self.apart else self.bands
+        raw = UNPACK[self.packed](self.read(offset, size))
+        if self.predictor == 3:  # bytes of a row by significance, each the difference to the one before of its band
+            flat = np.frombuffer(raw, np.uint8, rows * self.block[1] * deep * self.dtype.itemsize).reshape(rows, -1, deep)
+            planes = np.cumsum(flat, axis=1, dtype=np.uint8).reshape(rows, self.dtype.itemsize, -1)
+            whole = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(self.dtype.newbyteorder(">"))
+            return whole.reshape(rows, self.block[1], deep)[..., 0 if self.apart else band]
+        out = np.frombuffer(raw, self.dtype, rows * self.block[1] * deep).reshape(rows, self.block[1], deep)
+        if self.predictor == 2:
+            out = np.cumsum(out, axis=1, dtype=self.dtype.newbyteorder("="))
+        return out[..., 0 if self.apart else band]
+
+    def window(self, top: int = 0, bottom: int | None = None, left: int = 0, right: int | None = None, band: int = 0) -> np.ndarray:
+        """Rows top to bottom and columns left to right, ends excluded, of a band."""
+        if not 0 <= band < self.bands:
+            raise ValueError(f"there are {self.bands} bands")
+        bottom, right = min(self.height, self.height if bottom is None else bottom), min(self.width, self.width if right is None else right)
+        (th, tw), out = self.block, np.zeros((max(0, bottom - top), max(0, right - left)), self.dtype.newbyteorder("="))
+        for i in range(top // th, -(-bottom // th)):
+            for j in range(left // tw, -(-right // tw)):
+                part = self.part(i, j, band)
+                y0, y1, x0, x1 = max(top, i * th), min(bottom, (i + 1) * th), max(left, j * tw), min(right, (j + 1) * tw)
+                if y0 < y1 and x0 < x1:
+                    out[y0 - top : y1 - top, x0 - left : x1 - left] = part[y0 - i * th : y1 - i * th, x0 - j * tw : x1 - j * tw]
+        return out
+
+
+def decode_tiff(data: bytes, band: int | None = None) -> tuple[np.ndarray, Grid]:
+    """A band and the grid of a TIFF: uncompressed, deflated, LZW or PackBits, any predictor. Of several bands one must be named."""
+    file = Tiff(lambda offset, size: data[offset : offset + size])
+    if band is None and file.bands > 1:
+        raise ValueError(f"{file.bands} bands: name one")
+    return file.window(band=band or 0), file.grid
+
+
+@contextmanager
+def opened(path: str) -> Iterator[Tiff]:
+    """A TIFF on a file system that pyarrow reads (local, or by its scheme), of which only what is asked for is read."""
+    from pyarrow import fs
+
+    place = re.sub(r"^file:/+", "/", path)
+    system, name = (fs.LocalFileSystem(), place) if "://" not in place else fs.FileSystem.from_uri(place)
+    with system.open_input_file(name) as file:
+        yield Tiff(lambda offset, size: file.read_at(size, offset))
+
+
+def frame(sizes: list[int], grid: Grid, dtype: str, strip: int) -> tuple[bytes, bytes]:
+    """What comes before and after the deflated strips of a single-band TIFF of these sizes."""
+    kind, offsets, at = TYPES_OF[dtype], [], 8
+    for n in sizes:
+        offsets.append(at)
+        at += n
     a, _, c, _, e, f = grid.affine
     code = int(grid.crs.split(":")[1])
     geo = (1, 1, 0, 3, 1024, 0, 1, 2 if grid.geographic else 1, 1025, 0, 1, 1, 2048 if grid.geographic else 3072, 0, 1, code)
     nodata = (repr(grid.nodata if grid.nodata is not None else "nan").strip("'") + "\0").encode()
-    head, body, entries = 8, b"".join(strips), []
-    offsets = [head + sum(map(len, strips[:i])) for i in range(len(strips))]
-    extra_at, extra = head + len(body), b""
+    at += at % 2
+    pad, entries, extra = b"\0" * (at - 8 - sum(sizes)), [], b""
 
     def add(tag: int, form: int, count: int, raw: bytes) -> None:
         nonlocal extra
         if len(raw) <= 4:
             entries.append(struct.pack("<HHI", tag, form, count) + raw.ljust(4, b"\0"))
         else:
-            entries.append(struct.pack("<HHII", tag, form, count, extra_at + len(extra)))
+            entries.append(struct.pack("<HHII", tag, form, count, at + len(extra)))
             extra += raw + b"\0" * (len(raw) % 2)
 
-    for tag, form, v in ((256, 4, (w,)), (257, 4, (h,)), (258, 3, (values.dtype.itemsize * 8,)), (259, 3, (8,)), (262, 3, (1,)), (273, 4, offsets), (277, 3, (1,)), (278, 4, (64,)), (279, 4, [len(s) for s in strips]), (339, 3, (kind,)), (33550, 12, (a, -e, 0.0)), (33922, 12, (0.0, 0.0, 0.0, c, f, 0.0)), (34735, 3, geo)):
+    for tag, form, v in ((256, 4, (grid.width,)), (257, 4, (grid.height,)), (258, 3, (np.dtype(dtype).itemsize * 8,)), (259, 3, (8,)), (262, 3, (1,)), (273, 4, offsets), (277, 3, (1,)), (278, 4, (strip,)), (279, 4, sizes), (339, 3, (kind,)), (33550, 12, (a, -e, 0.0)), (33922, 12, (0.0, 0.0, 0.0, c, f, 0.0)), (34735, 3, geo)):
         add(tag, form, len(v), struct.pack("<" + {3: "H", 4: "I", 12: "d"}[form] * len(v), *v))
     add(42113, 2, len(nodata), nodata)
     directory = struct.pack("<H", len(entries)) + b"".join(entries) + b"\0\0\0\0"
-    return b"II*\0" + struct.pack("<I", extra_at + len(extra)) + body + extra + directory
+    return b"II*\0" + struct.pack("<I", at + len(extra)), pad + extra + directory
+
+
+def encode_tiff(values: np.ndarray, grid: Grid, strip: int = 64) -> bytes:
+    """A deflated single-band TIFF, one strip a row block, with the grid's tags."""
+    dtype = values.dtype.str[1:]
+    strips = [zlib.compress(values[i : i + strip].astype("<" + dtype).tobytes(), 6) for i in range(0, len(values), strip)]
+    head, tail = frame([len(x) for x in strips], grid, dtype, strip)
+    return head + b"".join(strips) + tail
 
 
-def cells(values: np.ndarray, grid: Grid) -> pd.DataFrame:
+def known(values: np.ndarray, nodata: float | None) -> np.ndarray:
     flat = values.astype(float).ravel()
     flat[~np.isfinite(flat)] = np.nan
-    if grid.nodata is not None:
-        flat[flat == grid.nodata] = np.nan
-    return pd.DataFrame({"pixel_id": np.arange(flat.size, dtype=np.int64), "value": pd.array(flat, dtype="Float64")})
+    if nodata is not None:
+        flat[flat == nodata] = np.nan
+    return flat
 
 
-def read_rasters(files: DataFrame, grid: Grid | None = None, factor: float = 1.0) -> DataFrame:
-    """path, pixel_id, value (nodata null, times factor) of the TIFFs in ``files`` (path), through Spark's binary reader.
+def read_rasters(files: DataFrame, grid: Grid | None = None, factor: float = 1.0, *, window: tuple[int, int, int, int] | None = None, band: int | None = None, rows: int = 512) -> DataFrame:
+    """path, pixel_id, value (nodata null, times factor) of the TIFFs in ``files`` (path).
 
-    With a grid, a file of another shape or place is an error.
+    A task reads ``rows`` rows of a file at a time, and only the strips or tiles that hold them and the ``window``
+    (top, bottom, left, right; ends excluded). With a grid, a file of another shape or place is an error. Of files of
+    several bands one must be named.
     """
-    spark = files.sparkSession
-    paths = [r["path"] for r in files.select("path").collect()]  # one name a file
     schema = pa.schema([("path", pa.string()), ("pixel_id", pa.int64()), ("value", pa.float64())])
 
+    def bounds(file: Tiff) -> tuple[int, int, int, int]:
+        top, bottom, left, right = window or (0, file.height, 0, file.width)
+        return max(0, top), min(bottom, file.height), max(0, left), min(right, file.width)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with opened(path) as file:
+                    own = file.grid
+                    if grid and ((own.height, own.width) != (grid.height, grid.width) or not np.allclose(own.affine, grid.affine, atol=1e-9)):
+                        raise ValueError(f"{path} has another geometry")
+                    if band is None and file.bands > 1:
+                        raise ValueError(f"{path} has {file.bands} bands: name one")
+                    top, bottom, _, _ = bounds(file)
+                starts = list(range(top, bottom, rows))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int32())], names=["path", "top"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values, own = decode_tiff(content)
-                if grid and (own.height, own.width) != (grid.height, grid.width) or grid and not np.allclose(own.affine, grid.affine, atol=1e-9):
-                    raise ValueError(f"{path} has another geometry")
-                c = cells(values, own)
-                v = c["value"].to_numpy(float, na_value=np.nan) * factor
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(c)), pa.array(c["pixel_id"]), pa.array(v, from_pandas=True)], schema=schema)
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with opened(path) as file:
+                    _, bottom, left, right = bounds(file)
+                    values = file.window(start, min(bottom, start + rows), left, right, band or 0)
+                    ids = (start + np.arange(values.shape[0], dtype=np.int64))[:, None] * file.width + np.arange(left, right)
+                    v = known(values, file.grid.nodata) * factor
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(v), pa.string()), pa.array(ids.ravel()), pa.array(v, from_pandas=True)], schema=schema)
 
-    binary = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return binary.mapInArrow(run, "path string, pixel_id long, value double")
+    parts = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = files.select("path").repartition(parts, "path").mapInArrow(pieces, "path string, top int")
+    return asked.repartition(parts, "path", "top").mapInArrow(run, "path string, pixel_id long, value double")
 
 
 def cube(spark: SparkSession, path: str, *, unit: str = "mm", positive: str = "uplift", grid: Grid | None = None, domain: Column | None = None, **names: str) -> DataFrame:
@@ -183,13 +314,40 @@ def read_cube(spark: SparkSession, path: str, *, days: list[int] | None = None,
     return df if days is None else df.where(F.col("day").isin(days))
 
 
-def write_raster(df: DataFrame, path: str, grid: Grid, value: str = "value", dtype: str = "f4") -> None:
-    """One product (pixel_id, value) as a TIFF; a raster of one file is a driver-side array."""
-    rows = df.select("pixel_id", F.col(value).cast("double").alias("v")).toPandas()
-    out = np.full(grid.height * grid.width, np.nan if dtype == "f4" else grid.nodata or 0, dtype)
-    known = rows["v"].notna()
-    out[rows["pixel_id"][known].to_numpy()] = rows["v"][known].to_numpy()
-    Path(path).write_bytes(encode_tiff(out.reshape(grid.height, grid.width), grid))
+def write_raster(df: DataFrame, path: str, grid: Grid, value: str = "value", dtype: str = "f4", strip: int = 64) -> None:
+    """One product (pixel_id, value) as a deflated TIFF on any file system that Spark writes to.
+
+    Tasks fill and pack strips of ``strip`` rows; the driver learns their sizes, then streams them one by one.
+    """
+    gap = grid.nodata if grid.nodata is not None else (np.nan if dtype == "f4" else 0)
+    per, strips = strip * grid.width, -(-grid.height // strip)
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        at = int(group["strip"].iloc[0])
+        out = np.full(min(strip, grid.height - at * strip) * grid.width, gap, dtype)
+        own = group[group["v"].notna()]
+        out[own["pixel_id"].to_numpy(np.int64) - at * per] = own["v"].to_numpy()
+        return pd.DataFrame({"strip": [at], "data": [zlib.compress(out.astype("<" + dtype).tobytes(), 6)]})
+
+    spark = df.sparkSession
+    every = spark.range(strips).select(F.col("id").alias("strip"), F.lit(None).cast("long").alias("pixel_id"), F.lit(None).cast("double").alias("v"))
+    rows = df.where(F.col("pixel_id").between(0, grid.height * grid.width - 1)).select(F.floor(F.col("pixel_id") / per).alias("strip"), F.col("pixel_id").cast("long").alias("pixel_id"), F.col(value).cast("double").alias("v"))
+    aside = f"{path}.strips"
+    rows.unionByName(every).groupBy("strip").applyInPandas(pack, "strip long, data binary").write.mode("overwrite").parquet(aside)
+    packed = spark.read.parquet(aside).orderBy("strip")
+    sizes = [r["n"] for r in packed.select("strip", F.octet_length("data").alias("n")).orderBy("strip").collect()]
+    head, tail = frame(sizes, grid, dtype, strip)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(head))
+        for r in packed.toLocalIterator():
+            out.write(bytearray(r["data"]))
+        out.write(bytearray(tail))
+    finally:
+        out.close()
+    system.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
 
 
 class TiffReader(DataSourceReader):
@@ -197,18 +355,25 @@ class TiffReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        found = Path(self.path)
-        files = sorted(found.glob("*.tif")) if found.is_dir() else [found]
-        return [InputPartition(str(f)) for f in files]
+        found = Path(re.sub(r"^file:/+", "/", self.path))
+        files = sorted(str(f) for f in found.glob("*.tif")) if found.is_dir() else [self.path]
+        out = []
+        for name in files:
+            with opened(name) as file:
+                out += [InputPartition((name, top)) for top in range(0, file.height, 512)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        values, grid = decode_tiff(Path(partition.value).read_bytes())
-        c = cells(values, grid)
-        yield pa.RecordBatch.from_arrays([pa.array([partition.value] * len(c)), pa.array(c["pixel_id"]), pa.array(c["value"].to_numpy(float, na_value=np.nan), from_pandas=True)], names=["path", "pixel_id", "value"])
+        name, top = partition.value
+        with opened(name) as file:
+            if file.bands > 1:
+                raise ValueError(f"{name} has {file.bands} bands")
+            v = known(file.window(top, top + 512), file.grid.nodata)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(top * file.width + np.arange(len(v), dtype=np.int64)), pa.array(v, from_pandas=True)], names=["path", "pixel_id", "value"])
 
 
 class GeoTiffSource(DataSource):
-    """Register with ``spark.dataSource.register(GeoTiffSource)``."""
+    """Register with ``spark.dataSource.register(GeoTiffSource)``; a folder or one file."""
 
     @classmethod
     def name(cls) -> str:
@@ -222,6 +387,6 @@ class GeoTiffSource(DataSource):
 
 
 def grid_of(spark: SparkSession, path: str) -> Grid:
-    """The grid of a TIFF."""
-    content = spark.read.format("binaryFile").load(re.sub(r"^file:(?=/)", "file:", path)).select("content").first()["content"]
-    return decode_tiff(bytes(content))[1]
+    """The grid of a TIFF, from its head alone."""
+    with opened(path) as file:
+        return file.grid

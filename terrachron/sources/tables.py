@@ -71,7 +71,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def write_json(value: dict, path: str) -> None:
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+def write_json(value: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A summary as a JSON file, on the file system that the path names."""
+    text = json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n"
+    if "://" not in path and not path.startswith("file:"):
+        target = Path(path)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text, encoding="utf-8")
+        return
+    spark = spark or SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_json(path: str, spark: SparkSession | None = None) -> dict:
+    """A summary that ``write_json`` wrote."""
+    if "://" not in path and not path.startswith("file:"):
+        return json.loads(Path(path).read_text(encoding="utf-8"))
+    spark = spark or SparkSession.active()
+    return json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))

@@ -14,7 +14,8 @@ from terrachron.sources import rasters
 
 P, SIZE = 365.2425, 20
 FIRST = date(2018, 1, 1)
-WELLS = [(1, 1), (1, 9), (1, 18), (7, 4), (7, 14), (10, 1), (10, 10), (10, 18), (14, 6), (18, 2), (18, 10), (18, 18)]
+#: Rows and columns of the wells, slopes of the years (below), settings and bounds of the case.
+WELLS = [(2, 2), (2, 8), (2, 14), (2, 18), (7, 4), (7, 11), (7, 17), (12, 2), (12, 8), (12, 15), (17, 5), (17, 17)]
 
 
 def head(t, x, y):
@@ -57,8 +58,8 @@ def project(tmp_path_factory):
         "seasonal_response": {"lag_search_days": [0, 100], "lag_step_days": 1},
         "storage": {"baseline_date": "2018-01-13", "valid_fraction": 0.8},
         "extensometer": {"path": "markers.csv", "format": "marker_table", "date_column": "标孔", "depth_row_label": "深度（m）", "marker_columns": ["F1", "F2", "F3", "F4"], "lon": 115.21, "lat": 38.29},
-        "regimes": {"k_range": [2, 3]},
-        "ske_regularized": {"spacing_km_candidates": [15], "lambda_candidates": [0.1, 1]},
+        "regimes": {"k_candidates": [2, 3], "selection_sample_size": 300},
+        "ske": {"node_spacing_km_candidates": [15], "lambda_candidates": [0.1, 1], "observation_cell_km": 5, "cv_block_km": 12},
     }
     (root / "project.yaml").write_text(yaml.safe_dump(config, allow_unicode=True), encoding="utf-8")
     return root / "project.yaml"
@@ -93,12 +94,61 @@ def test_optional_stages_and_figures(spark, project):
     assert cfg.read(spark, "ske/regularized").agg({"ske_effective": "avg"}).first()[0] == pytest.approx(0.002, abs=6e-4)
     assert stages.plot_data(spark, cfg, "decompose-insar")["grid"].count() == SIZE * SIZE
     assert stages.plot_data(spark, cfg, "estimate-lag")["scan"].count() == 101
+    assert cfg.read(spark, "regimes/k_selection").count() == 2
+    clusters = cfg.read(spark, "regimes/pixels").groupBy("cluster_id").count().count()
+    assert clusters == cfg.read(spark, "regimes/cluster_summary").count()
+    for name in stages.FIGURES:
+        assert all(t.columns for t in stages.plot_data(spark, cfg, name).values())
+
+
+def test_settings_that_nothing_reads_are_errors(spark, project):
+    cfg = load_config(project)
+    for section, stage in (("regimes", "classify-deformation"), ("ske", "estimate-ske-regularized")):
+        bad = type(cfg)(cfg.data | {section: {"k_range": [2, 3]}}, cfg.root)
+        with pytest.raises(ValueError, match="k_range"):
+            stages.run_stage(spark, bad, stage)
+
+
+def test_wide_wells_give_the_long_ones(spark, project, tmp_path):
+    """The wide format through its stage: depths below the ground, a column a date."""
+    cfg = load_config(project)
+    rows = [(f"W{i}", 115.0 + i * 0.01, 38.0, "Confined", 50.0 + i, [10.0 + i, None, 12.5 + i]) for i in range(3)]
+    pd.DataFrame([(*r[:5], *r[5]) for r in rows], columns=["well", "lon", "lat", "layer", "top", "2018-01-01", "2018/01/02", "2018.1.3"]).to_csv(tmp_path / "wide.csv", index=False)
+    wide = {"path": str(tmp_path / "wide.csv"), "format": "wide", "variable": "depth_to_water", "fields": {"station_id": "well", "lon": "lon", "lat": "lat", "aquifer_class": "layer", "elevation_m": "top"}}
+    own = type(cfg)({"outputs": str(tmp_path / "out"), "groundwater": wide}, tmp_path)
+    assert stages.run_stage(spark, own, "prepare-groundwater") == {"rows": 6, "wells": 3, "classes": {"confined": 3}}
+    got = [(r["station_id"], str(r["date"]), r["head_m"]) for r in own.read(spark, "groundwater/canonical").collect()]
+    assert sorted(got) == sorted((r[0], d, r[4] - v) for r in rows for d, v in zip(("2018-01-01", "2018-01-02", "2018-01-03"), r[5], strict=True) if v is not None)
+
+
+def test_hydrostratigraphy(spark, project, tmp_path):
+    """Layers of sand and clay as rasters on the pixel grid: totals where all layers are there."""
+    cfg = load_config(project)
+    g = stages.grid_of(cfg)
+    rng = np.random.default_rng(4)
+    layers, sand, clay = [], [], []
+    for i in range(2):
+        sand.append(rng.uniform(1, 9, (SIZE, SIZE)).astype("f4"))
+        clay.append(rng.uniform(1, 9, (SIZE, SIZE)).astype("f4"))
+        sand[i][i, i] = np.nan
+        for kind, values in (("sand", sand[i]), ("clay", clay[i])):
+            (tmp_path / f"{kind}{i}.tif").write_bytes(rasters.encode_tiff(values, g))
+        layers.append({"id": f"L{i}", "sand": str(tmp_path / f"sand{i}.tif"), "clay": str(tmp_path / f"clay{i}.tif")})
+    own = type(cfg)(cfg.data | {"hydrostratigraphy": {"layers": layers}}, cfg.root)
+    stages.run_stage(spark, own, "hydrostratigraphy")
+    got = own.read(spark, "hydrostratigraphy/totals").toPandas().set_index("pixel_id")
+    s, c = sum(sand).ravel(), sum(clay).ravel()
+    inside = np.flatnonzero(np.isfinite(s))
+    assert set(got.index) == set(inside.tolist()) and len(inside) == SIZE * SIZE - 2
+    assert np.allclose(got.loc[inside, "clay_fraction"], c[inside] / (s + c)[inside], rtol=1e-5)
 
 
 def test_command_line(spark, project, capsys):
     assert main(["list-stages"]) == 0 and "storage-budget" in capsys.readouterr().out
     assert main(["stage", str(project), "annual-storage-maps"]) == 0
+    assert "annual-storage-maps.largest_difference_m3" in capsys.readouterr().out
     assert main(["run", str(project), "--from", "estimate-ske", "--to", "estimate-lag"]) == 1
-    assert "failed" in capsys.readouterr().out
+    assert "ValueError" in capsys.readouterr().err
+    assert main(["plot", str(project), "--stage", "estimate-lag"]) == 0 and "estimate-lag scan: " in capsys.readouterr().out
     with pytest.raises(KeyError):
         stages.run_stage(spark, load_config(project), "nothing")
