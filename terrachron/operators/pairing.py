@@ -30,6 +30,34 @@ def same_season_pairs(df: DataFrame, keys: list[str], *, date: str = "date", mon
     return out.select("*", F.datediff("date2", F.add_months("date1", 12)).alias("anniversary_offset_days"), elapsed.alias("elapsed_days"), (elapsed / F.lit(YEAR)).alias("elapsed_years"))
 
 
+def valued_pairs(df: DataFrame, keys: list[str], *, date: str = "date", value: str = "value", months: tuple[int, int] = (1, 8), max_day_diff: int = 18) -> DataFrame:
+    """``same_season_pairs`` with value1, value2 and rate, in one shuffle by key: the fold carries the days' medians along."""
+    rows = df.select(*keys, F.to_date(date).alias("d"), F.col(value).alias("v")).where(F.month("d").between(*months))
+    rows = rows.repartition(*keys) if keys else rows
+    daily = rows.groupBy(*keys, "d").agg(F.median("v").alias("v"))
+    whole = daily.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("all"))
+    year = lambda k: F.filter("all", lambda x: F.year(x["d"]) == F.col("y") + k)
+    both = whole.select(*keys, "all", F.explode(F.array_distinct(F.transform("all", lambda x: F.year(x["d"])))).alias("y")).select(*keys, "y", year(0).alias("days"), year(1).alias("free")).where(F.size("free") > 0)
+    gap = "abs(datediff(t.d, add_months(s.d, 12)))"
+    best = f"array_min(transform(filter(acc.free, t -> {gap} <= {max_day_diff}), t -> struct({gap} AS gap, t.d AS day, t.v AS v)))"
+    none = "CAST(array() AS array<struct<date1: date, date2: date, value1: double, value2: double>>)"
+    pair = "named_struct('date1', s.d, 'date2', b.day, 'value1', CAST(s.v AS double), 'value2', CAST(b.v AS double))"
+    step = f"element_at(transform(array({best}), b -> named_struct('free', if(b IS NULL, acc.free, filter(acc.free, t -> t.d <> b.day)), 'pairs', if(b IS NULL, acc.pairs, array_append(acc.pairs, {pair})))), 1)"
+    pairs = both.withColumn("p", F.expr(f"aggregate(days, named_struct('free', free, 'pairs', {none}), (acc, s) -> {step}).pairs"))
+    out = pairs.select(*keys, F.col("y").alias("year1"), (F.col("y") + 1).alias("year2"), F.explode("p").alias("p")).select(*keys, "year1", "year2", "p.*")
+    elapsed = F.datediff("date2", "date1")
+    out = out.withColumns({"anniversary_offset_days": F.datediff("date2", F.add_months("date1", 12)), "elapsed_days": elapsed, "elapsed_years": elapsed / F.lit(YEAR)})
+    return out.withColumn("rate", (F.col("value2") - F.col("value1")) / F.col("elapsed_years"))
+
+
+def values_of_pairs(df: DataFrame, pairs: list[tuple], keys: list[str], *, date: str = "date", value: str = "value") -> DataFrame:
+    """The rates of the same pairs of dates (year1, year2, date1, date2, elapsed_years: one list for all) in every series, in one shuffle by key."""
+    series = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(date), F.col(value)))).alias("m"))
+    each = F.array(*(F.struct(F.lit(y1).alias("year1"), F.lit(y2).alias("year2"), F.lit(a).alias("date1"), F.lit(b).alias("date2"), F.lit(float(t)).alias("elapsed_years")) for y1, y2, a, b, t in pairs))
+    out = series.select(*keys, "m", F.explode(each).alias("p")).select(*keys, "p.*", F.col("m")[F.col("p.date1")].alias("value1"), F.col("m")[F.col("p.date2")].alias("value2"))
+    return out.withColumn("rate", (F.col("value2") - F.col("value1")) / F.col("elapsed_years"))
+
+
 def with_values(pairs: DataFrame, df: DataFrame, keys: list[str], *, date: str = "date", value: str = "value") -> DataFrame:
     """Pairs with value1 and value2 of their dates."""
     values = df.select(*keys, F.to_date(date).alias("d"), F.col(value).alias("v")).groupBy(*keys, "d").agg(F.median("v").alias("v"))

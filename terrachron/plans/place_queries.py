@@ -476,7 +476,7 @@ def raster_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pixel_id", F.col("day").cast("long").alias("day"), (F.col("value") + F.lit(0.0)).alias("value"))
 
 
-@query("SELECT CAST(max(s_suppkey) // 10 + 1 AS INTEGER) AS height, 10 AS width, 110.0 AS x0, 38.5 AS y0, 'EPSG:4326' AS crs, CAST(2 AS BIGINT) AS files, CAST(1 AS BIGINT) AS reference_dates FROM supplier")
+@query("SELECT CAST(max(s_suppkey) // 10 + 1 AS INTEGER) AS height, 10 AS width, CAST(110.0 AS DOUBLE) AS x0, CAST(38.5 AS DOUBLE) AS y0, 'EPSG:4326' AS crs, CAST(2 AS BIGINT) AS files, CAST(1 AS BIGINT) AS reference_dates FROM supplier")
 def raster_metadata(spark: SparkSession, sf: str) -> DataFrame:
     path, _ = raster_folder(spark, sf)
     files = rasters.discover(spark, path)

@@ -176,8 +176,7 @@ valued AS (SELECT p.*, (b.value - a.value) / (p.elapsed_days / {YEAR!r}) AS rate
 
 
 def paired(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark, sf)
-    return pairing.with_values(pairing.same_season_pairs(s, ["series_id"]), s, ["series_id"])
+    return pairing.valued_pairs(series(spark, sf), ["series_id"])
 
 
 @query(PAIRS + "SELECT series_id, year1, year2, date1, date2, date_diff('day', CAST(date1 + INTERVAL 12 MONTH AS DATE), date2) AS anniversary_offset_days, elapsed_days FROM pairs", dates="date1 date2")
@@ -195,7 +194,7 @@ def same_season_rate(spark: SparkSession, sf: str) -> DataFrame:
     + f"SELECT a.series_id, a.year1, a.year2, a.date1, a.date2, {rounded('median(b.rate)')} AS median_without FROM valued a JOIN valued b ON a.series_id = b.series_id AND a.year1 = b.year1 AND a.date1 <> b.date1 WHERE a.series_id % 10 = 1 GROUP BY a.series_id, a.year1, a.year2, a.date1, a.date2", dates="date1 date2")
 def jackknife_pairs(spark: SparkSession, sf: str) -> DataFrame:
     some = series(spark, sf).where(F.col("series_id") % 10 == 1)
-    valued = pairing.with_values(pairing.same_season_pairs(some, ["series_id"]), some, ["series_id"])
+    valued = pairing.valued_pairs(some, ["series_id"])
     return r(pairing.jackknife(valued, ["series_id"]).drop("median_all", "shift_from_full"))
 
 

@@ -175,15 +175,15 @@ def evolution_modes(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
     limits = {"stable_rate": float(th.get("stable_rate_mm_yr", 5)), "meaningful_rate": float(th.get("meaningful_rate_change_mm_yr", 5)), "stable_head": float(th.get("stable_head_m_yr", 0.5)), "meaningful_head": float(th.get("meaningful_head_m_yr", 1.0))}
     stack = stack_of(spark, cfg).withColumn("date", F.date_from_unix_date("day"))
     epochs = pairing.same_season_pairs(stack.select("date").distinct(), [], months=(int(months[0]), int(months[-1])), max_day_diff=diff)
-    first = stack.select("pixel_id", F.col("date").alias("date1"), F.col("value").alias("value1"))
-    second = stack.select("pixel_id", F.col("date").alias("date2"), F.col("value").alias("value2"))
-    valued = first.join(F.broadcast(epochs), "date1").join(second, ["pixel_id", "date2"])  # as many pairs as epochs, at most
-    rates = pairing.pair_rates(valued.withColumn("rate", (F.col("value2") - F.col("value1")) / F.col("elapsed_years")), ["pixel_id"], least=least)
+    pairs = [(r["year1"], r["year2"], r["date1"], r["date2"], r["elapsed_years"]) for r in epochs.orderBy("date1").collect()]  # as many as epochs, at most
+    if not pairs:
+        raise ValueError("no two epochs are a year apart")
+    rates = pairing.pair_rates(pairing.values_of_pairs(stack, pairs, ["pixel_id"]), ["pixel_id"], least=least)
     rates = cfg.write(rates.where("rate IS NOT NULL"), "evolution/interval_rates")
     heads = cfg.read(spark, "groundwater/canonical")
     if s.get("aquifer"):
         heads = heads.where(F.lower("aquifer_class") == str(s["aquifer"]).lower())
-    own = pairing.with_values(pairing.same_season_pairs(heads, ["station_id"], months=(int(months[0]), int(months[-1])), max_day_diff=diff), heads.withColumn("value", F.col("head_m")), ["station_id"])
+    own = pairing.valued_pairs(heads, ["station_id"], value="head_m", months=(int(months[0]), int(months[-1])), max_day_diff=diff)
     x, y = kilometres(cfg, F.col("lon"), F.col("lat"))
     places = heads.groupBy("station_id").agg(F.min_by("lon", "date").alias("lon"), F.min_by("lat", "date").alias("lat"), F.min_by("aquifer_class", "date").alias("aquifer_class")).withColumns({"x": x, "y": y})
     changes = pairing.pair_rates(own, ["station_id"], least=least).join(places, "station_id")
