@@ -42,6 +42,21 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_take_empty_tables_null_ids_and_no_labels(spark, tmp_path):
+    """No rows, no labels and no items; and a few rows without an id or text, with columns of other names."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "some words of a text", "en", None, 1, 2, 3), (1, None, None, "s", 1, 2, 3), (2, "", "en", "s", None, 2, 3), (3, "other words of a text", "en", "s", 4, 2, 3), (3, "other words of a text", "en", "s", 4, 2, 3), (None, "4711", None, None, None, 2, 3)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __id long, score long")
+    for docs, want in ((some.limit(0), [0, 0, 0, 0]), (some, [6, 3, 2, 2])):
+        for (_, stage), n in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == some.columns
+            docs = spark.createDataFrame(out.collect(), some.schema)
+            assert docs.count() == n
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == want[-1]
+
+
 def test_near_duplicates_takes_five_words_and_four_fifths(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
