@@ -21,6 +21,8 @@ from terrachron.llm.common import by_bytes, held_out, prepare
 #: Bounds of the fit: toxic and other texts that are sampled.
 TOXIC, OTHER = 2000, 4000
 BITS, SHORTEST, LONGEST = 22, 2, 6
+#: Bytes of text that are scored at a time; a byte takes some 150 while it is.
+BATCH_BYTES = 1 << 18
 LEAST_TEXTS, LEAST_Z, SMOOTH, PENALTY, THRESHOLD = 3, 3.5, 1.0, 0.1, 0.7
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -163,7 +165,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 1 << 20):
+        for batch in by_bytes(batches, BATCH_BYTES):
             values = model.scores([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64()), pa.array((values >= THRESHOLD).astype(np.int32))], schema=SCHEMA)
 
@@ -177,7 +179,7 @@ def keep_clean(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 1 << 20):
+        for batch in by_bytes(batches, BATCH_BYTES):
             if batch.num_rows:
                 yield batch.filter(pa.array(model.scores([t or "" for t in batch.column(at).to_pylist()]) < THRESHOLD))
 
