@@ -34,7 +34,7 @@ from terrachron.llm.elias_fano import PREFIX_BITS, Trie, probability
 
 STRENGTH = 500.0
 #: Bounds: tokens and documents of a chunk, text bytes a shard should hold, least shards; a word is frequent at this part of a shard.
-CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, LEAST_SHARDS, FREQUENT = 1_000_000, 60_000, 12 << 20, 16, 0.25
+CHUNK_TOKENS, CHUNK_DOCS, SHARD_BYTES, LEAST_SHARDS, FREQUENT = 3_000_000, 60_000, 12 << 20, 16, 0.25
 START, END = b" <s>", b" </s>"  # with a blank, no word is like them
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
