@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from terrachron.functions.basis import TimeModel
-from terrachron.operators import lsq, models, spatial
+from terrachron.operators import diagnostics, lsq, models, spatial
 from terrachron.sources import rasters, tables
 
 
@@ -39,6 +39,44 @@ def test_centres_start_at_the_least_sum():
     assert len(models.spread_centres(xy, 99)) == 5
 
 
+def test_change_models_are_validated_out_of_fold(spark):
+    """Each station's prediction comes from a model that has not seen its fold; written again from the formulas."""
+    rng = np.random.default_rng(11)
+    xy = np.array([(3.0 * i, 3.0 * j) for i in range(4) for j in range(3)])
+    v = 1 + 0.2 * xy[:, 0] - 0.1 * xy[:, 1] + rng.normal(0, 0.05, 12)
+    rows = [(f"S{k:02d}", year, float(x), float(y), float(r) * (year - 1999)) for year in (2000, 2001) for k, ((x, y), r) in enumerate(zip(xy, v, strict=True))]
+    out = models.change_cv(spark.createDataFrame(rows, "station_id string, year1 int, x double, y double, rate double"), sigmas=[4.0], ridges=[0.1], block=3.0, folds=3)
+    got = {(r["station_id"], r["year1"]): (r["predicted"], r["fold"]) for r in out.collect()}
+    assert len(got) == 24 and {f for _, f in got.values()} == {0, 1, 2}
+    for (name, year), (predicted, fold) in got.items():
+        train = np.array([got[f"S{k:02d}", year][1] != fold for k in range(12)])
+        centres = models.spread_centres(xy[train], 32)
+        B = lambda p, c=centres: np.column_stack([np.ones(len(p)), np.exp(-0.5 * ((p[:, None] - c[None]) ** 2).sum(axis=2) / 16)])
+        A, y = B(xy[train]), v[train] * (year - 1999)
+        w = np.linalg.solve(A.T @ A + 0.1 * np.diag([0.0, *np.ones(len(centres))]), A.T @ y)
+        assert predicted == pytest.approx(float((B(xy[[int(name[1:])]]) @ w)[0]), abs=1e-8)
+    summary = models.change_cv_summary(out).first()
+    errors = [p - v[int(n[1:])] * (y - 1999) for (n, y), (p, _) in got.items()]
+    assert summary["n_validation"] == 24 and summary["n_intervals"] == 2 and summary["cv_rmse"] == pytest.approx(np.sqrt(np.mean(np.square(errors))))
+
+
+def test_majority_of_f_tests(spark):
+    """The share of series whose larger model is significant, by a numerical integral of the F density."""
+    rng = np.random.default_rng(12)
+    t = np.arange(0, 3000, 60)
+    rows = [(k, int(d), float(rng.normal() + (k % 3 == 0) * (d / 600) ** 2)) for k in range(30) for d in t]
+    df = spark.createDataFrame(rows, "k int, day int, value double")
+    small, large = (lsq.fit(df, ["k"], TimeModel(0, n)) for n in (1, 2))
+    got = diagnostics.f_test_share(small, large, ["k"], 4, 5).first()
+    a, b = ({r["k"]: r["rss"] for r in f.collect()} for f in (small, large))
+    m = len(t) - 5
+    x = np.linspace(0, 1, 400_001)[1:-1]
+    density = x ** (m / 2 - 1) * (1 - x) ** -0.5  # of the beta distribution that F with 1 and m degrees goes over to
+    whole = np.cumsum(density) / density.sum()
+    tail = [np.interp(m / (m + (a[k] - b[k]) / (b[k] / m)), x, whole) for k in a]
+    assert got["n_valid"] == 30 and got["share"] == pytest.approx(np.mean(np.array(tail) < 0.05)) and got["degree"] == (2 if got["share"] > 0.5 else 1)
+
+
 def test_scores_of_clusters():
     rng = np.random.default_rng(2)
     X = np.vstack([rng.normal(c, 0.4, size=(n, 3)) for c, n in ((0, 20), (3, 35), (6, 11))])
