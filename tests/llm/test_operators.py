@@ -473,6 +473,45 @@ def test_communication_matrix():
         op7_sharding.matrix([1], [2], 0)
 
 
+def test_toxicity_ratios_and_fit():
+    """Log-count ratios counted in plain sets, and a fit at which the penalised loss has no slope."""
+    rng = random.Random(12)
+    clean, bad = "stone river green hill walk tree house cloud".split(), ["vexnot", "gorblat"]
+    texts = [" ".join(rng.choices(clean, k=rng.randint(2, 20)) + rng.choices(bad, k=i % 3 == 0)) for i in range(150)]
+    labels = [int(i % 3 == 0) for i in range(150)]
+    model = op6_toxicity.fit(texts, labels)
+
+    def bucket(gram):  # the same hash, one n-gram at a time
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x9E3779B1 + ord(c)) & 0xFFFFFFFF
+        return ((h ^ (h >> 15) ^ len(gram)) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - op6_toxicity.BITS)
+
+    sets = [{bucket(f" {t} "[i : i + n]) for n in range(2, 7) for i in range(len(t) + 3 - n)} for t in texts]
+    p, q = (Counter(b for own, y in zip(sets, labels, strict=True) if y == side for b in own) for side in (1, 0))
+    m = op6_toxicity.SMOOTH
+    ratio = {b: np.log((p[b] + m) / (50 + 2 * m)) - np.log((q[b] + m) / (100 + 2 * m)) for b in set(p) | set(q)}
+    kept = sorted(b for b, v in ratio.items() if p[b] + q[b] >= op6_toxicity.LEAST_TEXTS and abs(v) >= op6_toxicity.LEAST_Z * np.sqrt(1 / (p[b] + m) + 1 / (q[b] + m)))
+    assert model.kept.tolist() == kept and kept
+    X = np.array([[ratio[b] if b in own else 0.0 for b in kept] for own in sets])
+    w = model.weights / np.array([ratio[b] for b in kept])
+    miss = 1 / (1 + np.exp(-(X @ w + model.intercept))) - np.array(labels)
+    slope = np.append(X.T @ miss + op6_toxicity.PENALTY * w, miss.sum())
+    assert np.abs(slope).max() < 0.05
+    assert np.allclose(model.scores(texts), 1 / (1 + np.exp(-(X @ w + model.intercept))), atol=1e-9)
+
+
+def test_very_long_texts(spark):
+    """A document of many distinct words and one of a single pair, beside short ones: all tokens count."""
+    long, same_pair = " ".join(f"w{i}" for i in range(400_000)), "to be " * 200_000
+    df = spark.createDataFrame([(2, long), (3, same_pair), (4, "to be"), (5, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op4_lm.score(df).collect()}
+    assert [got[i]["n_tokens"] for i in (2, 3, 4, 5)] == [400_001, 400_001, 3, 1]
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+    ids = {r["doc_id"]: r["n_words"] for r in op9_decontamination.contamination(df, spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")], "item_id long, text string")).collect()}
+    assert ids == {2: 400_000, 3: 400_000, 4: 2, 5: 0}
+
+
 def test_gif_round_trip(spark):
     df = documents(spark)
     want = []
