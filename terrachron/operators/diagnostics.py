@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +16,56 @@ ROBUST = 0.6744897501960817
 QUANTILES = (("p01", 0.01), ("p10", 0.1), ("median", 0.5), ("p90", 0.9), ("p99", 0.99))
 
 
+def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], most: int = 100_000) -> list[float | None]:
+    """Exact quantiles of all rows, with linear interpolation, without bringing them to one task; None without a value.
+
+    A quantile's bracket is narrowed by approximate percentiles and counts until it has at most ``most`` rows or one
+    value; only then its distinct values are read. Each round is two scans and leaves some thousandth of the rows.
+    """
+    rows = df.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v IS NOT NULL")
+    n, low, high = rows.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(qs)
+
+    def at(rank: int) -> float:
+        """The value with ``rank`` values before it."""
+        a, b, before, m = low, high, 0, n
+        while a < b and m > most:
+            inside, share = rows.where(F.col("v").between(a, b)), (rank - before) / m
+            c, d = inside.agg(F.percentile_approx("v", [max(0.0, share - 5e-4), min(1.0, share + 5e-4)], 10_000)).first()[0]
+            under, within = inside.agg(F.count_if(F.col("v") < c), F.count_if(F.col("v").between(c, d))).first()
+            if rank < before + under:
+                inner = (a, c, before, inside.where(F.col("v") <= c).count())
+            elif rank >= before + under + within:
+                inner = (d, b, before + under + within - inside.where(F.col("v") == d).count(), inside.where(F.col("v") >= d).count())
+            else:
+                inner = (c, d, before + under, within)
+            if inner == (a, b, before, m):
+                break
+            a, b, before, m = inner
+        for v, k in rows.where(F.col("v").between(a, b)).groupBy("v").agg(F.count("*").alias("k")).orderBy("v").collect():
+            before += k
+            if rank < before:
+                return float(v)
+        return float(b)
+
+    known: dict[int, float] = {}
+    out: list[float | None] = []
+    for q in qs:
+        place = (n - 1) * q
+        for rank in (k := int(place), min(k + 1, n - 1)):
+            if rank not in known:
+                known[rank] = at(rank)
+        out.append(known[k] + (known[min(k + 1, n - 1)] - known[k]) * (place - k))
+    return out
+
+
 def quantile_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """n, mean and exact quantiles with linear interpolation."""
+    """n, mean and exact quantiles with linear interpolation; without keys by ``exact_quantiles``, at once."""
+    if not keys:
+        n, mean = df.agg(F.count(value), F.avg(value)).first()
+        row = (n, mean, *exact_quantiles(df, value, [q for _, q in QUANTILES]))
+        return df.sparkSession.createDataFrame([row], ", ".join(["n long", "mean double", *(f"{name} double" for name, _ in QUANTILES)]))
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, [q for _, q in QUANTILES]).alias("__q"))
     return out.select(*keys, "n", "mean", *(F.col("__q")[i].alias(n) for i, (n, _) in enumerate(QUANTILES)))
 
@@ -66,12 +116,15 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 10) ->
 
 def mad_zscore(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """``df`` with robust_z: 0.6745 (x - median) / MAD, 0 where the MAD is 0."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("__m"))
-    a = df.join(middle, keys) if keys else df.crossJoin(F.broadcast(middle))
-    a = a.withColumn("__d", F.abs(F.col(value) - F.col("__m")))
-    spread = a.groupBy(*keys).agg(F.median("__d").alias("__mad"))
-    b = a.join(spread, keys) if keys else a.crossJoin(F.broadcast(spread))
-    return b.withColumn("robust_z", F.when(F.col("__mad") > 0, ROBUST * (F.col(value) - F.col("__m")) / F.col("__mad")).otherwise(0.0)).drop("__m", "__d", "__mad")
+    if not keys:
+        middle = exact_quantiles(df, value, [0.5])[0]
+        away = F.abs(F.col(value) - F.lit(middle).cast("double"))
+        spread = exact_quantiles(df, away, [0.5])[0]
+        return df.withColumn("robust_z", F.when(F.col(value).isNotNull(), ROBUST * (F.col(value) - middle) / spread) if spread else F.lit(0.0))
+    middles = df.groupBy(*keys).agg(F.median(value).alias("__m"))
+    a = df.join(middles, keys).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
+    spreads = a.groupBy(*keys).agg(F.median("__d").alias("__mad"))
+    return a.join(spreads, keys).withColumn("robust_z", F.when(F.col("__mad") > 0, ROBUST * (F.col(value) - F.col("__m")) / F.col("__mad")).otherwise(0.0)).drop("__m", "__d", "__mad")
 
 
 def plane_fit(df: DataFrame, keys: list[str], *, x: str = "x", y: str = "y", value: str = "value", least: int = 4) -> DataFrame:

@@ -170,6 +170,8 @@ def clip(df: DataFrame, rings: list[list[tuple[float, float]]]) -> DataFrame:
 
 def display_limits(df: DataFrame, value: str = "value", symmetric: bool = False) -> DataFrame:
     """One row: the 2nd and 98th percentiles, or plus and minus the larger of their sizes."""
-    q = df.agg(F.percentile(value, [0.02, 0.98]).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    from terrachron.operators.diagnostics import exact_quantiles
+
+    q = df.sparkSession.createDataFrame([tuple(exact_quantiles(df, value, [0.02, 0.98]))], "low double, high double")
     m = F.greatest(F.abs("low"), F.abs("high"))
     return q.select((-m).alias("low"), m.alias("high")) if symmetric else q

@@ -77,6 +77,17 @@ def test_majority_of_f_tests(spark):
     assert got["n_valid"] == 30 and got["share"] == pytest.approx(np.mean(np.array(tail) < 0.05)) and got["degree"] == (2 if got["share"] > 0.5 else 1)
 
 
+@pytest.mark.parametrize("most", [1, 20, 100_000])
+def test_exact_quantiles(spark, most):
+    """The same as numpy's, with ties, few values and rounds of narrowing."""
+    rng = np.random.default_rng(13)
+    for values in (rng.normal(size=3000), np.repeat([1.0, 2.0, 7.0], [500, 1, 499]), np.array([3.0]), np.full(200, 4.0)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "value double")
+        qs = [0.0, 0.02, 0.5, 0.9, 1.0]
+        assert np.allclose(diagnostics.exact_quantiles(df, "value", qs, most=most), np.quantile(values, qs), rtol=1e-12, atol=0)
+    assert diagnostics.exact_quantiles(df.limit(0), "value", [0.5]) == [None]
+
+
 def test_scores_of_clusters():
     rng = np.random.default_rng(2)
     X = np.vstack([rng.normal(c, 0.4, size=(n, 3)) for c, n in ((0, 20), (3, 35), (6, 11))])
