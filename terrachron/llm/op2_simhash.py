@@ -238,6 +238,8 @@ def grouped(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rooted = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(ids, "root").select("fp", "root", "component_id"), "components")
+    for done in (points, roots):
+        drop_stored(done)
     return prints.join(named, "fp", "left").select("doc_id", "text_key", "fp", "root", "component_id")
 
 

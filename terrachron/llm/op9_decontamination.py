@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrachron.llm.common import LOWER, UPPER, free_name, prepare, stored, text_of
+from terrachron.llm.common import LOWER, UPPER, drop_stored, free_name, prepare, stored, text_of
 
 #: Characters that part words: all ASCII but digits and letters.
 PARTS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -135,6 +135,7 @@ def contamination(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     terms = terms_of(windows)
     postings = stored(index(df, terms, id_col=id_col, text_col=text_col), "postings")
     matches = stored(phrase_matches(postings, terms), "matches")
+    drop_stored(postings)
     key = ["doc_id", "part"]
     spans = matches.groupBy(*key, "start").agg(F.max("length").alias("length"))
     before = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,7 +155,9 @@ def keep_clean(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_
     prepare(df.sparkSession)
     _, windows = numbered(windows_of(items, size=size, id_col=item_col, text_col=item_text_col))
     terms = terms_of(windows)
-    matches = phrase_matches(stored(index(df, terms, id_col=id_col, text_col=text_col), "postings"), terms)
+    postings = stored(index(df, terms, id_col=id_col, text_col=text_col), "postings")
+    matches = phrase_matches(postings, terms)
     own_id, own_part = free_name(df, "__id"), free_name(df, "__part")
     go = stored(matches.select(F.col("doc_id").alias(own_id), F.col("part").alias(own_part)).distinct(), "contaminated")
+    drop_stored(postings)
     return df.join(small(go), F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_of(text_col)) == F.col(own_part)), "left_anti")
