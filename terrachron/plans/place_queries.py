@@ -29,6 +29,8 @@ def stations(spark: SparkSession, sf: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder's name below the one that all executors share; below a local one where none is set, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='terrachron-')).rstrip('/')}/queries-{uuid.uuid4().hex}"
 
 
