@@ -422,6 +422,53 @@ def test_html_parts():
     assert text("") == "" and text("<article></article>") == ""
 
 
+def test_html_names_never_take_the_text():
+    """Words in attributes don't make articles vanish; compound names ask the neighbour; comments go whatever their size."""
+    text = lambda page, other=None: op5_html.main_text(op5_html.lines_of(page), op5_html.lines_of(other) if other else None)
+    whole = ['main class="content with-sidebar"', 'article class="post has-comments"', 'article id="notice-of-merger"', 'article data-share="1" class="story-social"', 'article class="notice"', 'div role="main" class="ad"', 'section itemprop="articleBody" class="widget"', 'article class="x" data-class="menu"']
+    whole += ['div class="content has-sidebar"', 'div class="social-science"', 'div id="page-header-image-story"', 'div class="notice"']
+    for tag in whole:
+        page = f"<nav>Menu</nav><{tag}><h1>Head</h1><p>The story</p></{tag.split()[0]}><footer>Imprint</footer>"
+        other = page.replace("The story", "Another tale").replace("Head", "Title")
+        assert text(page) == text(page, other) == "Head\n\nThe story", tag
+    body = '<div class="body"><p>Own story of the day</p><div class="cookie-notice"><p>We use cookies</p><p>{}</p></div></div>'
+    assert text(body.format("Today")) == "Own story of the day\n\nWe use cookies\n\nToday"
+    assert text(body.format("Today"), body.format("Monday").replace("Own", "Other")) == "Own story of the day"
+    assert text('<article><p>Short</p><section class="comments">' + "<p>A long comment</p>" * 9 + "</section></article>") == "Short"
+    assert text('<article><p>Short</p><article class="comment"><p>A long comment on it</p></article></article>') == "Short"
+    assert text('<article class="promo"><p>Buy this now, it is cheap</p></article><article><p>Short</p></article>') == "Short"
+
+
+def test_html_marked_pages_against_brute_force(spark):
+    """Random pages of nested parts, with article and main elements that carry names of all kinds: the text is that of unmarked leaves in them."""
+    rng = random.Random(8)
+    names = ["post", "has-comments", "notice-board", "story-social", "content with-sidebar", "wide"]
+    gone = ["nav", "footer", "aside", "form", 'div class="comments"', 'section class="share"', 'ul class="menu x"']
+
+    def part(depth, kept, words):
+        out = ""
+        for _ in range(rng.randint(1, 3)):
+            if depth and rng.random() < 0.5:
+                tag = rng.choice([*gone, 'div class="lead"', "section", "blockquote"])
+                out += f"<{tag}>{part(depth - 1, kept and tag not in gone, words)}</{tag.split()[0]}>"
+            else:
+                line = f"line {rng.randint(0, 10**6)} &amp; on"
+                out += f"<p>{line}</p>"
+                if kept:
+                    words.append(line.replace("&amp;", "&"))
+        return out
+
+    rows, want = [], {}
+    for i in range(200):
+        words = []
+        main = rng.choice(["article", "main"])
+        body = "<p>" + "lead " * 200 + f"{i}</p>" + part(3, True, words)
+        rows.append((i, f"http://h{i % 3}.org/{i}", f'<body class="menu">{part(1, False, words)}<{main} class="{rng.choice(names)}" id="{rng.choice(names)}">{body}</{main}>{part(1, False, words)}</body>'))
+        want[i] = "\n\n".join([("lead " * 200 + str(i)), *words])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in op5_html.extract(df).collect()} == want
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     clean, bad = "stone river green hill walk tree house cloud rain light".split(), ["vexnot", "gorblat"]
