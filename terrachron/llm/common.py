@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -77,6 +78,12 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of finished jobs: its cleaner does once the driver's JVM has collected what named them, which else may take half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, longer by underscores as long as ``df`` has a column of that name (in any case)."""
     taken = {c.lower() for c in df.columns}

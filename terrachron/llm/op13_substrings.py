@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrachron.llm.common import by_bytes, prepare, release, stored, text_of
+from terrachron.llm.common import by_bytes, drop_shuffles, drop_stored, prepare, release, stored, text_of
 
 WINDOW = 20
 #: A perfect difference set: each residue but 0 is a difference of two of these exactly once.
@@ -103,31 +103,30 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_anchors(texts: DataFrame, window: int) -> DataFrame:
-    """(a, b, hashes, blobs): of each different text, the hashes of its anchors that occur elsewhere too."""
+    """(a, hashes, blobs): of each different text, the hashes of its anchors that occur elsewhere too. (Should texts share their hash a, they get each other's anchors as well, which only makes more candidates.)"""
     anchor = window - PERIOD + 1
-    schema = pa.schema([("hash", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("own", pa.binary())])
+    schema = pa.schema([("hash", pa.int64()), ("a", pa.int64()), ("own", pa.binary())])
 
-    def rows_of(keys: list[tuple[int, int]], owner: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        """Hashes of one document of the batch, marks (a and b 0) of those of several places, and these for each document."""
+    def rows_of(keys: list[int], owner: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        """Hashes of one document of the batch, marks (a 0) of those of several places, and these for each document."""
         order = np.argsort(hashes, kind="stable")
         one, start, n = np.unique(hashes[order], return_index=True, return_counts=True)
         several = np.zeros(len(order), bool)
         several[order] = np.repeat(n > 1, n)
         once, marks = order[start[n == 1]], one[n > 1]
         mine, blobs = packed(owner[several], hashes[several])
-        a, b = np.array(keys, np.int64).reshape(-1, 2).T
-        gap = np.zeros(len(marks), np.int64)
+        a = np.array(keys, np.int64)
         own = pa.array([None] * (len(once) + len(marks)) + blobs, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes[once], marks, a[mine]])), pa.array(np.concatenate([a[owner[once]], gap, a[mine]])), pa.array(np.concatenate([b[owner[once]], gap, b[mine]])), own], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes[once], marks, a[mine]])), pa.array(np.concatenate([a[owner[once]], np.zeros(len(marks), np.int64), a[mine]])), own], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, keys, seen, owners, found, held = Hashes(), [], set(), [], [], 0
         for batch in by_bytes(batches, PIECE):
             some = []
-            for key, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    keys.append(key)
+            for a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, b) not in seen:
+                    seen.add((a, b))
+                    keys.append(a)
                     some.append(text.encode().split())
             first, words, _ = known.of(some)
             owner, _, hashes = anchors_of(first, words, anchor)
@@ -141,22 +140,21 @@ def shared_anchors(texts: DataFrame, window: int) -> DataFrame:
             yield rows_of(keys, np.concatenate(owners), np.concatenate(found))
         release()
 
-    rows = texts.select("a", "b", "text").mapInArrow(run, "hash long, a long, b long, own binary")
+    rows = texts.select("a", "b", "text").mapInArrow(run, "hash long, a long, own binary")
     by = Window.partitionBy("hash")
-    elsewhere = (F.min("a").over(by) != F.max("a").over(by)) | (F.min("b").over(by) != F.max("b").over(by))
-    met = rows.withColumn("more", elsewhere).where("own IS NOT NULL OR more AND (a <> 0 OR b <> 0)")
-    return met.groupBy("a", "b").agg(F.collect_list(F.when(F.col("own").isNull(), F.col("hash"))).alias("hashes"), F.collect_list("own").alias("blobs"))
+    met = rows.withColumn("more", F.min("a").over(by) != F.max("a").over(by)).where("own IS NOT NULL OR more AND a <> 0")
+    return met.groupBy("a").agg(F.collect_list(F.when(F.col("own").isNull(), F.col("hash"))).alias("hashes"), F.collect_list("own").alias("blobs"))
 
 
 def later_windows(texts: DataFrame, window: int) -> DataFrame:
-    """(a, b, starts, blobs): of each text (known, a, b, text, hashes, blobs), the starts of windows that also start earlier."""
+    """(known, a, starts, blobs): of each text (known, a, text, hashes, blobs), the starts of windows that also start earlier."""
     anchor = window - PERIOD + 1
-    names = ["first", "second", "known", "a", "b"]
+    names = ["first", "second", "known", "a"]
     schema = pa.schema([*((n, pa.int64()) for n in names), ("start", pa.int32()), ("own", pa.binary())])
 
-    def rows_of(keys: list[tuple[int, int, int]], owner: np.ndarray, start: np.ndarray, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+    def rows_of(keys: list[tuple[int, int]], owner: np.ndarray, start: np.ndarray, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
         """The earliest place in the batch of each window, and for each document those of its windows that come later."""
-        known, a, b = np.array(keys, np.int64).reshape(-1, 3).T
+        known, a = np.array(keys, np.int64).reshape(-1, 2).T
         order = np.lexsort((start, known[owner], second, first))
         f, s, d, p = first[order], second[order], known[owner[order]], start[order]
         new = np.append(True, (f[1:] != f[:-1]) | (s[1:] != s[:-1]))[: len(f)]
@@ -164,7 +162,7 @@ def later_windows(texts: DataFrame, window: int) -> DataFrame:
         earliest = (d == d[head]) & (p == p[head])
         one, late = order[earliest], order[~earliest]
         mine, blobs = packed(owner[late], start[late].astype(np.int32))
-        sides = [np.concatenate([x[one], y[mine]]) for x, y in ((first, a), (second, b))] + [np.concatenate([x[owner[one]], x[mine]]) for x in (known, a, b)]
+        sides = [np.concatenate([x[one], y[mine]]) for x, y in ((first, a), (second, known))] + [np.concatenate([x[owner[one]], x[mine]]) for x in (known, a)]
         places = pa.array(np.concatenate([start[one], np.zeros(len(mine), np.int64)]).astype(np.int32))
         return pa.RecordBatch.from_arrays([*map(pa.array, sides), places, pa.array([None] * len(one) + blobs, pa.binary())], schema=schema)
 
@@ -186,7 +184,7 @@ def later_windows(texts: DataFrame, window: int) -> DataFrame:
                 starts = np.flatnonzero(covered(low[low < high], high[low < high], n))
                 at = first[k] + starts
                 parts.append((np.full(len(starts), len(keys)), starts, run_hash(one, at, window), run_hash(two, at, window)))
-                keys.append((columns["known"][k], columns["a"][k], columns["b"][k]))
+                keys.append((columns["known"][k], columns["a"][k]))
                 held += len(starts)
             if held >= HELD:
                 yield rows_of(keys, *map(np.concatenate, zip(*parts, strict=True)))
@@ -195,10 +193,10 @@ def later_windows(texts: DataFrame, window: int) -> DataFrame:
             yield rows_of(keys, *map(np.concatenate, zip(*parts, strict=True)))
         release()
 
-    rows = texts.select("known", "a", "b", "text", "hashes", "blobs").mapInArrow(run, "first long, second long, known long, a long, b long, start int, own binary")
+    rows = texts.select("known", "a", "text", "hashes", "blobs").mapInArrow(run, "first long, second long, known long, a long, start int, own binary")
     place = F.struct("known", "start")
     late = rows.withColumn("late", F.col("own").isNotNull() | (place > F.min(place).over(Window.partitionBy("first", "second")))).where("late")
-    return late.groupBy("a", "b").agg(F.collect_list(F.when(F.col("own").isNull(), F.col("start"))).alias("starts"), F.collect_list("own").alias("blobs"))
+    return late.groupBy("known", "a").agg(F.collect_list(F.when(F.col("own").isNull(), F.col("start"))).alias("starts"), F.collect_list("own").alias("blobs"))
 
 
 def kept_words(texts: DataFrame, window: int) -> DataFrame:
@@ -242,10 +240,14 @@ def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     prepare(df.sparkSession)
     texts = keyed(df, id_col, text_col)
     firsts = texts.groupBy("a", "b").agg(F.min("known").alias("least"))
-    shared = firsts.alias("f").join(shared_anchors(texts, window).alias("s"), both("f", "s")).select("f.a", "f.b", "f.least", "s.hashes", "s.blobs")
-    candidates = texts.alias("t").join(shared.alias("s"), both("t", "s") & (F.col("t.known") == F.col("s.least"))).select("t.known", "t.a", "t.b", "t.text", "s.hashes", "s.blobs")
+    shared = stored(shared_anchors(texts, window), "anchors")
+    drop_shuffles(df.sparkSession)
+    asked = firsts.alias("f").join(shared.alias("s"), "a").select("a", "f.b", "f.least", "s.hashes", "s.blobs")
+    candidates = texts.alias("t").join(asked.alias("s"), both("t", "s") & (F.col("t.known") == F.col("s.least"))).select("t.known", "t.a", "t.text", "s.hashes", "s.blobs")
     later = stored(later_windows(candidates, window), "later")
-    judged = firsts.alias("f").join(later.alias("l"), both("f", "l"), "left").select("f.a", "f.b", "f.least", "l.starts", "l.blobs")
+    drop_stored(shared)
+    drop_shuffles(df.sparkSession)
+    judged = firsts.alias("f").join(later.alias("l"), (F.col("f.a") == F.col("l.a")) & (F.col("f.least") == F.col("l.known")), "left").select("f.a", "f.b", "f.least", "l.starts", "l.blobs")
     rows = texts.alias("t").join(judged.alias("j"), both("t", "j")).select("t.doc_id", "t.text", (F.col("t.known") > F.col("j.least")).alias("copy"), "j.starts", "j.blobs")
     return kept_words(rows, window)
 
