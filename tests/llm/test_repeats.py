@@ -108,6 +108,7 @@ def brute_collocations(rows, longest, least, top, share):
 def test_collocations(spark, monkeypatch, known, tile, held):
     """Levels that tasks know whole and such that they know in part give the same."""
     monkeypatch.setattr(op12_collocations, "KNOWN", known)
+    monkeypatch.setattr(op12_collocations, "KNOWN_ITEMS", known)
     monkeypatch.setattr(op12_collocations, "TILE", tile)
     monkeypatch.setattr(op12_collocations, "HELD", held)
     rows = made_texts(2)
