@@ -113,7 +113,7 @@ def shared_anchors(texts: DataFrame, window: int) -> DataFrame:
         one, start, n = np.unique(hashes[order], return_index=True, return_counts=True)
         several = np.zeros(len(order), bool)
         several[order] = np.repeat(n > 1, n)
-        once, marks = order[start[n == 1]], one[n > 1]
+        once, marks = np.sort(order[start[n == 1]]), one[n > 1]  # in the documents' order, so that their names repeat and shrink in the shuffle
         mine, blobs = packed(owner[several], hashes[several])
         a = np.array(keys, np.int64)
         own = pa.array([None] * (len(once) + len(marks)) + blobs, pa.binary())
@@ -160,7 +160,7 @@ def later_windows(texts: DataFrame, window: int) -> DataFrame:
         new = np.append(True, (f[1:] != f[:-1]) | (s[1:] != s[:-1]))[: len(f)]
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         earliest = (d == d[head]) & (p == p[head])
-        one, late = order[earliest], order[~earliest]
+        one, late = np.sort(order[earliest]), order[~earliest]
         mine, blobs = packed(owner[late], start[late].astype(np.int32))
         sides = [np.concatenate([x[one], y[mine]]) for x, y in ((first, a), (second, known))] + [np.concatenate([x[owner[one]], x[mine]]) for x in (known, a)]
         places = pa.array(np.concatenate([start[one], np.zeros(len(mine), np.int64)]).astype(np.int32))
