@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrachron.functions import geo
+from terrachron.operators.nearest import near_sites
+
 
 def pixel_grid(df: DataFrame, width: int, pixel: str = "pixel_id", block: int = 256) -> DataFrame:
     """``df`` with row, col and block_id (a partitioning key of square tiles)."""
@@ -16,39 +18,6 @@ def pixel_grid(df: DataFrame, width: int, pixel: str = "pixel_id", block: int =
     return df.withColumns({"row": row.cast("int"), "col": col.cast("int"), "block_id": (F.floor(row / block) * ceil(width / block) + F.floor(col / block)).cast("long")})
 
 
-def near_sites(points: DataFrame, sites: DataFrame, k: int, *, point: str = "pixel_id") -> DataFrame:
-    """point, site_id and distance of the sites (site_id, sx, sy) that may be among the k nearest of each point, and are if they are.
-
-    Squares of doubling size are laid over both sets. A point's level is the smallest at which the nine squares around
-    it hold k sites; the k-th nearest is then within 2 * sqrt(2) of that size, so two levels up the nine squares hold
-    all that are nearer. Levels go by squares, not by points; sites appear once a level, and all joins are on squares.
-    """
-    where = sites.agg(F.count("*").alias("n"), F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1")).first()
-    span = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if not where["n"] or span["x0"] is None:
-        return points.select(point, F.lit(None).cast(dict(sites.dtypes)["site_id"]).alias("site_id"), F.lit(None).cast("double").alias("distance")).limit(0)
-    x0, y0 = min(where["x0"], span["x0"]), min(where["y0"], span["y0"])
-    whole = max(max(where["x1"], span["x1"]) - x0, max(where["y1"], span["y1"]) - y0, 1e-9)
-    inner = max(where["x1"] - where["x0"], where["y1"] - where["y0"], whole * 1e-6)
-    need, levels = min(k, where["n"]), 1
-    size = inner / max(1.0, (where["n"] / need) ** 0.5)
-    while size * 2 ** (levels - 1) < whole:
-        levels += 1
-    square = lambda x, y, level: ((F.floor((x - x0) / (size * F.pow(F.lit(2.0), level)))).alias("cx"), (F.floor((y - y0) / (size * F.pow(F.lit(2.0), level)))).alias("cy"))
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    moved = ((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(levels + 1))).alias("level")
-    laid = sites.select("site_id", "sx", "sy", every).select("site_id", "sx", "sy", "level", *square(F.col("sx"), F.col("sy"), F.col("level")))
-    counts = laid.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"))
-    base = points.select(*(c.alias(f"b{c_}") for c, c_ in zip(square(F.col("x"), F.col("y"), F.lit(0)), "xy", strict=True))).distinct()
-    up = base.select("bx", "by", every).select("bx", "by", "level", *(F.floor(F.col(f"b{c}") / F.pow(F.lit(2.0), F.col("level"))).alias(f"c{c}") for c in "xy"))
-    held = up.select("bx", "by", "level", "cx", "cy", F.explode(around).alias("o")).select("bx", "by", "level", *moved).join(counts, ["level", "cx", "cy"])
-    level = held.groupBy("bx", "by", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= need).groupBy("bx", "by").agg(F.least(F.min("level") + 2, F.lit(levels + 1)).alias("level"))
-    own = points.select(point, "x", "y", *(c.alias(f"b{c_}") for c, c_ in zip(square(F.col("x"), F.col("y"), F.lit(0)), "xy", strict=True))).join(level, ["bx", "by"])
-    asked = own.select(point, "x", "y", "level", *(F.floor(F.col(f"b{c}") / F.pow(F.lit(2.0), F.col("level"))).alias(f"c{c}") for c in "xy")).select(point, "x", "y", "level", "cx", "cy", F.explode(around).alias("o")).select(point, "x", "y", "level", *moved)
-    return asked.join(laid, ["level", "cx", "cy"]).select(point, "site_id", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")).alias("distance"))
-
-
 def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "pixel_id") -> DataFrame:
     """point, site_id and distance of the nearest of the sites (site_id, sx, sy); the smallest id among equals."""
     best = near_sites(points, sites, 1, point=point).groupBy(point).agg(F.min(F.struct("distance", "site_id")).alias("b"))
