@@ -1,7 +1,9 @@
 """Masked least squares on additive sums.
 
 A fit of k coefficients needs only the sums of x_i x_j, x_i y, y y and the count, so it is one aggregation with
-partial sums before the shuffle. The normal equations are solved by Cholesky steps: up to ``UNROLLED`` coefficients
+partial sums before the shuffle. Where the first column is the constant, the sums with y are centred moments
+(``covar_pop`` and ``var_pop``, which are merged by their means): a series far from zero would else lose the digits of
+its residuals. They are what is left of the plain sums after the constant's Cholesky step. The normal equations are solved by Cholesky steps: up to ``UNROLLED`` coefficients
 as columns, within generated code, and beyond by the same steps on arrays of a batch of systems. A fit is valid from
 max(min_obs, k + 1) rows on; a singular one (a pivot below 1e-12 of its diagonal) is null, whatever its size.
 """
@@ -20,22 +22,32 @@ from terrachron.functions.basis import TimeModel
 UNROLLED = 5
 
 
+def has_constant(columns: list[str]) -> bool:
+    """Whether the first column is the number one."""
+    return columns[0].strip("() ").lower() in ("1", "1.0", "1e0", "1.0e0", "cast(1 as double")
+
+
 def sums_sql(columns: list[str], y: str = "value") -> dict[str, str]:
-    """Name to SQL text of the sums over rows where y and the basis are there; columns are SQL texts."""
-    out = {"n": f"count({y})", "yy": f"sum({y} * {y})"}
+    """Name to SQL text of the sums over rows where y and the basis are there; columns are SQL texts.
+
+    b are sums with y and yy its square; behind a constant, c and cyy are the same about the means.
+    """
+    centred = has_constant(columns)
+    out = {"n": f"count({y})", "cyy" if centred else "yy": f"var_pop(CAST({y} AS DOUBLE)) * count({y})" if centred else f"sum({y} * {y})"}
     for i, x in enumerate(columns):
-        out[f"b{i}"] = f"sum(({x}) * {y})"
+        out[f"c{i}" if centred and i else f"b{i}"] = f"covar_pop({x}, CAST({y} AS DOUBLE)) * count({y})" if centred and i else f"sum(({x}) * {y})"
         for j in range(i + 1):
             out[f"g{i}_{j}"] = f"sum(CASE WHEN {y} IS NOT NULL THEN ({x}) * ({columns[j]}) END)"
     return out
 
 
-def steps_sql(k: int, min_obs: int, prefix: str = "", at: list[int] | None = None) -> list[list[tuple[str, str]]]:
+def steps_sql(k: int, min_obs: int, prefix: str = "", at: list[int] | None = None, *, centred: bool = True) -> list[list[tuple[str, str]]]:
     """Levels of (name, SQL text): Cholesky factor, substitutions, rss, rmse. A level uses the levels before it only.
 
     ``at`` are the places of the k columns among those whose sums there are (all, in order, without it); names get the
-    prefix.
+    prefix. ``centred``: the sums are those behind a constant, which is the first column here too.
     """
+    least = 1 if centred else 0  # the first of the columns whose sums with y still hold the others' parts
     valid, p, at = f"n >= {max(min_obs, k + 1)}", prefix, at or list(range(k))
     g = lambda i, j: f"g{max(at[i], at[j])}_{min(at[i], at[j])}"
     levels: list[list[tuple[str, str]]] = []
@@ -45,10 +57,11 @@ def steps_sql(k: int, min_obs: int, prefix: str = "", at: list[int] | None = Non
         if j + 1 < k:
             levels.append([(f"{p}l{i}_{j}", f"({' - '.join([g(i, j), *(f'{p}l{i}_{m} * {p}l{j}_{m}' for m in range(j))])}) / {p}l{j}_{j}") for i in range(j + 1, k)])
     for i in range(k):
-        levels.append([(f"{p}z{i}", f"({' - '.join([f'b{at[i]}', *(f'{p}l{i}_{m} * {p}z{m}' for m in range(i))])}) / {p}l{i}_{i}")])
+        own = f"c{at[i]}" if centred and i else f"b{at[i]}"
+        levels.append([(f"{p}z{i}", f"({' - '.join([own, *(f'{p}l{i}_{m} * {p}z{m}' for m in range(least, i))])}) / {p}l{i}_{i}")])
     for i in reversed(range(k)):
         levels.append([(f"{p}beta{i}", f"({' - '.join([f'{p}z{i}', *(f'{p}l{m}_{i} * {p}beta{m}' for m in range(i + 1, k))])}) / {p}l{i}_{i}")])
-    levels.append([(f"{p}rest", f"yy - {' - '.join(f'{p}z{i} * {p}z{i}' for i in range(k))}")])
+    levels.append([(f"{p}rest", " - ".join(["cyy" if centred else "yy", *(f"{p}z{i} * {p}z{i}" for i in range(least, k))]))])
     levels.append([(f"{p}rss", f"CASE WHEN {p}rest > 0 THEN {p}rest WHEN {p}rest <= 0 THEN CAST(0 AS DOUBLE) END")])
     levels.append([(f"{p}rmse", f"sqrt({p}rss / n)")])
     return levels
@@ -63,14 +76,15 @@ def solve(sums: DataFrame, keys: list[str], k: int, min_obs: int = 0) -> DataFra
     names = [*keys, *(f"beta{i}" for i in range(k)), "n", "rss", "rmse"]
     if k > UNROLLED:
         return solve_batches(sums, keys, k, min_obs).select(*names)
-    for level in steps_sql(k, min_obs):
+    for level in steps_sql(k, min_obs, centred="cyy" in sums.columns):
         sums = sums.select("*", *(F.expr(e).alias(n) for n, e in level))
     # a generator is a barrier: filters on the results would else be pushed down with every step written out
     return sums.select(*keys, F.inline(F.array(F.struct(*names[len(keys) :]))))
 
 
-def cholesky_batch(G: np.ndarray, b: np.ndarray, yy: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cholesky_batch(G: np.ndarray, b: np.ndarray, yy: np.ndarray, ok: np.ndarray, *, centred: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and rss of systems (r x k x k, r x k) that are ``ok``, all at once by the steps of ``steps_sql``; NaN for others."""
+    least = 1 if centred else 0
     k, L = b.shape[1], np.zeros_like(G)
     z, beta, ok = np.zeros_like(b), np.zeros_like(b), ok.copy()
     for j in range(k):
@@ -79,27 +93,27 @@ def cholesky_batch(G: np.ndarray, b: np.ndarray, yy: np.ndarray, ok: np.ndarray)
         L[:, j, j] = np.sqrt(np.where(ok, pivot, 1.0))
         L[:, j + 1 :, j] = (G[:, j + 1 :, j] - np.einsum("rim,rm->ri", L[:, j + 1 :, :j], L[:, j, :j])) / L[:, j, j, None]
     for i in range(k):
-        z[:, i] = (b[:, i] - (L[:, i, :i] * z[:, :i]).sum(axis=1)) / L[:, i, i]
+        z[:, i] = (b[:, i] - (L[:, i, least:i] * z[:, least:i]).sum(axis=1)) / L[:, i, i]
     for i in reversed(range(k)):
         beta[:, i] = (z[:, i] - (L[:, i + 1 :, i] * beta[:, i + 1 :]).sum(axis=1)) / L[:, i, i]
     beta[~ok] = np.nan
-    return beta, np.where(ok, np.maximum(yy - (z**2).sum(axis=1), 0), np.nan)
+    return beta, np.where(ok, np.maximum(yy - (z[:, least:] ** 2).sum(axis=1), 0), np.nan)
 
 
 def solve_batches(sums: DataFrame, keys: list[str], k: int, min_obs: int = 0) -> DataFrame:
     """The same for any k, one batch of systems at a time."""
-    least = max(min_obs, k + 1)
+    least, centred = max(min_obs, k + 1), "cyy" in sums.columns
     fields = ", ".join([*(f"`{c}` {t}" for c, t in sums.dtypes if c in keys), *(f"beta{i} double" for i in range(k)), "n long", "rss double", "rmse double"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = f[keys].copy()
-            n, b, yy = f["n"].to_numpy(), f[[f"b{i}" for i in range(k)]].to_numpy(float), f["yy"].to_numpy(float)
+            n, b, yy = f["n"].to_numpy(), f[[f"c{i}" if centred and i else f"b{i}" for i in range(k)]].to_numpy(float), f["cyy" if centred else "yy"].to_numpy(float)
             G = np.empty((len(f), k, k))
             for i in range(k):
                 for j in range(i + 1):
                     G[:, i, j] = G[:, j, i] = f[f"g{i}_{j}"].to_numpy(float)
-            beta, rss = cholesky_batch(G, b, yy, (n >= least) & np.isfinite(b).all(axis=1) & np.isfinite(G).all(axis=(1, 2)))
+            beta, rss = cholesky_batch(G, b, yy, (n >= least) & np.isfinite(b).all(axis=1) & np.isfinite(G).all(axis=(1, 2)), centred=centred)
             for i in range(k):
                 out[f"beta{i}"] = beta[:, i]
             out["n"], out["rss"], out["rmse"] = n, rss, np.sqrt(rss / np.maximum(n, 1))

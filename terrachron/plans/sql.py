@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from terrachron.functions.basis import TimeModel
-from terrachron.operators.lsq import steps_sql, sums_sql
+from terrachron.operators.lsq import has_constant, steps_sql, sums_sql
 
 DAY = "date_diff('day', DATE '1970-01-01', CAST({} AS DATE))"
 SERIES = f"SELECT l_suppkey AS series_id, {DAY.format('l_shipdate')} AS day, CAST(l_shipdate AS DATE) AS date, l_extendedprice / 1000 AS value FROM lineitem"
@@ -19,7 +19,7 @@ def fit_sql(source: str, keys: list[str], columns: list[str], min_obs: int = 0,
     names = ", ".join(keys)
     sums = ", ".join(f"{e} AS {n}" for n, e in sums_sql(columns, y).items())
     text = f"SELECT {names + ', ' if keys else ''}{sums} FROM ({source}){' GROUP BY ' + names if keys else ''}"
-    for level in steps_sql(len(columns), min_obs):
+    for level in steps_sql(len(columns), min_obs, centred=has_constant(columns)):
         text = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in level)} FROM ({text})"
     return text
 

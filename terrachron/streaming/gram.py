@@ -13,9 +13,19 @@ from terrachron.operators import lsq
 
 
 def add(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Two tables of sums as one."""
-    names = [c for c in a.columns if c not in keys]
-    return a.unionByName(b).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in names))
+    """Two tables of sums, each with a row a key at most, as one; centred ones are merged by their means."""
+    both = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    one, two = (F.coalesce(F.col(f"{s}.n"), F.lit(0)) for s in "ab")
+    apart = lambda name: F.col(f"b.{name}") / two - F.col(f"a.{name}") / one
+    total = lambda name: F.when(one == 0, F.col(f"b.{name}")).when(two == 0, F.col(f"a.{name}")).otherwise(F.col(f"a.{name}") + F.col(f"b.{name}"))
+    out = []
+    for name in (c for c in a.columns if c not in keys):
+        value = one + two if name == "n" else total(name)
+        if name == "cyy" or name[0] == "c" and name[1:].isdigit():
+            mine = "b0" if name == "cyy" else f"g{name[1:]}_0"
+            value = F.when((one > 0) & (two > 0), value + one * two / (one + two) * apart("b0") * apart(mine)).otherwise(value)
+        out.append(value.alias(name))
+    return a.alias("a").join(b.alias("b"), both, "full_outer").select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys), *out)
 
 
 def sink(path: str, keys: list[str], model: TimeModel) -> Callable[[DataFrame, int], None]:
