@@ -76,7 +76,8 @@ def groundwater_state(h: Column, stable: Column | float = 0.5, meaningful: Colum
     return cases((h > m, 3), (F.abs(h) <= s, 2), (h < -m, 1))
 
 
-def coupled_class(recovery: Column, recent: Column, declines: Column, mode: Column, late: Column, change: Column, *, least_declines: int = 2, stable_rate: float = 5.0, meaningful_rate: float = 5.0, stable_head: float = 0.5, meaningful_head: float = 1.0) -> Column:
+def coupled_class(recovery: Column, recent: Column, declines: Column, mode: Column, late: Column, change: Column, *, least_declines: int = 2, stable_rate: Column | float = 5.0, meaningful_rate: Column | float = 5.0, stable_head: Column | float = 0.5, meaningful_head: Column | float = 1.0) -> Column:
+    stable_rate, meaningful_rate = (x if isinstance(x, Column) else F.lit(x) for x in (stable_rate, meaningful_rate))
     R, D, S, A = true(recovery > meaningful_head), true(declines >= least_declines), true(late < -stable_rate), true(change <= -meaningful_rate)
     M, Q = true(mode.isin(4, 5)), true((F.abs(recent) <= stable_head) & (F.abs(late) <= stable_rate))
     rules = cases((Q, 6), (R & D & S & A, 5), (R & ~D & S & A, 4), (R & S & ~A & ~(R & M & ~A), 3), (R & M & ~A, 2), (~R & D & S, 1))

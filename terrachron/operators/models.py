@@ -183,7 +183,7 @@ def head_state(v: np.ndarray, stable: float = 0.5, meaningful: float = 1.0) -> n
     return np.select([v < -meaningful, np.abs(v) <= stable, v > meaningful], [1, 2, 3], 0)
 
 
-def change_cv(rates: DataFrame, *, sigmas: list[float], ridges: list[float], folds: int = 5, block: float = 30.0, seed: int = 20260919, stable: float = 0.5, meaningful: float = 1.0) -> DataFrame:
+def change_cv(rates: DataFrame, *, sigmas: list[float], ridges: list[float], folds: int = 5, block: float = 30.0, seed: int = 20260919, stable: float = 0.5, meaningful: float = 1.0, centres: int = 32) -> DataFrame:
     """Out-of-fold predictions of each interval under each candidate: year1, sigma, ridge, station_id, fold, actual, predicted, states.
 
     rates: station_id, year1, x, y, rate. An interval (a few hundred wells) and candidate is one task's group.
@@ -199,7 +199,7 @@ def change_cv(rates: DataFrame, *, sigmas: list[float], ridges: list[float], fol
         for f in np.unique(fold):
             train = fold != f
             if train.sum() >= 4:
-                c = spread_centres(xy[train], 32)
+                c = spread_centres(xy[train], centres)
                 out[~train] = rbf_basis(xy[~train], c, g["sigma"][0]) @ rbf_fit(xy[train], v[train], c, g["sigma"][0], g["ridge"][0])
         kept = np.isfinite(out)
         r = pd.DataFrame({"year1": g["year1"], "sigma": g["sigma"], "ridge": g["ridge"], "station_id": g["station_id"].astype(str), "fold": fold, "actual": v, "predicted": out, "error": out - v, "actual_state": head_state(v, stable, meaningful), "predicted_state": head_state(out, stable, meaningful)})

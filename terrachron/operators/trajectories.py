@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,37 +22,87 @@ def nan_slope(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2) ->
     return sums.select(*keys, "n", slope.alias("slope"))
 
 
-def interval_sets(years: list[int]) -> dict[str, list[int]]:
-    """First years of the early, late, recent and recovery intervals."""
-    y, n = sorted(years), len(set(years))
-    k, r = min(3, n // 2), min(3, n)
-    recent = y[n - r :]
-    before = [v for v in y if v not in recent]
-    return {"early": y[:k], "late": y[n - k :] if k else [], "recent": recent, "recovery": before[-2:]}
+SETS = ("early", "late", "recent", "recovery")
 
 
-def interval_metrics(rates: DataFrame, heads: DataFrame, keys: list[str], sets: dict[str, list[int]], *, meaningful_head: float = 1.0) -> DataFrame:
-    """keys, early_rate, late_rate, rate_change, recovery_head, recent_head, recent_declines and the numbers of intervals.
+def interval_sets(years: list[int], chosen: dict[str, list[int] | None] | None = None) -> dict[str, list[int]]:
+    """First years of the intervals of each set, and of all.
 
-    rates and heads: keys, year1, rate. A median is over the intervals of its set that are there, null without any.
+    Early and late are up to three at either end, recent the last three, recovery the two before those, or the first
+    two where there are none. ``chosen`` sets replace them; a chosen interval that isn't there is an error.
+    """
+    y = sorted(set(years))
+    n = len(y)
+    k, r = min(3, max(1, n // 2)), min(3, n)
+    out = {"early": y[:k], "late": y[n - k :], "recent": y[n - r :], "recovery": y[max(0, n - r - 2) : n - r] or y[:2]}
+    out |= {name: list(own) for name, own in (chosen or {}).items() if own}
+    if missing := sorted({v for own in out.values() for v in own} - set(y)):
+        raise ValueError(f"intervals that begin in {missing} are required and not there")
+    return {**out, "all": y}
+
+
+def least_intervals(sets: dict[str, list[int]], **least: int | None) -> dict[str, int]:
+    """The numbers of intervals that a place must have: valid (of all, for either variable), recent (likewise), recovery (heads), declines (recent heads)."""
+    n = {"valid": len(sets["all"]), "recent": len(sets["recent"]), "recovery": len(sets["recovery"]), "declines": len(sets["recent"])}
+    usual = {"valid": 4, "recent": 2, "recovery": 1, "declines": 2}
+    return {name: max(2 if name == "valid" else 1, min(n[name] if least.get(name) is None else int(least[name]), n[name], usual[name] if least.get(name) is None else n[name])) for name in usual}
+
+
+def interval_metrics(rates: DataFrame, heads: DataFrame, keys: list[str], sets: dict[str, list[int]], *, meaningful_head: float = 1.0, least: dict[str, int] | None = None) -> DataFrame:
+    """keys, valid, the twelve metrics, recent_declines, recent_heads (their list) and the numbers of intervals.
+
+    rates and heads: keys, year1, rate. Medians early, late, recovery and recent are over a set's intervals that are
+    there; slopes are per year over the intervals' middles, and the recent change is the recent slope times the recent
+    set's span (a year for one interval). A place without enough intervals (``least``) is not valid, and its metrics
+    are null. Intervals outside of ``sets["all"]`` don't count.
     """
+    least = least or least_intervals(sets)
+    span = float(max(sets["recent"]) - min(sets["recent"])) if len(sets["recent"]) > 1 else 1.0
+
+    def of(name: str, value: str = "rate") -> Column:
+        return F.when(F.col("year1").isin(sets[name] or [-1]), F.col(value))
 
-    def of(name: str) -> Column:
-        return F.when(F.col("year1").isin(sets[name] or [-1]), F.col("rate"))
+    def slope(name: str) -> Column:
+        return F.regr_slope(of(name), F.col("year1") + 0.5)
 
-    a = rates.groupBy(*keys).agg(F.median(of("early")).alias("early_rate"), F.median(of("late")).alias("late_rate"), F.count("rate").alias("n_rate_intervals"))
+    a = rates.groupBy(*keys).agg(
+        F.median(of("early")).alias("early_rate"), F.median(of("late")).alias("late_rate"), slope("all").alias("rate_slope"), slope("recent").alias("recent_rate_slope"), F.count(of("all")).alias("n_rate_intervals"), F.count(of("recent")).alias("n_recent_rates")
+    )
     b = heads.groupBy(*keys).agg(
-        F.median(of("recovery")).alias("recovery_head"), F.median(of("recent")).alias("recent_head"), F.count_if(of("recent") < -meaningful_head).cast("int").alias("recent_declines"), F.count("rate").alias("n_head_intervals")
-    )
-    return a.join(b, keys).withColumn("rate_change", F.col("late_rate") - F.col("early_rate"))
+        *(F.median(of(name)).alias(f"{name}_head") for name in SETS), slope("all").alias("head_slope"), F.collect_list(of("recent")).alias("recent_heads"), F.count(of("all")).alias("n_head_intervals"), F.count(of("recovery")).alias("n_recovery_heads")
+    )
+    both = a.join(b, keys).withColumns({"rate_change": F.col("late_rate") - F.col("early_rate"), "recent_rate_change": F.col("recent_rate_slope") * span, "head_difference": F.col("late_head") - F.col("early_head"), "recent_declines": declines(meaningful_head)})
+    enough = (F.least("n_rate_intervals", "n_head_intervals") >= least["valid"]) & (F.least("n_recent_rates", F.size("recent_heads")) >= least["recent"]) & (F.col("n_recovery_heads") >= least["recovery"])
+    both = both.withColumn("valid", enough)
+    return both.withColumns({name: F.when(F.col("valid"), F.col(name)) for name in METRICS})
+
+
+#: The metrics of a place, by this package's names.
+METRICS = ("early_rate", "late_rate", "rate_change", "rate_slope", "recent_rate_change", "recent_rate_slope", "early_head", "late_head", "head_difference", "head_slope", "recovery_head", "recent_head")
+#: The class of places that are not valid.
+NODATA = 255
+
 
+def declines(meaningful_head: Column | float) -> Column:
+    """How many recent heads fall by more than a meaningful change."""
+    m = meaningful_head if isinstance(meaningful_head, Column) else F.lit(float(meaningful_head))
+    return F.size(F.filter("recent_heads", lambda h: h < -m))
 
-def classify(metrics: DataFrame, **thresholds: float) -> DataFrame:
-    """``metrics`` with deformation_class, groundwater_state and coupled_class."""
+
+def classify(metrics: DataFrame, *, least_declines: int = 2, **thresholds: float) -> DataFrame:
+    """``metrics`` with deformation_class, groundwater_state and coupled_class; ``NODATA`` where a place is not valid."""
     s, c, h, m = (thresholds.get(k, d) for k, d in (("stable_rate", 5.0), ("meaningful_rate", 5.0), ("stable_head", 0.5), ("meaningful_head", 1.0)))
-    out = metrics.withColumn("deformation_class", classes.deformation_class(F.col("early_rate"), F.col("late_rate"), F.col("rate_change"), s, c)).withColumn("groundwater_state", classes.groundwater_state(F.col("recent_head"), h, m))
-    coupled = classes.coupled_class(*(F.col(x) for x in ("recovery_head", "recent_head", "recent_declines", "deformation_class", "late_rate", "rate_change")), stable_rate=s, meaningful_rate=c, stable_head=h, meaningful_head=m)
-    return out.withColumn("coupled_class", coupled)
+    mode, state, coupled = classes_of(s, c, h, m, F.col("recent_declines"), least_declines)
+    masked = lambda x: F.when(F.col("valid"), x).otherwise(NODATA)
+    return metrics.withColumns({"deformation_class": masked(mode), "groundwater_state": masked(state), "coupled_class": masked(coupled)})
+
+
+def classes_of(stable_rate: Column | float, meaningful_rate: Column | float, stable_head: Column | float, meaningful_head: Column | float, fallen: Column, least_declines: int) -> tuple[Column, Column, Column]:
+    """Deformation class, groundwater state and coupled class under given thresholds."""
+    mode = classes.deformation_class(F.col("early_rate"), F.col("late_rate"), F.col("rate_change"), stable_rate, meaningful_rate)
+    state = classes.groundwater_state(F.col("recent_head"), stable_head, meaningful_head)
+    coupled = classes.coupled_class(F.col("recovery_head"), F.col("recent_head"), fallen, mode, F.col("late_rate"), F.col("recent_rate_change"), least_declines=least_declines, stable_rate=stable_rate, meaningful_rate=meaningful_rate, stable_head=stable_head, meaningful_head=meaningful_head)
+    return mode, state, coupled
 
 
 def legend(df: DataFrame, labels: dict[int, str], name: str) -> DataFrame:
@@ -85,18 +137,24 @@ def cross_tab(df: DataFrame, first: str, first_labels: dict[int, str], second: s
 def confusion(df: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
     """Counts of actual and predicted classes over all rows and for each interval, in one pass (grouping sets)."""
     names = ", ".join(by)
-    df.createOrReplaceTempView("__confusion")
-    out = df.sparkSession.sql(f"SELECT CASE WHEN grouping({by[0]}) = 1 THEN 'all' ELSE 'interval' END AS scope, {names}, {actual}, {predicted}, count(*) AS count FROM __confusion GROUP BY GROUPING SETS (({actual}, {predicted}), ({names}, {actual}, {predicted}))")
+    out = df.sparkSession.sql(f"SELECT CASE WHEN grouping({by[0]}) = 1 THEN 'all' ELSE 'interval' END AS scope, {names}, {actual}, {predicted}, count(*) AS count FROM {{df}} GROUP BY GROUPING SETS (({actual}, {predicted}), ({names}, {actual}, {predicted}))", df=df)
     total = F.sum("count").over(Window.partitionBy("scope", *by, actual))
     return out.withColumn("actual_count", total).withColumn("fraction_of_actual", F.col("count") / F.col("actual_count"))
 
 
-def threshold_sensitivity(metrics: DataFrame, *, stable: tuple[float, ...] = (3.0, 5.0, 10.0), change: tuple[float, ...] = (3.0, 5.0, 10.0)) -> DataFrame:
-    """stable_rate, meaningful_rate_change, class_id, pixel_count, fraction: the classes under every pair of thresholds."""
-    grid = metrics.sparkSession.createDataFrame([(s, c) for s in stable for c in change], "stable_rate double, meaningful_rate_change double")
-    both = metrics.crossJoin(F.broadcast(grid)).withColumn("class_id", classes.deformation_class(F.col("early_rate"), F.col("late_rate"), F.col("rate_change"), F.col("stable_rate"), F.col("meaningful_rate_change")))
-    counts = both.groupBy("stable_rate", "meaningful_rate_change", "class_id").agg(F.count("*").alias("pixel_count"))
-    return counts.withColumn("fraction", F.col("pixel_count") / F.sum("pixel_count").over(Window.partitionBy("stable_rate", "meaningful_rate_change")))
+def threshold_sensitivity(metrics: DataFrame, *, stable: Sequence[float] = (3.0, 5.0, 10.0), change: Sequence[float] = (3.0, 5.0, 10.0), head: Sequence[float] = (0.5, 1.0, 1.5), stable_head: float = 0.5, meaningful_head: float = 1.0, least_declines: int = 2) -> DataFrame:
+    """stable_rate, meaningful_rate_change, meaningful_head_change, class_id, pixel_count, fraction: coupled classes of valid places under every combination of thresholds.
+
+    Declines are counted anew for each head threshold; those below ``stable_head`` don't count (``meaningful_head`` if
+    none is left). A sample by strides of rows and columns is ``spatial.stride`` before.
+    """
+    kept = [m for m in head if m >= stable_head] or [meaningful_head]
+    grid = metrics.sparkSession.createDataFrame([(float(s), float(c), float(m)) for s in stable for c in change for m in kept], "stable_rate double, meaningful_rate_change double, meaningful_head_change double")
+    names = grid.columns
+    both = metrics.where("valid").crossJoin(F.broadcast(grid))
+    coupled = classes_of(F.col(names[0]), F.col(names[1]), stable_head, F.col(names[2]), declines(F.col(names[2])), least_declines)[2]
+    counts = both.groupBy(*names, coupled.alias("class_id")).agg(F.count("*").alias("pixel_count"))
+    return counts.withColumn("fraction", F.col("pixel_count") / F.sum("pixel_count").over(Window.partitionBy(*names)))
 
 
 def intervals_with_wells(well_rates: DataFrame, least: int = 8) -> DataFrame:

@@ -473,17 +473,32 @@ def observed_storage_series(spark: SparkSession, sf: str) -> DataFrame:
 # --- trajectories --------------------------------------------------------------------------------------------------
 
 RATE_CTE = "{n}y AS (SELECT series_id, year(date) AS year1, median(value) AS v FROM ({source}) GROUP BY ALL), {n} AS (SELECT a.series_id, a.year1, b.v - a.v AS rate FROM {n}y a JOIN {n}y b ON a.series_id = b.series_id AND b.year1 = a.year1 + 1)"
+VALID = "nd >= 4 AND nh >= 4 AND ndr >= 2 AND len(recent_heads) >= 2 AND nhr >= 1"
+METRIC_NAMES = ("early_rate", "late_rate", "rate_change", "rate_slope", "recent_rate_change", "recent_rate_slope", "early_head", "late_head", "head_difference", "head_slope", "recovery_head", "recent_head")
 METRICS = (
-    f"WITH {RATE_CTE.format(n='rates', source=SERIES)}, {RATE_CTE.format(n='heads', source=HEADS)}, a AS (SELECT series_id, median(rate) FILTER (year1 IN (1995, 1996, 1997)) AS early_rate, median(rate) FILTER (year1 IN (1998, 1999, 2000)) AS late_rate FROM rates GROUP BY series_id), "
-    "b AS (SELECT series_id, median(rate) FILTER (year1 IN (1996, 1997)) AS recovery_head, median(rate) FILTER (year1 IN (1998, 1999, 2000)) AS recent_head, count(*) FILTER (year1 IN (1998, 1999, 2000) AND rate < -1.0) AS recent_declines FROM heads GROUP BY series_id), "
-    f"m AS (SELECT *, late_rate - early_rate AS rate_change FROM a JOIN b USING (series_id)), k AS (SELECT *, {deformation_sql('early_rate', 'late_rate', 'rate_change')} AS deformation_class, {state_sql('recent_head')} AS groundwater_state FROM m) "
-)
-COUPLED = (
-    "CASE WHEN recovery_head IS NULL OR recent_head IS NULL OR late_rate IS NULL OR rate_change IS NULL THEN 0 WHEN abs(recent_head) <= 0.5 AND abs(late_rate) <= 5 THEN 6 WHEN recovery_head > 1 AND recent_declines >= 2 AND late_rate < -5 AND rate_change <= -5 THEN 5 "
-    "WHEN recovery_head > 1 AND late_rate < -5 AND rate_change <= -5 THEN 4 WHEN recovery_head > 1 AND late_rate < -5 AND NOT (deformation_class IN (4, 5)) THEN 3 WHEN recovery_head > 1 AND deformation_class IN (4, 5) AND NOT rate_change <= -5 THEN 2 WHEN recovery_head <= 1 AND recent_declines >= 2 AND late_rate < -5 THEN 1 ELSE 0 END"
+    f"WITH {RATE_CTE.format(n='rates', source=SERIES)}, {RATE_CTE.format(n='heads', source=HEADS)}, "
+    "a AS (SELECT series_id, median(rate) FILTER (year1 IN (1995, 1996, 1997)) AS early_rate, median(rate) FILTER (year1 IN (1998, 1999, 2000)) AS late_rate, regr_slope(rate, year1 + 0.5) AS rate_slope, regr_slope(rate, year1 + 0.5) FILTER (year1 >= 1998) AS recent_rate_slope, count(rate) AS nd, count(rate) FILTER (year1 >= 1998) AS ndr FROM rates WHERE year1 BETWEEN 1995 AND 2000 GROUP BY series_id), "
+    "b AS (SELECT series_id, median(rate) FILTER (year1 IN (1995, 1996, 1997)) AS early_head, median(rate) FILTER (year1 IN (1998, 1999, 2000)) AS late_head, regr_slope(rate, year1 + 0.5) AS head_slope, median(rate) FILTER (year1 IN (1996, 1997)) AS recovery_head, median(rate) FILTER (year1 IN (1998, 1999, 2000)) AS recent_head, "
+    "coalesce(list(rate) FILTER (year1 IN (1998, 1999, 2000)), []) AS recent_heads, count(rate) AS nh, count(rate) FILTER (year1 IN (1996, 1997)) AS nhr FROM heads WHERE year1 BETWEEN 1995 AND 2000 GROUP BY series_id), "
+    f"e AS (SELECT *, late_rate - early_rate AS rate_change, recent_rate_slope * 2 AS recent_rate_change, late_head - early_head AS head_difference, {VALID} AS valid FROM a JOIN b USING (series_id)), "
+    f"m AS (SELECT series_id, valid, recent_heads, len(list_filter(recent_heads, lambda h: h < -1.0)) AS recent_declines, {', '.join(f'CASE WHEN valid THEN {c} END AS {c}' for c in METRIC_NAMES)} FROM e), "
+    f"k AS (SELECT *, CASE WHEN valid THEN {deformation_sql('early_rate', 'late_rate', 'rate_change')} ELSE 255 END AS deformation_class, CASE WHEN valid THEN {state_sql('recent_head')} ELSE 255 END AS groundwater_state FROM m) "
 )
 
 
+def coupled_sql(mode: str, sr: str = "5", dc: str = "5", mh: str = "1", sh: str = "0.5") -> str:
+    """The coupled class as a table of rules, first to last: null metrics, quiet, recovered and worse, recovered, slowed, declining."""
+    fallen = f"len(list_filter(recent_heads, lambda v: v < -{mh})) >= 2"
+    rising, sinking, faster = f"recovery_head > {mh}", f"late_rate < -{sr}", f"recent_rate_change <= -{dc}"
+    return (
+        f"CASE WHEN recovery_head IS NULL OR recent_head IS NULL OR late_rate IS NULL OR recent_rate_change IS NULL THEN 0 WHEN abs(recent_head) <= {sh} AND abs(late_rate) <= {sr} THEN 6 WHEN {rising} AND {fallen} AND {sinking} AND {faster} THEN 5 "
+        f"WHEN {rising} AND {sinking} AND {faster} THEN 4 WHEN {rising} AND {sinking} AND NOT {mode} IN (4, 5) THEN 3 WHEN {rising} AND {mode} IN (4, 5) AND NOT {faster} THEN 2 WHEN NOT {rising} AND {fallen} AND {sinking} THEN 1 ELSE 0 END"
+    )
+
+
+COUPLED = f"CASE WHEN valid THEN {coupled_sql('deformation_class')} ELSE 255 END"
+
+
 def yearly_rates(df: DataFrame) -> DataFrame:
     y = df.groupBy("series_id", F.year("date").alias("year1")).agg(F.median("value").alias("v"))
     following = y.select("series_id", (F.col("year1") - 1).alias("year1"), F.col("v").alias("w"))
@@ -499,10 +514,15 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     return trajectories.classify(metrics(spark, sf)).withColumn("area", (F.col("series_id") + 1).cast("double"))
 
 
-@query(METRICS + f"SELECT series_id, {', '.join(f'{rounded(c)} AS {c}' for c in ('early_rate', 'late_rate', 'rate_change', 'recovery_head', 'recent_head'))}, recent_declines, deformation_class, groundwater_state, {COUPLED} AS coupled_class FROM k")
+@query(METRICS + f"SELECT series_id, {', '.join(f'{rounded(c)} AS {c}' for c in METRIC_NAMES)}, CAST(recent_declines AS INTEGER) AS recent_declines, deformation_class, groundwater_state, {COUPLED} AS coupled_class FROM k")
 def trajectory_classes(spark: SparkSession, sf: str) -> DataFrame:
-    c = classified(spark, sf).select("series_id", "early_rate", "late_rate", "rate_change", "recovery_head", "recent_head", "recent_declines", "deformation_class", "groundwater_state", "coupled_class")
-    return r(c)
+    return r(classified(spark, sf).select("series_id", *METRIC_NAMES, "recent_declines", "deformation_class", "groundwater_state", "coupled_class"))
+
+
+@query(METRICS + "SELECT valid, count(*) AS series, sum(nd) AS rate_intervals, sum(nh) AS head_intervals, sum(ndr) AS recent_rates, sum(nhr) AS recovery_heads FROM e GROUP BY valid")
+def valid_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    sums = {"n_rate_intervals": "rate_intervals", "n_head_intervals": "head_intervals", "n_recent_rates": "recent_rates", "n_recovery_heads": "recovery_heads"}
+    return metrics(spark, sf).groupBy("valid").agg(F.count("*").alias("series"), *(F.sum(c).alias(n) for c, n in sums.items()))
 
 
 LEGEND = ", ".join(f"({k}, '{v}')" for k, v in classes.DEFORMATION.items())
@@ -538,7 +558,13 @@ def confusion_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     return r(trajectories.confusion(s, "actual", "predicted", ["year1"]).na.fill({"year1": 0}))
 
 
-@query(METRICS + f", g AS (SELECT s, c, {deformation_sql('early_rate', 'late_rate', 'rate_change', 's', 'c')} AS class_id, count(*) AS pixel_count FROM m, (VALUES (3.0), (5.0), (10.0)) a(s), (VALUES (3.0), (5.0), (10.0)) b(c) GROUP BY ALL) SELECT CAST(s AS DOUBLE) AS stable_rate, CAST(c AS DOUBLE) AS meaningful_rate_change, class_id, pixel_count, {rounded('pixel_count / sum(pixel_count) OVER (PARTITION BY s, c)')} AS fraction FROM g")
+SENSITIVITY = coupled_sql("mode", "s", "c", "h")
+
+
+@query(
+    METRICS + f", x AS (SELECT *, {deformation_sql('early_rate', 'late_rate', 'rate_change', 's', 'c')} AS mode FROM m, (VALUES (3.0), (5.0), (10.0)) a(s), (VALUES (3.0), (5.0), (10.0)) b(c), (VALUES (0.5), (1.0), (1.5)) d(h) WHERE valid), g AS (SELECT s, c, h, {SENSITIVITY} AS class_id, count(*) AS pixel_count FROM x GROUP BY ALL) "
+    f"SELECT CAST(s AS DOUBLE) AS stable_rate, CAST(c AS DOUBLE) AS meaningful_rate_change, CAST(h AS DOUBLE) AS meaningful_head_change, class_id, pixel_count, {rounded('pixel_count / sum(pixel_count) OVER (PARTITION BY s, c, h)')} AS fraction FROM g"
+)
 def threshold_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     return r(trajectories.threshold_sensitivity(metrics(spark, sf)))
 

@@ -167,15 +167,50 @@ def build_groundwater_field(spark: SparkSession, cfg: ProjectConfig) -> dict[str
     return cfg.note("groundwater/field_summary", {"wells": len(ids), "rank": best["rank"], "sigma_km": best["sigma"], "ridge": best["ridge"], "cv_rmse_m": best["cv_rmse"], "cv_harmonic_vector_rmse_m": best["cv_harmonic_vector_rmse"], "epochs": len(epochs)})
 
 
-def evolution_modes(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
+#: Settings of evolution, of its groundwater_interpolation and of its sensitivity; block_size and reuse_existing_deformation_maps have no effect, since Spark cuts the work and maps are always made anew.
+EVOLUTION = (
+    "start_year end_year same_season_months max_pair_day_diff min_pairs_per_interval min_valid_intervals min_recent_intervals min_recovery_intervals recent_decline_min_intervals early_intervals late_intervals recovery_intervals recent_intervals "
+    "stable_rate_mm_yr meaningful_rate_change_mm_yr stable_head_change_m_yr meaningful_head_change_m_yr groundwater_interpolation support_mask block_size reuse_existing_deformation_maps sensitivity aquifer pairing thresholds min_wells rbf cross_validation support"
+).split()
+INTERPOLATION = "max_centers sigma_km_candidates ridge_candidates folds block_km random_state min_wells_per_interval max_nearest_well_km".split()
+SENSITIVITY = "stable_rate_mm_yr meaningful_rate_change_mm_yr meaningful_head_change_m_yr sample_stride".split()
+
+
+def evolution_settings(cfg: ProjectConfig) -> dict[str, Any]:
+    """All settings of evolution with their defaults; interpolation falls back on groundwater_field's. Names of the first version (pairing, thresholds, min_wells, rbf, cross_validation, support) still count where the others are absent."""
     s = cfg.section("evolution")
-    pairs_of = s.get("pairing") or {}
-    months, diff, least = tuple(pairs_of.get("months", (1, 8))), int(pairs_of.get("max_day_diff", 18)), int(pairs_of.get("min_pairs", 3))
-    th = s.get("thresholds") or {}
-    limits = {"stable_rate": float(th.get("stable_rate_mm_yr", 5)), "meaningful_rate": float(th.get("meaningful_rate_change_mm_yr", 5)), "stable_head": float(th.get("stable_head_m_yr", 0.5)), "meaningful_head": float(th.get("meaningful_head_m_yr", 1.0))}
+    own, sens = s.get("groundwater_interpolation") or {}, s.get("sensitivity") or {}
+    for section, name, names in ((s, "evolution", EVOLUTION), (own, "evolution.groundwater_interpolation", INTERPOLATION), (sens, "evolution.sensitivity", SENSITIVITY)):
+        known_names(section, name, *names)
+    field, analysis, pairs, old = cfg.section("groundwater_field"), cfg.section("analysis"), s.get("pairing") or {}, s.get("thresholds") or {}
+    rbf, cv = {**(field.get("rbf") or {}), **(s.get("rbf") or {})}, {**(field.get("cross_validation") or {}), **(s.get("cross_validation") or {})}
+    year = lambda name, key: int(s[name]) if s.get(name) is not None else int(str(analysis[key])[:4]) if analysis.get(key) else None
+    first_years = lambda name: [int(pair[0]) for pair in s[name]] if s.get(name) else None
+    numbers = lambda values: [float(v) for v in values]
+    out = {
+        "start_year": year("start_year", "start_date"), "end_year": year("end_year", "end_date"), "months": [int(m) for m in s.get("same_season_months", pairs.get("months", (1, 8)))],
+        "day_diff": int(s.get("max_pair_day_diff", pairs.get("max_day_diff", 18))), "pairs": int(s.get("min_pairs_per_interval", pairs.get("min_pairs", 3))),
+        "sets": {name: first_years(f"{name}_intervals") for name in trajectories.SETS},
+        "least": {"valid": s.get("min_valid_intervals"), "recent": s.get("min_recent_intervals"), "recovery": s.get("min_recovery_intervals"), "declines": s.get("recent_decline_min_intervals")},
+        "stable_rate": float(s.get("stable_rate_mm_yr", old.get("stable_rate_mm_yr", 5))), "meaningful_rate": float(s.get("meaningful_rate_change_mm_yr", old.get("meaningful_rate_change_mm_yr", 5))),
+        "stable_head": float(s.get("stable_head_change_m_yr", old.get("stable_head_m_yr", 0.5))), "meaningful_head": float(s.get("meaningful_head_change_m_yr", old.get("meaningful_head_m_yr", 1.0))),
+        "centres": int(own.get("max_centers", rbf.get("max_centers", 32))), "sigmas": numbers(own.get("sigma_km_candidates", rbf.get("sigma_km_candidates", [10, 15, 20, 25]))), "ridges": numbers(own.get("ridge_candidates", rbf.get("ridge_candidates", [0.1, 0.3, 0.6, 1.0]))),
+        "folds": int(own.get("folds", cv.get("folds", 5))), "block": float(own.get("block_km", cv.get("block_km", 30))), "seed": int(own.get("random_state", cv.get("random_state", 20260919))), "wells": int(own.get("min_wells_per_interval", s.get("min_wells", 8))),
+        "nearest": own.get("max_nearest_well_km"), "support": str(s.get("support_mask", s.get("support", "high_confidence"))),
+        "sensitivity": {"stable": numbers(sens.get("stable_rate_mm_yr", [3, 5, 10])), "change": numbers(sens.get("meaningful_rate_change_mm_yr", [3, 5, 10])), "head": numbers(sens.get("meaningful_head_change_m_yr", [0.5, 1, 1.5]))}, "stride": max(1, int(sens.get("sample_stride", 8))),
+    }
+    if out["meaningful_head"] < out["stable_head"]:
+        raise ValueError("evolution: the meaningful head change is below the stable one")
+    return out
+
+
+def evolution_modes(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
+    s, o = cfg.section("evolution"), evolution_settings(cfg)
+    months, diff, least = tuple(o["months"]), o["day_diff"], o["pairs"]
+    limits = {k: o[k] for k in ("stable_rate", "meaningful_rate", "stable_head", "meaningful_head")}
     stack = stack_of(spark, cfg).withColumn("date", F.date_from_unix_date("day"))
     epochs = pairing.same_season_pairs(stack.select("date").distinct(), [], months=(int(months[0]), int(months[-1])), max_day_diff=diff)
-    pairs = [(r["year1"], r["year2"], r["date1"], r["date2"], r["elapsed_years"]) for r in epochs.orderBy("date1").collect()]  # as many as epochs, at most
+    pairs = [(r["year1"], r["year2"], r["date1"], r["date2"], r["elapsed_years"]) for r in epochs.orderBy("date1").collect() if (o["start_year"] or r["year1"]) <= r["year1"] and r["year2"] <= (o["end_year"] or r["year2"])]  # as many as epochs, at most
     if not pairs:
         raise ValueError("no two epochs are a year apart")
     rates = pairing.pair_rates(pairing.values_of_pairs(stack, pairs, ["pixel_id"]), ["pixel_id"], least=least)
@@ -188,11 +223,11 @@ def evolution_modes(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
     places = heads.groupBy("station_id").agg(F.min_by("lon", "date").alias("lon"), F.min_by("lat", "date").alias("lat"), F.min_by("aquifer_class", "date").alias("aquifer_class")).withColumns({"x": x, "y": y})
     changes = pairing.pair_rates(own, ["station_id"], least=least).join(places, "station_id")
     changes = cfg.write(changes.where("rate IS NOT NULL"), "evolution/well_same_season_head_change")
-    minimum = int(s.get("min_wells", 8))
+    minimum = o["wells"]
     years = sorted(r["year1"] for r in trajectories.common_intervals(rates.select("year1").distinct(), changes, minimum).select("year1").distinct().collect())
     if len(years) < 2:
         raise ValueError(f"{len(years)} intervals have both variables; two are needed")
-    cv = models.change_cv(changes.where(F.col("year1").isin(years)), sigmas=list(map(float, (s.get("rbf") or {}).get("sigma_km_candidates", [15, 25, 35, 50]))), ridges=list(map(float, (s.get("rbf") or {}).get("ridge_candidates", [1e-4, 1e-3, 1e-2, 1e-1]))), block=float((s.get("cross_validation") or {}).get("block_km", 30)), stable=limits["stable_head"], meaningful=limits["meaningful_head"])
+    cv = models.change_cv(changes.where(F.col("year1").isin(years)), sigmas=o["sigmas"], ridges=o["ridges"], folds=o["folds"], block=o["block"], seed=o["seed"], stable=o["stable_head"], meaningful=o["meaningful_head"], centres=o["centres"])
     cv = cfg.write(cv, "evolution/cv_predictions")
     best = models.change_cv_summary(cv).first()
     cfg.write(models.change_cv_summary(cv), "evolution/spatial_cv")
@@ -200,24 +235,29 @@ def evolution_modes(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
     cfg.write(models.change_cv_by_interval(chosen), "evolution/spatial_cv_by_interval")
     cfg.write(trajectories.confusion(chosen, "actual_state", "predicted_state", ["year1"]), "evolution/state_confusion")
     pixels = cfg.read(spark, "insar/pixels").where("in_domain")
-    support = spatial.select_support(cfg.read(spark, "groundwater/support"), s.get("support", "high_confidence")).select("pixel_id")
+    support = spatial.select_support(cfg.read(spark, "groundwater/support"), o["support"]).select("pixel_id")
     inside = pixels.join(support, "pixel_id", "left_semi").select("pixel_id", F.col("ux").alias("x"), F.col("uy").alias("y"))
     maps = None
     for year in years:  # a few
         w = changes.where(F.col("year1") == year).orderBy("station_id").select("x", "y", "rate").toPandas()
-        m = models.predict_change(inside, w[["x", "y"]].to_numpy(float), w["rate"].to_numpy(float), best["sigma"], best["ridge"], year)
+        m = models.predict_change(inside, w[["x", "y"]].to_numpy(float), w["rate"].to_numpy(float), best["sigma"], best["ridge"], year, o["centres"])
+        if o["nearest"] is not None:
+            wells_of = changes.where(F.col("year1") == year).select(F.col("station_id").alias("site_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+            m = m.join(spatial.nearest_site(inside, wells_of).where(F.col("distance") <= float(o["nearest"])), "pixel_id", "left_semi")
         maps = m if maps is None else maps.unionByName(m)
     maps = cfg.write(maps.withColumn("state", classes.groundwater_state(F.col("head_change"), limits["stable_head"], limits["meaningful_head"])), "evolution/head_change_maps")
-    sets = trajectories.interval_sets(years)
-    metrics = trajectories.interval_metrics(rates.where(F.col("year1").isin(years)), maps.withColumnRenamed("head_change", "rate"), ["pixel_id"], sets, meaningful_head=limits["meaningful_head"])
-    trend = trajectories.nan_slope(rates.where(F.col("year1").isin(years)), ["pixel_id"], "year1", "rate").select("pixel_id", F.col("slope").alias("rate_trend"))
-    areas = pixels.select("pixel_id", "area")
-    table = cfg.write(trajectories.classify(metrics, **limits).join(trend, "pixel_id", "left").join(areas, "pixel_id"), "evolution/metrics")
+    sets = trajectories.interval_sets(years, o["sets"])
+    needed = trajectories.least_intervals(sets, **o["least"])
+    metrics = trajectories.interval_metrics(rates, maps.withColumnRenamed("head_change", "rate"), ["pixel_id"], sets, meaningful_head=o["meaningful_head"], least=needed)
+    places = pixels.select("pixel_id", "row", "col", "area")
+    table = cfg.write(trajectories.classify(metrics, least_declines=needed["declines"], **limits).join(places, "pixel_id"), "evolution/metrics")
+    valid = table.where("valid")
     for name, column, labels in (("deformation", "deformation_class", classes.DEFORMATION), ("groundwater", "groundwater_state", classes.GROUNDWATER), ("coupled", "coupled_class", classes.COUPLED)):
-        cfg.write(trajectories.histogram(table, column, labels), f"evolution/{name}_summary")
-    cfg.write(trajectories.cross_tab(table, "groundwater_state", classes.GROUNDWATER, "deformation_class", classes.DEFORMATION), "evolution/cross_tab")
-    cfg.write(trajectories.threshold_sensitivity(table), "evolution/threshold_sensitivity")
-    return cfg.note("evolution/summary", {"intervals": years, "sets": sets, "sigma_km": best["sigma"], "ridge": best["ridge"], "cv_rmse_m_yr": best["cv_rmse"], "pixels": table.count()})
+        cfg.write(trajectories.histogram(valid, column, labels), f"evolution/{name}_summary")
+    cfg.write(trajectories.cross_tab(valid, "groundwater_state", classes.GROUNDWATER, "deformation_class", classes.DEFORMATION), "evolution/cross_tab")
+    sampled = spatial.stride(table, o["stride"])
+    cfg.write(trajectories.threshold_sensitivity(sampled, **o["sensitivity"], stable_head=o["stable_head"], meaningful_head=o["meaningful_head"], least_declines=needed["declines"]), "evolution/threshold_sensitivity")
+    return cfg.note("evolution/summary", {"intervals": years, "sets": sets, "sigma_km": best["sigma"], "ridge": best["ridge"], "cv_rmse_m_yr": best["cv_rmse"], "least_intervals": needed, "pixels": table.count(), "valid_pixels": valid.count()})
 
 
 def decompose_insar(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:

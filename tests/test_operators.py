@@ -327,3 +327,30 @@ def test_packed_holdout_and_verdict(spark):
     one = lambda text, *rows: spark.createDataFrame(list(rows), text)
     got = diagnostics.assess(one("pearson_r double, median_difference double", (0.95, 1.0), (0.8, 9.0)), one("shift_from_full double", (2.0,), (-4.0,)), one("plane_r2 double", (0.1,)), one("r double", (0.1,)), one("rank_recent int, scene_artifact_score double", (1, 9.0))).first()
     assert (got["real"], got["artifact"], got["verdict"]) == (3, 0, "persistent_signal")
+
+
+def test_interval_sets_and_least_numbers():
+    assert trajectories.interval_sets(list(range(2018, 2025))) == {"early": [2018, 2019, 2020], "late": [2022, 2023, 2024], "recent": [2022, 2023, 2024], "recovery": [2020, 2021], "all": list(range(2018, 2025))}
+    three = trajectories.interval_sets([2018, 2019, 2020])
+    assert three["recovery"] == [2018, 2019] and three["early"] == [2018] and three["late"] == [2020]
+    assert trajectories.interval_sets([2018, 2019, 2020, 2021], {"recovery": [2018], "late": None})["recovery"] == [2018]
+    with pytest.raises(ValueError):
+        trajectories.interval_sets([2018, 2019], {"early": [2017]})
+    assert trajectories.least_intervals(three) == {"valid": 3, "recent": 2, "recovery": 1, "declines": 2}
+    assert trajectories.least_intervals(three, valid=1, recent=9, declines=3) == {"valid": 2, "recent": 3, "recovery": 1, "declines": 3}
+
+
+def test_recent_change_and_validity(spark):
+    """The recent change is slope times span, a gap included; places with too few intervals have no class."""
+    years, sets = range(2018, 2024), trajectories.interval_sets(list(range(2018, 2024)))
+    rates = {1: [-10, -10, -10, -12, -20, -24], 2: [-10, -10, -10, -12, None, -24], 3: [-10, None, None, None, -20, -24], 4: [-10, -10, -10, -10, None, -9]}
+    heads = {1: [2, 2, 2, -2, -2, 0], 2: [2, 2, 2, -2, -2, 0], 3: [2, 2, 2, 2, -2, 0], 4: [2, 2, None, None, -2, -2]}
+    table = lambda d: spark.createDataFrame([(k, y, None if v is None else float(v)) for k, own in d.items() for y, v in zip(years, own, strict=True)] + [(1, 2030, 99.0)], "k int, year1 int, rate double")
+    got = {r["k"]: r for r in trajectories.classify(trajectories.interval_metrics(table(rates), table(heads), ["k"], sets)).collect()}
+    assert [got[k]["valid"] for k in (1, 2, 3, 4)] == [True, True, False, True]
+    assert got[1]["recent_rate_change"] == pytest.approx(-12) and got[2]["recent_rate_change"] == pytest.approx(-12)
+    assert got[1]["rate_slope"] == pytest.approx(np.polyfit(np.arange(6), rates[1], 1)[0]) and got[1]["head_difference"] == -4
+    assert got[3]["early_rate"] is None and got[3]["coupled_class"] == 255 == got[3]["deformation_class"]
+    assert got[1]["coupled_class"] == 5 and got[1]["recent_declines"] == 2
+    rows = trajectories.threshold_sensitivity(trajectories.interval_metrics(table(rates), table(heads), ["k"], sets), head=(0.2, 1.0, 2.5)).collect()
+    assert {r["meaningful_head_change"] for r in rows} == {1.0, 2.5} and sum(r["pixel_count"] for r in rows) == 3 * 18

@@ -152,3 +152,38 @@ def test_command_line(spark, project, capsys):
     assert main(["plot", str(project), "--stage", "estimate-lag"]) == 0 and "estimate-lag scan: " in capsys.readouterr().out
     with pytest.raises(KeyError):
         stages.run_stage(spark, load_config(project), "nothing")
+
+
+def test_evolution_settings(project):
+    """The settings of evolution by name: what they set, what they fall back on, and errors for unknown ones."""
+    cfg = load_config(project)
+    o = stages.evolution_settings(cfg)
+    assert o["wells"] == 8 and o["sigmas"] == [25.0] and o["support"] == "prediction" and o["months"] == [1, 8] and o["stride"] == 8
+    text = """
+evolution:
+  start_year: 2019
+  end_year: 2022
+  same_season_months: [2, 7]
+  max_pair_day_diff: 10
+  min_pairs_per_interval: 2
+  min_valid_intervals: 3
+  early_intervals: [[2019, 2020]]
+  recovery_intervals: [[2020, 2021]]
+  recent_decline_min_intervals: 1
+  stable_head_change_m_yr: 0.25
+  groundwater_interpolation: {max_centers: 8, sigma_km_candidates: [12], min_wells_per_interval: 5, max_nearest_well_km: 40}
+  support_mask: inside_hull
+  block_size: 64
+  sensitivity: {sample_stride: 2, stable_rate_mm_yr: [4]}
+"""
+    given = yaml.safe_load(text)
+    cfg.data["evolution"] = given["evolution"]
+    o = stages.evolution_settings(cfg)
+    assert (o["start_year"], o["end_year"], o["day_diff"], o["pairs"], o["centres"], o["wells"], o["nearest"], o["support"], o["stride"]) == (2019, 2022, 10, 2, 8, 5, 40, "inside_hull", 2)
+    assert o["sets"]["early"] == [2019] and o["sets"]["late"] is None and o["least"]["valid"] == 3 and o["sensitivity"]["stable"] == [4.0] and o["stable_head"] == 0.25
+    cfg.data["evolution"] = {"min_valid_interval": 3}
+    with pytest.raises(ValueError, match="min_valid_interval"):
+        stages.evolution_settings(cfg)
+    cfg.data["evolution"] = {"stable_head_change_m_yr": 2}
+    with pytest.raises(ValueError, match="head change"):
+        stages.evolution_settings(cfg)
