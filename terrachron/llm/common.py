@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -79,9 +80,14 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of finished jobs: its cleaner does once the driver's JVM has collected what named them, which else may take half an hour."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark remove shuffle files of finished jobs: its cleaner does once the driver's JVM has collected what named them, which else may take half an hour.
+
+    Twice, since listeners hold the last job's plan for a moment after its end.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def free_name(df: DataFrame, name: str) -> str:
