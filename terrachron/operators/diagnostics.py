@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,64 +11,23 @@ from pyspark.sql.window import Window
 
 from terrachron.functions import basis, classes
 from terrachron.functions.basis import TimeModel
-from terrachron.operators import lsq
+from terrachron.operators import lsq, ranks
 
 ROBUST = 0.6744897501960817
 QUANTILES = (("p01", 0.01), ("p10", 0.1), ("median", 0.5), ("p90", 0.9), ("p99", 0.99))
 
 
-def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], most: int = 100_000) -> list[float | None]:
-    """Exact quantiles of all rows, with linear interpolation, without bringing them to one task; None without a value.
-
-    A quantile's bracket is narrowed by approximate percentiles and counts until it has at most ``most`` rows or one
-    value; only then its distinct values are read. Each round is two scans and leaves some thousandth of the rows.
-    """
-    rows = df.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v IS NOT NULL")
-    n, low, high = rows.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(qs)
-
-    def at(rank: int) -> float:
-        """The value with ``rank`` values before it."""
-        a, b, before, m = low, high, 0, n
-        while a < b and m > most:
-            inside, share = rows.where(F.col("v").between(a, b)), (rank - before) / m
-            c, d = inside.agg(F.percentile_approx("v", [max(0.0, share - 5e-4), min(1.0, share + 5e-4)], 10_000)).first()[0]
-            under, within = inside.agg(F.count_if(F.col("v") < c), F.count_if(F.col("v").between(c, d))).first()
-            if rank < before + under:
-                inner = (a, c, before, inside.where(F.col("v") <= c).count())
-            elif rank >= before + under + within:
-                inner = (d, b, before + under + within - inside.where(F.col("v") == d).count(), inside.where(F.col("v") >= d).count())
-            else:
-                inner = (c, d, before + under, within)
-            if inner == (a, b, before, m):
-                break
-            a, b, before, m = inner
-        for v, k in rows.where(F.col("v").between(a, b)).groupBy("v").agg(F.count("*").alias("k")).orderBy("v").collect():
-            before += k
-            if rank < before:
-                return float(v)
-        return float(b)
-
-    known: dict[int, float] = {}
-    out: list[float | None] = []
-    for q in qs:
-        place = (n - 1) * q
-        for rank in (k := int(place), min(k + 1, n - 1)):
-            if rank not in known:
-                known[rank] = at(rank)
-        out.append(known[k] + (known[min(k + 1, n - 1)] - known[k]) * (place - k))
-    return out
+def exact_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], most: int = ranks.BROADCAST_ROWS) -> list[float | None]:
+    """Exact quantiles of all rows, with linear interpolation, as numbers; None without a value. See ``ranks.quantiles``."""
+    names = {str(i): q for i, q in enumerate(qs)}
+    row = ranks.quantiles(df, [], {"q": value}, names, most=most).first()
+    return [row[f"q{n}"] for n in names]
 
 
 def quantile_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """n, mean and exact quantiles with linear interpolation; without keys by ``exact_quantiles``, at once."""
-    if not keys:
-        n, mean = df.agg(F.count(value), F.avg(value)).first()
-        row = (n, mean, *exact_quantiles(df, value, [q for _, q in QUANTILES]))
-        return df.sparkSession.createDataFrame([row], ", ".join(["n long", "mean double", *(f"{name} double" for name, _ in QUANTILES)]))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, [q for _, q in QUANTILES]).alias("__q"))
-    return out.select(*keys, "n", "mean", *(F.col("__q")[i].alias(n) for i, (n, _) in enumerate(QUANTILES)))
+    """n, mean and exact quantiles with linear interpolation; null without values."""
+    sums = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return ranks.side_by_side(sums, ranks.quantiles(df, keys, {"": value}, dict(QUANTILES)), keys)
 
 
 def threshold_fractions(df: DataFrame, keys: list[str], value: str = "value", thresholds: tuple[tuple[str, str, float], ...] = (("below_5", "<", -5.0), ("below_20", "<", -20.0), ("above_5", ">", 5.0))) -> DataFrame:
@@ -100,31 +60,21 @@ def guarded_pearson(df: DataFrame, keys: list[str], x: str, y: str, least: int =
     return out.select(*keys, "n", F.when((F.col("n") >= least) & (F.col("__sx") > spread) & (F.col("__sy") > spread), F.col("r")).alias("r"))
 
 
-def average_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``df`` with rank_<column>: ties share the mean of their ranks."""
-    out = df
-    for c in columns:
-        w = Window.partitionBy(*keys).orderBy(c)
-        out = out.withColumn(f"rank_{c}", F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2)
-    return out
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 10) -> DataFrame:
+    """n and the correlation of ranks over rows where both are there; ranks as ``ranks.average_ranks``."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return guarded_pearson(average_ranks(rows, keys, [x, y]), keys, f"rank_{x}", f"rank_{y}", least).withColumnRenamed("r", "spearman_rho")
+    return guarded_pearson(ranks.average_ranks(rows, keys, [x, y]), keys, f"rank_{x}", f"rank_{y}", least).withColumnRenamed("r", "spearman_rho")
 
 
 def mad_zscore(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """``df`` with robust_z: 0.6745 (x - median) / MAD, 0 where the MAD is 0."""
-    if not keys:
-        middle = exact_quantiles(df, value, [0.5])[0]
-        away = F.abs(F.col(value) - F.lit(middle).cast("double"))
-        spread = exact_quantiles(df, away, [0.5])[0]
-        return df.withColumn("robust_z", F.when(F.col(value).isNotNull(), ROBUST * (F.col(value) - middle) / spread) if spread else F.lit(0.0))
-    middles = df.groupBy(*keys).agg(F.median(value).alias("__m"))
-    a = df.join(middles, keys).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
-    spreads = a.groupBy(*keys).agg(F.median("__d").alias("__mad"))
-    return a.join(spreads, keys).withColumn("robust_z", F.when(F.col("__mad") > 0, ROBUST * (F.col(value) - F.col("__m")) / F.col("__mad")).otherwise(0.0)).drop("__m", "__d", "__mad")
+    """``df`` with robust_z: 0.6745 (x - median) / MAD, 0 where the MAD is 0 or there is no value at all.
+
+    The medians, a row a key, are written to the shared folder now, so ``df`` is read by eight scans.
+    """
+    a = ranks.with_groups(df, ranks.stored(ranks.medians(df, keys, {"__m": value})), keys)
+    away = F.abs(F.col(value) - F.col("__m"))
+    b = ranks.with_groups(a, ranks.medians(a, keys, {"__mad": away}), keys)
+    return b.withColumn("robust_z", F.when(F.col("__mad") > 0, ROBUST * (F.col(value) - F.col("__m")) / F.col("__mad")).otherwise(0.0)).drop("__m", "__mad")
 
 
 def plane_fit(df: DataFrame, keys: list[str], *, x: str = "x", y: str = "y", value: str = "value", least: int = 4) -> DataFrame:
@@ -140,11 +90,18 @@ def plane_fit(df: DataFrame, keys: list[str], *, x: str = "x", y: str = "y", val
 
 
 def epoch_scatter(df: DataFrame, *, value: str = "residual", day: str = "day", least: int = 100) -> DataFrame:
-    """For each epoch with enough pixels: median residual, 1.4826 MAD, p95 of centred residuals."""
-    rows = df.where(F.col(value).isNotNull())
-    middle = rows.groupBy(day).agg(F.median(value).alias("spatial_median"), F.count("*").alias("n")).where(F.col("n") >= least)
-    centred = rows.join(middle, day).withColumn("__d", F.abs(F.col(value) - F.col("spatial_median")))
-    return centred.groupBy(day, "spatial_median", "n").agg((1.4826 * F.median("__d")).alias("spatial_robust_sigma"), F.percentile("__d", F.lit(0.95)).alias("p95_abs_centered"))
+    """For each epoch with enough pixels: median residual, 1.4826 MAD, p95 of centred residuals.
+
+    Two columns of ``df`` are written to the shared folder now, and then the epochs' medians, so ``df`` is computed once.
+    """
+    rows = ranks.stored(df.where(F.col(value).isNotNull()).select(day, value))
+    n = rows.groupBy(day).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    middle = ranks.stored(ranks.side_by_side(n, ranks.medians(rows, [day], {"spatial_median": value}), [day]))
+    away = F.abs(F.col(value) - F.col("spatial_median"))
+    centred = ranks.with_groups(rows, middle, [day]).where("n IS NOT NULL").select(day, away.alias("__d"))
+    spread = ranks.quantiles(centred, [day], {"": "__d"}, {"__mad": 0.5, "p95_abs_centered": 0.95})
+    out = ranks.side_by_side(middle, spread, [day])
+    return out.select(day, "spatial_median", "n", (1.4826 * F.col("__mad")).alias("spatial_robust_sigma"), "p95_abs_centered")
 
 
 def artifact_ranks(epochs: DataFrame, recent_from: int, *, noise: str = "spatial_robust_sigma", ramp: str = "plane_peak_to_peak", day: str = "day") -> DataFrame:
@@ -189,18 +146,20 @@ def map_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str = "va
 
 
 def agreement(df: DataFrame, a: str, b: str, threshold: float = 5.0) -> DataFrame:
-    """How two rates agree: Pearson r, share of equal states, share of the first's subsidence that the second confirms."""
+    """How two rates agree: Pearson r, share of equal states, share of the first's subsidence that the second confirms.
+
+    The pairs of rates are written to the shared folder now, as several scans read them.
+    """
     x, y = classes.rate_state(F.col(a), threshold), classes.rate_state(F.col(b), threshold)
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return rows.agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson_r"), F.avg((x == y).cast("double")).alias("state_agreement"), F.avg(F.when(x == 1, (y == 1).cast("double"))).alias("confirmed_subsidence"), F.median(F.col(b) - F.col(a)).alias("median_difference"))
+    rows = ranks.stored(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b))
+    return rows.agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson_r"), F.avg((x == y).cast("double")).alias("state_agreement"), F.avg(F.when(x == 1, (y == 1).cast("double"))).alias("confirmed_subsidence")).crossJoin(F.broadcast(ranks.medians(rows, [], {"median_difference": F.col(b) - F.col(a)})))
 
 
 def choose_degree(fits: dict[int, DataFrame], sizes: dict[int, int]) -> DataFrame:
-    """degree, median_aicc over all series, best first."""
-    out = None
-    for degree, f in fits.items():
-        row = f.select(classes.aicc(F.col("rss"), F.col("n"), sizes[degree]).alias("a")).agg(F.median("a").alias("median_aicc")).select(F.lit(degree).alias("degree"), "median_aicc")
-        out = row if out is None else out.unionByName(row)
+    """degree, median_aicc over all series, best first; the scores are written to the shared folder now, as several scans read them."""
+    each = [f.select(F.lit(degree).alias("degree"), classes.aicc(F.col("rss"), F.col("n"), sizes[degree]).alias("a")) for degree, f in fits.items()]
+    degrees = fits[next(iter(fits))].sparkSession.createDataFrame([(d,) for d in fits], "degree int")
+    out = ranks.side_by_side(degrees, ranks.medians(ranks.stored(reduce(DataFrame.unionByName, each)), ["degree"], {"median_aicc": "a"}), ["degree"])
     return out.orderBy(F.asc_nulls_last("median_aicc"), "degree")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrachron.functions.classes import GROUNDWATER
+from terrachron.operators import ranks
 
 
 def svd_impute(matrix: np.ndarray, rank: int, rounds: int = 20, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
@@ -448,4 +449,5 @@ def regimes(df: DataFrame, features: list[str], *, ks: Sequence[int] = (2, 3, 4,
 
 
 def cluster_summary(df: DataFrame, values: list[str], cluster: str = "cluster_id") -> DataFrame:
-    return df.groupBy(cluster).agg(F.count("*").alias("pixel_count"), *(F.median(v).alias(f"median_{v}") for v in values))
+    n = df.groupBy(cluster).agg(F.count("*").alias("pixel_count"))
+    return ranks.side_by_side(n, ranks.medians(df, [cluster], {f"median_{v}": v for v in values}), [cluster])

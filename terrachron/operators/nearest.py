@@ -28,12 +28,12 @@ BROADCAST_ROWS = 100_000
 SLACK = 1 + 1e-9
 
 
-def shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession, kind: str = "nearest") -> str:
     """A new folder's name below the one that all executors share; below a local one where none is set, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(named or tempfile.mkdtemp(prefix='terrachron-')).rstrip('/')}/nearest-{uuid.uuid4().hex}"
+    return f"{(named or tempfile.mkdtemp(prefix='terrachron-')).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def squares(x: str, y: str, box: tuple[float, float, float, float], levels: int) -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrachron.operators import ranks
 from terrachron.operators.wells import parse_date
 
 UP, DOWN = ("uplift", "up", "upward", "positive_up"), ("subsidence", "down", "downward", "positive_down")
@@ -62,7 +63,8 @@ def profile_sum(i: DataFrame) -> DataFrame:
 
 
 def spatial_median(df: DataFrame, value: str = "value", day: str = "day") -> DataFrame:
-    return df.groupBy(day).agg(F.median(value).alias(value))
+    """day and the exact median of all pixels, null where a day has none; a day's pixels don't meet in one task."""
+    return ranks.side_by_side(df.select(day).distinct(), ranks.medians(df, [day], {value: value}), [day])
 
 
 def strata_totals(df: DataFrame, layers: int, *, sand: str = "sand", clay: str = "clay") -> DataFrame:

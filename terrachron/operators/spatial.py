@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrachron.functions import geo
+from terrachron.operators import ranks
 from terrachron.operators.nearest import near_sites
 
 
@@ -139,8 +140,6 @@ def clip(df: DataFrame, rings: list[list[tuple[float, float]]]) -> DataFrame:
 
 def display_limits(df: DataFrame, value: str = "value", symmetric: bool = False) -> DataFrame:
     """One row: the 2nd and 98th percentiles, or plus and minus the larger of their sizes."""
-    from terrachron.operators.diagnostics import exact_quantiles
-
-    q = df.sparkSession.createDataFrame([tuple(exact_quantiles(df, value, [0.02, 0.98]))], "low double, high double")
+    q = ranks.quantiles(df, [], {"": value}, {"low": 0.02, "high": 0.98})
     m = F.greatest(F.abs("low"), F.abs("high"))
     return q.select((-m).alias("low"), m.alias("high")) if symmetric else q

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrachron.operators import ranks
+
 PARTS = ("total", "recoverable", "irreversible")
 
 
@@ -41,7 +43,8 @@ def annual_summary(df: DataFrame, *, area: str = "area", threshold_mm: float = 1
     positive = F.col("recoverable") > least
     both = positive & negative["irreversible"]
     whole = F.sum(a)
-    return df.where("irreversible IS NOT NULL").groupBy("year").agg(
+    rows = df.where("irreversible IS NOT NULL")
+    sums = rows.groupBy("year").agg(
         *(F.sum(F.col(p) * a).alias(f"{p}_gws_change_m3") for p in PARTS),
         F.greatest(-F.sum(F.col("irreversible") * a), F.lit(0.0)).alias("net_irreversible_loss_magnitude_m3"),
         (-F.sum(F.greatest(-F.col("irreversible"), F.lit(0.0)) * a)).alias("gross_negative_irreversible_change_m3"),
@@ -51,9 +54,9 @@ def annual_summary(df: DataFrame, *, area: str = "area", threshold_mm: float = 1
         (F.sum(F.when(negative["irreversible"], a).otherwise(0)) / whole).alias("fraction_area_irreversible_negative"),
         (F.sum(F.when(both, a).otherwise(0)) / 1e6).alias("recovery_with_continued_compaction_area_km2"),
         (F.sum(F.when(both, a).otherwise(0)) / whole).alias("fraction_area_recovery_with_continued_compaction"),
-        *((F.median(p) * 1000).alias(f"median_{p}_mm") for p in PARTS),
-        F.lit(threshold_mm).alias("diagnostic_threshold_mm"),
     )
+    middles = ranks.medians(rows, ["year"], {f"median_{p}_mm": F.col(p) * 1000 for p in PARTS})
+    return ranks.side_by_side(sums, middles, ["year"]).withColumn("diagnostic_threshold_mm", F.lit(threshold_mm))
 
 
 def cosine_sensitivity(df: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.5, 0.7), *, area: str = "area") -> DataFrame:
