@@ -69,6 +69,19 @@ def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Colum
     return 500000 + k0 * a1 * east, (10_000_000 if south else 0) + k0 * a1 * north
 
 
+def lonlat(east: Column, north: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing: the inverse of ``utm``, by Krueger's inverse series to the third order in n."""
+    k0, a1 = 0.9996, A / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
+    beta = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96, N**2 / 48 + N**3 / 15, 17 * N**3 / 480)
+    delta = (2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3 / 15)
+    xi, eta = (north - (10_000_000 if south else 0)) / (k0 * a1), (east - 500000) / (k0 * a1)
+    x1 = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(beta, 1))
+    e1 = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(beta, 1))
+    chi = F.asin(F.sin(x1) / F.cosh(e1))
+    lat = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1))
+    return F.lit(zone * 6 - 183) + F.degrees(F.atan2(F.sinh(e1), F.cos(x1))), F.degrees(lat)
+
+
 def gaussian(distance: Column, sigma: Column | float) -> Column:
     return F.exp(-0.5 * F.pow(distance / sigma, 2))
 

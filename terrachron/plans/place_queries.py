@@ -6,16 +6,17 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrachron.functions import basis, classes, geo
 from terrachron.functions.basis import YEAR, TimeModel
-from terrachron.operators import diagnostics, lsq, models, profile, spatial, wells
+from terrachron.operators import diagnostics, lsq, models, profile, ratio, spatial, wells
 from terrachron.plans.queries import EVENT_DAYS, GRID, HULL, IN_HULL, MARKERS, METRICS, QUADRATIC, event_days, grid, heads, markers, metrics, query, r, rsql, series, table
 from terrachron.plans.sql import DAY, HEADS, SERIES, model_sql, rounded
-from terrachron.sources import rasters, tables
+from terrachron.sources import rasters, sheets, tables
 
 STATIONS = f"SELECT l_suppkey AS station_id, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, l_quantity - 10 AS depth, CAST(10 + l_suppkey % 40 AS DOUBLE) AS elevation_m, CAST(l_linenumber * 8 AS DOUBLE) AS well_depth_m FROM lineitem"
 
@@ -442,6 +443,19 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, path)
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
+def sheet_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Workbooks of at most 1,000 customers each, packed in tasks and read back as one table of texts."""
+    names = ["c_custkey", "c_name", "c_nationkey"]
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [[int(a), str(b), int(c)] for a, b, c in frame[names].itertuples(index=False)]
+        return pd.DataFrame({"path": [f"{frame['book'].iloc[0]}"], "content": [sheets.encode_workbook(names, rows)]})
+
+    books = table(spark, sf, "customer").select(*names, F.floor(F.col("c_custkey") / 1000).alias("book")).groupBy("book").applyInPandas(pack, "path string, content binary")
+    return sheets.read_workbooks(books)
+
+
 @query("SELECT CAST(floor(sum(o_totalprice)) AS BIGINT) AS total, count(*) AS orders FROM orders")
 def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A one-row summary through a JSON sink, its fields looked up again."""
@@ -493,3 +507,42 @@ def raster_window(spark: SparkSession, sf: str) -> DataFrame:
     path, g = raster_folder(spark, sf)
     files = rasters.discover(spark, path).where(F.col("date") == F.lit("2020-01-13").cast("date"))
     return rasters.read_rasters(files, g, window=(2, 6, 3, 8)).where("value IS NOT NULL").select("pixel_id", "value")
+
+
+# --- the bounded ratio field -----------------------------------------------------------------------------------------
+
+RATIO_CELLS = f"SELECT (floor(x / 2.5) + 0.5) * 2.5 AS x, (floor(y / 2.5) + 0.5) * 2.5 AS y, sum(value * value) AS q2, sum(value * x) AS qd FROM ({GRID}) GROUP BY ALL HAVING sum(value * value) > 0"
+
+
+def ratio_problem(spark: SparkSession, sf: str) -> ratio.Problem:
+    """Cells of the grid of values, with nodes 4 and 7 apart, four of them near each cell."""
+    rows = grid(spark, sf).select("x", "y", F.lit(1.0).alias("w"), F.col("value").alias("q"), F.col("x").alias("d"))
+    c = spatial.cell_sums(rows, 2.5)
+    cells = c.select(((F.col("cx") + 0.5) * 2.5).alias("x"), ((F.col("cy") + 0.5) * 2.5).alias("y"), "q2", "qd", "d2", F.col("w").alias("weight"))
+    return ratio.problem(cells, [4.0, 7.0], most=3.0, block=5.0, neighbours=4)
+
+
+@query(
+    f"WITH c AS MATERIALIZED ({RATIO_CELLS}), e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c), "
+    "n AS (SELECT spacing, i * spacing AS sx, j * spacing AS sy FROM e, (VALUES (CAST(4 AS DOUBLE)), (CAST(7 AS DOUBLE))) s(spacing), range(-1, 2000) a(i), range(-1, 2000) b(j) WHERE i BETWEEN floor(x0 / spacing) AND ceil(x1 / spacing) AND j BETWEEN floor(y0 / spacing) AND ceil(y1 / spacing)), "
+    "m AS (SELECT spacing, sx, sy FROM n, c GROUP BY ALL HAVING min((x - sx) * (x - sx) + (y - sy) * (y - sy)) <= 9), "
+    "k AS (SELECT spacing, x, y, q2, qd, sx, sy, exp(-0.5 * ((x - sx) * (x - sx) + (y - sy) * (y - sy)) / pow(1.5 * spacing, 2)) AS w FROM c, m QUALIFY row_number() OVER (PARTITION BY spacing, x, y ORDER BY (x - sx) * (x - sx) + (y - sy) * (y - sy), sy, sx) <= 4), "
+    "w AS (SELECT * REPLACE (w / greatest(sum(w) OVER (PARTITION BY spacing, x, y), 1e-12) AS w) FROM k) "
+    f"SELECT a.spacing, a.sx AS ax, a.sy AS ay, b.sx AS bx, b.sy AS b_y, {rounded('sum(a.q2 * a.w * b.w)', 2)} AS v FROM w a JOIN w b ON a.spacing = b.spacing AND a.x = b.x AND a.y = b.y AND (a.sy < b.sy OR (a.sy = b.sy AND a.sx <= b.sx)) GROUP BY ALL "
+    f"UNION ALL SELECT spacing, sx, sy, NULL, NULL, {rounded('sum(qd * w)', 2)} FROM w GROUP BY ALL"
+)
+def ratio_normal_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """The sparse normal sums of a ratio field: a row a pair of nodes that share a cell, and a row a node for the right-hand side."""
+    p = ratio_problem(spark, sf)
+    at = {side: p.nodes.select(F.col("site_id").alias(side), F.col("sx").alias(x), F.col("sy").alias(y)) for side, x, y in (("a", "ax", "ay"), ("b", "bx", "b_y"))}
+    total = p.sums.groupBy("spacing", "a", "b").agg(F.sum("v").alias("v"))
+    return total.join(at["a"], "a").join(at["b"], "b", "left").select("spacing", "ax", "ay", "bx", "b_y", (F.round("v", 2) + F.lit(0.0)).alias("v"))
+
+
+@query()
+def bounded_ratio_cv(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate's nodes, error and tested cells, and the mean of its field between the bounds; a bounded fit has no SQL."""
+    p, bounds = ratio_problem(spark, sf), {"low": 0.0, "high": 0.01}
+    lams = [0.1, 10.0]
+    fields = p.solve(lams, **bounds).groupBy("spacing", "lam").agg(F.avg("value").alias("mean_value"), F.min("value").alias("least_value"), F.max("value").alias("greatest_value"))
+    return p.errors(lams, **bounds).join(fields, ["spacing", "lam"])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from terrachron.functions import basis, classes, geo
 from terrachron.functions.basis import TimeModel
-from terrachron.operators import calendar, diagnostics, lsq, models, pairing, profile, seasonal, spatial, storage, trajectories, wells
+from terrachron.operators import calendar, diagnostics, lsq, models, pairing, profile, ratio, seasonal, spatial, storage, trajectories, wells
 from terrachron.plans.config import ProjectConfig
 from terrachron.sources import rasters, tables
 
@@ -50,6 +50,15 @@ def kilometres(cfg: ProjectConfig, lon: Column, lat: Column) -> tuple[Column, Co
     return x / 1000, y / 1000
 
 
+def on_pixels(cfg: ProjectConfig, nodes: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Those of ``nodes`` (sx, sy in km) that lie on one of ``pixels`` (pixel_id) of the grid."""
+    g = grid_of(cfg)
+    east, north = F.col("sx") * 1000, F.col("sy") * 1000
+    x, y = geo.lonlat(east, north, *zone_of(cfg)) if g.geographic else (east, north)
+    at = spatial.points_to_pixels(nodes.withColumns({"x": x, "y": y}), g.affine, g.height, g.width)
+    return at.join(pixels.select("pixel_id"), "pixel_id", "left_semi").select(*nodes.columns)
+
+
 def prepare_insar(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
     s = cfg.section("insar")
     path = cfg.resolve(s["path"])
@@ -91,7 +100,7 @@ def stack_of(spark: SparkSession, cfg: ProjectConfig) -> DataFrame:
 
 def prepare_groundwater(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:
     s = cfg.section("groundwater")
-    raw = tables.read_table(spark, cfg.resolve(s["path"]))
+    raw = tables.read_table(spark, cfg.resolve(s["path"]), sheet=s.get("sheet_name"))
     fields = dict(s.get("fields") or {})
     long = wells.wide_to_long(raw, fields) if s.get("format", "long") == "wide" else wells.rename(raw, fields)
     if "value" not in long.columns:
@@ -490,25 +499,28 @@ def estimate_ske_regularized(spark: SparkSession, cfg: ProjectConfig) -> dict[st
     valid = (cos > float(s.get("min_vector_cosine", 0))) & (F.col("ha") >= float(r.get("min_head_amplitude_m", 0.2))) & (F.col("da") * 1000 >= float(r.get("min_deformation_amplitude_mm", 0.5)))
     rows = waves.withColumn("w", quality).where(valid & F.col("w").isNotNull()).select("x", "y", (F.col("w") * F.col("ha") * F.col("ha")).alias("q2"), (F.col("w") * F.col("dot")).alias("qd"), (F.col("w") * F.col("da") * F.col("da")).alias("d2"), "w")
     sums = rows.groupBy(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).agg(*(F.sum(c).alias(c) for c in ("q2", "qd", "d2", "w"))).where("q2 > 0 AND w > 0")
-    cells = sums.withColumns({"x": (F.col("cx") + 0.5) * size, "y": (F.col("cy") + 0.5) * size}).orderBy("cx", "cy").toPandas()  # coarse cells
-    if len(cells) < 10:
-        raise ValueError(f"{len(cells)} cells have a seasonal response; ten are needed")
+    cells = cfg.write(sums.select(((F.col("cx") + 0.5) * size).alias("x"), ((F.col("cy") + 0.5) * size).alias("y"), "q2", "qd", "d2", F.col("w").alias("weight")), "ske/cells")
+    n_cells = cells.count()
+    if n_cells < 10:
+        raise ValueError(f"{n_cells} cells have a seasonal response; ten are needed")
     ends = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     most, factor, neighbours = float(s.get("max_extrapolation_km", 30)), float(s.get("basis_sigma_factor", 1.5)), int(s.get("max_basis_neighbors", 12))
-    options = {"sigma_factor": factor, "neighbours": neighbours, "low": float(s.get("min", 0.0)), "high": float(s.get("max", 0.05))}
-    cv = cfg.write(models.regularised_cv(spark, cells, spacings=s.get("node_spacing_km_candidates", (10, 15, 20, 25)), lams=s.get("lambda_candidates", (0.1, 1, 10, 100)), block=float(s.get("cv_block_km", 30)), most=most, box=tuple(ends), **options), "ske/regularized_cv")
+    bounds = {"low": float(s.get("min", 0.0)), "high": float(s.get("max", 0.05))}
+    spacings, lams = s.get("node_spacing_km_candidates", (10, 15, 20, 25)), s.get("lambda_candidates", (0.1, 1, 10, 100))
+    inside = supported.select("pixel_id")
+    posed = ratio.problem(cells, spacings, most=most, block=float(s.get("cv_block_km", 30)), support=lambda nodes: on_pixels(cfg, nodes, inside), box=tuple(ends), sigma_factor=factor, neighbours=neighbours)
+    cv = cfg.write(posed.errors(lams, **bounds), "ske/regularized_cv")
     best = models.best_regularised(cv).first()
     if best is None:
         raise ValueError("no candidate could be validated")
     spacing = float(best["spacing"])
-    nodes = models.node_grid(cells[["x", "y"]].to_numpy(float), spacing, most, None, tuple(ends))
-    values = models.regularised_ratio(cells, nodes, spacing=spacing, lam=float(best["lam"]), **options)
-    sites = cfg.write(spark.createDataFrame([(i, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(nodes, values, strict=True))], "site_id int, sx double, sy double, value double"), "ske/regularized_nodes")
-    seen = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(cells[["x", "y"]].to_numpy(float))], "site_id int, sx double, sy double")
+    solved = posed.solve([best["lam"]], spacing=spacing, **bounds).select("site_id", "value")
+    sites = cfg.write(posed.nodes.where(F.col("spacing") == spacing).join(solved, "site_id").select("site_id", "sx", "sy", "value"), "ske/regularized_nodes")
+    seen = posed.cells.select(F.col("cell_id").alias("site_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     near = spatial.nearest_site(supported, seen).where(F.col("distance") <= most).select("pixel_id")
     weights = spatial.knn_weights(supported.join(near, "pixel_id", "left_semi"), sites.select("site_id", "sx", "sy"), neighbours, factor * spacing)
-    cfg.write(weights.join(F.broadcast(sites.select("site_id", "value")), "site_id").groupBy("pixel_id").agg(F.sum(F.col("weight") * F.col("value")).alias("ske_effective")), "ske/regularized")
-    return cfg.note("ske/regularized_summary", {"spacing_km": spacing, "lambda": float(best["lam"]), "cv_rmse_m": float(best["cv_rmse"]), "nodes": len(nodes), "cells": len(cells)})
+    cfg.write(weights.join(sites.select("site_id", "value"), "site_id").groupBy("pixel_id").agg(F.sum(F.col("weight") * F.col("value")).alias("ske_effective")), "ske/regularized")
+    return cfg.note("ske/regularized_summary", {"spacing_km": spacing, "lambda": float(best["lam"]), "cv_rmse_m": float(best["cv_rmse"]), "nodes": best["nodes"], "cells": n_cells})
 
 
 def synthesize(spark: SparkSession, cfg: ProjectConfig) -> dict[str, Any]:

@@ -8,32 +8,24 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from terrachron.functions.nulls import clean
+from terrachron.sources.sheets import read_sheet
 
 
-def read_table(spark: SparkSession, path: str, *, encoding: str = "UTF-8", sep: str | None = None) -> DataFrame:
-    """A CSV or TXT table as texts, by its suffix; a byte-order mark is taken off the first name. Parquet and ORC keep their types."""
+def read_table(spark: SparkSession, path: str, *, encoding: str = "UTF-8", sep: str | None = None, sheet: int | str | None = None) -> DataFrame:
+    """A CSV or TXT table or a sheet of a workbook (the first one, if not named) as texts, by its suffix; a byte-order mark is taken off the first name. Parquet and ORC keep their types."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("parquet", "orc"):
         return clean(getattr(spark.read, kind)(path))
-    if kind in ("xlsx", "xls"):
-        return read_excel(spark, path)
+    if kind == "xlsx":
+        return read_sheet(spark, path, 0 if sheet is None else sheet)
+    if kind == "xls":
+        raise ValueError(f"{path} is a workbook of the older binary kind: save it as xlsx or CSV")
     if kind not in ("csv", "txt"):
         raise ValueError(f"no reader for {path}")
     df = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, sep=sep or ",")
     return df.toDF(*(n.removeprefix("﻿") for n in df.columns))
 
 
-def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
-    """A sheet by pandas, where a reader for it is installed."""
-    try:
-        import openpyxl  # noqa: F401
-        import pandas as pd
-    except ImportError as e:
-        raise ValueError("sheets need openpyxl, which is not installed: save the sheet as CSV") from e
-    frame = pd.read_excel(path, sheet_name=sheet)
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).astype("string"))
-
-
 def read_polygons(spark: SparkSession, path: str) -> list[list[tuple[float, float]]]:
     """The rings of all polygons of a GeoJSON file (a domain's outline: a driver-side list)."""
     text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
