@@ -51,6 +51,22 @@ def spread_centres(xy: np.ndarray, most: int) -> np.ndarray:
     return xy[chosen]
 
 
+def spread_sites(points: DataFrame, most: int) -> DataFrame:
+    """place (from 1), x and y of ``spread_centres``, chosen on the cluster: each choice is one aggregation of points (id, x, y).
+
+    Of equals the smallest id is chosen. Points without a place take no part; no points give no centres.
+    """
+    x, y = F.col("x"), F.col("y")
+    at = points.select("id", x.cast("double").alias("x"), y.cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    first = at.agg(F.count("*").alias("n"), F.min(F.struct((x + y).alias("v"), "id", "x", "y")).alias("b")).first()
+    chosen = [first["b"]] if first["n"] else []
+    while chosen and len(chosen) < min(max(1, most), first["n"]):
+        gaps = [(x - r["x"]) * (x - r["x"]) + (y - r["y"]) * (y - r["y"]) for r in chosen]
+        far = F.least(*gaps) if len(gaps) > 1 else gaps[0]
+        chosen.append(at.agg(F.min(F.struct((-far).alias("v"), "id", "x", "y")).alias("b")).first()["b"])
+    return points.sparkSession.createDataFrame([(i, r["x"], r["y"]) for i, r in enumerate(chosen, 1)], "place long, x double, y double")
+
+
 def rbf_basis(xy: np.ndarray, centres: np.ndarray, sigma: float) -> np.ndarray:
     d2 = ((xy[:, None, :] - centres[None]) ** 2).sum(axis=2)
     return np.column_stack([np.ones(len(xy)), np.exp(-0.5 * d2 / sigma**2)])
@@ -109,6 +125,14 @@ class FieldModel:
         """The model as a one-row DataFrame."""
         return df.sparkSession.createDataFrame([(self.rank, self.sigma, self.ridge, self.centres.tolist(), self.coefficients.tolist(), self.components.tolist(), self.days.tolist())], "rank int, sigma double, ridge double, centres array<array<double>>, coefficients array<array<double>>, components array<array<double>>, days array<double>")
 
+    @staticmethod
+    def of(table: DataFrame) -> FieldModel:
+        """The model whose ``table`` was stored."""
+        r = table.first()
+        if r is None:
+            raise ValueError("no model in the table")
+        return FieldModel(np.array(r["centres"]), r["sigma"], r["ridge"], r["rank"], np.array(r["coefficients"]), np.array(r["components"]), np.array(r["days"]))
+
 
 def field_fit(xy: np.ndarray, matrix: np.ndarray, days: np.ndarray, rank: int, sigma: float, ridge: float, centres: int = 32, rounds: int = 20) -> FieldModel:
     scores, components = svd_impute(matrix, rank, rounds)
@@ -394,8 +418,42 @@ def balanced_sample(df: DataFrame, rows: int, cols: int, most: int, key: str = "
     return hash_sample(some, key, most, seed) if n > most else some
 
 
-def regimes(df: DataFrame, features: list[str], *, ks: Sequence[int] = (2, 3, 4, 5, 6), k: int | None = None, starts: int = 20, final_starts: int = 30, seed: int = 20260919, sample: DataFrame | None = None, most: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """``df`` with cluster_id (1 on), and a row for each k: silhouette, calinski_harabasz, davies_bouldin and inertia.
+@dataclass
+class ClusterModel:
+    """Clusters of standardised features: their scaler and centres, in the order of the clusters' numbers."""
+
+    features: list[str]
+    mean: np.ndarray
+    spread: np.ndarray
+    centres: np.ndarray
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The model as a one-row DataFrame."""
+        return spark.createDataFrame([(list(self.features), self.mean.tolist(), self.spread.tolist(), self.centres.tolist())], "features array<string>, mean array<double>, spread array<double>, centres array<array<double>>")
+
+    @staticmethod
+    def of(table: DataFrame) -> ClusterModel:
+        """The model whose ``table`` was stored."""
+        r = table.first()
+        if r is None:
+            raise ValueError("no model in the table")
+        return ClusterModel(list(r["features"]), np.array(r["mean"]), np.array(r["spread"]), np.array(r["centres"]))
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        """``df`` with cluster_id (1 on) of the nearest centre, the first of equals; rows without every feature go."""
+        scaled = [(F.col(c) - float(m)) / float(w) for c, m, w in zip(self.features, self.mean, self.spread, strict=True)]
+        places = F.array(*(F.struct(sum((F.pow(z - float(v), 2) for z, v in zip(scaled, centre, strict=True)), F.lit(0.0)).alias("d"), F.lit(i + 1).alias("id")) for i, centre in enumerate(self.centres)))
+        return df.dropna(subset=self.features).withColumn("cluster_id", F.array_min(places)["id"])
+
+
+def regimes(df: DataFrame, features: list[str], **options: object) -> tuple[DataFrame, DataFrame]:
+    """``df`` with cluster_id (1 on), and a row for each k: by ``regime_model``, whose options these are."""
+    model, table = regime_model(df, features, **options)
+    return model.assign(df), table
+
+
+def regime_model(df: DataFrame, features: list[str], *, ks: Sequence[int] = (2, 3, 4, 5, 6), k: int | None = None, starts: int = 20, final_starts: int = 30, seed: int = 20260919, sample: DataFrame | None = None, most: int = 50_000) -> tuple[ClusterModel, DataFrame]:
+    """The clusters of ``df``, and a row for each k: silhouette, calinski_harabasz, davies_bouldin and inertia.
 
     k-means on standardised features is fitted on a bounded sample (``sample``, else at most ``most`` rows by a
     digest of the features), every start in a task of its own; k is the given one, else the one with the highest
@@ -443,9 +501,7 @@ def regimes(df: DataFrame, features: list[str], *, ks: Sequence[int] = (2, 3, 4,
     chosen = k or max(candidates, key=lambda c: (sums[c], -c))
     centres = best_of([(chosen, seed + s) for s in range(final_starts)])[chosen][1]
     centres = centres[np.lexsort(centres.T)]
-    places = F.array(*(F.struct(sum((F.pow((F.col(c) - float(m)) / float(w) - float(v), 2) for c, m, w, v in zip(features, mean, spread, centre, strict=True)), F.lit(0.0)).alias("d"), F.lit(i + 1).alias("id")) for i, centre in enumerate(centres)))
-    out = rows.withColumn("cluster_id", F.array_min(places)["id"])
-    return out, spark.createDataFrame(table, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double")
+    return ClusterModel(list(features), mean, spread, centres), spark.createDataFrame(table, "k int, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double")
 
 
 def cluster_summary(df: DataFrame, values: list[str], cluster: str = "cluster_id") -> DataFrame:

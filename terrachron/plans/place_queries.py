@@ -262,10 +262,9 @@ CENTRES_SQL = (
 
 @query(CENTRES_SQL + "SELECT CAST(k AS BIGINT) AS place, cx AS x, cy AS y FROM s")
 def spread_centres(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelve centres of the suppliers taken as wells, which are few: the choice is the driver's."""
-    wells_at = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_suppkey") * 7919 % 10007).cast("double").alias("y")).orderBy("s_suppkey").toPandas()
-    chosen = models.spread_centres(wells_at[["x", "y"]].to_numpy(float), 12)
-    return spark.createDataFrame([(i + 1, float(x), float(y)) for i, (x, y) in enumerate(chosen)], "place long, x double, y double")
+    """Twelve centres of the suppliers, each choice an aggregation."""
+    wells_at = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") * 7919 % 10007).cast("double").alias("y"))
+    return models.spread_sites(wells_at, 12)
 
 
 # --- classes, profiles, maps ---------------------------------------------------------------------------------------
@@ -416,11 +415,28 @@ BUMPS = [f"exp(-0.5 * ((x - {cx!r}) * (x - {cx!r}) + (y - {cy!r}) * (y - {cy!r})
     f"SELECT pixel_id, CAST(day AS BIGINT) AS day, {rounded('s0 * c0 + s1 * c1')} AS head_anomaly_m FROM s, c"
 )
 def field_prediction(spark: SparkSession, sf: str) -> DataFrame:
-    """A field of given numbers at all pixels: scores by place, components between days."""
-    model = models.FieldModel(np.array(NODES), 3.0, 0.0, 2, np.array(WEIGHTS), np.array(COMPONENTS), np.array(FIELD_DAYS))
+    """A field of given numbers, stored and read again, at all pixels: scores by place, components between days."""
+    path = f"{scratch(spark)}/field_model"
+    tables.write_table(models.FieldModel(np.array(NODES), 3.0, 0.0, 2, np.array(WEIGHTS), np.array(COMPONENTS), np.array(FIELD_DAYS)).table(spark.range(0)), path)
+    model = models.FieldModel.of(spark.read.parquet(path))
     return r(models.predict_field(grid(spark, sf), model, [0, 5, 20]))
 
 
+CLUSTERS = ((-1.0, 0.5), (0.25, -0.5), (1.5, 1.0))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, (p_size - 25.0) / 14.0 AS a, (p_retailprice - 1500.0) / 300.0 AS b FROM part), "
+    f"d AS (SELECT p_partkey, {', '.join(f'(a - {u!r}) * (a - {u!r}) + (b - {v!r}) * (b - {v!r}) AS d{i}' for i, (u, v) in enumerate(CLUSTERS))} FROM p) "
+    "SELECT p_partkey, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 1 WHEN d1 <= d2 THEN 2 ELSE 3 END AS cluster_id FROM d"
+)
+def cluster_model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A cluster model of given numbers, stored with its scaler and read again, gives all parts their clusters."""
+    path = f"{scratch(spark)}/cluster_model"
+    tables.write_table(models.ClusterModel(["p_size", "p_retailprice"], np.array([25.0, 1500.0]), np.array([14.0, 300.0]), np.array(CLUSTERS)).table(spark), path)
+    return models.ClusterModel.of(spark.read.parquet(path)).assign(table(spark, sf, "part")).select("p_partkey", "cluster_id")
+
+
 @query(
     f"WITH v AS (SELECT pixel_id, 0.5 + {' + '.join(f'{w!r} * {b}' for w, b in zip((1.5, -2.0, 0.25), BUMPS, strict=True))} AS h FROM ({GRID})) SELECT pixel_id, CAST(1999 AS BIGINT) AS year1, {rounded('h')} AS head_change, CASE WHEN h > 1 THEN 3 WHEN abs(h) <= 0.5 THEN 2 WHEN h < -1 THEN 1 ELSE 0 END AS state FROM v"
 )

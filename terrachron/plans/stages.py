@@ -470,9 +470,10 @@ def classify_deformation(spark: SparkSession, cfg: ProjectConfig) -> dict[str, A
     placed = spatial.pixel_grid(rows, g.width)
     sample = models.balanced_sample(placed, max(1, round(spacing / dy)), max(1, round(spacing / dx)), most, seed=seed, least=min(100, n))
     k = s.get("k")
-    out, table = models.regimes(rows, features, ks=[int(x) for x in s.get("k_candidates", (2, 3, 4, 5, 6))], k=None if k is None else int(k), seed=seed, sample=sample, most=most)
+    model, table = models.regime_model(rows, features, ks=[int(x) for x in s.get("k_candidates", (2, 3, 4, 5, 6))], k=None if k is None else int(k), seed=seed, sample=sample, most=most)
     cfg.write(table, "regimes/k_selection")
-    out = cfg.write(out.select("pixel_id", "cluster_id", "start_rate", *features), "regimes/pixels")
+    model = models.ClusterModel.of(cfg.write(model.table(spark), "regimes/model"))
+    out = cfg.write(model.assign(rows).select("pixel_id", "cluster_id", "start_rate", *features), "regimes/pixels")
     summary = models.cluster_summary(out, ["start_rate", *features])
     label = classes.regime_label(F.col("median_start_rate"), F.col("median_end_rate"), float(s.get("stable_rate_mm_yr", 5)), float(s.get("deceleration_threshold_mm_yr", 5)))
     summary = cfg.write(summary.withColumn("suggested_label", label), "regimes/cluster_summary")

@@ -9,17 +9,16 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 UNITS, SIGNS = {"mm": 1.0, "cm": 10.0, "m": 1000.0}, {"uplift": 1.0, "subsidence": -1.0}
 #: The sample format tag of each kind of sample that is written.
@@ -207,9 +206,11 @@ def opened(path: str) -> Iterator[Tiff]:
         yield Tiff(lambda offset, size: file.read_at(size, offset))
 
 
-def frame(sizes: list[int], grid: Grid, dtype: str, strip: int) -> tuple[bytes, bytes]:
-    """What comes before and after the deflated strips of a single-band TIFF of these sizes."""
-    kind, offsets, at = TYPES_OF[dtype], [], 8
+def frame(sizes: list[int], grid: Grid, dtype: str, strip: int, big: bool | None = None) -> tuple[bytes, bytes]:
+    """What comes before and after the deflated strips of a single-band TIFF of these sizes; offsets have 64 bits (BigTIFF) where 32 can't hold them."""
+    big = sum(sizes) + 16 * len(sizes) + 4096 > 0xFFFFFFFF if big is None else big
+    word, wide, long, start = ("Q", 8, 16, 16) if big else ("I", 4, 4, 8)
+    kind, offsets, at = TYPES_OF[dtype], [], start
     for n in sizes:
         offsets.append(at)
         at += n
@@ -218,28 +219,29 @@ def frame(sizes: list[int], grid: Grid, dtype: str, strip: int) -> tuple[bytes,
     geo = (1, 1, 0, 3, 1024, 0, 1, 2 if grid.geographic else 1, 1025, 0, 1, 1, 2048 if grid.geographic else 3072, 0, 1, code)
     nodata = (repr(grid.nodata if grid.nodata is not None else "nan").strip("'") + "\0").encode()
     at += at % 2
-    pad, entries, extra = b"\0" * (at - 8 - sum(sizes)), [], b""
+    pad, entries, extra = b"\0" * (at - start - sum(sizes)), [], b""
 
     def add(tag: int, form: int, count: int, raw: bytes) -> None:
         nonlocal extra
-        if len(raw) <= 4:
-            entries.append(struct.pack("<HHI", tag, form, count) + raw.ljust(4, b"\0"))
+        if len(raw) <= wide:
+            entries.append(struct.pack(f"<HH{word}", tag, form, count) + raw.ljust(wide, b"\0"))
         else:
-            entries.append(struct.pack("<HHII", tag, form, count, at + len(extra)))
+            entries.append(struct.pack(f"<HH{word}{word}", tag, form, count, at + len(extra)))
             extra += raw + b"\0" * (len(raw) % 2)
 
-    for tag, form, v in ((256, 4, (grid.width,)), (257, 4, (grid.height,)), (258, 3, (np.dtype(dtype).itemsize * 8,)), (259, 3, (8,)), (262, 3, (1,)), (273, 4, offsets), (277, 3, (1,)), (278, 4, (strip,)), (279, 4, sizes), (339, 3, (kind,)), (33550, 12, (a, -e, 0.0)), (33922, 12, (0.0, 0.0, 0.0, c, f, 0.0)), (34735, 3, geo)):
-        add(tag, form, len(v), struct.pack("<" + {3: "H", 4: "I", 12: "d"}[form] * len(v), *v))
+    for tag, form, v in ((256, 4, (grid.width,)), (257, 4, (grid.height,)), (258, 3, (np.dtype(dtype).itemsize * 8,)), (259, 3, (8,)), (262, 3, (1,)), (273, long, offsets), (277, 3, (1,)), (278, 4, (strip,)), (279, long, sizes), (339, 3, (kind,)), (33550, 12, (a, -e, 0.0)), (33922, 12, (0.0, 0.0, 0.0, c, f, 0.0)), (34735, 3, geo)):
+        add(tag, form, len(v), struct.pack("<" + {3: "H", 4: "I", 12: "d", 16: "Q"}[form] * len(v), *v))
     add(42113, 2, len(nodata), nodata)
-    directory = struct.pack("<H", len(entries)) + b"".join(entries) + b"\0\0\0\0"
-    return b"II*\0" + struct.pack("<I", at + len(extra)), pad + extra + directory
+    directory = struct.pack("<Q" if big else "<H", len(entries)) + b"".join(entries) + b"\0" * wide
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at + len(extra)) if big else struct.pack("<2sHI", b"II", 42, at + len(extra))
+    return head, pad + extra + directory
 
 
-def encode_tiff(values: np.ndarray, grid: Grid, strip: int = 64) -> bytes:
+def encode_tiff(values: np.ndarray, grid: Grid, strip: int = 64, big: bool | None = None) -> bytes:
     """A deflated single-band TIFF, one strip a row block, with the grid's tags."""
     dtype = values.dtype.str[1:]
     strips = [zlib.compress(values[i : i + strip].astype("<" + dtype).tobytes(), 6) for i in range(0, len(values), strip)]
-    head, tail = frame([len(x) for x in strips], grid, dtype, strip)
+    head, tail = frame([len(x) for x in strips], grid, dtype, strip, big)
     return head + b"".join(strips) + tail
 
 
@@ -350,30 +352,63 @@ def write_raster(df: DataFrame, path: str, grid: Grid, value: str = "value", dty
     system.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
 
 
+def files_of(path: str) -> list[str]:
+    """The TIFFs of a folder, or the one file, on any file system that pyarrow reads."""
+    from pyarrow import fs
+
+    place = re.sub(r"^file:/+", "/", path)
+    system, name = (fs.LocalFileSystem(), place) if "://" not in place else fs.FileSystem.from_uri(place)
+    if system.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    names = (i.base_name for i in system.get_file_info(fs.FileSelector(name)) if i.type == fs.FileType.File)
+    return sorted(f"{place.rstrip('/')}/{n}" for n in names if n.lower().endswith((".tif", ".tiff")))
+
+
 class TiffReader(DataSourceReader):
+    """Reads files by ``ROWS`` rows. Conditions on path and pixel_id choose files and rows, so only their strips are read."""
+
+    ROWS = 512
+
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.low, self.high = path, 0, None
+        self.names: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 (the interface's name)
+        """Conditions narrow what is read; Spark tests all of them again on the rows."""
+        for f in filters:
+            name, values = getattr(f, "attribute", None), [v for v in f.value if v is not None] if isinstance(f, In) else [getattr(f, "value", None)]
+            if name == ("path",) and isinstance(f, (EqualTo, In)):
+                self.names = set(values) if self.names is None else self.names & set(values)
+            elif name == ("pixel_id",) and values and None not in values:
+                if isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, min(values))
+                if isinstance(f, (EqualTo, In, LessThan, LessThanOrEqual)):
+                    self.high = max(values) if self.high is None else min(self.high, max(values))
+        return filters
 
     def partitions(self) -> list[InputPartition]:
-        found = Path(re.sub(r"^file:/+", "/", self.path))
-        files = sorted(str(f) for f in found.glob("*.tif")) if found.is_dir() else [self.path]
         out = []
-        for name in files:
+        for name in files_of(self.path):
+            if self.names is not None and name not in self.names:
+                continue
             with opened(name) as file:
-                out += [InputPartition((name, top)) for top in range(0, file.height, 512)]
-        return out
+                last = file.height - 1 if self.high is None else min(file.height - 1, self.high // file.width)
+                out += [InputPartition((name, top, min(top + self.ROWS, last + 1))) for top in range(self.low // file.width, last + 1, self.ROWS)]
+        return out or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        name, top = partition.value
+        if partition.value is None:
+            return
+        name, top, bottom = partition.value
         with opened(name) as file:
             if file.bands > 1:
                 raise ValueError(f"{name} has {file.bands} bands")
-            v = known(file.window(top, top + 512), file.grid.nodata)
+            v = known(file.window(top, bottom), file.grid.nodata)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(top * file.width + np.arange(len(v), dtype=np.int64)), pa.array(v, from_pandas=True)], names=["path", "pixel_id", "value"])
 
 
 class GeoTiffSource(DataSource):
-    """Register with ``spark.dataSource.register(GeoTiffSource)``; a folder or one file."""
+    """Register with ``spark.dataSource.register(GeoTiffSource)``; a folder or one file. Conditions reach it with ``spark.sql.python.filterPushdown.enabled``."""
 
     @classmethod
     def name(cls) -> str:
