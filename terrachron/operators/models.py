@@ -446,9 +446,9 @@ class ClusterModel:
         return df.dropna(subset=self.features).withColumn("cluster_id", F.array_min(places)["id"])
 
 
-def regimes(df: DataFrame, features: list[str], **options: object) -> tuple[DataFrame, DataFrame]:
-    """``df`` with cluster_id (1 on), and a row for each k: by ``regime_model``, whose options these are."""
-    model, table = regime_model(df, features, **options)
+def regimes(df: DataFrame, features: list[str], *, ks: Sequence[int] = (2, 3, 4, 5, 6), k: int | None = None, starts: int = 20, final_starts: int = 30, seed: int = 20260919, sample: DataFrame | None = None, most: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """``df`` with cluster_id (1 on), and a row for each k: by ``regime_model``."""
+    model, table = regime_model(df, features, ks=ks, k=k, starts=starts, final_starts=final_starts, seed=seed, sample=sample, most=most)
     return model.assign(df), table
 
 

@@ -365,7 +365,7 @@ def files_of(path: str) -> list[str]:
 
 
 class TiffReader(DataSourceReader):
-    """Reads files by ``ROWS`` rows. Conditions on path and pixel_id choose files and rows, so only their strips are read."""
+    """Reads files by ``ROWS`` rows; all of them, or those that ``names``, ``low`` and ``high`` leave."""
 
     ROWS = 512
 
@@ -373,19 +373,6 @@ class TiffReader(DataSourceReader):
         self.path, self.low, self.high = path, 0, None
         self.names: set[str] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 (the interface's name)
-        """Conditions narrow what is read; Spark tests all of them again on the rows."""
-        for f in filters:
-            name, values = getattr(f, "attribute", None), [v for v in f.value if v is not None] if isinstance(f, In) else [getattr(f, "value", None)]
-            if name == ("path",) and isinstance(f, (EqualTo, In)):
-                self.names = set(values) if self.names is None else self.names & set(values)
-            elif name == ("pixel_id",) and values and None not in values:
-                if isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, min(values))
-                if isinstance(f, (EqualTo, In, LessThan, LessThanOrEqual)):
-                    self.high = max(values) if self.high is None else min(self.high, max(values))
-        return filters
-
     def partitions(self) -> list[InputPartition]:
         out = []
         for name in files_of(self.path):
@@ -407,8 +394,28 @@ class TiffReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(v)), pa.array(top * file.width + np.arange(len(v), dtype=np.int64)), pa.array(v, from_pandas=True)], names=["path", "pixel_id", "value"])
 
 
+class PushedTiffReader(TiffReader):
+    """A reader to which conditions on path and pixel_id come, so that only their files and strips are read."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 (the interface's name)
+        """Conditions narrow what is read; Spark tests all of them again on the rows."""
+        for f in filters:
+            name, values = getattr(f, "attribute", None), [v for v in f.value if v is not None] if isinstance(f, In) else [getattr(f, "value", None)]
+            if name == ("path",) and isinstance(f, (EqualTo, In)):
+                self.names = set(values) if self.names is None else self.names & set(values)
+            elif name == ("pixel_id",) and values and None not in values:
+                if isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, min(values))
+                if isinstance(f, (EqualTo, In, LessThan, LessThanOrEqual)):
+                    self.high = max(values) if self.high is None else min(self.high, max(values))
+        return filters
+
+
 class GeoTiffSource(DataSource):
-    """Register with ``spark.dataSource.register(GeoTiffSource)``; a folder or one file. Conditions reach it with ``spark.sql.python.filterPushdown.enabled``."""
+    """Register with ``spark.dataSource.register(GeoTiffSource)``; a folder or one file.
+
+    With the option ``pushdown`` conditions choose what is read; Spark then wants ``spark.sql.python.filterPushdown.enabled``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -418,7 +425,8 @@ class GeoTiffSource(DataSource):
         return "path string, pixel_id long, value double"
 
     def reader(self, schema: object) -> DataSourceReader:
-        return TiffReader(self.options["path"])
+        kind = PushedTiffReader if self.options.get("pushdown", "false").lower() == "true" else TiffReader
+        return kind(self.options["path"])
 
 
 def grid_of(spark: SparkSession, path: str) -> Grid:

@@ -37,12 +37,12 @@ def test_conditions_choose_files_and_strips(folder, monkeypatch):
     assert len(whole.partitions()) == 6 and sum(len(b) for p in whole.partitions() for b in whole.read(p)) == 2 * 26000
     assert len(reads) == 2 * 21  # each strip of 64 rows once
     reads.clear()
-    some = rasters.TiffReader(str(folder))
+    some = rasters.PushedTiffReader(str(folder))
     asked = [IsNotNull(("pixel_id",)), GreaterThanOrEqual(("pixel_id",), 2600), LessThan(("pixel_id",), 3000), In(("path",), (f"{folder}/a.tif", "other")), Not(EqualTo(("path",), "x"))]
     assert list(some.pushFilters(asked)) == asked
     ids = np.concatenate([b.column(1).to_numpy() for p in some.partitions() for b in some.read(p)])
     assert ids.min() == 2600 and ids.max() < 3020 and len(reads) <= 2 and all(p.endswith("a.tif") for p, _ in reads)
-    none = rasters.TiffReader(str(folder))
+    none = rasters.PushedTiffReader(str(folder))
     none.pushFilters([EqualTo(("pixel_id",), 10**9)])
     assert [p.value for p in none.partitions()] == [None] and list(none.read(none.partitions()[0])) == []
 
@@ -51,7 +51,7 @@ def test_pushed_conditions_keep_the_rows(spark, folder):
     spark.dataSource.register(rasters.GeoTiffSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        df = spark.read.format("terra_tiff").load(str(folder))
+        df = spark.read.format("terra_tiff").option("pushdown", "true").load(str(folder))
         rows = df.where(F.col("pixel_id").between(10_239, 10_245) & F.col("path").endswith("a.tif")).collect()
         assert sorted((r["pixel_id"], r["value"]) for r in rows) == [(i, float(i)) for i in range(10_239, 10_246)]
         assert df.where(F.col("pixel_id").isin(5, 25_999) & F.col("value").isNotNull()).count() == 4
