@@ -447,7 +447,7 @@ def change_and_state_map(spark: SparkSession, sf: str) -> DataFrame:
     xy = np.array([*NODES, (9.0, 9.0)])
     truth = models.rbf_basis(xy, np.array(NODES), 3.0) @ np.array([0.5, 1.5, -2.0, 0.25])
     maps = models.predict_change(grid(spark, sf), xy, truth, 3.0, 0.0, 1999, centre_points=np.array(NODES))
-    return r(maps).withColumn("state", classes.groundwater_state(F.col("head_change")))
+    return r(maps.withColumn("state", classes.groundwater_state(F.col("head_change"))))
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------------------

@@ -31,3 +31,12 @@ def test_order_is_numbered_without_a_gap(spark, tmp_path):
             spark.conf.set(k, v)
     want = sorted({(c, str(d.date())) for c, d, _ in rows})
     assert [(x["station_id"], x["date"], x["place"]) for x in sorted(got, key=lambda x: x["place"])] == [(*k, i) for i, k in enumerate(want, 1)]
+
+
+def test_state_map_far_from_all_wells(spark, suppliers):
+    got = {x["pixel_id"]: (x["head_change"], x["state"]) for x in queries.QUERIES["change_and_state_map"](spark, suppliers).collect()}
+    for p in range(3000):
+        x, y = float(p % 10), float(p // 10)
+        h = 0.5 + sum(w * math.exp(-0.5 * ((x - cx) ** 2 + (y - cy) ** 2) / 9.0) for w, cx, cy in ((1.5, 2.0, 3.0), (-2.0, 7.0, 1.0), (0.25, 4.0, 8.0)))
+        assert got[p] == (round(h, 6), 3 if h > 1 else 2 if abs(h) <= 0.5 else 1 if h < -1 else 0), p
+    assert got[254] == (0.5, 0) and got[2990] == (0.5, 2)
