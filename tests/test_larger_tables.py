@@ -40,3 +40,15 @@ def test_state_map_far_from_all_wells(spark, suppliers):
         h = 0.5 + sum(w * math.exp(-0.5 * ((x - cx) ** 2 + (y - cy) ** 2) / 9.0) for w, cx, cy in ((1.5, 2.0, 3.0), (-2.0, 7.0, 1.0), (0.25, 4.0, 8.0)))
         assert got[p] == (round(h, 6), 3 if h > 1 else 2 if abs(h) <= 0.5 else 1 if h < -1 else 0), p
     assert got[254] == (0.5, 0) and got[2990] == (0.5, 2)
+
+
+def test_weights_that_all_vanish(spark, suppliers):
+    """As doubles they are 0 beyond 193 from the sites: 0 / 0 in the query's SQL, equal shares by default."""
+    from terrachron.operators import spatial
+
+    got = {}
+    for x in queries.QUERIES["knn_normalised_rbf"](spark, suppliers).collect():
+        got.setdefault(x["pixel_id"], []).append(x["weight"])
+    assert all(len(w) == 2 for w in got.values()) and all(math.isnan(v) for v in got[2990]) and abs(sum(got[1500]) - 1) < 1e-6
+    grid = queries.grid(spark, suppliers).where("pixel_id = 2990")
+    assert [x["weight"] for x in spatial.knn_weights(grid, queries.sites(spark), 2, 5.0).collect()] == [0.5, 0.5]
