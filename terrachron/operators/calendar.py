@@ -66,10 +66,25 @@ def common_days(sources: list[DataFrame], keys: list[str], day: str = "day") ->
 
 
 def nearest_epoch(epochs: DataFrame, targets: DataFrame, keys: list[str], *, day: str = "day", target: str = "target") -> DataFrame:
-    """For each target day the nearest epoch of the key, the earliest among equals."""
-    gap = F.struct(F.abs(F.col(day) - F.col(target)).alias("gap"), F.col(day).alias("day"))
-    joined = targets.join(epochs.select(*keys, day).distinct(), keys) if keys else targets.crossJoin(F.broadcast(epochs.select(day).distinct()))
-    return joined.groupBy(*keys, target).agg(F.min(gap).alias("__best")).select(*keys, target, F.col("__best.day").alias(day), F.col("__best.gap").alias("gap"))
+    """For each target day the nearest epoch of the key, the earliest among equals.
+
+    With keys, epochs and targets lie in one order of days, and only the epochs next to targets are looked at: no row
+    is made for a pair of epoch and target. Without keys the epochs are sent to every task.
+    """
+    if not keys:
+        gap = F.struct(F.abs(F.col(day) - F.col(target)).alias("gap"), F.col(day).alias("day"))
+        joined = targets.crossJoin(F.broadcast(epochs.select(day).distinct()))
+        return joined.groupBy(target).agg(F.min(gap).alias("__best")).select(target, F.col("__best.day").alias(day), F.col("__best.gap").alias("gap"))
+    rows = epochs.select(*keys, F.col(day).alias("__at"), F.lit(0).alias("__asks")).unionByName(targets.select(*keys, F.col(target).alias("__at"), F.lit(1).alias("__asks")).distinct())
+    order = Window.partitionBy(*keys).orderBy("__at", "__asks")
+    beside = (F.coalesce(F.lag("__asks").over(order), F.lit(0)) == 1) | (F.coalesce(F.lead("__asks").over(order), F.lit(0)) == 1)
+    some = rows.withColumn("__beside", beside).where("__beside OR __asks = 1")
+    there, back = F.when(F.col("__asks") == 0, F.struct(F.col("__at").alias("day"))), Window.partitionBy(*keys).orderBy(F.desc("__at"), "__asks")
+    ends = [F.last(there, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name) for w, name in ((order, "__a"), (back, "__b"))]
+    at, a, b = F.col("__at"), F.col("__a.day"), F.col("__b.day")
+    near = F.when(b.isNull() | (at - a <= b - at), a).otherwise(b)
+    found = some.select(*keys, "__at", "__asks", *ends).where("__asks = 1 AND (__a IS NOT NULL OR __b IS NOT NULL)").select(*keys, at.alias(target), near.alias(day))
+    return found.withColumn("gap", F.abs(F.col(day) - F.col(target)))
 
 
 def overlap(sources: list[DataFrame], day: str = "day") -> DataFrame:

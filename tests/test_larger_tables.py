@@ -52,3 +52,20 @@ def test_weights_that_all_vanish(spark, suppliers):
     assert all(len(w) == 2 for w in got.values()) and all(math.isnan(v) for v in got[2990]) and abs(sum(got[1500]) - 1) < 1e-6
     grid = queries.grid(spark, suppliers).where("pixel_id = 2990")
     assert [x["weight"] for x in spatial.knn_weights(grid, queries.sites(spark), 2, 5.0).collect()] == [0.5, 0.5]
+
+
+def test_nearest_epochs_make_no_pairs(spark):
+    from terrachron.operators import calendar
+
+    rng = np.random.default_rng(7)
+    days = [(k, int(d)) for k in range(6) for d in rng.integers(-50, 50, 40)] + [(6, None), (7, 5), (7, None)]
+    asked = [(k, int(t)) for k in range(9) for t in rng.integers(-90, 90, 25)] + [(7, 5), (7, 5)]
+    found = calendar.nearest_epoch(spark.createDataFrame(days, "k int, day int"), spark.createDataFrame(asked, "k int, target int"), ["k"])
+    assert found.columns == ["k", "target", "day", "gap"] and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k, t in asked:
+        own = [d for i, d in days if i == k]
+        if own:
+            want[k, t] = min(((abs(d - t), d) for d in own if d is not None), default=(None, None))
+    got = found.collect()
+    assert len(got) == len(want) and {(x["k"], x["target"]): (x["gap"], x["day"]) for x in got} == want
