@@ -69,3 +69,10 @@ def test_nearest_epochs_make_no_pairs(spark):
             want[k, t] = min(((abs(d - t), d) for d in own if d is not None), default=(None, None))
     got = found.collect()
     assert len(got) == len(want) and {(x["k"], x["target"]): (x["gap"], x["day"]) for x in got} == want
+
+
+def test_regimes_read_metrics_that_are_written(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(queries.models, "regimes", lambda df, features: (read.extend(df.inputFiles()) or df.selectExpr("0 AS cluster_id", *features), None))
+    monkeypatch.setattr(queries, "metrics", lambda spark, sf: spark.createDataFrame([(1.0, 2.0), (3.0, None)], "early_rate double, late_rate double"))
+    assert [x["pixel_count"] for x in queries.QUERIES["regime_kmeans"](spark, "").collect()] == [1] and read and all("/metrics-" in f for f in read)
