@@ -5,12 +5,12 @@ next to it, so that each page meets its neighbour in the order of paths, whose t
 page's lines (blocks of text) are aligned with its neighbour's by longest common subsequence, and shared lines are
 deleted. The markup corrects what the verdict cannot know: lines in menus, headers, footers, sidebars, notices,
 adverts, forms and comments go although no neighbour shares them, and lines of an article or main element stay
-although one does, since articles quote each other. On a page with such an element all other lines go, so there the
-differencing decides nothing; it decides on pages without one. Pages that are copies of their neighbour, with most of
+although one does, since articles quote each other, but for parts of theirs that a name of several words questions: of
+those the differencing decides. On a page with such an element all other lines go; without one it decides on all. Pages that are copies of their neighbour, with most of
 their text shared, lose nothing.
 
 A class, id or role marks a part only by a whole name, and never a part that holds most of the text (comments aside).
-A name of several words, such as cookie-notice or has-sidebar, only raises a question, outside the main text: the part
+A name of several words, such as cookie-notice or has-sidebar, only raises a question: the part
 goes if the neighbour shares half of its lines. No name takes an article or main element away: one that a whole name
 marks counts as a part where it lies in another, and as less than any other else.
 """
@@ -88,7 +88,7 @@ def marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, int]:
                     said = COMMENT
                 elif not MARKS.isdisjoint(names):
                     said = said or NAMED
-                elif not inside and not said and any(w.lower() in MARKS for w in WORD.findall(value)):
+                elif not said and any(w.lower() in MARKS for w in WORD.findall(value)):
                     said = ASKED
     return drop, main, min(said, NAMED) if main else said
 
@@ -225,18 +225,20 @@ def main_text(own: Page, other: Page | None) -> str:
     """The lines that stay, joined by empty lines. ``other``: the neighbour, None for a page without one."""
     best = max((m for _, m, _ in own.lines), default=0)
     lines = [(t, p) for t, m, p in own.lines if m == best]
-    common = shared([t for t, _ in lines], [t for t, _, _ in other.lines]) if other and not best else set()
+    common = shared([t for t, _ in lines], [t for t, _, _ in other.lines]) if other else set()
     total = sum(len(t) for t, _ in lines)
+    copy = sum(len(t) for i, (t, _) in enumerate(lines) if i in common) >= COPY * total
     size, alike, n = ([0] * len(own.parts) for _ in range(3))
     for i, (text, marked) in enumerate(lines):
         for k in marked:
             size[k] += len(text)
             n[k] += 1
             alike[k] += i in common
-    gone = {k for k, said in enumerate(own.parts) if said == COMMENT or 2 * size[k] <= total and (said == NAMED or not best and n[k] and 2 * alike[k] >= n[k])}
+    asked = lambda k: n[k] and 2 * alike[k] >= n[k] and not (best and copy)
+    gone = {k for k, said in enumerate(own.parts) if said == COMMENT or 2 * size[k] <= total and (said == NAMED or asked(k))}
     left = [(i, t) for i, (t, marked) in enumerate(lines) if gone.isdisjoint(marked)]
     copies = sum(len(t) for i, t in left if i in common) >= COPY * sum(len(t) for _, t in left)
-    return "\n\n".join(t for i, t in left if copies or i not in common)
+    return "\n\n".join(t for i, t in left if best or copies or i not in common)
 
 
 KEY = ["__host", "__path", "__order", "__page"]
