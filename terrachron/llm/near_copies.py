@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of their word shingles, without a loss and without comparing all pairs.
+"""Near copies by SimHash fingerprints of slices of their word shingles, checked exactly by Jaccard similarity.
+
+A whole text's fingerprint can't tell a similarity of 0.8: there it differs by 10 of 64 bits on average, and by up to
+19, and with such a radius a vantage-point tree prunes nothing. So texts are fingerprinted by slices, and the tree of
+``op2_simhash`` links slices within 2 bits, as it does whole texts. No similar pair is lost, nor are all pairs compared.
 
 Two sets of similarity s or more share at least s times the larger one's size, and the smaller has at least s times
 the size of the larger. Three steps leave ever fewer sets, and none drops a set that has a similar one:
@@ -8,9 +12,11 @@ the size of the larger. Three steps leave ever fewer sets, and none drops a set
    copy. What a batch of texts shares within itself is counted there, so no shingle meets in a task more than once a
    batch.
 2. Of the sets that are left, those go of which less than s times all shingles are in another one.
-3. The rest is chained: the rarest n - ceil(s n) + 1 of two similar sets have one in common, so sets with a common one
-   are chained within classes of size and from class to class. A chain's sets meet in one task, which compares them
-   exactly; those of a long chain meet by classes of size, each with the next, and by pairs of blocks.
+3. The rest is cut into slices by the shingles' hashes, more slices than shingles in which two similar sets may differ
+   (``sliced``), so that at least one slice of both is the same and has one fingerprint. Slices' fingerprints are the
+   points of the vantage-point tree; sets of which it links slices are chained within classes of size and from class to
+   class. A chain's sets meet in one task, which compares them exactly; those of a long chain meet by classes of size,
+   each with the next, and by pairs of blocks.
 
 Shingles that are not in another set cannot be common, so from step 2 on a set is its shared shingles and its size.
 """
@@ -28,6 +34,7 @@ from pyspark.sql import functions as F
 
 from terrachron.llm.common import by_bytes, drop_stored, prepare, stored, text_key
 from terrachron.llm.components import components
+from terrachron.llm.op2_simhash import majorities, near_links
 
 SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
 #: Step 1: the part of the smaller set's size that the first shingles must share, and shingles of a batch.
@@ -186,6 +193,55 @@ def shared_sets(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     return sets.select("name", "n", F.col("own.shingle").alias("own"), rare["shingle"].alias("rare"))
 
 
+def class_width(similarity: float) -> float:
+    """The logarithm of a class's largest size by its smallest; similar sets are of one class or of two next to each other."""
+    return max(1e-9, -1.001 * float(np.log(similarity)))
+
+
+def sliced(own: list[np.ndarray], rare: list[np.ndarray], sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(index of set, fingerprint) of the slices of each set of ``sizes`` whole shingles, of which ``own`` may be shared and ``rare`` are the rarest.
+
+    A set is sliced for pairs whose smaller set is of its class of size, and of the class below. Two sets differ by at
+    most d = (1 - s) / s times the smaller size, and each such shingle spoils one slice. So a set with more than d slices
+    that are not empty meets all that are similar to it, less the shingles that no other set has. Where there are too
+    few, in small sets mostly, the rarest shingles become slices of their own: two such sets share one of them.
+    """
+    lengths, width, apart = np.array([len(x) for x in own]), class_width(similarity), (1 - similarity) / similarity
+    each, owner = np.concatenate(own).view(np.uint64), np.repeat(np.arange(len(own)), lengths)
+    mixed = each * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    sets, prints = [], []
+    for below in (0, 1):
+        top = np.floor(np.exp((np.floor(np.log(sizes) / width) - below + 1) * width) + 1e-6)
+        most = np.floor(apart * top + 1e-9).astype(np.int64)
+        slices = np.where(most > 0, most + 2 + most // 10, 1)  # some stay empty
+        at = (mixed * slices[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((at, owner))
+        where, at = owner[order], at[order]
+        starts = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (at[1:] != at[:-1])))
+        sets.append(where[starts])
+        prints.append(majorities(each[order], starts))
+        spoiled = np.floor(apart * np.minimum(top, sizes) + 1e-9) - (sizes - lengths)
+        few = np.flatnonzero(np.bincount(where[starts], minlength=len(own)) <= spoiled)
+        sets.append(np.repeat(few, [len(rare[i]) for i in few]))
+        prints.append(np.concatenate([*(rare[i] for i in few), np.zeros(0, np.int64)]))
+    return np.concatenate(sets), np.concatenate(prints)
+
+
+def slice_prints(sets: DataFrame, similarity: float) -> DataFrame:
+    """name, n and fp of each slice of ``shared_sets``."""
+    schema = pa.schema([("name", pa.int64()), ("n", pa.int32()), ("fp", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, PIECE):
+            if batch.num_rows:
+                name, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                lists = [[x.values.to_numpy() for x in batch.column(i)] for i in (2, 3)]
+                at, fp = sliced(*lists, n.astype(np.int64), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(name[at]), pa.array(n[at]), pa.array(fp)], schema=schema)
+
+    return sets.select("name", "n", "own", "rare").mapInArrow(run, "name long, n int, fp long")
+
+
 def similar_roots(sets: list[np.ndarray], sizes: np.ndarray, similarity: float) -> np.ndarray:
     """For each set, the first set that links of at least that similarity reach; ``sets``: what may be shared, ``sizes``: of the whole sets."""
     root = np.arange(len(sets))
@@ -210,18 +266,18 @@ def similar_roots(sets: list[np.ndarray], sizes: np.ndarray, similarity: float)
     return root
 
 
-def chains(rare: DataFrame) -> DataFrame:
-    """(u, v) links that connect all names (name, step, shingle) of a shingle in classes of size (step) next to each other.
+def chains(slices: DataFrame) -> DataFrame:
+    """(u, v) links that connect all names (name, step, slice) of a slice in classes of size (step) next to each other.
 
     A class is chained in ``SALTS`` parts, of which the first names are linked to each other and to the next class's,
-    so that a shingle that very many sets have meets in no task.
+    so that a slice that very many sets have meets in no task.
     """
-    part = rare.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)))
-    along = part.select("name", F.lag("name").over(Window.partitionBy("shingle", "step", "salt").orderBy("name")).alias("last"))
-    heads = part.groupBy("shingle", "step", "salt").agg(F.min("name").alias("head"))
-    across = heads.select("head", F.lag("head").over(Window.partitionBy("shingle", "step").orderBy("salt")).alias("last"))
-    tops = heads.groupBy("shingle", "step").agg(F.min_by("head", "salt").alias("top"))
-    by_step = Window.partitionBy("shingle").orderBy("step")
+    part = slices.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)))
+    along = part.select("name", F.lag("name").over(Window.partitionBy("slice", "step", "salt").orderBy("name")).alias("last"))
+    heads = part.groupBy("slice", "step", "salt").agg(F.min("name").alias("head"))
+    across = heads.select("head", F.lag("head").over(Window.partitionBy("slice", "step").orderBy("salt")).alias("last"))
+    tops = heads.groupBy("slice", "step").agg(F.min_by("head", "salt").alias("top"))
+    by_step = Window.partitionBy("slice").orderBy("step")
     up = tops.select("top", F.when(F.lag("step").over(by_step) == F.col("step") - 1, F.lag("top").over(by_step)).alias("last"))
     links = along.unionByName(across.withColumnRenamed("head", "name")).unionByName(up.withColumnRenamed("top", "name"))
     return links.where("last IS NOT NULL").select(F.col("name").alias("u"), F.col("last").alias("v"))
@@ -243,8 +299,11 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     one = stored(one, "representatives")
     left = stored(texts.join(few(one), (known == F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("text", "name"), "left")
     sets = stored(shared_sets(left, shingle, similarity), "sets")
-    step = F.floor(F.log(F.col("n").cast("double")) / max(1e-9, -1.001 * float(np.log(similarity))))
-    chained = components(chains(sets.select("name", step.alias("step"), F.explode("rare").alias("shingle"))))
+    step = F.floor(F.log(F.col("n").cast("double")) / class_width(similarity))
+    slices = stored(slice_prints(sets, similarity), "slices")
+    points = stored(slices.select("fp").distinct(), "points")
+    near = components(near_links(points)).select(F.col("u").alias("fp"), F.col("v").alias("near"))
+    chained = components(chains(slices.join(few(near), "fp", "left").select("name", step.alias("step"), F.coalesce("near", "fp").alias("slice")).distinct()))
     members = chained.select(F.col("u").alias("name"), F.col("v").alias("chain")).unionByName(chained.select(F.col("v").alias("name"), F.col("v").alias("chain")).distinct())
     members = stored(members.join(sets.select("name", "n"), "name").select("name", "chain", step.alias("step")), "chained")
     classes = members.groupBy("chain", "step").agg(F.count("*").alias("m"))
@@ -264,10 +323,10 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     places = members.select("name", "chain", F.explode(F.when(long, F.array(F.col("step") - 1, F.col("step"))).otherwise(F.array(F.lit(-2).cast("long")))).alias("class"), F.when(long, pairs).otherwise(F.array(F.lit(0).cast("long"))).alias("pairs"))
     met = sets.select("name", "n", "own").join(few(places), "name").withColumn("pair", F.explode("pairs")).drop("pairs")
     roots = components(met.groupBy("chain", "class", "pair").applyInPandas(compare, "u long, v long")).select(F.col("u").alias("name"), F.col("v").alias("root"))
-    points = prints.groupBy("name").agg(F.min("doc_id").alias("least"))
-    rooted = stored(points.join(roots, "name", "left").select("name", "least", F.coalesce("root", "name").alias("root")), "rooted")
+    leasts = prints.groupBy("name").agg(F.min("doc_id").alias("least"))
+    rooted = stored(leasts.join(roots, "name", "left").select("name", "least", F.coalesce("root", "name").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     components_of = stored(rooted.join(ids, "root").select("name", "root", "component_id"), "components")
-    for done in (passed, one, left, sets, chained, members, roots, rooted):
+    for done in (passed, one, left, sets, slices, points, near, chained, members, roots, rooted):
         drop_stored(done)
     return prints.join(components_of, "name", "left").select("doc_id", "text_key", "root", "component_id")

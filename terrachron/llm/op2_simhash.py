@@ -51,6 +51,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def majorities(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The signed fingerprints of runs of unsigned 64-bit hashes, which begin at ``starts`` and have one or more: a bit is 1 if set in over half of its run."""
+    sizes = np.diff(np.append(starts, len(hashes)))
+    out = np.zeros(len(starts), np.uint64)
+    for bit in np.arange(64, dtype=np.uint64):
+        out |= (2 * np.add.reduceat((hashes >> bit & np.uint64(1)).astype(np.int64), starts) > sizes).astype(np.uint64) << bit
+    return out.view(np.int64)
+
+
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and fp of each row."""
     prepare(df.sparkSession)
@@ -257,8 +266,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = grouped) -> DataFrame:
     """``df`` without near-duplicates, all columns kept: of each component the row with its smallest id stays.
 
-    ``groups`` gives the doc_id, text_key, root and component_id of each row: by fingerprints, or ``near_copies`` by
-    similarity. Rows are told apart by id and text, so unlinked texts that share an id all stay. Of linked rows that
+    ``groups`` gives the doc_id, text_key, root and component_id of each row: by fingerprints of whole texts, or
+    ``near_copies`` by fingerprints of slices with an exact check of similarity. Rows are told apart by id and text, so unlinked texts that share an id all stay. Of linked rows that
     share the smallest id one stays, that of the smallest text_key. Rows without an id stay. Only the ids and keys that
     go meet the texts again; they are broadcast if they are counted at no more than ``BROADCAST_IDS``, else shuffled.
     """
