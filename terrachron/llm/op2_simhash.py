@@ -1,19 +1,25 @@
 """SimHash near-duplicates through vantage-point trees.
 
-Distinct fingerprints are the points. A vantage-point tree over a bounded sample splits the space by Hamming distance
-from vantage points; each leaf is a shard. A point goes to the inside of a node if its distance d is at most the
-node's radius m, and to the outside if d > m - 2: two points within 2 bits differ by at most 2 in d (the triangle
-bound), so they meet in at least one shard, and only points on the inner boundary are copied. Leaves that hold more
-than ``BLOCK`` points grow a tree of their own, on a sample of their own points, round after round. A shard's task goes
-on splitting in the same way and compares what is left, and it returns each point's smallest linked point instead of
-all pairs. Only leaves that no vantage point parts are dealt out by pairs of blocks. Components of these links are
-found by stars.
+Distinct fingerprints are the points. Vantage-point trees over a bounded sample split the space by Hamming distance
+from vantage points; each leaf is a shard. Two points within 2 bits are equal in at least one third of the bits, so
+there is a tree for each third, which splits by the distance in its third alone: points that are equal there are as far
+from any vantage point, so they take the same way and meet in a leaf, and a point lies in one leaf of a tree. The
+trees make three rows a point, however deep they are. Leaves that hold more than ``BLOCK`` points grow a tree of their
+own, on a sample of their own points, round after round; only these are routed and counted again. Where no vantage point
+parts a leaf's points by their third, as they are all equal there, the distance in all bits does: a point goes to the
+inside of such a node if its distance d is at most the node's radius m, and to the outside if d > m - 2, since two points
+within 2 bits differ by at most 2 in d (the triangle bound); there, points on the inner boundary are copied. A shard's
+task goes on splitting in the same way and compares what is left, and it returns each point's smallest linked point
+instead of all pairs. Only leaves that no
+vantage point parts into fewer pairs are dealt out by pairs of blocks. Components of these
+links are found by stars.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 from math import ceil, log2
 
@@ -27,6 +33,10 @@ from terrachron.llm.common import by_bytes, drop_stored, free_name, prepare, sto
 from terrachron.llm.components import components
 
 SEED, SHINGLE, BITS = 42, 3, 2
+#: All bits, and their thirds: points that differ in two bits are equal in one third.
+WHOLE, THIRDS = np.uint64(2**64 - 1), (np.uint64(2**21 - 1), np.uint64(2**42 - 2**21), np.uint64(2**64 - 2**42))
+#: Numbers of leaves that each tree has to itself, and points that are routed at a time.
+LEAVES, ROUTED = 1 << 24, 1 << 16
 #: Points that the tree is fitted on (and at most a quarter of all), points a shard should hold, and points of a block.
 SAMPLE, SHARD, BLOCK, CANDIDATES = 16_384, 1_500, 40_000, 16
 #: Points that all overfull leaves together are sampled with in a round.
@@ -72,95 +82,108 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def distance(points: np.ndarray, one: np.int64) -> np.ndarray:
-    return np.bitwise_count((points ^ one).view(np.uint64))
+def distance(points: np.ndarray, one: np.int64, part: np.uint64 = WHOLE) -> np.ndarray:
+    return np.bitwise_count((points ^ one).view(np.uint64) & part)
 
 
 @dataclass
 class Node:
-    """A vantage point with its radius and halves, or a leaf."""
+    """A vantage point with its radius, the bits that its distances count and its halves; or a leaf of the tree of those bits."""
 
     point: np.int64 | None = None
     radius: int = 0
     inner: Node | None = None
     outer: Node | None = None
     leaf: int = -1
+    part: np.uint64 = WHOLE
 
 
-def split(points: np.ndarray) -> tuple[np.int64, int] | None:
-    """The candidate vantage point and radius that make the two sides, copies included, smallest; None if none parts them."""
-    best = None
-    for point in points[:: max(1, len(points) // CANDIDATES)][:CANDIDATES]:
-        below = np.cumsum(np.bincount(distance(points, point), minlength=65))  # points at most so far away
-        middle = int(np.searchsorted(below, len(points) / 2))
-        for radius in range(max(0, middle - 2), min(63, middle + 2) + 1):
-            inner, outer = below[radius], len(points) - (below[radius - BITS] if radius >= BITS else 0)
-            if max(inner, outer) < len(points) and (best is None or (cost := int(inner) ** 2 + int(outer) ** 2) < best[0]):
-                best = (int(inner) ** 2 + int(outer) ** 2, np.int64(point), radius)
-    return best[1:] if best else None
+def overlap(part: np.uint64) -> int:
+    """Points to be linked are equal in the third of their tree; in all bits they differ by up to ``BITS``."""
+    return BITS if part == WHOLE else 0
 
 
-def build(sample: np.ndarray, depth: int) -> tuple[Node, int]:
-    """A tree of at most ``depth`` levels over the sample, and its number of leaves."""
-    leaves = 0
+def split(points: np.ndarray, *parts: np.uint64) -> tuple[np.int64, int, np.uint64] | None:
+    """The candidate vantage point and radius that leave the fewest pairs on the two sides, copies included, by the first of ``parts`` that leaves fewer than there are; None if none does."""
+    for part in parts:
+        best, least, more = None, len(points) ** 2, overlap(part)
+        for point in points[:: max(1, len(points) // CANDIDATES)][:CANDIDATES]:
+            below = np.cumsum(np.bincount(distance(points, point, part), minlength=65))  # points at most so far away
+            middle = int(np.searchsorted(below, len(points) / 2))
+            for radius in range(max(0, middle - 2), min(63, middle + 2) + 1):
+                inner, outer = int(below[radius]), len(points) - (int(below[radius - more]) if radius >= more else 0)
+                if (cost := inner**2 + outer**2) < least:
+                    best, least = (np.int64(point), radius, part), cost
+        if best:
+            return best
+    return None
+
+
+def sides(points: np.ndarray, at: np.ndarray, point: np.int64, radius: int, part: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the indices ``at`` go to the inside and to the outside."""
+    d = distance(points[at], point, part)
+    return at[d <= radius], at[d > radius - overlap(part)]
+
+
+def build(sample: np.ndarray, depth: int, part: np.uint64, first: int, *more: np.uint64) -> tuple[Node, int]:
+    """A tree of ``part`` of at most ``depth`` levels over the sample, that splits by ``part`` or else ``more``, with leaves numbered from ``first`` on, and the number after them."""
+    leaves = first
 
     def grow(points: np.ndarray, left: int) -> Node:
         nonlocal leaves
-        found = split(points) if left and len(points) >= 16 else None
+        found = split(points, part, *more) if left and len(points) >= 16 else None
         if not found:
             leaves += 1
-            return Node(leaf=leaves - 1)
-        d = distance(points, found[0])
-        return Node(found[0], found[1], grow(points[d <= found[1]], left - 1), grow(points[d > found[1]], left - 1))
+            return Node(leaf=leaves - 1, part=part)
+        d = distance(points, found[0], found[2])
+        return Node(found[0], found[1], grow(points[d <= found[1]], left - 1), grow(points[d > found[1]], left - 1), part=found[2])
 
     return grow(sample, depth), leaves
 
 
-def deepen(tree: Node, sizes: dict[int, int], samples: dict[int, np.ndarray]) -> tuple[Node, int, bool]:
-    """The tree whose overfull leaves have grown trees on their samples, its number of leaves, and whether any could be parted."""
-    leaves, grown = 0, False
+def deepen(tree: Node, leaves: int, sizes: dict[int, int], samples: dict[int, np.ndarray]) -> tuple[Node, int]:
+    """The tree whose overfull leaves have grown trees on their samples where these can be parted, with new leaves numbered from ``leaves`` on, and the number after them."""
 
     def copy(node: Node) -> Node:
-        nonlocal leaves, grown
-        if node.point is not None:
-            return Node(node.point, node.radius, copy(node.inner), copy(node.outer))
-        if node.leaf in samples:
-            sub, _ = build(samples[node.leaf], max(1, ceil(log2(sizes[node.leaf] / SHARD))))
-            if sub.point is not None:
-                grown = True
-                return number(sub)
-        leaves += 1
-        return Node(leaf=leaves - 1)
-
-    def number(node: Node) -> Node:
         nonlocal leaves
         if node.point is not None:
-            return Node(node.point, node.radius, number(node.inner), number(node.outer))
-        leaves += 1
-        return Node(leaf=leaves - 1)
+            return replace(node, inner=copy(node.inner), outer=copy(node.outer))
+        if node.leaf in samples:
+            grown, after = build(samples[node.leaf], max(1, ceil(log2(sizes[node.leaf] / SHARD))), node.part, leaves, WHOLE)
+            if grown.point is not None:
+                leaves = after
+                return grown
+        return node
+
+    return copy(tree), leaves
+
 
-    return copy(tree), leaves, grown
+def leaves_of(tree: Node) -> list[int]:
+    return [tree.leaf] if tree.point is None else leaves_of(tree.inner) + leaves_of(tree.outer)
 
 
-def route(tree: Node, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def route(trees: list[Node], points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(leaf, index of point) of every shard that a point visits."""
-    leaves, rows = [], []
+    leaves, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def down(node: Node, at: np.ndarray) -> None:
+        if not len(at):
+            return
         if node.point is None:
             leaves.append(np.full(len(at), node.leaf))
             rows.append(at)
             return
-        d = distance(points[at], node.point)
-        down(node.inner, at[d <= node.radius])
-        down(node.outer, at[d > node.radius - BITS])
+        inner, outer = sides(points, at, node.point, node.radius, node.part)
+        down(node.inner, inner)
+        down(node.outer, outer)
 
-    down(tree, np.arange(len(points)))
+    for tree in trees:
+        down(tree, np.arange(len(points)))
     return np.concatenate(leaves), np.concatenate(rows)
 
 
-def link(points: np.ndarray, small: int = 1024) -> np.ndarray:
-    """For sorted distinct points, the index of the smallest point that each is connected to within them."""
+def link(points: np.ndarray, small: int = 1024, part: np.uint64 = WHOLE) -> np.ndarray:
+    """For sorted distinct points, the index of the smallest point that each is connected to within them, by links of points that are equal in ``part`` if that is a third; others may be left out."""
     parent = np.arange(len(points))
 
     def union(a: np.ndarray, b: np.ndarray) -> None:
@@ -178,10 +201,9 @@ def link(points: np.ndarray, small: int = 1024) -> np.ndarray:
     stack = [np.arange(len(points))]
     while stack:
         at = stack.pop()
-        found = split(points[at]) if len(at) > small else None
+        found = split(points[at], *dict.fromkeys((part, WHOLE))) if len(at) > small else None
         if found:
-            d = distance(points[at], found[0])
-            stack += [at[d <= found[1]], at[d > found[1] - BITS]]
+            stack += sides(points, at, *found)
             continue
         own = points[at]
         for i in range(0, len(at), 256):
@@ -196,16 +218,47 @@ def near_links(points: DataFrame) -> DataFrame:
     """(u, v) links that connect whatever fp of ``points`` (distinct longs) lie within 2 bits of each other."""
     n, spark = points.count(), points.sparkSession
     sample = np.array(sorted(r["fp"] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, n // 4)).collect()), np.int64)
-    tree, _ = build(np.random.default_rng(SEED).permutation(sample), max(0, ceil(log2(max(1, n / SHARD)))))
+    sample, depth = np.random.default_rng(SEED).permutation(sample), max(0, ceil(log2(max(1, n / SHARD))))
+    parts = THIRDS if depth else (WHOLE,)
+    trees, ends = map(list, zip(*(build(sample, depth, part, i * LEAVES) for i, part in enumerate(parts)), strict=True))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """The points of many batches at a time: each walk through the trees has its cost."""
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            if sum(map(len, held)) >= ROUTED:
+                yield np.concatenate(held)
+                held = []
+        if held:
+            yield np.concatenate(held)
+
+    def counted(trees: list[Node], known: set[int]) -> dict[int, int]:
+        """Points of each leaf that is not ``known``; a task sums up what it has read."""
+        schema = pa.schema([("leaf", pa.int64()), ("n", pa.int64())])
 
-    def shards(tree: Node, blocks: dict[int, int]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: Counter[int] = Counter()
+            for own in runs(batches):
+                leaf, n = np.unique(route(trees, own)[0], return_counts=True)
+                sums.update(dict(zip(leaf.tolist(), n.tolist(), strict=True)))
+            some = [(k, v) for k, v in sums.items() if k not in known]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], pa.int64()) for i in (0, 1)], schema=schema)
+
+        sums = points.select("fp").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+        return {r["leaf"]: r["n"] for r in sums.collect()}  # a row a leaf
+
+    def shards(trees: list[Node], blocks: dict[int, int], only: set[int] | None = None) -> DataFrame:
+        """shard and fp of every point, or of those in the leaves ``only``."""
         schema = pa.schema([("shard", pa.int64()), ("fp", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                leaf, row = route(tree, own)
-                shard, fp = leaf.astype(np.int64) << 32, own[row]
+            for own in runs(batches):
+                leaf, row = route(trees, own)
+                if only is not None:
+                    there = np.isin(leaf, [*only])
+                    leaf, row = leaf[there], row[there]
+                shard, fp = leaf << 32, own[row]
                 for one in [k for k, v in blocks.items() if v > 1]:  # each block meets each other and itself
                     at, rest, k = leaf == one, leaf != one, blocks[one]
                     mine = (fp[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % k
@@ -215,27 +268,27 @@ def near_links(points: DataFrame) -> DataFrame:
 
         return points.select("fp").mapInArrow(run, "shard long, fp long")
 
-    grown = True
-    while grown:
-        routed = shards(tree, {})
-        sizes = {r["shard"] >> 32: r["n"] for r in routed.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a leaf
-        full = {k: v for k, v in sizes.items() if v > BLOCK}
-        if not full:
-            break
+    sizes, stuck = counted(trees, set()), set()
+    while full := {k: v for k, v in sizes.items() if v > BLOCK and k not in stuck}:
         each = max(64, min(SAMPLE, AGAIN // len(full)))
         share = spark.createDataFrame([(k << 32, min(1.0, each / v)) for k, v in full.items()], "shard long, share double")
         at = F.shiftrightunsigned(F.xxhash64(F.lit(7), "fp"), 1) / F.lit(float(1 << 63))
-        found = routed.join(F.broadcast(share), "shard").where(at < F.col("share")).select("shard", "fp").orderBy("shard", F.xxhash64("fp"), "fp").toPandas()
-        tree, _, grown = deepen(tree, full, {k >> 32: g["fp"].to_numpy(np.int64) for k, g in found.groupby("shard")})
+        found = shards(trees, {}, {*full}).join(F.broadcast(share), "shard").where(at < F.col("share")).select("shard", "fp").orderBy("shard", F.xxhash64("fp"), "fp").toPandas()
+        samples = {k >> 32: g["fp"].to_numpy(np.int64) for k, g in found.groupby("shard")}
+        trees, ends = map(list, zip(*(deepen(tree, end, full, samples) for tree, end in zip(trees, ends, strict=True)), strict=True))
+        new = counted(trees, {*sizes})
+        left = {k for tree in trees for k in leaves_of(tree)}
+        stuck |= full.keys() & left
+        sizes = {k: v for k, v in (sizes | new).items() if k in left}
     blocks = {k: ceil(v / BLOCK) for k, v in sizes.items() if v > BLOCK}
 
     def connect(group: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(group["fp"].to_numpy())
-        least = link(own)
+        least = link(own, part=parts[(int(group["shard"].iloc[0]) >> 32) // LEAVES])
         at = np.flatnonzero(least != np.arange(len(own)))
         return pd.DataFrame({"u": own[at], "v": own[least[at]]})
 
-    return shards(tree, blocks).groupBy("shard").applyInPandas(connect, "u long, v long")
+    return shards(trees, blocks).groupBy("shard").applyInPandas(connect, "u long, v long")
 
 
 def grouped(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

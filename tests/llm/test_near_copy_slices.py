@@ -75,3 +75,26 @@ def test_stage_finds_its_pairs_by_fingerprints_and_tree(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "slice_prints", whole)
     monkeypatch.setattr(near_copies, "near_links", lambda points: points.crossJoin(points.selectExpr("min(fp) AS v")).selectExpr("fp AS u", "v"))
     assert kept() == list(range(0, 60, 3))
+
+
+def test_trees_deal_points_out_in_proportion(spark, monkeypatch):
+    """Three rows a point go to shards, however many points and levels; leaves that grow trees later are counted in."""
+    rng, seen = np.random.default_rng(9), []
+    plain = type(spark.range(1)).groupBy
+
+    def grouping(self, *cols):
+        if self.columns == ["shard", "fp"]:
+            seen.append(self.count())
+        return plain(self, *cols)
+
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", grouping)
+    monkeypatch.setattr(op2_simhash, "SHARD", 8)
+    for n, block in ((1000, 40_000), (5000, 40_000), (5000, 300)):
+        monkeypatch.setattr(op2_simhash, "BLOCK", block)
+        monkeypatch.setattr(op2_simhash, "SAMPLE", 16_384 if block > 300 else 128)
+        own = rng.integers(-(2**63), 2**63 - 1, n)
+        own[n // 2 :] = own[: n // 2] ^ (np.int64(1) << rng.integers(0, 63, n // 2)) ^ (np.int64(1) << rng.integers(0, 63, n // 2))
+        own, seen[:] = np.unique(own), []
+        links = op2_simhash.near_links(spark.createDataFrame([(p,) for p in own.tolist()], "fp long"))
+        assert sum(seen) == 3 * len(own)
+        assert len({(r["u"], r["v"]) for r in links.collect()}) >= n // 2 - (n - len(own))
