@@ -1,8 +1,8 @@
 """Near copies by SimHash fingerprints of slices of their word shingles, checked exactly by Jaccard similarity.
 
 A whole text's fingerprint can't tell a similarity of 0.8: there it differs by 10 of 64 bits on average, and by up to
-19, and with such a radius a vantage-point tree prunes nothing. So texts are fingerprinted by slices, and the tree of
-``op2_simhash`` links slices within 2 bits, as it does whole texts. No similar pair is lost, nor are all pairs compared.
+19, and with such a radius a vantage-point tree prunes nothing. So texts are fingerprinted by slices, and the trees of
+``op2_simhash`` link slices within 2 bits, as it does whole texts. No similar pair is lost, nor are all pairs compared.
 
 Two sets of similarity s or more share at least s times the larger one's size, and the smaller has at least s times
 the size of the larger. Three steps leave ever fewer sets, and none drops a set that has a similar one:
